@@ -21,11 +21,12 @@ from gridloom.llm.common import materialise
 RULES = ("word_length", "symbols", "repeated_lines", "repeated_windows", "capitals", "letters", "vocabulary", "separators")
 #: The bounds of each rule: (good if at most, bad if at least) of a figure that is low in good texts.
 BOUNDS = {
-    "word_length": (6.0, 12.0), "symbols": (0.01, 0.05), "repeated_lines": (0.02, 0.25), "repeated_windows": (0.02, 0.2),
-    "capitals": (0.2, 0.6), "letters": (0.15, 0.4), "vocabulary": (0.5, 0.85), "separators": (0.02, 0.2),
+    "word_length": (6.0, 12.0), "symbols": (0.01, 0.05), "repeated_lines": (0.05, 0.3), "repeated_windows": (0.05, 0.28),
+    "capitals": (0.2, 0.6), "letters": (0.15, 0.25), "vocabulary": (0.5, 0.85), "separators": (0.02, 0.2),
 }
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, pattern int"
 WINDOW = 8
+SURE = 0.97
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -67,7 +68,7 @@ def measure(text: str) -> tuple:
     repeat = repeated_words(words)
     letters = sum(map(str.isalpha, text))
     figures = (
-        chars / n, symbols / chars, dup / len(lines), repeat / n,
+        chars / n, symbols / chars, dup / max(len(lines), 6), repeat / n,
         sum(map(str.isupper, text)) / max(letters, 1), 1 - letters / chars, 1 - len(set(words)) / n, words.count(b"|") / n,
     )
     pattern = 0
@@ -100,20 +101,21 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
 def fit(pattern: np.ndarray, count: np.ndarray, rounds: int = 60) -> dict[int, float]:
     """Pattern to posterior probability of good, by expectation-maximisation over the counted patterns.
 
-    acc[c, r]: probability that rule r, if it votes, votes rightly on class c (0 bad, 1 good); one pseudo-count pair
-    keeps it off 0 and 1, and 0.55 at least keeps the classes from swapping.
+    acc[c, r]: probability that rule r, if it votes, votes rightly on class c (0 bad, 1 good). The rules' bad bounds are
+    set where good texts hardly go, so a rule is right on at least SURE of the good texts; how many bad texts each rule
+    finds is left to the data. Pseudo-counts keep all of it off 0 and 1.
     """
     if not len(pattern):
         return {}
     v, n = votes_of(pattern), count.astype(float)
-    acc, prior = np.array([[0.7] * len(RULES), [0.9] * len(RULES)]), 0.8
+    acc, prior = np.array([[0.3] * len(RULES), [0.98] * len(RULES)]), 0.85
     post = np.zeros(len(n))
     for _ in range(rounds):
         good = np.log(prior) + ((v == 1) * np.log(acc[1]) + (v == -1) * np.log(1 - acc[1])).sum(axis=1)
         bad = np.log(1 - prior) + ((v == -1) * np.log(acc[0]) + (v == 1) * np.log(1 - acc[0])).sum(axis=1)
         post = 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
         w1, w0 = n * post, n * (1 - post)
-        acc[1] = np.clip(((w1[:, None] * (v == 1)).sum(0) + 9) / ((w1[:, None] * (v != 0)).sum(0) + 10), 0.55, 0.999)
+        acc[1] = np.clip(((w1[:, None] * (v == 1)).sum(0) + 9) / ((w1[:, None] * (v != 0)).sum(0) + 10), SURE, 0.999)
         acc[0] = np.clip(((w0[:, None] * (v == -1)).sum(0) + 3) / ((w0[:, None] * (v != 0)).sum(0) + 10), 0.05, 0.999)
         prior = float(np.clip((w1.sum() + 8) / (n.sum() + 10), 0.05, 0.99))
     return dict(zip(pattern.tolist(), post.tolist(), strict=True))
