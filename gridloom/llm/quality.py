@@ -68,8 +68,8 @@ def measure(text: str) -> tuple:
     repeat = repeated_words(words)
     letters = sum(map(str.isalpha, text))
     figures = (
-        chars / n, symbols / chars, dup / max(len(lines), 6), repeat / n,
-        sum(map(str.isupper, text)) / max(letters, 1), 1 - letters / chars, 1 - len(set(words)) / n, words.count(b"|") / n,
+        chars / n, symbols / chars, dup / max(len(lines), 8), repeat / n,
+        sum(map(str.isupper, text)) / max(letters, 1), (chars - letters) / max(chars, 300), 1 - len(set(words)) / n, words.count(b"|") / n,
     )
     pattern = 0
     for name, x in zip(RULES, figures, strict=True):
