@@ -83,24 +83,35 @@ def barycentric(p: Column, a: Column, b: Column, c: Column, d: Column) -> list[C
     return [tetra_volume(p, b, c, d) / v, tetra_volume(a, p, c, d) / v, tetra_volume(a, b, p, d) / v, tetra_volume(a, b, c, p) / v]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: expressions over points would else repeat it in each component."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def closest_on_segment(p: Column, a: Column, b: Column) -> Column:
-    d = sub(b, a)
-    n = dot(d, d)
-    t = F.when(n > 0, dot(sub(p, a), d) / n).otherwise(0.0)
-    return add(a, scale(d, F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))))
+    def at(s: Column) -> Column:
+        t = F.when(s["n"] > 0, s["m"] / s["n"]).otherwise(0.0)
+        return let(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)), lambda u: add(s["a"], scale(s["d"], u)))
+
+    ends = F.struct(a.alias("a"), sub(b, a).alias("d"), sub(p, a).alias("e"))
+    return let(ends, lambda s: let(F.struct(s["a"].alias("a"), s["d"].alias("d"), dot(s["d"], s["d"]).alias("n"), dot(s["e"], s["d"]).alias("m")), at))
 
 
 def closest_on_triangle(p: Column, a: Column, b: Column, c: Column) -> Column:
     """The foot of the perpendicular where it falls inside, else the nearest point of the three edges."""
-    n = cross(sub(b, a), sub(c, a))
-    nn = dot(n, n)
-    safe = F.when(nn > 0, nn)
-    w = dot(cross(sub(b, a), sub(p, a)), n) / safe
-    v = dot(cross(sub(p, a), sub(c, a)), n) / safe
-    inside = F.coalesce((v >= 0) & (w >= 0) & (v + w <= 1), F.lit(False))
-    foot = add(a, add(scale(sub(b, a), v), scale(sub(c, a), w)))
-    edges = F.array_min(F.array(*[F.struct(dist2(p, q).alias("d"), q.alias("q")) for q in (closest_on_segment(p, a, b), closest_on_segment(p, b, c), closest_on_segment(p, c, a))]))["q"]
-    return F.when(inside, foot).otherwise(edges)
+
+    def of(t: Column) -> Column:
+        sides = F.struct(sub(t["b"], t["a"]).alias("u"), sub(t["c"], t["a"]).alias("v"), sub(t["p"], t["a"]).alias("w"))
+        foot = let(sides, lambda s: let(cross(s["u"], s["v"]), lambda n: inner(t, s, n)))
+        near = let(F.array(*[closest_on_segment(t["p"], t[x], t[y]) for x, y in ("ab", "bc", "ca")]), lambda q: F.array_min(F.transform(q, lambda x: F.struct(dist2(t["p"], x).alias("d"), x.alias("q"))))["q"])
+        return F.coalesce(foot, near)
+
+    def inner(t: Column, s: Column, n: Column) -> Column:
+        nn = F.when(dot(n, n) > 0, dot(n, n))
+        weights = F.struct((dot(cross(s["w"], s["v"]), n) / nn).alias("v"), (dot(cross(s["u"], s["w"]), n) / nn).alias("w"))
+        return let(weights, lambda k: F.when((k["v"] >= 0) & (k["w"] >= 0) & (k["v"] + k["w"] <= 1), add(t["a"], add(scale(s["u"], k["v"]), scale(s["v"], k["w"])))))
+
+    return let(F.struct(p.alias("p"), a.alias("a"), b.alias("b"), c.alias("c")), of)
 
 
 def segment_hits_box(a: Column, b: Column, low: Column, high: Column) -> Column:

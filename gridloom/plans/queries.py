@@ -347,7 +347,7 @@ def cube_face_cell(spark, sf_dir):
     return generators.cube_faces(spark, 10).select("axis", "c1", "c2", "group")
 
 
-@query("SELECT i + 1 AS gnum, round(CASE WHEN i % 3 = 0 THEN 0.5 * (i + 1) * 2 ELSE (i + 1) * 2 END, 6) AS area FROM range(200) t(i)")
+@query("SELECT i + 1 AS gnum, round(CASE WHEN i % 3 = 0 THEN 0.5 * (i + 1) * 2 ELSE (i + 1) * 2 END::DOUBLE, 6) AS area FROM range(200) t(i)")
 def polygon_area(spark, sf_dir):
     p = lambda x, y: G.point(x, y, 0)
     w = (F.col("id") + 1).cast("double")
