@@ -102,12 +102,13 @@ def test_wrapper_induction(spark):
     rows = [(i, f"http://a.example/{i}", PAGE.format(n=i)) for i in range(8)]
     rows += [(100, "http://b.example/1", "<article><h1>A</h1><nav>menu</nav><p>x<b>y</b> z</p><aside>no</aside>tail &lt;b&gt; &#233;</article><p>out</p>"), (101, None, None), (102, "u", ""), (103, "u", "<p>cut <b>off &am"), (103, "u", "<p>cut <b>off &am")]
     rows += [(104, "http://c.example", "<main><header><h2>Title</h2></header><ul><li>a<li>b</ul></main><footer>f</footer>"), (105, "http://d.example", "plain < text & more")]
+    rows += [(106, "http://e.example", "<div class='page has-sidebar'><ul class=menu><li>m</ul><article><h1>H</h1><p>body</p></article><article class=comment><p>c</p></article><div class=sidebar>s</div></div>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as host", "2 as constant", "3 as text").repartition(3)
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     for i in range(8):
         assert got[i] == f"Head {i} First {i} & more Second {i}"
     assert got[100] == "A xy z tail <b> é" and got[101] == got[102] == "" and got[103] == "cut off &am"
-    assert got[104] == "Title a b" and got[105] == "plain < text & more"
+    assert got[106] == "H body" and got[104] == "Title a b" and got[105] == "plain < text & more"
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
