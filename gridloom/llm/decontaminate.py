@@ -4,9 +4,10 @@ The normalised items form a generalised suffix automaton over word numbers. Each
 automaton's state gives, at each word, the longest suffix that some item contains. Where that length reaches `window`
 words, or the state or one of its suffixes is a whole item of fewer words, the words of the match are hit.
 
-Items go to the workers in blocks of at most `block_words` words (a few MB of automaton each); the documents stream
-through each block, so the size of what a worker holds is bounded however large the benchmark is. Blocks split between
-items, and the hits of a document add up over blocks.
+Items go to the workers in blocks of at most `block_bytes` (a larger item is a block of its own). The driver reads and
+broadcasts one block at a time and the documents stream through it, so what the driver and a worker hold is bounded
+however large the benchmark is; between blocks, the documents and their hits so far are a table in the shared folder. An
+ordinary benchmark is one block, and then nothing is written. Blocks split between items, and hits add up over blocks.
 
 Defined results: null and empty texts have no words and no hits; items without words are ignored, as are null items'
 texts; repeated items count once per item_id; repeated documents give repeated rows; other columns are ignored.
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import materialise
+
 WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -139,38 +142,44 @@ class SuffixAutomaton:
         return spans, items
 
 
-def item_blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """The items, in blocks of at most block_words words (or one item). Read block by block, never all at once."""
+def item_blocks(items: DataFrame, block_bytes: int):
+    """The items in blocks of at most block_bytes, one at a time; at least one block, which may be empty."""
     rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    out, size = [[]], 0
+    block, size = [], 0
     for r in rows.toLocalIterator():
-        n = len(words_of(bytes(r["t"])))
-        if out[-1] and size + n > block_words:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"], bytes(r["t"])))
-        size += n
-    return out
+        text = bytes(r["t"])
+        if block and size + len(text) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], text))
+        size += len(text)
+    yield block
 
 
-def contamination(df: DataFrame, items: DataFrame, window: int = 10, block_words: int = 2_000_000, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(df: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 8_000_000, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_words, hit ranges as flat array<int> of word bounds, and item ids, for each row."""
-    spark = df.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, block_words)]
+    picked = df.select(*keep, F.col(text_col).alias("__text"))
+    blocks = item_blocks(items, block_bytes)
+    block = next(blocks)
+    while (after := next(blocks, None)) is not None:
+        picked = materialise(block_hits(picked, block, window, (*keep, "__text")))
+        block = after
+    return block_hits(picked, block, window, keep)
+
+
+def block_hits(df: DataFrame, items: list[tuple[str, bytes]], window: int, keep: tuple[str, ...]) -> DataFrame:
+    """keep, n_words, ranges and items of df's __text with one block of items, added to the ranges and items in df."""
+    shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes, or one item
+    earlier = "ranges" in df.columns and "ranges" not in keep
 
     def run(batches):
-        built: dict[int, SuffixAutomaton] = {}
+        automaton = SuffixAutomaton([(i, words_of(t)) for i, t in shared.value], window)
         for batch in batches:
             docs = [words_of(t or b"") for t in batch.column("__text").cast(pa.binary()).to_pylist()]
-            found = [([], set()) for _ in docs]
-            for k, block in enumerate(blocks):
-                if k not in built:
-                    built.clear()  # one automaton at a time
-                    built[k] = SuffixAutomaton([(i, words_of(t)) for i, t in block.value], window)
-                for (ranges, names), words in zip(found, docs, strict=True):
-                    r, n = built[k].hits(words)
-                    ranges += r
-                    names |= n
+            found = [automaton.hits(words) for words in docs]
+            if earlier:
+                held = zip(found, batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                found = [(r + list(zip(flat[::2], flat[1::2], strict=True)), n.union(names)) for (r, n), flat, names in held]
             cols = [
                 pa.array([len(d) for d in docs], pa.int64()),
                 pa.array([[x for r in merged(f[0]) for x in r] for f in found], pa.list_(pa.int32())),
@@ -179,8 +188,7 @@ def contamination(df: DataFrame, items: DataFrame, window: int = 10, block_words
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, names=[*keep, "n_words", "ranges", "items"])
 
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    picked = df.select(*keep, F.col(text_col).alias("__text"))
-    return picked.mapInArrow(run, head + "n_words bigint, ranges array<int>, items array<string>")
+    return df.mapInArrow(run, head + "n_words bigint, ranges array<int>, items array<string>")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -121,3 +121,15 @@ def test_pages_of_the_tables(spark):
         body = re.search(r"<article>(.*?)(</article>|<footer|\Z)", r.html, re.S)[1]
         text = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", body)).split())
         assert got[r.page_id] == (text, len(text))
+
+
+def test_wrapper_finds_unnamed_content(spark):
+    """With tags and classes that tell nothing, only the host's wrapper can tell the article from menus that vary."""
+    frame = "<body><section><a href=/{n}>Menu {n}</a><a href=/x>Other {n}</a></section><div class=z>Offer {n}</div><div><h1>Head {n}</h1><p>" + "long article text {n} " * 9 + "</p></div><section>Foot {n}</section></body>"
+    rows = [(n, "http://plain.test/a", frame.format(n=n)) for n in range(12)]
+    rows += [(100, "http://few.test/a", frame.format(n=100)), (101, None, ""), (102, "http://plain.test/b", "<body><p>No slot here"), (103, "http://plain.test/c", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'s' as slot", "1 as constant").repartition(3)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    for n in range(12):
+        assert got[n] == f"Head {n} " + " ".join([f"long article text {n}"] * 9)
+    assert got[100].startswith("Menu 100") and got[101] == got[103] == "" and got[102] == "No slot here"

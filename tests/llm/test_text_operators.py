@@ -154,8 +154,8 @@ def test_decontamination(spark, docs, rows):
         want.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     frame = spark.createDataFrame(items, "item_id bigint, text string")
     assert bag(decontaminate.report(docs, frame).collect()) == bag(want)
-    blocks = decontaminate.contamination(docs, frame, block_words=40).selectExpr("doc_id", "size(items) as n", "array_join(items, ',') as i").collect()
-    assert bag((r.doc_id, r.n) for r in blocks) == bag((x[0], x[3]) for x in want)
+    blocks = decontaminate.contamination(docs, frame, block_bytes=400).selectExpr("doc_id", "n_words", "size(items) as n", "ranges").collect()
+    assert bag((r.doc_id, r.n_words, sum(r.ranges[1::2]) - sum(r.ranges[::2]), r.n) for r in blocks) == bag(x[:4] for x in want)
     clean = decontaminate.remove_spans(docs, frame, drop_coverage=2.0).collect()
     assert len(clean) == len(rows) and decontaminate.report(docs.limit(0), frame).count() == 0
     same = {x[0] for x in want if not x[5]}
