@@ -16,8 +16,8 @@ texts; repeated items count once per item_id; repeated documents give repeated r
 from __future__ import annotations
 
 import hashlib
+import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,36 +156,44 @@ def item_blocks(items: DataFrame, block_bytes: int):
     yield block
 
 
-def contamination(df: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 8_000_000, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(df: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 8_000_000, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: bool = False) -> DataFrame:
     """keep, n_words, hit ranges as flat array<int> of word bounds, and item ids, for each row."""
-    picked = df.select(*keep, F.col(text_col).alias("__text"))
+    picked = df.select(*[c for c in keep if c != "__text"], F.col(text_col).alias("__text"))
     blocks = item_blocks(items, block_bytes)
     block = next(blocks)
     while (after := next(blocks, None)) is not None:
-        picked = materialise(block_hits(picked, block, window, (*keep, "__text")))
+        picked = materialise(block_hits(picked, block, window, tuple(dict.fromkeys([*keep, "__text"]))))
         block = after
-    return block_hits(picked, block, window, keep)
+    return block_hits(picked, block, window, keep, cut)
 
 
-def block_hits(df: DataFrame, items: list[tuple[str, bytes]], window: int, keep: tuple[str, ...]) -> DataFrame:
-    """keep, n_words, ranges and items of df's __text with one block of items, added to the ranges and items in df."""
+def block_hits(df: DataFrame, items: list[tuple[str, bytes]], window: int, keep: tuple[str, ...], cut: bool = False) -> DataFrame:
+    """keep, n_words, ranges and items of df's __text with one block of items, added to the ranges and items in df.
+
+    cut: the __text in keep comes back without the words of its ranges.
+    """
     shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes, or one item
     earlier = "ranges" in df.columns and "ranges" not in keep
 
     def run(batches):
         automaton = SuffixAutomaton([(i, words_of(t)) for i, t in shared.value], window)
         for batch in batches:
-            docs = [words_of(t or b"") for t in batch.column("__text").cast(pa.binary()).to_pylist()]
+            texts = batch.column("__text").cast(pa.binary()).to_pylist()
+            docs = [words_of(t or b"") for t in texts]
             found = [automaton.hits(words) for words in docs]
             if earlier:
-                held = zip(found, batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
-                found = [(r + list(zip(flat[::2], flat[1::2], strict=True)), n.union(names)) for (r, n), flat, names in held]
+                before = zip(found, batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                found = [(r + list(zip(flat[::2], flat[1::2], strict=True)), n.union(names)) for (r, n), flat, names in before]
+            ranges = [[x for r in merged(f[0]) for x in r] for f in found]
+            held = {c: batch.column(c) for c in keep}
+            if cut and any(ranges):
+                held["__text"] = pa.array([without(t, r) if r else t for t, r in zip(texts, ranges, strict=True)], pa.binary()).cast(pa.string())
             cols = [
                 pa.array([len(d) for d in docs], pa.int64()),
-                pa.array([[x for r in merged(f[0]) for x in r] for f in found], pa.list_(pa.int32())),
+                pa.array(ranges, pa.list_(pa.int32())),
                 pa.array([sorted(f[1]) for f in found], pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, names=[*keep, "n_words", "ranges", "items"])
+            yield pa.RecordBatch.from_arrays([*held.values(), *cols], names=[*keep, "n_words", "ranges", "items"])
 
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     return df.mapInArrow(run, head + "n_words bigint, ranges array<int>, items array<string>")
@@ -217,34 +225,23 @@ def remove_spans(df: DataFrame, items: DataFrame, window: int = 10, drop_coverag
     Rows without hits keep their text byte for byte. A cut takes the bytes from the first word of a range to the end of
     its last word and leaves one space where it joins two words.
     """
-    names, kinds = df.columns, {f.name: f.dataType for f in df.schema}
-    spans = contamination(df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names])), items, window, text_col=text_col, keep=("__row",))
-
-    @F.pandas_udf("string")
-    def cut(texts, ranges):
-        import pandas as pd
-
-        return pd.Series([t if r is None or not len(r) else without(t, r) for t, r in zip(texts, ranges, strict=True)], dtype=object)
-
+    names = df.columns
+    plain = {c: f"__{k}" if c != text_col else "__text" for k, c in enumerate(names)}
+    numbered = df.select(*[F.col(f"`{c}`").alias(x) for c, x in plain.items()])
+    spans = contamination(numbered, items, window, text_col="__text", keep=tuple(plain.values()), cut=True)
     hit = F.expr("aggregate(sequence(0, size(ranges) div 2), 0L, (s, k) -> s + coalesce(get(ranges, 2 * k + 1) - get(ranges, 2 * k), 0))")
     kept = spans.where((F.size("ranges") == 0) | (hit < drop_coverage * F.col("n_words")))
-    row = F.col("__row")
-    out = [row.getField(c).alias(c) if c != text_col else cut(row.getField(c), F.col("ranges")).cast(kinds[c]).alias(c) for c in names]
-    return kept.select(*out)
-
+    return kept.select(*[F.col(x).alias(c) for c, x in plain.items()])
 
-def without(text: str, ranges) -> str:
-    import re
 
-    raw = text.encode("utf-8", "surrogatepass")
+def without(raw: bytes, ranges: list[int]) -> bytes:
     at = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", raw.translate(WORD_TABLE))]
     out, last = [], 0
-    r = np.asarray(ranges).tolist()
-    for a, b in zip(r[::2], r[1::2], strict=True):
+    for a, b in zip(ranges[::2], ranges[1::2], strict=True):
         out.append(raw[last : at[a][0]])
         last = at[b - 1][1]
     out.append(raw[last:])
-    return b" ".join(x.strip(b" ") for x in out if x.strip(b" ")).decode("utf-8", "surrogatepass")
+    return b" ".join(x.strip(b" ") for x in out if x.strip(b" "))
 
 
 def items_digest(names) -> str:

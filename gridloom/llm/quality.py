@@ -80,15 +80,16 @@ def measure(text: str) -> tuple:
 
 def measured(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and the measures of each text; pattern has the votes as digits base 3 (0 abstains, 1 good, 2 bad)."""
+    source = text_col if text_col in keep else "__text"
 
     def run(batches):
         for batch in batches:
-            rows = [measure(t or "") for t in batch.column("__text").to_pylist()]
+            rows = [measure(t or "") for t in batch.column(source).to_pylist()]
             cols = [pa.array([r[k] for r in rows], pa.int64() if k < 5 else pa.int32()) for k in range(6)]
             names = [x.split()[0] for x in MEASURES.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + cols, names=[*keep, *names])
 
-    picked = df.select(*keep, F.col(text_col).alias("__text"))
+    picked = df.select(*keep) if source in keep else df.select(*keep, F.col(text_col).alias(source))
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     return picked.mapInArrow(run, head + MEASURES)
 
@@ -143,7 +144,7 @@ def quality(df: DataFrame, threshold: float = 0.5, text_col: str = "text", id_co
 
 def keep_good(df: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of df that quality() keeps, with all their columns."""
-    names = df.columns
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{text_col}`").alias("__src"))
-    rows = materialise(measured(held, "__src", ("__row",)))
-    return verdicts(rows, threshold).where("kept").select(*[F.col("__row").getField(c).alias(c) for c in names])
+    plain = {c: f"__{k}" for k, c in enumerate(df.columns)}
+    numbered = df.select(*[F.col(f"`{c}`").alias(x) for c, x in plain.items()])
+    rows = materialise(measured(numbered, plain[text_col], tuple(plain.values())))
+    return verdicts(rows, threshold).where("kept").select(*[F.col(x).alias(c) for c, x in plain.items()])

@@ -108,13 +108,17 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of its texts replaced by mark; null texts stay null."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
+    names = df.columns
+    at = names.index(text_col)
 
-        return pd.Series([None if t is None else masked(t, mark) for t in texts], dtype=object)
+    def run(batches):
+        for batch in batches:
+            clean = [None if t is None else masked(t, mark) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.names[at], pa.array(clean, pa.string()))
 
-    return df.select(*[clean(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    numbered = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(df.schema))
+    return numbered.mapInArrow(run, kinds).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def masked(text: str, mark: str) -> str:
