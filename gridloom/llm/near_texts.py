@@ -3,17 +3,19 @@
 Candidates come from the trie self-join of simhash.py over fingerprints of a text's distinct words: a text that differs
 from another in a few words keeps almost all of its words, so its fingerprint differs in few bits (at most `max_bits`).
 A candidate link counts if the five-word shingles of the two texts have a Jaccard similarity of `similarity` or more.
-Equal texts are one class from the start. Each class shows the join one representative; a fingerprint's classes hang
-together by a star of candidates on its smallest representative, checked like any other.
+Equal texts are one class from the start. A first round checks few candidates: a fingerprint's texts against its
+smallest, and each fingerprint against its smallest and its nearest partner of a bucket. The second round takes every
+pair of texts within `max_bits` that the first one hasn't brought into one group, whatever fingerprints they share, in
+chunks of at most as many pairs as there are texts (`PAIRS` at least); what a chunk links leaves the next ones. So each
+candidate pair is checked or lies in one group by links that passed.
 
 Texts move only where they must: a bitmap of 2 ** MARK_BITS hashed keys, at most 2 ** (MARK_BITS - 6) rows whatever the
 input, is broadcast and tells texts that may be in a candidate pair, or in a group of more than one row, from those that
 surely aren't; the latter are never shuffled. Exact joins follow, so hash collisions cost a little work and no rows.
 
 Of every group the row with the smallest doc_id stays (of equal doc_ids one, null last). Null and empty texts have no
-shingles: they are equal to each other and to nothing else. Fingerprints are a filter, not a proof, and a fingerprint
-shows only its smallest and its nearest link of a bucket to the exact check, so some links stay undetected; the test
-against all pairs allows 5 % of the copies to remain.
+shingles: they are equal to each other and to nothing else. Fingerprints are a filter, not a proof: similar texts whose
+fingerprints differ in more bits stay undetected; the test against all pairs allows 5 % of the copies to remain.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise, text_or_empty
-from gridloom.llm.simhash import components, fingerprint_links, majority, shingle_hashes
+from gridloom.llm.simhash import components, crossing_pairs, fingerprint_links, majority, shingle_hashes
 
 
-MARK_BITS = 24
+#: PAIRS: least number of candidate pairs that are checked at once.
+MARK_BITS, PAIRS = 24, 200_000
 
 
 def marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -94,10 +97,31 @@ def keep_one(df: DataFrame, max_bits: int = 6, width: int = 5, similarity: float
     across = links.join(a, links["a"] == a["fa"]).join(b, links["b"] == b["fb"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     pairs = materialise(star.unionByName(across).distinct())
     texts = named.select(F.col("__key").alias("key"), text.alias("text"))
-    wanted = materialise(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    one_each = marked(texts, wanted, "key").where("__mark").join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-    real = similar(pairs, one_each, width, similarity)
-    roots = materialise(components(classes.select(F.col("key").alias("node")).distinct(), real))
+    nodes = classes.select(F.col("key").alias("node")).distinct()
+
+    def checked(pairs):
+        wanted = materialise(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
+        one_each = marked(texts, wanted, "key").where("__mark").join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+        return materialise(similar(pairs, one_each, width, similarity))
+
+    real = checked(pairs)
+    roots = materialise(components(nodes, real))
+    left = materialise(crossing_pairs(classes.join(roots, classes["key"] == roots["node"]).select("node", "fp", F.col("root").alias("comp")), max_bits).distinct())
+    most = max(PAIRS, classes.count())
+    turn = 0
+    while n := left.count():
+        turn, chunks = turn + 1, -(-n // most)
+        dealt = F.pmod(F.xxhash64(F.lit(turn), "a", "b"), F.lit(chunks))
+        part = left if chunks == 1 else left.where(dealt == 0)
+        now = checked(part)
+        if now.limit(1).count():
+            real = materialise(real.unionByName(now))
+            roots = materialise(components(nodes, real))
+        if chunks == 1:
+            break
+        left = left.where(dealt != 0)
+        left = left.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        left = materialise(left.where("ra <> rb").select("a", "b"))
     grouped = classes.join(roots, classes["key"] == roots["node"]).drop("node")
     lows = grouped.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low"))["low"].alias("least"), F.sum("n").alias("rows"))
     several = materialise(grouped.join(lows.where("rows > 1"), "root"))

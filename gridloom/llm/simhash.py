@@ -77,11 +77,12 @@ def fingerprints(df: DataFrame, width: int = 4, seed: int = 42, distinct: bool =
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def trie_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray | None, max_bits: int, chunk: int = 1 << 18):
+def trie_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray | None, max_bits: int, chunk: int = 1 << 18, comp: np.ndarray | None = None):
     """Index pairs (i, j) with equal group and at most max_bits differing bits. group and fp are sorted together.
 
     A node is a run of rows that share a group and a bit prefix. side: if given, only pairs of different sides count
-    where a bucket was cut in two. Yields arrays; the frontier is kept in chunks, depth first.
+    where a bucket was cut in two. comp: if given, only pairs of different comp count, and two runs of one and the same
+    comp are left at once. Yields arrays; the frontier is kept in chunks, depth first.
     """
     n = len(fp)
     if n < 2:
@@ -91,6 +92,7 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray | None, max_b
     many = ends - cuts > 1
     lo, hi = cuts[many], ends[many]
     stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
+    turns = None if comp is None else np.r_[0, np.cumsum(comp[1:] != comp[:-1])]
 
     def split(bit, lo, hi):
         """First row of each run whose bit is 1: rows of a run are sorted, so it is a binary search."""
@@ -111,10 +113,24 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray | None, max_b
             alo, ahi, blo, bhi, errs = alo[:half], ahi[:half], blo[:half], bhi[:half], errs[:half]
             stack.append((bit, alo, ahi, blo, bhi, errs))
             continue
-        small = ((ahi - alo) * (bhi - blo) <= 64) | (bit < 0)
+        if comp is not None:
+            one = (turns[alo] == turns[ahi - 1]) & (turns[blo] == turns[bhi - 1]) & (comp[alo] == comp[blo])
+            alo, ahi, blo, bhi, errs = (x[~one] for x in (alo, ahi, blo, bhi, errs))
+        small = (ahi - alo) * (bhi - blo) <= 64
+        if bit < 0 and not small.all():
+            for a0, a1, b0, b1 in zip(*(x[~small].tolist() for x in (alo, ahi, blo, bhi)), strict=True):
+                step = max(1, (1 << 18) // (b1 - b0))
+                for a in range(a0, a1, step):
+                    e = min(a1, a + step)
+                    for node in ((a, e, a, e), (a, e, e, b1)) if a0 == b0 else ((a, e, b0, b1),):
+                        for i, j in leaves(*(np.array([x]) for x in node), fp, side, max_bits):
+                            yield (i, j) if comp is None else (i[comp[i] != comp[j]], j[comp[i] != comp[j]])
+            alo, ahi, blo, bhi, errs = (x[small] for x in (alo, ahi, blo, bhi, errs))
+            small = small[small]
         if small.any():
             for i in range(0, int(small.sum()), 1 << 14):
-                yield from leaves(*(x[small][i : i + (1 << 14)] for x in (alo, ahi, blo, bhi)), fp, side, max_bits)
+                for x, y in leaves(*(x[small][i : i + (1 << 14)] for x in (alo, ahi, blo, bhi)), fp, side, max_bits):
+                    yield (x, y) if comp is None else (x[comp[x] != comp[y]], y[comp[x] != comp[y]])
         keep = ~small
         if not keep.any():
             continue
@@ -245,6 +261,62 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = 4096
     return keyed.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def crossing_pairs(nodes: DataFrame, max_bits: int, bucket_rows: int = 4096) -> DataFrame:
+    """Each pair (a, b) of node ids whose fingerprints differ in at most max_bits bits and whose comp differs, once.
+
+    nodes: (node, fp, comp), all long; a node may have several rows. A pair is given by the first two blocks in which
+    it agrees, so its other buckets stay silent; pairs leave a task in batches of bounded size.
+    """
+    masks = block_masks(max_bits)
+    edges = [round(64 * k / (max_bits + 2)) for k in range(max_bits + 3)]
+    blocks = [np.uint64(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+    slots = np.zeros((len(blocks), len(blocks)), np.int32)
+    for k, (x, y) in enumerate(combinations(range(len(blocks)), 2)):
+        slots[x, y] = k
+    rows = nodes.select("node", "fp", "comp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("slot", "mask"))
+    rows = rows.withColumn("bucket", F.xxhash64("slot", F.col("fp").bitwiseAND(F.col("mask")))).drop("mask")
+    # a bucket of one comp has nothing to give
+    held = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    held = materialise(held.where("least < most").select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts")))
+    cut = rows.join(held, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("cuts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    key = F.xxhash64("bucket", first, second).alias("key")
+    keyed = cut.select(key, "fp", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "slot", "comp", "node")
+    keyed = keyed.repartition("key").sortWithinPartitions("key")
+
+    def batches_of(keys, fp, side, slot, comp, node):
+        unsigned = fp.view(np.uint64)
+        order = np.lexsort((comp, unsigned, keys))
+        keys, unsigned, side, slot, comp, node = (x[order] for x in (keys, unsigned, side, slot, comp, node))
+        for i, j in trie_pairs(keys, unsigned, None if (side < 0).all() else side, max_bits, comp=comp):
+            for k in range(0, len(i), 1 << 18):
+                x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+                differ = unsigned[x] ^ unsigned[y]
+                agree = np.stack([differ & b == 0 for b in blocks])
+                one = agree.argmax(axis=0)
+                agree[one, np.arange(len(one))] = False
+                own = (slots[one, agree.argmax(axis=0)] == slot[x]) & (slot[x] == slot[y])
+                if own.any():
+                    a, b = node[x[own]], node[y[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(6)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            keys = held[0]
+            end = len(keys) - int((keys == keys[-1]).sum()) if len(keys) else 0
+            if end >= 50_000:
+                yield from batches_of(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield from batches_of(*held)
+
+    return keyed.mapInArrow(run, "a bigint, b bigint")
+
+
 def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b). Nodes without links are their own roots.
 
