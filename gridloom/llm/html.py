@@ -307,6 +307,8 @@ def main_text(page: str, constant: frozenset[int], slot=()) -> str:
                 stack.append((node, True))
             stack.extend((k, False) for k in reversed(node.kids))
         flush()
+    if constant and not blocks:  # the template never empties a page
+        return main_text(page, frozenset(), slot)
     return " ".join(blocks)
 
 
@@ -344,17 +346,13 @@ def templates(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([json.dumps(held[h]) for h in hosts], pa.string())], names=["host", "tree"])
 
     def induce(batches):
-        held, seen = {}, set()
+        held = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = hash((host, page))
-                if page and key not in seen:
-                    seen.add(key)
-                    fold(held, host, template_of(parse(page), [NODES]))
-            if len(held) > 2000 or len(seen) > 500_000:
+                fold(held, host, template_of(parse(page), [NODES]))
+            if len(held) > 2000:
                 yield rows(held)
                 held = {}
-                seen.clear()
         if held:
             yield rows(held)
 
@@ -367,7 +365,14 @@ def templates(pages: DataFrame) -> DataFrame:
         cols = [pa.array(hosts, pa.string()), pa.array([constants(held[h]) for h in hosts], pa.list_(pa.int64())), pa.array([content_slot(held[h]) for h in hosts], pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(cols, names=["host", "constant", "slot"])
 
-    parts = pages.select("host", "html").mapInArrow(induce, "host string, tree string")
+    # pages whose hash is alone on their host stay where they are; the others are told apart by a shuffle
+    own = pages.where("html <> ''").select("host", "html", F.xxhash64("html").alias("page"))
+    several = materialise(own.groupBy("host", "page").count().where("count > 1").select("host", "page"))
+    distinct = own.select("host", "html")
+    if several.limit(1).count():
+        alone = own.join(several, ["host", "page"], "left_anti").select("host", "html")
+        distinct = alone.unionByName(own.join(several, ["host", "page"], "left_semi").select("host", "html").distinct())
+    parts = distinct.mapInArrow(induce, "host string, tree string")
     return parts.repartition("host").mapInArrow(combine, "host string, constant array<bigint>, slot array<string>").where("size(constant) + size(slot) > 0")
 
 
