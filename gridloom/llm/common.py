@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows in an Arrow batch of texts: with the default of 10,000, a batch of long texts and its copies take hundreds of MB
-#: of a Python worker.
-BATCH_ROWS = 1_000
+#: Bytes in an Arrow batch: with the default of 64 MB, a batch of long texts and its copies take hundreds of MB of a
+#: Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(name))
-    if held <= 0 or held > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Bound the session's Arrow batches by BATCH_BYTES, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.conf.get(name).rstrip("bB"))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,19 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, on one machine."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         held = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def materialise(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+    file_rows: most rows of a file, for wide rows, as readers take up to 4,096 of a file at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

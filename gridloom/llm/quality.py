@@ -26,7 +26,8 @@ BOUNDS = {
 }
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, pattern int"
 WINDOW = 8
-SURE = 0.97
+#: Beta priors of the rules' accuracies on bad and good texts and of the share of good ones, as means and pseudo-votes.
+PRIOR = {"bad": 0.3, "good": 0.98, "share": 0.85, "votes": 20.0}
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -102,23 +103,24 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
 def fit(pattern: np.ndarray, count: np.ndarray, rounds: int = 60) -> dict[int, float]:
     """Pattern to posterior probability of good, by expectation-maximisation over the counted patterns.
 
-    acc[c, r]: probability that rule r, if it votes, votes rightly on class c (0 bad, 1 good). The rules' bad bounds are
-    set where good texts hardly go, so a rule is right on at least SURE of the good texts; how many bad texts each rule
-    finds is left to the data. Pseudo-counts keep all of it off 0 and 1.
+    acc[c, r]: probability that rule r, if it votes, votes rightly on class c (0 bad, 1 good). Both are estimated; PRIOR
+    gives the mean and the number of the pseudo-votes that keep them off 0 and 1 and say which class is which.
     """
     if not len(pattern):
         return {}
     v, n = votes_of(pattern), count.astype(float)
-    acc, prior = np.array([[0.3] * len(RULES), [0.98] * len(RULES)]), 0.85
+    means, votes = np.array([[PRIOR["bad"]], [PRIOR["good"]]]), PRIOR["votes"]
+    acc, prior = means.repeat(len(RULES), axis=1), PRIOR["share"]
     post = np.zeros(len(n))
     for _ in range(rounds):
         good = np.log(prior) + ((v == 1) * np.log(acc[1]) + (v == -1) * np.log(1 - acc[1])).sum(axis=1)
         bad = np.log(1 - prior) + ((v == -1) * np.log(acc[0]) + (v == 1) * np.log(1 - acc[0])).sum(axis=1)
         post = 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
         w1, w0 = n * post, n * (1 - post)
-        acc[1] = np.clip(((w1[:, None] * (v == 1)).sum(0) + 9) / ((w1[:, None] * (v != 0)).sum(0) + 10), SURE, 0.999)
-        acc[0] = np.clip(((w0[:, None] * (v == -1)).sum(0) + 3) / ((w0[:, None] * (v != 0)).sum(0) + 10), 0.05, 0.999)
-        prior = float(np.clip((w1.sum() + 8) / (n.sum() + 10), 0.05, 0.99))
+        for c, w in ((0, w0), (1, w1)):
+            right = (w[:, None] * (v == (1 if c else -1))).sum(0)
+            acc[c] = (right + votes * means[c]) / ((w[:, None] * (v != 0)).sum(0) + votes)
+        prior = float((w1.sum() + votes * PRIOR["share"]) / (n.sum() + votes))
     return dict(zip(pattern.tolist(), post.tolist(), strict=True))
 
 

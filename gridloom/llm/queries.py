@@ -50,4 +50,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html, op2_decontaminate, op3_toxicity, op4_licenses, op5_packing, op6_pii, op7_secrets, op8_sharding, op9_simhash, op10_quality)}
 
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL}
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op8_sharding": sharding.oracle_sql()}

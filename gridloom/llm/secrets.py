@@ -3,10 +3,11 @@
 Three base kinds (assign, access, hex) follow fixed patterns. The method adds kind `entropy`: every maximal run of token
 characters of at least `MIN_RUN` is a candidate; its character class (hex, alphanumeric, base64) sets the window's
 entropy threshold. The window's entropy comes from incremental counts: one count goes up and one down per step, and the
-sum of c*log2(c) is corrected by the two changes. Runs that overlap a base span, and runs that the allow-list matches,
-are suppressed. Positions are code points, ends exclusive.
+sum of c*log2(c) is corrected by the two changes. Runs that overlap a base span, and runs that the allow-list matches
+(public values, plain words and numbers, identifiers, runs that are mostly readable words) are suppressed. Positions are code points, ends exclusive.
 
-Defined results: null texts are empty; texts of any length are scanned whole; repeated rows give repeated rows.
+Defined results: null texts are empty; texts of any length are scanned whole; repeated rows give repeated rows; an empty
+table gives an empty one; other columns are ignored by the scan and kept by redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +25,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_RUN = 20
+#: A word in a name: capitals alone, or small letters after at most one capital.
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+VOWEL = re.compile(r"[aeiouyAEIOUY]")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 WINDOW = 20
 #: Entropy in bits a character that a window of 20 must reach, by class, and the digits and letters the run must have.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 #: Runs that look random but are public: hash-named paths, UUID-like groups, rulers, URLs' path words.
 ALLOW = re.compile(r"[0-9]+|[A-Za-z]+|(?:[A-Za-z]+[-_/=+]+)*[A-Za-z]*|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(.)\1*")
+#: Fixed values that are public: examples that documentation prints, and digests and identifiers that everyone knows.
+PUBLIC = {
+    "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "je7MtGbClwBF/2Zp9Utk/h3yCo8nvbEXAMPLEKEY",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789",
+    "dGhlIHNhbXBsZSBub25jZQ==", "258EAFA5-E914-47DA-95CA-C5AB0DC85B11",
+}
 PLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -58,8 +69,15 @@ def best_entropy(run: str) -> float:
     return best
 
 
+def readable(run: str) -> bool:
+    """Names, paths and escaped addresses: few changes between letters and digits, and words with vowels make up most."""
+    parts = WORDS.findall(run)
+    held = sum(len(w) for w in parts if len(w) >= 3 and VOWEL.search(w))
+    return held >= 0.6 * len(run)
+
+
 def is_random(run: str) -> bool:
-    if ALLOW.fullmatch(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    if run in PUBLIC or ALLOW.fullmatch(run) or readable(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
         return False
     return best_entropy(run) >= THRESHOLDS[char_class(run)]
 

@@ -50,3 +50,24 @@ def shard(df: DataFrame, weights: Sequence[float] = (1.0,) * 16, id_col: str = "
     out = parts.withColumn("inside", inside).join(before, ["shard", "part"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("inside") - 1).cast("long").alias("slot"), "grown_shard")
 
+
+def oracle_sql(shards: int = 16) -> str:
+    """The result of equal weights as DuckDB SQL; CRC-32 goes bit by bit over a text's bytes, its table made by its rule."""
+    steps = "CAST(i AS BIGINT)"
+    for _ in range(8):
+        steps = f"(SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM (SELECT {steps} AS c))"
+    return f"""
+WITH crc AS (SELECT list({steps} ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (
+  SELECT doc_id, key, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+    CAST(xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(h) // 2), lambda k: CAST('0x' || h[2 * k + 1 : 2 * k + 2] AS BIGINT)),
+      lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295::BIGINT) AS BIGINT) AS text_crc32
+  FROM d, crc),
+c AS (
+  SELECT *, list_transform(range({shards + 1}), lambda j: -ln((CAST('0x' || substr(md5(key || ':' || j), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)) AS cost FROM s),
+p AS (
+  SELECT doc_id, size, text_crc32, CAST(list_position(cost, list_min(cost[1 : {shards}])) - 1 AS INTEGER) AS shard,
+    CAST(list_position(cost, list_min(cost)) - 1 AS INTEGER) AS grown_shard FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p
+"""

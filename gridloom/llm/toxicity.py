@@ -2,12 +2,14 @@
 
 A text's features are the hashed n-grams of its lower-cased UTF-8 bytes, for n in `LENGTHS`, each counted once however
 often it occurs. Each feature is scaled by its naive Bayes log-count ratio
-r = log((p + a) / |p|) - log((q + a) / |q|), and a logistic regression is fitted on the scaled features.
+r = log((p + a * P) / (P + a)) - log((q + a * Q) / (Q + a)), where p and q are its counts among the toxic and the other
+texts, whose shares are P and Q of one, and a is `SMOOTHING`: a rare feature has a ratio near 0. A logistic regression
+is fitted on the scaled features; the prior variance of a feature's weight is its squared ratio over `ridge`.
 
 Fitting reads a bounded sample: at most about `train_rows` labelled rows, those with the smallest key hashes, so that
-the same rows are picked on any cluster. Their feature counts are added up by Spark into at most 2 ** BITS rows; the
-`n_features` features of the largest chi-square statistic are kept; the sample's kept features (a few hundred a row) and
-the fitted weights, at most n_features numbers, are the only things that pass through the driver. Scoring covers all
+the same rows are picked on any cluster. All 2 ** BITS features count. The sample's features are a table in the shared
+folder; each step of the fit (limited-memory BFGS) is one job over it, whose tasks return a loss and a gradient. Counts,
+weights and gradients, 2 ** BITS numbers each, are the only things that pass through the driver. Scoring covers all
 rows and whole texts.
 
 Defined results: null and empty texts have no features and score the intercept; null labels and null doc_ids teach
@@ -27,6 +29,7 @@ from gridloom.llm.common import materialise
 
 BITS = 18
 LENGTHS = (4, 5, 6)
+SMOOTHING = 50.0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[[9, 10, 11, 12, 13]] = 32
@@ -70,79 +73,111 @@ def sample(df: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
     return df.select("doc_id", "text").join(F.broadcast(fit), "doc_id").select("text", "toxic")
 
 
-def feature_counts(rows: DataFrame) -> DataFrame:
+def sample_features(rows: DataFrame) -> DataFrame:
+    """(label, f): the distinct features of each sample text, sorted."""
+
+    def run(batches):
+        slot = np.zeros(1 << BITS, np.int32)
+        for batch in batches:
+            out = [np.sort(once(features(t or b""), slot)).astype(np.int32) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            label = [float(y > 0) for y in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(out, pa.list_(pa.int32()))], names=["label", "f"])
+
+    return rows.mapInArrow(run, "label double, f array<int>")
+
+
+def feature_counts(held: DataFrame) -> DataFrame:
     """(h, p, q): in how many toxic and other sample texts each feature occurs; each task adds up its own rows first."""
 
     def run(batches):
-        count, slot = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, np.int32)
+        count = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            for t, y in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count[int(y > 0)][once(features(t or b""), slot)] += 1
+            for y, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                count[int(y)][f.values.to_numpy()] += 1
         at = np.flatnonzero(count.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[1][at]), pa.array(count[0][at])], names=["h", "p", "q"])
 
-    return rows.mapInArrow(run, "h bigint, p bigint, q bigint").groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return held.mapInArrow(run, "h bigint, p bigint, q bigint").groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+
 
+def log_count_ratios(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """Of the features' document counts in pos toxic and neg other texts; 0 where a feature doesn't occur."""
+    a, b = SMOOTHING * pos / (pos + neg), SMOOTHING * neg / (pos + neg)
+    return np.where(p + q > 0, np.log((p + a) / (pos + a)) - np.log((q + b) / (neg + b)), 0.0)
+
+
+def loss_and_gradient(held: DataFrame, x: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed logistic loss over the sample and its gradient; x: a feature's weights and, last, the intercept."""
+    shared = held.sparkSession.sparkContext.broadcast(x)
 
-def kept_features(rows: DataFrame, column: np.ndarray) -> list[tuple[int, np.ndarray]]:
     def run(batches):
-        slot = np.zeros(1 << BITS, np.int32)
+        v, total, loss = shared.value, np.zeros(len(shared.value)), 0.0
         for batch in batches:
-            out = []
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                f = column[once(features(t or b""), slot)]
-                out.append(f[f >= 0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["toxic", "f"])
-
-    table = rows.mapInArrow(run, "toxic int, f array<int>").toArrow()
-    f = table["f"].combine_chunks()
-    flat, ends = f.flatten().to_numpy(), np.cumsum(np.fromiter((len(x) for x in f), np.int64, len(f)))
-    return table["toxic"].to_numpy() > 0, flat, ends
-
-
-def logistic(y: np.ndarray, flat: np.ndarray, ends: np.ndarray, r: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights of the log-count-scaled features, by accelerated gradient steps with a diagonal bound on the curvature."""
-    rows = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
-    x = r[flat]
-    norm = np.bincount(rows, x * x, len(ends)).mean() + 1e-9
-    w = v = np.zeros(len(r))
-    b = c = float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
-    rate = 4.0 / norm
-    diag = np.bincount(flat, x * x, len(r)) / len(ends) * 0.25
-    scale = 1.0 / (diag + ridge / len(ends) + 1e-6)
-    rate = 0.5 / max(1.0, np.bincount(rows, x * x * scale[flat], len(ends)).mean() * 0.25)
-    for t in range(steps):
-        z = np.bincount(rows, x * v[flat], len(ends)) + c
-        g = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        new = v - rate * scale * (np.bincount(flat, x * g[rows], len(r)) / len(ends) + ridge / len(ends) * v)
-        new_b = c - 2.0 * rate * g.mean()
-        m = t / (t + 3)
-        v, c = new + m * (new - w), new_b + m * (new_b - b)
-        w, b = new, new_b
-    return w * r, b
-
-
-def fit(df: DataFrame, labels: DataFrame, train_rows: int = 12_000, n_features: int = 1_000, ridge: float = 5.0, steps: int = 300):
+            for y, f in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                f = f.values.to_numpy()
+                z = float(v[f].sum() + v[-1])
+                loss += float(np.logaddexp(0.0, z)) - y * z
+                g = 1 / (1 + np.exp(-z)) - y if abs(z) < 500 else float(z > 0) - y
+                total[f] += g  # a text's features are distinct
+                total[-1] += g
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total.tobytes()], pa.binary())], names=["loss", "gradient"])
+
+    parts = held.mapInArrow(run, "loss double, gradient binary").collect()  # a row of 2 ** BITS doubles for each of few tasks
+    shared.destroy()
+    return sum(r["loss"] for r in parts), np.sum([np.frombuffer(r["gradient"]) for r in parts], axis=0)
+
+
+def minimise(f, x: np.ndarray, steps: int, memory: int = 8, tolerance: float = 1e-4) -> np.ndarray:
+    """Limited-memory BFGS with step halving; f gives a value and its gradient."""
+    value, slope = f(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, back = -slope, []
+        for s, y in reversed(moves):
+            back.append((s @ d) / (s @ y))
+            d = d - back[-1] * y
+        d = d * ((moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, float(np.linalg.norm(slope))))
+        for (s, y), a in zip(moves, reversed(back), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step = 1.0
+        while True:
+            new = x + step * d
+            new_value, new_slope = f(new)
+            if new_value <= value + 1e-4 * step * (slope @ d) or step < 1e-4:
+                break
+            step /= 2
+        if (new - x) @ (new_slope - slope) > 0:
+            moves = [*moves, (new - x, new_slope - slope)][-memory:]
+        settled = abs(value - new_value) <= tolerance * abs(value)
+        x, value, slope = new, new_value, new_slope
+        if settled:
+            break
+    return x
+
+
+def fit(df: DataFrame, labels: DataFrame, train_rows: int = 6_000, ridge: float = 1.0, steps: int = 40):
     """(weights over all 2 ** BITS features, intercept)."""
-    rows = materialise(sample(df, labels, train_rows))
-    weights = np.zeros(1 << BITS, np.float32)
-    n = {r["toxic"] > 0: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    held = materialise(sample_features(sample(df, labels, train_rows)), 500)
+    n = {r["label"] > 0: r["n"] for r in held.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos or not neg:
         share = (pos + 0.5) / (pos + neg + 1)
-        return weights, float(np.log(share / (1 - share)))
-    c = feature_counts(rows).toPandas()  # at most 2 ** BITS rows
-    h, p, q = (c[k].to_numpy(np.int64) for k in ("h", "p", "q"))
-    r = np.log((p + 1) / (p.sum() + len(h))) - np.log((q + 1) / (q.sum() + len(h)))
-    expected = (p + q) * pos / (pos + neg)
-    chi = (p - expected) ** 2 / np.maximum(expected * (1 - (p + q) / (pos + neg)), 1e-9)
-    top = np.lexsort((h, -np.where(p + q >= 3, chi, 0)))[:n_features]
-    column = np.full(1 << BITS, -1, np.int64)
-    column[h[top]] = np.arange(len(top))
-    y, flat, ends = kept_features(rows, column)
-    w, b = logistic(y.astype(float), flat, ends, r[top], ridge, steps)
-    weights[h[top]] = w
-    return weights, b
+        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
+    c = feature_counts(held).toPandas()  # at most 2 ** BITS rows
+    p, q = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    p[c["h"]], q[c["h"]] = c["p"], c["q"]
+    # with u for a weight over its prior deviation: a feature counts r * (weight = r * u)
+    scale = np.append(log_count_ratios(p, q, pos, neg) ** 2, 1.0)
+    few = held.coalesce(8)
+
+    def penalised(u):
+        loss, slope = loss_and_gradient(few, scale * u)
+        prior = np.append(u[:-1], 0.0)
+        return (loss + ridge / 2 * (prior @ prior)) / (pos + neg), (scale * slope + ridge * prior) / (pos + neg)
+
+    u = minimise(penalised, np.append(np.zeros(1 << BITS), np.log(pos / neg)), steps)
+    w = scale * u
+    return w[:-1].astype(np.float32), float(w[-1])
 
 
 def score(df: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
@@ -167,5 +202,5 @@ def score(df: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def toxicity(df: DataFrame, labels: DataFrame, train_rows: int = 12_000) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, train_rows: int = 6_000) -> DataFrame:
     return score(df, *fit(df, labels, train_rows))
