@@ -56,3 +56,20 @@ def tokenizer_file(name: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+MARK_BITS = 24
+
+
+def marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """df with __mark: false only where the key in `column` is surely not among keys (key).
+
+    A bitmap of 2 ** MARK_BITS hashed keys, at most 2 ** (MARK_BITS - 6) rows whatever the input, is broadcast; rows that
+    it marks by a collision cost a little work in the exact join that has to follow."""
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
+    bit = keys.select(h(F.col("key")).alias("h"))
+    words = bit.groupBy(F.shiftright("h", 6).alias("__chunk")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("__word"))
+    out = df.withColumn("__h", h(F.col(column))).withColumn("__chunk", F.shiftright("__h", 6))
+    out = out.join(F.broadcast(words), "__chunk", "left")
+    mark = F.expr("coalesce(shiftright(__word, cast(__h & 63 AS int)) & 1L, 0L) = 1L")
+    return out.withColumn("__mark", mark).drop("__h", "__chunk", "__word")

@@ -1,24 +1,32 @@
 """Main text of web pages by wrapper induction (operator 1).
 
 Pages become DOM trees. The trees of a host are aligned by simple tree matching: the largest top-down, order-keeping
-matching of nodes with equal labels (tag, id, class), found by dynamic programming over child lists. Folding a host's
-pages into one tree counts, at each node, the pages that have it and the votes for its most frequent content. Nodes
-whose content stays the same on nearly all distinct pages are template; slots whose content varies may be content. The
-wrapper's content slot is the innermost container whose varying text (links and named boxes left out) makes up most of
-the pages' text on average, each page weighing the same.
+matching of nodes with equal labels (tag, id, class), by dynamic programming over child lists whose weights are the
+matchings of the subtrees. Of matchings of one size, the one with more equal content wins.
 
-Each task folds its own pages, so a host goes on as one small tree a task, and those are merged pairwise by host: a hot
-host is never one task's pages. A tree keeps at most `NODES` nodes, whatever its pages hold. Pages meet their host's
-template by a join of light rows.
+Each host has up to `REFS` reference pages, those with the smallest hashes in each residue class of the hash. Every
+distinct page of the host is aligned with them, and each node of a reference counts the pages that have it and those
+that have it with the same content. Counts are plain sums, so neither partitions nor the order of rows matter, and a hot
+host is spread over all tasks: a task gives a row of counts for each reference it met. A node whose content is the same
+on at least `SHARE` of the other pages (one more page than there are counts against it) is template; slots whose content
+varies may be content. The wrapper's content slot is the innermost container whose varying text (links and named boxes
+left out) makes up at least `FOCUS` of the pages' text on average, each page weighing the same.
 
-A page's text: blocks of the content slot, there under article or main where it has one; on hosts with too few pages for
-a wrapper, and on pages without its slot, the same rule reads the whole page. It goes without elements that are template on
-the host or that say by their tag, role, id or class that they are not the article (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments). A header within the article stays if it holds a heading.
+On a host with fewer than `LEAST` distinct pages no node can reach that share: its pages are read by their own structure
+alone, as are pages without the slot of their host.
+
+A page's text: blocks of the content slot, there under article or main where it has one. It goes without elements that
+are template on the host or that say by their tag, role, id or class that they are not the article (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, comments). A header within the article stays if it holds a
+heading; a container with such a name stays if it holds main, or an article or h1 and half of the page's text.
+
+Parsing, alignment of lists whose ends are equal, and reading take time in proportion to the page; between unequal lists
+of n and m children a matching takes n * m steps in memory of at most `CELLS` cells.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes (unclosed elements end
-with their parent, a cut character reference stays as it is); repeated pages give repeated rows and count once in the
-template; a page without url belongs to host ''; other columns are ignored.
+with their parent, a cut character reference stays as it is, a quote that never closes is a character of its tag);
+repeated pages give repeated rows and count once in the template; a page without url belongs to host ''; an empty table
+gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +35,14 @@ import html as entities
 import re
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import marked, materialise
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>?", re.S)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -44,15 +53,22 @@ SKIP = {"head", "script", "style", "noscript", "template", "iframe", "svg", "mat
 BAD_WORDS = {"ad", "ads", "adbox", "adsense", "adslot", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "share", "social", "related", "comment", "comments", "disqus", "replies", "respond", "search", "login", "complementary", "contentinfo", "widget", "toolbar", "pagination", "pager"}
 CLOSES = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td"}
-#: FOCUS: thousandths of a page's text that the content slot has at least, on average.
-NODES, MIN_PAGES, SHARE, FOCUS = 400, 5, 0.9, 600
+REFS, SHARE, FOCUS = 3, 0.8, 0.6
+#: The fewest pages of which a node can be template: k others with k / (k + 1) >= SHARE, and the page itself.
+LEAST = next(k for k in range(1, 100) if k / (k + 1) >= SHARE) + 1
+CELLS = 1 << 22
+HOLDS = {"main": 1, "article": 2, "h1": 4 | 8, "h2": 8, "h3": 8}
 
 
 class Node:
-    __slots__ = ("tag", "label", "words", "kids", "text", "parent", "crc", "mass")
+    __slots__ = ("tag", "label", "words", "kids", "text", "parent", "block", "inside", "crc", "mass", "chars", "holds", "bad", "hidden", "shape", "at")
 
     def __init__(self, tag, attrs, parent):
-        self.tag, self.parent, self.kids, self.text, self.label, self.words, self.crc, self.mass = tag, parent, [], "", tag, (), 0, 0
+        self.tag, self.parent, self.kids, self.text, self.label, self.words = tag, parent, [], "", tag, ()
+        self.crc = self.mass = self.chars = self.holds = self.shape = self.at = 0
+        self.bad = self.hidden = False
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         if "=" not in attrs:
             return
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
@@ -65,8 +81,18 @@ class Node:
 def parse(page: str) -> Node:
     """The DOM tree; text nodes are children with tag '' ."""
     root = at = Node("html", "", None)
-    last = 0
-    pos, n = 0, len(page)
+    open_tags: dict[str, int] = {}
+    pos, last, n = 0, 0, len(page)
+
+    def close(upto):
+        """Leave the elements from at up to and with upto."""
+        up = at
+        while up is not upto.parent:
+            if up.parent is not None:
+                open_tags[up.tag] -= 1
+            up = up.parent
+        return upto.parent
+
     while pos < n:
         m = TOKEN.search(page, pos)
         if m is None:
@@ -78,76 +104,76 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if open_tags.get(tag):
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = close(up)
             continue
-        if tag in ("html", "body") and (at is root) and tag == "html":
+        if tag == "html" and at is root:
             continue
-        if tag in BLOCKS and at.tag in CLOSES and tag in CLOSES[at.tag]:
-            at = at.parent
-        elif tag in BLOCKS and tag != "br":
-            up = at
-            while up is not None and up.tag not in BLOCKS and up.tag != "html":
-                up = up.parent
-            if up is not None and up.tag == "p" and tag in CLOSES["p"]:
-                at = up.parent
+        if tag in BLOCKS and at.tag in CLOSES and tag in CLOSES[at.tag] and at is not root:
+            at = close(at)
+        elif tag in BLOCKS and tag != "br" and at.block.tag == "p" and tag in CLOSES["p"]:
+            at = close(at.block)
         node = Node(tag, m[3], at)
         at.kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+            end = RAW_END[tag].search(page, pos)
             stop = end.start() if end else n
             node.text = page[pos:stop]
             pos = last = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
             at = node
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     if last < n:
         add_text(at, page[last:])
     seal(root)
     return root
 
 
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
+
+
+def add_text(at: Node, raw: str) -> None:
+    node = Node("", "", at)
+    node.text = raw
+    at.kids.append(node)
+
+
 def seal(root: Node) -> None:
-    """Give each node the CRC of its content (of its words, and of its children's content in order) and the mass of its
-    text: characters of words outside links and elements that aren't the article."""
-    for node in reversed(list(walk(root))):
+    """Give each node the CRC of its content (of its words, and of its children's content in order), what it holds,
+    whether it or an element around it isn't the article, and the mass of its text: characters of words outside links and
+    elements that aren't the article."""
+    nodes = list(walk(root))
+    for node in reversed(nodes):
         if node.tag:
+            crc = chars = holds = 0
             for k in node.kids:
                 if k.crc:
-                    node.crc = crc32(k.crc.to_bytes(4, "little"), node.crc)
-            if node.tag != "a" and not is_bad(node):
-                node.mass = sum(k.mass for k in node.kids)
+                    crc = crc32(k.crc.to_bytes(4, "little"), crc)
+                chars += k.chars
+                holds |= k.holds
+            node.crc, node.chars, node.holds = crc, chars, holds | HOLDS.get(node.tag, 0)
         else:
             words = node.text.split()
             node.crc = crc32(" ".join(words).encode("utf-8", "surrogatepass")) if words else 0
-            node.mass = sum(map(len, words))
-
-
-def add_text(at: Node, raw: str) -> None:
-    node = Node("", "", at)
-    node.text = raw
-    at.kids.append(node)
+            node.chars = node.mass = sum(map(len, words))
+    for node in nodes:
+        if node.tag:
+            node.bad = is_bad(node, root.chars)
+            node.hidden = node.parent is not None and node.parent.hidden or node.bad and node.tag not in ("main", "body", "html")
+    for node in reversed(nodes):
+        if node.tag and node.tag != "a" and not node.bad:
+            node.mass = sum(k.mass for k in node.kids)
 
 
-def is_bad(node: Node) -> bool:
+def is_bad(node: Node, total: int) -> bool:
     if node.tag in SKIP:
         return True
     if node.words and not BAD_WORDS.isdisjoint(node.words):  # a wrapper with a name like has-sidebar holds the article
-        return not any(k.tag in ("main", "h1") for k in walk(node))
-    if node.tag == "header":
-        return not (inside_article(node) and any(k.tag in ("h1", "h2", "h3") for k in walk(node)))
-    return False
-
-
-def inside_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return True
-        up = up.parent
-    return False
+        return not (node.holds & 1 or node.holds & 6 and 2 * node.chars >= total)
+    return node.tag == "header" and not (node.inside and node.holds & 8)
 
 
 def walk(node: Node):
@@ -158,125 +184,238 @@ def walk(node: Node):
         stack.extend(reversed(x.kids))
 
 
-# A template node: [label, pages, content crc, votes, children, thousandths of the pages' mass]
-def template_of(node: Node, budget: list[int], whole: int = 0) -> list:
-    kids, whole = [], whole or node.mass or 1
-    for k in node.kids:
-        if k.tag and k.tag not in VOID and k.tag not in RAW and budget[0] > 0:
-            budget[0] -= 1
-            kids.append(template_of(k, budget, whole))
-    return [node.label, 1, node.crc, 1, kids, 1000 * node.mass // whole]
+def elements(node: Node) -> list[Node]:
+    """The children that take part in the matching."""
+    return [k for k in node.kids if k.tag and k.tag not in VOID and k.tag not in RAW]
 
 
-def weight(node: list) -> int:
-    return 1 + sum(map(weight, node[4]))
+class Shapes:
+    """Trees of labels, each kept once, and the sizes of their simple tree matchings."""
 
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
 
-def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists: matched index pairs, in order. Equal labels match. Common ends match
-    at once; between them dynamic programming finds the best matching, where a match weighs one and half more if the
-    contents are equal, to prefer the right one of equal siblings."""
-    tail, la, lb = [], len(a), len(b)
-    while la and lb and a[la - 1][0] == b[lb - 1][0] and a[la - 1][2] == b[lb - 1][2]:
-        la, lb = la - 1, lb - 1
-        tail.append((la, lb))
-    lead = 0
-    while lead < la and lead < lb and a[lead][0] == b[lead][0]:
+    def name(self, root: Node) -> Node:
+        """Number the nodes in document order (`at`) and give each its shape."""
+        nodes, stack = [], [root]
+        while stack:
+            x = stack.pop()
+            x.at = len(nodes)
+            nodes.append(x)
+            stack.extend(reversed(elements(x)))
+        for x in reversed(nodes):
+            kids = tuple(k.shape for k in elements(x))
+            key = (x.label, kids)
+            if (shape := self.ids.get(key)) is None:
+                shape = self.ids[key] = len(self.label)
+                self.label.append(x.label)
+                self.kids.append(kids)
+                self.size.append(1 + sum(self.size[k] for k in kids))
+            x.shape = shape
+        return root
+
+    def matching(self, x: int, y: int) -> int:
+        """How many nodes the largest matching of two shapes has."""
+        stack = [(x, y)]
+        while stack:
+            p, q = stack[-1]
+            if self.at_once(p, q) is not None:
+                stack.pop()
+                continue
+            a, b = self.kids[p], self.kids[q]
+            lead, tail = equal_ends(a, b)
+            own = sum(self.size[k] for k in a[:lead]) + sum(self.size[k] for k in a[len(a) - tail :])
+            a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
+            missing = [(i, j) for i in set(a) for j in set(b) if self.at_once(i, j) is None] if a and b else ()
+            if missing:
+                stack.extend(missing)
+                continue
+            best = best_score(self.weights(a, b)) if a and b else 0
+            self.known[min(p, q), max(p, q)] = 1 + own + best
+        return self.at_once(x, y)
+
+    def at_once(self, x: int, y: int) -> int | None:
+        if x == y:
+            return self.size[x]
+        if self.label[x] != self.label[y]:
+            return 0
+        return self.known.get((min(x, y), max(x, y)))
+
+    def weights(self, a, b):
+        """Rows of the matchings of each shape of a with each of b."""
+        if len(a) * len(b) <= 64:
+            return [[self.at_once(i, j) for j in b] for i in a]
+        kinds, col = np.unique(b, return_inverse=True)
+        rows = {i: np.array([self.at_once(i, j) for j in kinds.tolist()], np.int64)[col] for i in set(a)}
+        return [rows[i] for i in a]
+
+
+def equal_ends(a, b) -> tuple[int, int]:
+    """How many first and last items are equal. Matching them is never worse: nothing matches an item better than its like."""
+    most, lead, tail = min(len(a), len(b)), 0, 0
+    while lead < most and a[lead] == b[lead]:
         lead += 1
-    head = [(i, i) for i in range(lead)]
-    if lead == la or lead == lb:
-        return head + tail
-    return head + [(i + lead, j + lead) for i, j in middle(a[lead:la], b[lead:lb])] + tail
-
-
-def middle(a: list, b: list) -> list[tuple[int, int]]:
-    n, m = len(a), len(b)
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below, label, crc = best[i], best[i + 1], a[i][0], a[i][2]
-        for j in range(m - 1, -1, -1):
-            x = below[j] if below[j] >= row[j + 1] else row[j + 1]
-            if label == b[j][0]:
-                y = below[j + 1] + (1.5 if crc == b[j][2] else 1.0)
-                x = max(x, y)
-            row[j] = x
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i][0] == b[j][0] and best[i][j] == best[i + 1][j + 1] + (1.5 if a[i][2] == b[j][2] else 1.0):
+    while tail < most - lead and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    return lead, tail
+
+
+def best_score(weights) -> int:
+    if isinstance(weights[0], list):
+        line = [0] * (len(weights[0]) + 1)
+        for row in weights:
+            new = [0]
+            for j, w in enumerate(row):
+                new.append(max(line[j + 1], new[j], line[j] + w))
+            line = new
+        return line[-1]
+    return int(score_line(weights)[-1])
+
+
+def score_line(weights) -> np.ndarray:
+    """Best scores of all rows against the first 0, 1, .. columns."""
+    line = np.zeros(len(weights[0]) + 1, np.int64)
+    for row in weights:
+        line[1:] = np.maximum.accumulate(np.maximum(line[1:], line[:-1] + row))
+    return line
+
+
+def best_pairs(weights) -> list[tuple[int, int]]:
+    """Index pairs of the heaviest order-keeping matching; beyond CELLS by halves, in memory of one line."""
+    n, m = len(weights), len(weights[0])
+    if n > 1 and n * m > CELLS:
+        half = n // 2
+        ahead = score_line(weights[:half]) + score_line([np.asarray(r)[::-1] for r in reversed(weights[half:])])[::-1]
+        cut = int(ahead.argmax())
+        first = best_pairs([r[:cut] for r in weights[:half]]) if cut else []
+        return first + ([(i + half, j + cut) for i, j in best_pairs([r[cut:] for r in weights[half:]])] if cut < m else [])
+    if isinstance(weights[0], list):
+        lines = [[0] * (m + 1)]
+        for row in weights:
+            line, new = lines[-1], [0]
+            for j, w in enumerate(row):
+                new.append(max(line[j + 1], new[j], line[j] + w))
+            lines.append(new)
+    else:
+        lines = np.zeros((n + 1, m + 1), np.int64)
+        for i, row in enumerate(weights):
+            lines[i + 1, 1:] = np.maximum.accumulate(np.maximum(lines[i, 1:], lines[i, :-1] + row))
+    out, i, j = [], n, m
+    while i and j:
+        if lines[i][j] == lines[i - 1][j]:
+            i -= 1
+        elif lines[i][j] == lines[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
+    return out[::-1]
+
+
+def align(a: list[Node], b: list[Node], shapes: Shapes) -> list[tuple[Node, Node]]:
+    """The matched pairs of two child lists: the most matched nodes and, among those, the most equal content."""
+    lead, tail = equal_ends([(x.shape, x.crc) for x in a], [(x.shape, x.crc) for x in b])
+    out = list(zip(a[:lead], b[:lead], strict=True))
+    last = list(zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)) if tail else []
+    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    if not a or not b:
+        return out + last
+    if len(a) == len(b) == 1:
+        return out + ([(a[0], b[0])] if a[0].label == b[0].label else []) + last
+    for i in {x.shape for x in a}:
+        for j in {x.shape for x in b}:
+            if shapes.at_once(i, j) is None:
+                shapes.matching(i, j)
+    sizes, more = shapes.weights([x.shape for x in a], [x.shape for x in b]), min(len(a), len(b)) + 1
+    if isinstance(sizes[0], list):
+        rows = [[more * w + (w > 0 and 0 != x.crc == y.crc) for w, y in zip(row, b, strict=True)] for row, x in zip(sizes, a, strict=True)]
+    else:
+        crc = np.array([y.crc for y in b], np.int64)
+        rows = [more * row + ((row > 0) & (crc == x.crc) & (x.crc != 0)) for row, x in zip(sizes, a, strict=True)]
+    return out + [(a[i], b[j]) for i, j in best_pairs(rows)] + last
+
+
+def count(ref: Node, page: Node, shapes: Shapes, counts: np.ndarray) -> None:
+    """Add one page to the counts of a reference's nodes: rows for having it, for equal content, and for thousandths of
+    the page's mass."""
+    whole = page.mass or 1
+    stack = [(ref, page)]
+    while stack:
+        x, y = stack.pop()
+        if x.shape == y.shape and x.crc == y.crc:
+            counts[:2, x.at : x.at + shapes.size[x.shape]] += 1
         else:
-            j += 1
-    return out
+            counts[0, x.at] += 1
+            counts[1, x.at] += x.crc == y.crc
+            stack += align(elements(x), elements(y), shapes)
+        counts[2, x.at] += 1000 * y.mass // whole
+
 
+def is_template(equal: int, pages: int) -> bool:
+    return equal - 1 >= SHARE * pages  # less the reference page itself; there are pages - 1 others
 
-def merge(a: list, b: list) -> list:
-    """Fold template b into a. Unmatched nodes of either stay with the counts they have, within the node budget."""
-    stack = [(a, b)]
-    budget = NODES - weight(a)
+
+def constants(ref: Node, counts: np.ndarray, pages: int) -> set[int]:
+    """CRCs of label and content of the reference's nodes that are template."""
+    out, stack = set(), elements(ref)
     while stack:
-        x, y = stack.pop()
-        x[1] += y[1]
-        x[5] += y[5]
-        if x[2] == y[2]:
-            x[3] += y[3]
-        elif y[3] > x[3]:
-            x[2], x[3] = y[2], y[3] - x[3]
-        else:
-            x[3] -= y[3]
-        pairs = align(x[4], y[4])
-        stack += [(x[4][i], y[4][j]) for i, j in pairs]
-        met = {j for _, j in pairs}
-        for j, kid in enumerate(y[4]):
-            if j not in met and budget > 0 and (w := weight(kid)) <= budget:
-                budget -= w
-                x[4].append(kid)
-    return a
-
-
-def constants(template: list) -> list[int]:
-    """CRCs of label and content of the nodes that are template: the same on nearly all distinct pages of the host."""
-    pages, out = template[1], []
-    if pages >= MIN_PAGES:
-        stack = list(template[4])
-        while stack:
-            x = stack.pop()
-            if x[2] and x[3] >= SHARE * pages:
-                out.append(crc32(x[0].encode(), x[2]))
-            stack += x[4]
-    return sorted(set(out))[:NODES]
-
-
-def content_slot(template: list) -> list[str]:
-    """Labels from the root down to the slot whose varying content makes up most of the host's pages' text."""
-    pages, path, at = template[1], [], template
-    while pages >= MIN_PAGES and at[0].partition("#")[0] not in ("article", "main") and not any(k[0].partition("#")[0] == "h1" for k in at[4]):
-        varying = [k for k in at[4] if k[0].partition("#")[0] in CONTAINERS and k[3] < SHARE * pages]
-        best = max(varying, key=lambda k: k[5], default=None)
-        if best is None or best[5] < FOCUS * pages:
+        x = stack.pop()
+        if x.crc and is_template(counts[1, x.at], pages):
+            out.add(crc32(x.label.encode(), x.crc))
+        stack += elements(x)
+    return out
+
+
+def content_slot(ref: Node, counts: np.ndarray, pages: int) -> tuple[int, list[str]]:
+    """The mass and the labels from the root down to the slot whose varying content makes up most of the pages' text."""
+    path, at, mass = [], ref, 0
+    while at.tag not in ("article", "main") and not any(k.tag == "h1" for k in at.kids):
+        varying = [k for k in elements(at) if k.tag in CONTAINERS and not is_template(counts[1, k.at], pages)]
+        best = max(varying, key=lambda k: counts[2, k.at], default=None)
+        if best is None or counts[2, best.at] < 1000 * FOCUS * pages:
             break
-        path.append(best[0])
-        at = best
-    return path
+        path.append(best.label)
+        at, mass = best, int(counts[2, best.at])
+    return mass, path
 
 
-def at_slot(root: Node, slot) -> list[Node]:
-    nodes = [root]
+def at_slot(root: Node, slot, constant) -> Node:
+    """The slot of a page: of children with equal labels, the one with the most text that isn't template."""
+    at = root
     for label in slot:
-        nodes = [k for x in nodes for k in x.kids if k.tag and k.label == label]
-    return nodes or [root]
+        same = [k for k in at.kids if k.tag and k.label == label and crc32(label.encode(), k.crc) not in constant]
+        if not same:
+            return root
+        at = max(same, key=lambda k: k.mass)
+    return at
+
+
+def outermost(top: Node, tag: str) -> list[Node]:
+    out, stack = [], [top]
+    while stack:
+        x = stack.pop()
+        if x.tag == tag:
+            out.append(x)
+        else:
+            stack.extend(reversed(x.kids))
+    return out
 
 
-def main_text(page: str, constant: frozenset[int], slot=()) -> str:
+def main_text(page: str, constant=frozenset(), slot=()) -> str:
     root = parse(page)
-    tops = at_slot(root, slot)
-    roots = [x for top in tops for x in walk(top) if x.tag == "article"]
-    inner = set(map(id, roots))
-    roots = [x for x in roots if not lies_in(x, inner)] or [x for top in tops for x in walk(top) if x.tag == "main"][:1] or tops
-    if all(bad_above(x) for x in roots):
+    top = at_slot(root, slot, constant)
+    roots = outermost(top, "article") or outermost(top, "main")[:1] or [top]
+    if all(x.hidden for x in roots):
         roots = [root]
+    text = text_of(roots, constant)
+    return text if text or not constant else text_of(roots, frozenset())  # the template never empties a page
+
+
+def text_of(roots: list[Node], constant) -> str:
     blocks, now = [], []
 
     def flush():
@@ -286,7 +425,7 @@ def main_text(page: str, constant: frozenset[int], slot=()) -> str:
             blocks.append(text)
 
     for top in roots:
-        if bad_above(top):
+        if top.hidden:
             continue
         stack = [(top, False)]
         while stack:
@@ -298,7 +437,7 @@ def main_text(page: str, constant: frozenset[int], slot=()) -> str:
             if closing:
                 flush()
                 continue
-            if node is not top and node.tag not in ("main", "body") and (is_bad(node) or constant and node.crc and crc32(node.label.encode(), node.crc) in constant):
+            if node is not top and node.tag not in ("main", "body") and (node.bad or constant and node.crc and crc32(node.label.encode(), node.crc) in constant):
                 if block:
                     flush()
                 continue
@@ -307,73 +446,108 @@ def main_text(page: str, constant: frozenset[int], slot=()) -> str:
                 stack.append((node, True))
             stack.extend((k, False) for k in reversed(node.kids))
         flush()
-    if constant and not blocks:  # the template never empties a page
-        return main_text(page, frozenset(), slot)
     return " ".join(blocks)
 
 
-def lies_in(node: Node, others: set[int]) -> bool:
-    up = node.parent
-    while up is not None:
-        if id(up) in others:
-            return True
-        up = up.parent
-    return False
+def host_of(url):
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def bad_above(node: Node) -> bool:
-    up = node
-    while up is not None:
-        if up.tag not in ("main", "body", "html") and is_bad(up):
-            return True
-        up = up.parent
-    return False
+def references(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, refs array<string>) of hosts with at least LEAST distinct pages, and the distinct pages (host, html).
 
+    Pages are told apart by 64-bit hashes of host and html. Only pages whose hash is repeated or chosen are shuffled.
+    """
+    own = pages.where("html <> ''").select("host", "html", F.xxhash64("host", "html").alias("key"))
+    seen = materialise(own.groupBy("host", "key").agg(F.count("*").alias("n")))
+    turn = F.pmod("key", F.lit(REFS))
+    least = seen.groupBy("host").agg(F.count("*").alias("pages"), *[F.min(F.when(turn == j, F.col("key"))).alias(f"r{j}") for j in range(REFS)])
+    chosen = materialise(least.where(F.col("pages") >= LEAST).select("host", F.explode(F.filter(F.array(*[f"r{j}" for j in range(REFS)]), lambda k: k.isNotNull())).alias("key")))
+    found = marked(own, chosen, "key").where("__mark").join(chosen, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.first("html").alias("html"))
+    refs = found.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("key", "html"))).alias("refs"))
+    told = marked(own, seen.where("n > 1").select("key"), "key")
+    distinct = told.where("NOT __mark").select("host", "html").unionByName(told.where("__mark").dropDuplicates(["host", "key"]).select("host", "html"))
+    return materialise(refs.select("host", F.expr("transform(refs, r -> r.html)").alias("refs"))), distinct
 
-def host_of(url):
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+
+class Known:
+    """The reference trees of the hosts that a task meets, and their shapes; forgotten together when they grow large."""
+
+    def __init__(self):
+        self.shapes, self.trees = Shapes(), {}
+
+    def of(self, host: str, refs: pa.ListScalar) -> list[Node]:
+        if len(self.shapes.label) + len(self.shapes.known) > 500_000:
+            self.shapes, self.trees = Shapes(), {}
+        if host not in self.trees:
+            self.trees[host] = [self.shapes.name(parse(r)) for r in refs.as_py()]
+        return self.trees[host]
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, constant array<long>, slot array<string>): each host's template nodes and the way to its content."""
-    import json
-
-    def fold(held, host, one):
-        held[host] = merge(held[host], one) if host in held else one
+    refs, distinct = references(pages)
 
     def rows(held):
-        hosts = list(held)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([json.dumps(held[h]) for h in hosts], pa.string())], names=["host", "tree"])
+        names = [(host, j) for host, c in held.items() for j in range(len(c[1]))]
+        cols = [
+            pa.array([h for h, _ in names], pa.string()), pa.array([j for _, j in names], pa.int32()), pa.array([held[h][0] for h, _ in names], pa.int64()),
+            pa.array([held[h][1][j].ravel() for h, j in names], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=["host", "ref", "pages", "counts"])
 
     def induce(batches):
-        held = {}
+        held, cells, known = {}, 0, Known()
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fold(held, host, template_of(parse(page), [NODES]))
-            if len(held) > 2000:
+            for host, page, ref in zip(*(batch.column(c) for c in ("host", "html", "refs")), strict=True):
+                host = host.as_py()
+                trees = known.of(host, ref)
+                if host not in held:
+                    held[host] = [0, [np.zeros((3, known.shapes.size[t.shape]), np.int64) for t in trees]]
+                    cells += sum(c.size for c in held[host][1])
+                tree = known.shapes.name(parse(page.as_py()))
+                held[host][0] += 1
+                for t, c in zip(trees, held[host][1], strict=True):
+                    count(t, tree, known.shapes, c)
+            if cells > 4_000_000:
                 yield rows(held)
-                held = {}
+                held, cells = {}, 0
         if held:
             yield rows(held)
 
     def combine(batches):
-        held = {}
+        """Rows come sorted by host."""
+        host, trees, pages, sums, shapes = None, [], 0, {}, Shapes()
+
+        def result():
+            total = [sums[j] for j in range(len(trees))]
+            constant = sorted(set().union(*(constants(t, c, pages) for t, c in zip(trees, total, strict=True))))
+            slot = max((content_slot(t, c, pages) for t, c in zip(trees, total, strict=True)), key=lambda x: x[0])[1]
+            return host, constant, slot
+
+        def batch_of(out):
+            cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())))]
+            return pa.RecordBatch.from_arrays(cols, names=["host", "constant", "slot"])
+
         for batch in batches:
-            for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fold(held, host, json.loads(tree))
-        hosts = list(held)
-        cols = [pa.array(hosts, pa.string()), pa.array([constants(held[h]) for h in hosts], pa.list_(pa.int64())), pa.array([content_slot(held[h]) for h in hosts], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["host", "constant", "slot"])
-
-    # pages whose hash is alone on their host stay where they are; the others are told apart by a shuffle
-    own = pages.where("html <> ''").select("host", "html", F.xxhash64("html").alias("page"))
-    several = materialise(own.groupBy("host", "page").count().where("count > 1").select("host", "page"))
-    distinct = own.select("host", "html")
-    if several.limit(1).count():
-        alone = own.join(several, ["host", "page"], "left_anti").select("host", "html")
-        distinct = alone.unionByName(own.join(several, ["host", "page"], "left_semi").select("host", "html").distinct())
-    parts = distinct.mapInArrow(induce, "host string, tree string")
-    return parts.repartition("host").mapInArrow(combine, "host string, constant array<bigint>, slot array<string>").where("size(constant) + size(slot) > 0")
+            out = []
+            for h, j, n, c, ref in zip(*(batch.column(k) for k in ("host", "ref", "pages", "counts", "refs")), strict=True):
+                h, j = h.as_py(), j.as_py()
+                if h != host:
+                    if host is not None:
+                        out.append(result())
+                    shapes = Shapes()
+                    host, pages, sums, trees = h, 0, {}, [shapes.name(parse(r)) for r in ref.as_py()]
+                pages += n.as_py() if j == 0 else 0
+                c = c.values.to_numpy().reshape(3, -1)
+                sums[j] = sums[j] + c if j in sums else c
+            yield batch_of(out)
+        if host is not None:
+            yield batch_of([result()])
+
+    counted = distinct.join(refs, "host").mapInArrow(induce, "host string, ref int, pages bigint, counts array<bigint>")
+    met = counted.join(refs, "host").repartition("host").sortWithinPartitions("host")
+    return met.mapInArrow(combine, "host string, constant array<bigint>, slot array<string>").where("size(constant) + size(slot) > 0")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -383,16 +557,11 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     met = pages.join(held, "host", "left").select("page_id", "url", "html", "constant", "slot")
 
     def run(batches):
-        memo: dict[tuple, frozenset] = {}
         for batch in batches:
             out = []
-            for page, c, slot in zip(*(batch.column(x).to_pylist() for x in ("html", "constant", "slot")), strict=True):
-                key = tuple(c or ())
-                if key not in memo:
-                    if len(memo) > 1000:
-                        memo.clear()
-                    memo[key] = frozenset(key)
-                out.append(main_text(page, memo[key], slot or ()) if page else "")
+            for page, c, slot in zip(*(batch.column(x) for x in ("html", "constant", "slot")), strict=True):
+                page = page.as_py()
+                out.append(main_text(page, frozenset(c.as_py() or ()), slot.as_py() or ()) if page else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -25,23 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, text_or_empty
+from gridloom.llm.common import marked, materialise, text_or_empty
 from gridloom.llm.simhash import components, crossing_pairs, fingerprint_links, majority, shingle_hashes
 
 
-#: PAIRS: least number of candidate pairs that are checked at once.
-MARK_BITS, PAIRS = 24, 200_000
-
-
-def marked(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """df with __mark: false only where the key in `column` is surely not among keys (key)."""
-    h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
-    bit = keys.select(h(F.col("key")).alias("h"))
-    words = bit.groupBy(F.shiftright("h", 6).alias("__chunk")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("__word"))
-    out = df.withColumn("__h", h(F.col(column))).withColumn("__chunk", F.shiftright("__h", 6))
-    out = out.join(F.broadcast(words), "__chunk", "left")
-    mark = F.expr("coalesce(shiftright(__word, cast(__h & 63 AS int)) & 1L, 0L) = 1L")
-    return out.withColumn("__mark", mark).drop("__h", "__chunk", "__word")
+#: Least number of candidate pairs that are checked at once.
+PAIRS = 200_000
 
 
 def sketches(df: DataFrame, width: int) -> DataFrame:
