@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise
 
+SALTS = 32
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -262,10 +263,11 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = 4096
 
 
 def crossing_pairs(nodes: DataFrame, max_bits: int, bucket_rows: int = 4096) -> DataFrame:
-    """Each pair (a, b) of node ids whose fingerprints differ in at most max_bits bits and whose comp differs, once.
+    """Each pair (a, b) of node ids whose fingerprints differ in at most max_bits bits and whose comp differs, once a turn.
 
-    nodes: (node, fp, comp), all long; a node may have several rows. A pair is given by the first two blocks in which
-    it agrees, so its other buckets stay silent; pairs leave a task in batches of bounded size.
+    nodes: (node, turn, fp, comp); a node may have several rows, of which those of one turn meet. A pair is given by the
+    first two blocks in which it agrees, so its other buckets of the turn stay silent; pairs leave a task in batches of
+    bounded size.
     """
     masks = block_masks(max_bits)
     edges = [round(64 * k / (max_bits + 2)) for k in range(max_bits + 3)]
@@ -273,8 +275,8 @@ def crossing_pairs(nodes: DataFrame, max_bits: int, bucket_rows: int = 4096) ->
     slots = np.zeros((len(blocks), len(blocks)), np.int32)
     for k, (x, y) in enumerate(combinations(range(len(blocks)), 2)):
         slots[x, y] = k
-    rows = nodes.select("node", "fp", "comp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("slot", "mask"))
-    rows = rows.withColumn("bucket", F.xxhash64("slot", F.col("fp").bitwiseAND(F.col("mask")))).drop("mask")
+    rows = nodes.select("node", "turn", "fp", "comp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("slot", "mask"))
+    rows = rows.withColumn("bucket", F.xxhash64("turn", "slot", F.col("fp").bitwiseAND(F.col("mask")))).drop("mask", "turn")
     # a bucket of one comp has nothing to give
     held = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
     held = materialise(held.where("least < most").select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts")))
@@ -352,8 +354,11 @@ def near_duplicates(df: DataFrame, max_bits: int = 4, width: int = 4, seed: int
     linked = components(nodes.select(F.col("fp").alias("node")), fingerprint_links(nodes.select("fp"), max_bits))
     roots = materialise(linked)
     lows = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "low")
-    by_root = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = lows.join(by_root, "root").select("fp", "component_id")
+    # a large component is spread: its rows are salted, and its one result goes to each salt
+    by_root = lows.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    by_root = by_root.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = lows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    named = salted.join(by_root, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return prints.join(named, "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

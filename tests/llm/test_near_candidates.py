@@ -2,16 +2,13 @@
 
 import random
 
-import numpy as np
-
 from gridloom.llm import near_texts
-from gridloom.llm.simhash import majority, shingle_hashes
 from tests.llm.test_pipeline import shingles
 
 
 def expected(rows, max_bits=6):
     """doc_ids that stay when all pairs within max_bits are checked."""
-    fps = [majority(shingle_hashes(t.encode(), 1, 42, True)) for _, t in rows]
+    fps = [near_texts.word_prints(t.encode()) for _, t in rows]
     sets, par = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def root(x):
@@ -22,7 +19,7 @@ def expected(rows, max_bits=6):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if np.bitwise_count(np.uint64((fps[i] ^ fps[j]) & (1 << 64) - 1)) <= max_bits and both >= 0.8 * len(sets[i] | sets[j]):
+            if any(((p ^ q) & (1 << 64) - 1).bit_count() <= max_bits for p, q in zip(fps[i], fps[j], strict=True)) and both >= 0.8 * len(sets[i] | sets[j]):
                 par[max(root(i), root(j))] = min(root(i), root(j))
     return {rows[i][0] for i in range(len(rows)) if root(i) == i}
 
