@@ -8,6 +8,7 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, near_texts, packing, quality, secrets
 from gridloom.llm.common import materialise, small_batches, table
@@ -15,6 +16,11 @@ from gridloom.llm.common import materialise, small_batches, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return quality.keep_good(docs.select(*COLUMNS))
@@ -27,12 +33,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return counted(decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return secrets.redact(docs).select(*COLUMNS)
+    return counted(secrets.redact(docs))
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
