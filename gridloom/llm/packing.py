@@ -7,8 +7,8 @@ but the last of which are as long as a class allows; where none do, into those t
 that makes 2.1 pieces on average and wastes 0.6 % of a sequence.
 
 Every class fills its bins on its own and every worker numbers its own pieces: a piece's place is its number in its
-partition plus the counts of the partitions before. What is left, under k pieces of class k (a bound that no input size
-changes), goes by first-fit decreasing into the last sequences.
+partition plus the counts of the partitions before. What is left, under k pieces of class k, goes in units of
+neighbouring pieces, at most about UNITS a class whatever the input's size, by first-fit decreasing into the last sequences.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed as documents of their own; an empty
 table gives an empty result; other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise, tokenizer_file
 
-MOST = 4
+MOST, UNITS = 4, 16
 END_ID = 1
 
 
@@ -153,21 +153,26 @@ def pack(df: DataFrame, capacity: int = 2048, max_waste: float = 0.03, path: str
     in_bin = Window.partitionBy("class", "bin").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
     full = whole.where("whole").withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0)))
     full = full.select(*keep, (as_map(base) + F.col("bin")).alias("sequence_id"), "offset")
-    left = whole.where("NOT whole").select(*keep, "class", "spot", F.lit(0).alias("rest"))
-    schema = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint".format(cut.schema["doc_id"].dataType.simpleString())
+    # what is left of a class goes in units of about a sixteenth of a sequence, so that few rows meet in one task
+    unit = F.expr(f"(spot - (n_of div class) * class) div greatest(1, class div {UNITS})")
+    left = whole.where("NOT whole").select(*keep, "class", "spot", unit.alias("unit"))
+    units = left.groupBy("class", "unit").agg(F.sum("length").alias("tokens")).withColumn("rest", F.lit(0))
 
     def last(frame):
-        """First-fit decreasing of the pieces that are left: under k of each class k, so under a sequence's tokens a class."""
-        frame = frame.sort_values(["length", "class", "spot"], ascending=[False, True, True])
+        """First-fit decreasing of the units, fewer than UNITS + 1 a class."""
+        frame = frame.sort_values(["tokens", "class", "unit"], ascending=[False, True, True])
         used: list[int] = []
         seq, off = [], []
-        for n in frame["length"].tolist():
+        for n in frame["tokens"].tolist():
             b = next((i for i, u in enumerate(used) if u + n <= capacity), len(used))
             if b == len(used):
                 used.append(0)
             seq.append(first + b)
             off.append(used[b])
             used[b] += n
-        return frame[keep].assign(sequence_id=seq, offset=off)
+        return frame[["class", "unit"]].assign(sequence_id=seq, base=off)
 
-    return full.unionByName(left.groupBy("rest").applyInPandas(last, schema))
+    spots = units.groupBy("rest").applyInPandas(last, "class int, unit bigint, sequence_id bigint, base bigint")
+    in_unit = Window.partitionBy("class", "unit").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.withColumn("inside", F.coalesce(F.sum("length").over(in_unit), F.lit(0))).join(spots, ["class", "unit"])
+    return full.unionByName(left.select(*keep, "sequence_id", (F.col("base") + F.col("inside")).alias("offset")))
