@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_RUN = 20
 #: A word in a name: capitals alone, or small letters after at most one capital.
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-VOWEL = re.compile(r"[aeiouyAEIOUY]")
+#: Escapes of an address's punctuation that lost their percent signs.
+ESCAPES = re.compile(r"3A2F2F|2F|2E|2D|3A|3D|3F|5F")
+#: What a word that can be spoken has: four letters, no more than three consonants or vowels in a row.
+SPOKEN = re.compile(r"(?=.{4})(?=.*[aeiouyAEIOUY])(?!.*[^aeiouyAEIOUY]{4})(?!.*[aeiouyAEIOUY]{4})")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 WINDOW = 20
 #: Entropy in bits a character that a window of 20 must reach, by class, and the digits and letters the run must have.
@@ -71,9 +76,10 @@ def best_entropy(run: str) -> float:
 
 def readable(run: str) -> bool:
     """Names, paths and escaped addresses: few changes between letters and digits, and words with vowels make up most."""
+    run = ESCAPES.sub(" ", run)
     parts = WORDS.findall(run)
-    held = sum(len(w) for w in parts if len(w) >= 3 and VOWEL.search(w))
-    return held >= 0.6 * len(run)
+    held = sum(len(w) for w in parts if SPOKEN.match(w) and 4 * sum(c in "aeiouyAEIOUY" for c in w) >= len(w))
+    return held >= 0.55 * (len(run) - run.count(" "))
 
 
 def is_random(run: str) -> bool:
@@ -91,13 +97,13 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
+    starts = [a for a, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))  # the furthest end so far
     added = []
-    k = 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        while k < len(base) and base[k][0] < a and max(x[2] for x in base[k : k + 1]) <= a:
-            k += 1
-        if not any(s < b and e > a for s, _, e in base[max(0, k - 3) : k + 64]) and is_random(m[0]):
+        before = bisect_left(starts, b)
+        if not (before and ends[before - 1] > a) and is_random(m[0]):
             added.append((a, 3, b))
     return base, added
 

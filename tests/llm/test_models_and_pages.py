@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -72,6 +73,33 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_toxicity_against_a_plain_fit(spark):
+    """Scores of a small table against the same regression, solved by Newton steps over dense arrays."""
+    rng = np.random.default_rng(2)
+    words = ["calm", "tree", "river", "stone", "cloud", "awful", "stupid"]
+    rows = [(i, " ".join(words[k] for k in rng.choice(5, 6)) + (" awful stupid" if i % 4 == 0 else "")) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as score", "'x' as h")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 and i % 20 != 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    train = [(t, int(i % 4 == 0 and i % 20 != 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    sets = [set(toxicity.features(t.encode()).tolist()) for t, _ in train]
+    names = sorted(set().union(*sets))
+    y = np.array([v for _, v in train], float)
+    x = np.array([[f in s for f in names] for s in sets], float)
+    pos, neg = y.sum(), (1 - y).sum()
+    a, b = 50 * pos / len(y), 50 * neg / len(y)
+    r = np.log((y @ x + a) / (pos + a)) - np.log(((1 - y) @ x + b) / (neg + b))
+    z = np.hstack([x * r * np.abs(r), np.ones((len(y), 1))])
+    u, ridge = np.zeros(z.shape[1]), np.r_[np.ones(len(names)), 0]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ u))
+        u -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(ridge + 1e-9), z.T @ (p - y) + ridge * u)
+    weight = dict(zip(names, u[:-1] * r * np.abs(r), strict=True))
+    for i, t in rows:
+        want = 1 / (1 + np.exp(-sum(weight.get(f, 0) for f in set(toxicity.features(t.encode()).tolist())) - u[-1]))
+        assert abs(got[i].score - want) < 0.02 and got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_features_ignore_blocks():
     slot = np.zeros(1 << toxicity.BITS, np.int32)
     text = bytes(range(32, 127)) * 900
@@ -80,19 +108,39 @@ def test_features_ignore_blocks():
 
 
 def test_licenses(spark):
+    """Against containment over whole texts, where one license is in a text, with nulls and short texts."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     mit = licenses.TEMPLATES["mit-grant"]
     odd = [(-1, None), (-2, ""), (-3, "x y"), (-4, "pre " * 301 + mit.replace("merge", "join") + " post" * 77), (-5, mit[: len(mit) // 2]), (-6, "Released under\nthe MIT license"), (-6, "Released under\nthe MIT license")]
-    d = d.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    d = d.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string")).selectExpr("*", "1 as spans", "2 as licenses")
     got = licenses.scan_licenses(d).collect()
     want = []
     sets = licenses.Templates(licenses.TEMPLATES).sets
     for r in d.collect():
         w = words_of((r.text or "").encode())
         s = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
-        want.append((r.doc_id, ",".join(sorted(n for n, v in sets.items() if len(v & s) >= 0.8 * len(v)))))
-    assert Counter((r.doc_id, r.licenses) for r in got) == Counter(want)
-    assert [r.licenses for r in got if r.doc_id == -4] == ["mit-grant"]
+        held = [(len(v & s), n) for n, v in sets.items() if len(v & s) >= 0.8 * len(v)]
+        want.append((r.doc_id, max(held, key=lambda x: (x[0], x[0] / len(sets[x[1]])))[1] if held else ""))
+    several = Counter(r.doc_id for r in got if "," in r.licenses)
+    assert sum(several.values()) < 0.02 * len(got)
+    assert Counter((r.doc_id, r.licenses) for r in got if r.doc_id not in several) == Counter(x for x in want if x[0] not in several)
+    assert [r.licenses for r in got if r.doc_id == -4] == ["mit-grant"] and licenses.scan_licenses(d.limit(0)).count() == 0
+
+
+def test_each_license_is_itself():
+    """Each template alone, edited, among others and many times; not its siblings or its own opening."""
+    t, fill = licenses.Templates(licenses.TEMPLATES), [f"w{i}" for i in range(70)]
+    names = lambda text: [m[0] for m in licenses.scan([text.encode()], t, 0.8, {})[0]]
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        assert names(" ".join(fill + words + fill)) == [name]
+        if len(words) > 40:
+            words[len(words) // 2] = "changed"
+            assert names(" ".join(fill + words + fill)) == [name]
+    agpl, gpl, cc, mit = (licenses.TEMPLATES[k] for k in ("agpl-3.0", "gpl-3.0", "cc-by-4.0", "mit"))
+    assert names(f"{agpl} {' '.join(fill)} {gpl}") == ["agpl-3.0", "gpl-3.0"]
+    assert names(f"{mit} {cc} {mit} {cc}")[:2] == ["mit", "cc-by-4.0"]
+    assert set(names(" ".join(fill) + (" " + agpl) * 20_000)) == {"agpl-3.0"}
 
 
 PAGE = "<html><head><title>T</title></head><body><header><a href=/>Home</a></header><div class='top'>Our slogan</div><div id=c{n}><h1>Head {n}</h1><p>First {n} &amp; more<p>Second   {n}</div><div class='comments'><p>nice {n}</div><form>Mail {n}<input></form><div>Copyright us</div><script>var x='</p>';</script></body></html>"

@@ -129,6 +129,35 @@ def test_quality_recovers_labels(spark):
     assert sorted(quality.keep_good(docs).columns) == sorted(docs.columns)
 
 
+def test_quality_estimates():
+    """Estimates from votes of known accuracies: both classes' accuracies come out, and so do the posteriors of a plain EM."""
+    rng = np.random.default_rng(12)
+    n, rules = 200_000, len(quality.RULES)
+    good = rng.random(n) < 0.8
+    true = np.array([rng.uniform(0.3, 0.9, rules), rng.uniform(0.85, 0.99, rules)])
+    right = rng.random((n, rules)) < true[good.astype(int)]
+    vote = np.where(rng.random((n, rules)) < 0.2, 0, np.where(right == good[:, None], 1, 2))
+    pattern = (vote * 3 ** np.arange(rules - 1, -1, -1)).sum(axis=1)
+    at, count = np.unique(pattern, return_counts=True)
+    post = quality.fit(at, count, rounds=200)
+    assert np.mean([(post[p] >= 0.5) == g for p, g in zip(pattern.tolist(), good, strict=True)]) > 0.93
+    acc, share, v = np.array([[0.3] * rules, [0.98] * rules]), 0.85, quality.votes_of(at)
+    for _ in range(200):
+        w = []
+        for row in v:
+            yes, no = share, 1 - share
+            for r, x in enumerate(row):
+                yes *= 1 if x == 0 else acc[1][r] if x == 1 else 1 - acc[1][r]
+                no *= 1 if x == 0 else acc[0][r] if x == -1 else 1 - acc[0][r]
+            w.append(yes / (yes + no))
+        w = np.array(w)
+        for c, x, mean in ((0, 1 - w, 0.3), (1, w, 0.98)):
+            acc[c] = ((count * x) @ (v == (1 if c else -1)) + 20 * mean) / ((count * x) @ (v != 0) + 20)
+        share = ((count * w).sum() + 20 * 0.85) / (n + 20)
+    assert all(abs(post[p] - x) < 1e-6 for p, x in zip(at.tolist(), w, strict=True))
+    assert np.abs(acc - true).max() < 0.05 and abs(share - 0.8) < 0.02
+
+
 def test_decontamination(spark, docs, rows):
     long = rows[3][1]
     items = [(1, " ".join(long.split()[:14])), (2, "Tail"), (3, None), (4, ""), (5, "one"), (6, " ".join(long.split()[4:40])), (7, "word word word"), (8, "word " * 30), (5, "one")]
@@ -158,6 +187,7 @@ def test_decontamination(spark, docs, rows):
     assert bag((r.doc_id, r.n_words, sum(r.ranges[1::2]) - sum(r.ranges[::2]), r.n) for r in blocks) == bag(x[:4] for x in want)
     clean = decontaminate.remove_spans(docs, frame, drop_coverage=2.0).collect()
     assert len(clean) == len(rows) and decontaminate.report(docs.limit(0), frame).count() == 0
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, frame.limit(0)).collect()} == {(0, 0, False)}
     same = {x[0] for x in want if not x[5]}
     text = dict(rows)
     assert all((r.text or "") == text[r.doc_id] for r in clean if r.doc_id in same)
@@ -175,9 +205,45 @@ def test_secrets(docs, rows):
     got = secrets.find_secrets(docs).collect()
     assert bag(r[:5] for r in got) == bag(want)
     assert [r.spans for r in got if r.doc_id == 9011][0].endswith("entropy:34:54")
+    assert secrets.find_secrets(docs.limit(0)).count() == secrets.redact(docs.limit(0)).count() == 0
     assert "[SECRET]" in [r.text for r in secrets.redact(docs).collect() if r.doc_id == 9008][0]
 
 
+def test_entropy_spans():
+    """Added spans against windows counted anew, on texts of words, tokens, identifiers and base secrets."""
+    rng = np.random.default_rng(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+    parts = ["Section4Paragraph12OfTheLaw", "https3A2F2Fexample2Ecom2Fpath", "api_key=abcdefgh12345678", "plain words here", "deadbeefdeadbeefdead", next(iter(secrets.PUBLIC))]
+    held = 0
+    for _ in range(300):
+        some = ["".join(rng.choice(list(letters[: rng.integers(2, 67)]), rng.integers(10, 60))) for _ in range(4)]
+        text = "".join(x + str(rng.choice([" ", "\n", ",", ""])) for x in rng.permutation(some + parts))
+        base, added = secrets.scan(text)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            run = m[0]
+            kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else "alnum" if run.isalnum() else "base64"
+            best = max(-sum(n / 20 * math.log2(n / 20) for n in Counter(run[i : i + 20]).values()) for i in range(len(run) - 19))
+            plain = run in secrets.PUBLIC or secrets.ALLOW.fullmatch(run) or secrets.readable(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run))
+            if not plain and best >= secrets.THRESHOLDS[kind] - 1e-9 and not any(a < m.end() and b > m.start() for a, _, b in base):
+                want.append((m.start(), 3, m.end()))
+        assert added == want
+        held += len(want)
+    assert held > 100
+
+
+def test_readable_runs_are_no_secrets():
+    for run in parts_of_names():
+        assert not secrets.is_random(run), run
+    rng = np.random.default_rng(9)
+    keys = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 40)) for _ in range(500)]
+    assert sum(map(secrets.is_random, keys)) > 480
+
+
+def parts_of_names():
+    return ["Section4Paragraph12OfTheLaw", "https3A2F2Fexample2Ecom2Fpath", "getUserAccountById2FromDatabase", "chapter-12-the-return-of-the-king", "path/to/some/module_v2/file_name", *secrets.PUBLIC]
+
+
 def test_entropy_windows():
     run = "q8Zr4Tn1Vx7Lp2Ks9Wd5aaaaaaaaaabbbb111"
     want = max(-sum(n / 20 * math.log2(n / 20) for n in Counter(run[i : i + 20]).values()) for i in range(len(run) - 19))
@@ -225,6 +291,15 @@ def test_sharding(spark, docs, rows):
         assert r.grown_shard in (r.shard, 16)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert len({(r.doc_id, r.shard) for r in got}) == len({r.doc_id for r in got})
+    assert sharding.shard(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0 and quality.quality(docs.limit(0)).count() == 0
+
+    def law(key, n):
+        cost = [-math.log((int(hashlib.md5(f"{key}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) for j in range(n)]
+        return cost.index(min(cost))
+
+    for r in got:
+        key = "null" if r.doc_id is None else r.doc_id
+        assert (r.shard, r.grown_shard) == (law(key, 16), law(key, 17))
     ids = spark.range(20000)
     heavy = Counter(r[0] for r in ids.select(sharding.rendezvous(ids["id"], [1.0, 3.0])).collect())
     assert 0.72 < heavy[1] / 20000 < 0.78
