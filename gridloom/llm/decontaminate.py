@@ -6,11 +6,13 @@ words, or the state or one of its suffixes is a whole item of fewer words, the w
 
 Items go to the workers in blocks of at most `block_bytes` (a larger item is a block of its own). The driver reads and
 broadcasts one block at a time and the documents stream through it, so what the driver and a worker hold is bounded
-however large the benchmark is; between blocks, the documents and their hits so far are a table in the shared folder. An
-ordinary benchmark is one block, and then nothing is written. Blocks split between items, and hits add up over blocks.
+however large the benchmark is. An ordinary benchmark is one block, and then nothing is written. With several, each pass
+writes the digests, hits and items of the texts that it hit, and a last one brings them together by digest; texts stay
+where they are. Blocks split between items, and hits add up over blocks.
 
 Defined results: null and empty texts have no words and no hits; items without words are ignored, as are null items'
-texts; repeated items count once per item_id; repeated documents give repeated rows; other columns are ignored.
+texts; repeated items count once per item_id; repeated documents give repeated rows; an empty benchmark hits nothing; an
+empty table gives an empty one; other columns are ignored by the report and kept by removal, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import marked, materialise
 
 WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -105,6 +107,7 @@ class SuffixAutomaton:
         get, nxt, link, length, inner, window = self.vocab.get, self.next, self.link, self.length, self.inner, self.window
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
+        met: set[int] = set()
         s = n = 0
         for i, c in enumerate(map(get, words)):
             if c is None:
@@ -128,12 +131,17 @@ class SuffixAutomaton:
                 w = s
                 while link[w] >= 0 and length[link[w]] >= window:
                     w = link[w]
-                items |= self.windows[w]
+                if w not in met:
+                    met.add(w)
+                    items |= self.windows[w]
             if inner[s]:
                 for m, names in inner[s]:
                     if m <= n:
                         reach = max(reach, m)
-                        items |= names
+                        if -s - 1 not in met:
+                            items |= names
+                if inner[s][-1][0] <= n:
+                    met.add(-s - 1)  # all short items of the state are in
             if reach:
                 a, b = i + 1 - reach, i + 1
                 while spans and spans[-1][1] >= a:
@@ -157,43 +165,56 @@ def item_blocks(items: DataFrame, block_bytes: int):
 
 
 def contamination(df: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 8_000_000, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), cut: bool = False) -> DataFrame:
-    """keep, n_words, hit ranges as flat array<int> of word bounds, and item ids, for each row."""
-    picked = df.select(*[c for c in keep if c != "__text"], F.col(text_col).alias("__text"))
-    blocks = item_blocks(items, block_bytes)
-    block = next(blocks)
-    while (after := next(blocks, None)) is not None:
-        picked = materialise(block_hits(picked, block, window, tuple(dict.fromkeys([*keep, "__text"]))))
-        block = after
-    return block_hits(picked, block, window, keep, cut)
-
-
-def block_hits(df: DataFrame, items: list[tuple[str, bytes]], window: int, keep: tuple[str, ...], cut: bool = False) -> DataFrame:
-    """keep, n_words, ranges and items of df's __text with one block of items, added to the ranges and items in df.
+    """keep, n_words, hit ranges as flat array<int> of word bounds, and item ids, for each row.
 
     cut: the __text in keep comes back without the words of its ranges.
     """
-    shared = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes, or one item
-    earlier = "ranges" in df.columns and "ranges" not in keep
+    picked = df.select(*[c for c in keep if c != "__text"], F.col(text_col).alias("__text"))
+    blocks = item_blocks(items, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return searched(picked, block, window, keep, cut)
+    digest = F.md5(F.coalesce("__text", F.lit("")).cast("binary")).alias("key")
+    texts, found = picked.select(digest, "__text"), []
+    while block is not None:
+        hit = searched(texts, block, window, ("key",)).where("size(ranges) > 0")
+        found.append(materialise(hit.groupBy("key").agg(F.first("ranges").alias("ranges"), F.first("items").alias("items"))))
+        block, after = after, next(blocks, None)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    every = every.groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))  # a row a block
+    every = materialise(every)
+    told = marked(picked.select("*", digest), every, "key")
+    none = [F.lit(None).cast("array<int>").alias("ranges"), F.lit(None).cast("array<string>").alias("items")]
+    met = told.where("__mark").join(every, "key", "left").select(*picked.columns, "ranges", "items")
+    return searched(told.where("NOT __mark").select(*picked.columns, *none).unionByName(met), None, window, keep, cut)
+
+
+def searched(df: DataFrame, items: list[tuple[str, bytes]] | None, window: int, keep: tuple[str, ...], cut: bool = False) -> DataFrame:
+    """keep, n_words, ranges and items of df's __text with one block of items; without one, of the hits that df has."""
+    shared = df.sparkSession.sparkContext.broadcast(items) if items is not None else None  # at most block_bytes, or one item
 
     def run(batches):
-        automaton = SuffixAutomaton([(i, words_of(t)) for i, t in shared.value], window)
+        automaton = SuffixAutomaton([(i, words_of(t)) for i, t in shared.value], window) if shared else None
         for batch in batches:
             texts = batch.column("__text").cast(pa.binary()).to_pylist()
             docs = [words_of(t or b"") for t in texts]
-            found = [automaton.hits(words) for words in docs]
-            if earlier:
-                before = zip(found, batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
-                found = [(r + list(zip(flat[::2], flat[1::2], strict=True)), n.union(names)) for (r, n), flat, names in before]
+            if automaton:
+                found = [automaton.hits(words) for words in docs]
+            else:
+                held = zip(batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                found = [(list(zip(r[::2], r[1::2], strict=True)), set(n)) if r else ([], set()) for r, n in held]
             ranges = [[x for r in merged(f[0]) for x in r] for f in found]
-            held = {c: batch.column(c) for c in keep}
+            kept = {c: batch.column(c) for c in keep}
             if cut and any(ranges):
-                held["__text"] = pa.array([without(t, r) if r else t for t, r in zip(texts, ranges, strict=True)], pa.binary()).cast(pa.string())
+                kept["__text"] = pa.array([without(t, r) if r else t for t, r in zip(texts, ranges, strict=True)], pa.binary()).cast(pa.string())
             cols = [
                 pa.array([len(d) for d in docs], pa.int64()),
                 pa.array(ranges, pa.list_(pa.int32())),
                 pa.array([sorted(f[1]) for f in found], pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays([*held.values(), *cols], names=[*keep, "n_words", "ranges", "items"])
+            yield pa.RecordBatch.from_arrays([*kept.values(), *cols], names=[*keep, "n_words", "ranges", "items"])
 
     head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     return df.mapInArrow(run, head + "n_words bigint, ranges array<int>, items array<string>")

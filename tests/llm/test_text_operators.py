@@ -186,6 +186,9 @@ def test_decontamination(spark, docs, rows):
     blocks = decontaminate.contamination(docs, frame, block_bytes=400).selectExpr("doc_id", "n_words", "size(items) as n", "ranges").collect()
     assert bag((r.doc_id, r.n_words, sum(r.ranges[1::2]) - sum(r.ranges[::2]), r.n) for r in blocks) == bag(x[:4] for x in want)
     clean = decontaminate.remove_spans(docs, frame, drop_coverage=2.0).collect()
+    plain = {c: f"__{k}" if c != "text" else "__text" for k, c in enumerate(docs.columns)}
+    parts = decontaminate.contamination(docs.select(*[docs[c].alias(x) for c, x in plain.items()]), frame, block_bytes=400, text_col="__text", keep=tuple(plain.values()), cut=True)
+    assert bag((r['__0'], r['__text']) for r in parts.collect()) == bag((r.doc_id, r.text) for r in clean)
     assert len(clean) == len(rows) and decontaminate.report(docs.limit(0), frame).count() == 0
     assert {(r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, frame.limit(0)).collect()} == {(0, 0, False)}
     same = {x[0] for x in want if not x[5]}
