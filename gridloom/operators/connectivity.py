@@ -57,8 +57,8 @@ def face_vertices(face_edge: DataFrame, edge_vtx: DataFrame) -> DataFrame:
 
 
 def group_transpose(groups: DataFrame) -> DataFrame:
-    """(kind, group, gnum) as (gnum, pos, group)."""
-    return groups.select("gnum", "group").distinct().withColumn("pos", F.row_number().over(Window.partitionBy("gnum").orderBy("group")))
+    """(kind, group, gnum) as (gnum, pos, kind, group): the groups of each entity."""
+    return groups.select("gnum", "kind", "group").distinct().withColumn("pos", F.row_number().over(Window.partitionBy("gnum").orderBy("kind", "group")))
 
 
 def ridges(edge_face: DataFrame, groups: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """Spatial joins over boxes (gnum, xmin, xmax, ...) and clouds (gnum, x, ...), by grids of levels.
 
-A box lives at the level whose cells are at least as large as it, so it covers at most two cells an axis there, however
-large it is; a point has one cell a level. The levels in use are few (a power of two apart), so rows multiply by a
-constant, and a pair is found once: in the cell of the larger of the two lower corners.
+Each axis has a unit, the median size there, and levels whose cells grow by a factor. A box has a level on each axis, the
+first whose cells are at least as large as it, so it covers at most two cells an axis there and on every higher level,
+however large it is. Two boxes meet on the higher of their levels, axis by axis: the rows of one pair of level vectors
+meet rows of that pair alone, so small boxes meet in small cells, and only what is large on an axis meets in large ones.
+The vectors in use are few (`VECTORS` a side; the factor grows until they are), and a row goes once to each vector of
+the other side. A pair is found once: in the cell of the larger of the two lower corners.
+
+Calling a join runs small jobs: the medians and the vectors in use.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
@@ -19,70 +24,69 @@ from gridloom.functions.tables import materialise
 XYZ = ("x", "y", "z")
 
 
-def level_of(size: Column, unit: float) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size / unit, F.lit(1e-30))))).cast("int")
+VECTORS, CROWD = 64, 4096
 
 
-def cell(x: Column, level: Column, unit: float) -> Column:
-    return F.floor(x / (F.lit(unit) * F.pow(F.lit(2.0), level))).cast("long")
-
-
-def with_level(boxes: DataFrame, axes: Sequence[str], unit: float) -> DataFrame:
-    size = F.greatest(F.lit(0.0), *[F.col(f"{a}max") - F.col(f"{a}min") for a in axes])
-    return boxes.withColumn("_level", level_of(size, unit))
-
-
-def unit_of(boxes: DataFrame, axes: Sequence[str]) -> float:
-    size = F.greatest(F.lit(0.0), *[F.col(f"{a}max") - F.col(f"{a}min") for a in axes])
-    mean = boxes.agg(F.avg(size)).first()[0]
-    return mean if mean and mean > 0 else 1.0
-
-
-def in_cells(boxes: DataFrame, axes: Sequence[str], unit: float) -> DataFrame:
-    out = boxes
-    for a in axes:
-        out = out.withColumn(f"_c{a}", F.explode(F.sequence(cell(F.col(f"{a}min"), F.col("_level"), unit), cell(F.col(f"{a}max"), F.col("_level"), unit))))
-    return out
+def units_of(sides: Sequence[tuple[DataFrame, dict]], axes: Sequence[str]) -> dict[str, float]:
+    """The larger median size on each axis; the mean where that is 0, and 1 where all are."""
+    out = dict.fromkeys(axes, 0.0)
+    for df, ends in sides:
+        size = {a: F.col(ends[a][1]) - F.col(ends[a][0]) for a in axes}
+        got = df.agg(*[f(size[a]).alias(f"{a}{k}") for a in axes for k, f in enumerate((lambda c: F.percentile_approx(c, 0.5), F.avg))]).first()
+        for a in axes:
+            out[a] = max(out[a], got[f"{a}0"] or got[f"{a}1"] or 0.0)
+    return {a: u if u > 0 else 1.0 for a, u in out.items()}
+
+
+def levels(df: DataFrame, ends: dict, axes: Sequence[str], units: dict[str, float], factor: float) -> DataFrame:
+    """df with _level, an array with the level on each axis."""
+    of = [F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(ends[a][1]) - F.col(ends[a][0])) / units[a], F.lit(1e-30))) / math.log2(factor))) for a in axes]
+    return df.withColumn("_level", F.array(*[c.cast("int") for c in of]))
+
+
+def meet(left: DataFrame, right: DataFrame, lends: dict, rends: dict, axes: Sequence[str]) -> DataFrame:
+    """Pairs of rows whose closed intervals overlap on every axis; lends and rends: axis to the columns of its two ends.
+    The column names of the two sides must differ."""
+    left, right = materialise(left), materialise(right)
+    units, factor = units_of([(left, lends), (right, rends)], axes), 4.0
+    while True:
+        a, b = levels(left, lends, axes, units, factor), levels(right, rends, axes, units, factor)
+        used = [sorted(tuple(r[0]) for r in x.select("_level").distinct().limit(VECTORS + 1).collect()) for x in (a, b)]
+        if max(map(len, used)) <= VECTORS:
+            break
+        factor *= factor
+    spark = left.sparkSession
+    pairs = [(list(u), list(v), i * len(used[1]) + j, [max(x, y) for x, y in zip(u, v, strict=True)]) for i, u in enumerate(used[0]) for j, v in enumerate(used[1])]
+    table = spark.createDataFrame(pairs, "_u array<int>, _v array<int>, _pair int, _at array<int>")  # VECTORS ** 2 rows at most
+    width = {k: F.lit(units[k]) * F.pow(F.lit(factor), F.col("_at")[n]) for n, k in enumerate(axes)}
+    cell = lambda x, k: F.floor(x / width[k]).cast("long")
+
+    def spread(df: DataFrame, own: str, ends: dict) -> DataFrame:
+        out = df.join(F.broadcast(table.withColumnRenamed(own, "_level").drop("_u" if own == "_v" else "_v")), "_level").drop("_level")
+        for k in axes:
+            lo, hi = ends[k]
+            cells = F.array(cell(F.col(lo), k)) if lo == hi else F.sequence(cell(F.col(lo), k), cell(F.col(hi), k))
+            out = out.withColumn(f"_c{k}", F.explode(cells))
+        return out
+
+    keys = ["_pair", *[f"_c{k}" for k in axes]]
+    met = spread(a, "_u", lends).join(spread(b, "_v", rends).drop("_at"), keys)
+    for k in axes:
+        (alo, ahi), (blo, bhi) = lends[k], rends[k]
+        met = met.where((F.col(alo) <= F.col(bhi)) & (F.col(blo) <= F.col(ahi)) & (F.col(f"_c{k}") == cell(F.greatest(alo, blo), k)))
+    return met.drop(*keys, "_at")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, axes: Sequence[str] = XYZ) -> DataFrame:
     """(box columns as b_..., point columns): closed containment on every axis."""
-    unit = unit_of(boxes, axes)
-    b = materialise(with_level(boxes, axes, unit))
-    levels = [r[0] for r in b.select("_level").distinct().collect()]  # at most about 60
-    if not levels:
-        levels = [0]
-    b = in_cells(b, axes, unit)
-    b = b.select(*[F.col(c).alias(c if c.startswith("_") else f"b_{c}") for c in b.columns])
-    p = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    for a in axes:
-        p = p.withColumn(f"_c{a}", cell(F.col(a), F.col("_level"), unit))
-    inside = None
-    for a in axes:
-        test = F.col(a).between(F.col(f"b_{a}min"), F.col(f"b_{a}max"))
-        inside = test if inside is None else inside & test
-    keys = ["_level", *[f"_c{a}" for a in axes]]
-    return p.join(b, keys).where(inside).drop(*keys)
+    b = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns])
+    return meet(points, b, {a: (a, a) for a in axes}, {a: (f"b_{a}min", f"b_{a}max") for a in axes}, axes)
 
 
 def boxes_meet(left: DataFrame, right: DataFrame, axes: Sequence[str] = XYZ) -> DataFrame:
-    """(a_..., b_...) of boxes that overlap, borders included. Each pair meets at the higher of its two levels."""
-    unit = max(unit_of(left, axes), unit_of(right, axes))
-    a, b = materialise(with_level(left, axes, unit)), materialise(with_level(right, axes, unit))
-    levels = sorted({r[0] for x in (a, b) for r in x.select("_level").distinct().collect()})
-    every = F.array(*[F.lit(v) for v in levels]) if levels else F.array(F.lit(0))
-
-    def spread(x: DataFrame, name: str) -> DataFrame:
-        y = x.withColumn("_own", F.col("_level")).withColumn("_level", F.explode(F.filter(every, lambda v: v >= F.col("_level"))))
-        y = in_cells(y, axes, unit)
-        return y.select(*[F.col(c).alias(f"_own_{name}" if c == "_own" else c if c.startswith("_") else f"{name}_{c}") for c in y.columns])
-
-    keys = ["_level", *[f"_c{k}" for k in axes]]
-    met = spread(a, "a").join(spread(b, "b"), keys).where((F.col("_own_a") == F.col("_level")) | (F.col("_own_b") == F.col("_level")))
-    for k in axes:
-        met = met.where((F.col(f"a_{k}min") <= F.col(f"b_{k}max")) & (F.col(f"b_{k}min") <= F.col(f"a_{k}max")))
-        met = met.where(F.col(f"_c{k}") == cell(F.greatest(f"a_{k}min", f"b_{k}min"), F.col("_level"), unit))
-    return met.drop(*keys, "_own_a", "_own_b")
+    """(a_..., b_...) of boxes that overlap, borders included."""
+    a, b = (x.select(*[F.col(c).alias(f"{n}_{c}") for c in x.columns]) for x, n in ((left, "a"), (right, "b")))
+    return meet(a, b, *[{k: (f"{n}_{k}min", f"{n}_{k}max") for k in axes} for n in "ab"], axes)
 
 
 def boxes_meet_within(boxes: DataFrame, axes: Sequence[str] = XYZ) -> DataFrame:
@@ -110,7 +114,8 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[s
 
     Targets look at their own and the adjacent cells of a grid. A target is done once its k-th distance is at most the
     cell size, as nothing nearer can lie beyond; the others go on with cells twice as large. Sources beyond the first
-    round meet only the targets that are left.
+    round meet only the targets that are left. The first cells are those of a uniform cloud, made smaller until none
+    holds more than `CROWD` sources (or `most` halvings are done, for sources of one place).
     """
     stats = sources.agg(F.count("*").alias("n"), *[f(a).alias(f"{f.__name__}{a}") for a in axes for f in (F.min, F.max)]).first()
     if stats["n"] < k:
@@ -118,6 +123,11 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[s
     spans = [stats[f"max{a}"] - stats[f"min{a}"] for a in axes if stats[f"max{a}"] > stats[f"min{a}"]]
     size = math.exp(sum(map(math.log, spans)) / len(spans)) * (k / stats["n"]) ** (1 / len(spans)) if spans else 1.0
     left = materialise(targets.select("gnum", *axes))
+    for _ in range(most):
+        crowd = sources.groupBy(*[F.floor(F.col(a) / size).alias(f"_c{a}") for a in axes]).count().agg(F.max("count")).first()[0]
+        if crowd <= max(CROWD, 4 * k):
+            break
+        size /= 2
     src = materialise(sources.select(F.col("gnum").alias("src"), *[F.col(a).alias(f"s{a}") for a in axes]))
     done = None
     w = Window.partitionBy("gnum").orderBy("dist2", "src")

@@ -32,12 +32,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as a partitioned frame: the line number is the part, the order key the global id."""
+    """lineitem as a partitioned frame: the line number is the part and its parity the rank, the order key the global id."""
     li = read(spark, sf_dir, "lineitem")
-    return li.select(F.lit(0).alias("rank"), F.col("l_linenumber").alias("part"), F.col("l_orderkey").cast("int").alias("lnum"), F.col("l_orderkey").alias("gnum"), "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey")
+    return li.select((F.col("l_linenumber") % 2).cast("int").alias("rank"), F.col("l_linenumber").alias("part"), F.col("l_orderkey").cast("int").alias("lnum"), F.col("l_orderkey").alias("gnum"), "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey")
 
 
-LI = "(SELECT 0 AS rank, l_linenumber AS part, CAST(l_orderkey AS INTEGER) AS lnum, l_orderkey AS gnum, l_quantity, l_extendedprice, l_partkey, l_suppkey FROM lineitem)"
+LI = "(SELECT CAST(l_linenumber % 2 AS INTEGER) AS rank, l_linenumber AS part, CAST(l_orderkey AS INTEGER) AS lnum, l_orderkey AS gnum, l_quantity, l_extendedprice, l_partkey, l_suppkey FROM lineitem)"
 
 
 @query(f"WITH l AS {LI} SELECT part, gnum, round(sum(l_quantity) OVER (PARTITION BY gnum), 4) AS total, round(o_totalprice, 4) AS price FROM l JOIN orders ON gnum = o_orderkey")
@@ -93,28 +93,28 @@ def btp_sparse(spark, sf_dir):
 
 
 def bridge(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("gnum1"), F.col("l_suppkey").alias("gnum2"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("gnum1"), F.col("l_suppkey").alias("gnum2"))
 
 
-@query("SELECT l_partkey AS gnum1, l_suppkey AS gnum2, round(p_retailprice, 4) AS price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")
+@query("SELECT l_partkey AS gnum1, l_suppkey AS gnum2, round(p_retailprice, 4) AS price FROM lineitem JOIN part ON l_partkey = p_partkey")
 def ptp_bridge(spark, sf_dir):
     v = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum"), F.round("p_retailprice", 4).alias("price"))
     return exchange.across(bridge(spark, sf_dir), v)
 
 
-@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 def ptp_ref(spark, sf_dir):
     b = bridge(spark, sf_dir).select(F.col("gnum2").alias("gnum1"), F.col("gnum1").alias("gnum2"))
     return exchange.referenced(b, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum")))
 
 
-@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def ptp_unref(spark, sf_dir):
     b = bridge(spark, sf_dir).select(F.col("gnum2").alias("gnum1"), F.col("gnum1").alias("gnum2"))
     return exchange.unreferenced(b, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum")))
 
 
-@query("SELECT gnum2, gnum1, CAST(row_number() OVER (PARTITION BY gnum2 ORDER BY gnum1) AS INTEGER) AS pos FROM (SELECT DISTINCT l_suppkey AS gnum2, l_partkey AS gnum1 FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT gnum2, gnum1, CAST(row_number() OVER (PARTITION BY gnum2 ORDER BY gnum1) AS INTEGER) AS pos FROM (SELECT DISTINCT l_suppkey AS gnum2, l_partkey AS gnum1 FROM lineitem)")
 def ptp_come_from(spark, sf_dir):
     return exchange.come_from(bridge(spark, sf_dir))
 
@@ -168,10 +168,10 @@ def unique_order(spark, sf_dir):
 
 
 def order_part(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_quantity") > 25, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("dst"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_quantity") > 25, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("dst"))
 
 
-OP = "(SELECT l_orderkey AS src, l_linenumber AS pos, CASE WHEN l_quantity > 25 THEN l_partkey ELSE -l_partkey END AS dst FROM lineitem WHERE l_orderkey % 5 = 0)"
+OP = "(SELECT l_orderkey AS src, l_linenumber AS pos, CASE WHEN l_quantity > 25 THEN l_partkey ELSE -l_partkey END AS dst FROM lineitem)"
 
 
 @query(f"SELECT abs(dst) AS src, CASE WHEN dst < 0 THEN -src ELSE src END AS dst FROM {OP}")
@@ -205,19 +205,19 @@ def groups(spark, sf_dir):
     return c.select(F.lit("segment").alias("kind"), (F.ascii("c_mktsegment")).alias("group"), F.col("c_nationkey").cast("long").alias("gnum"))
 
 
-GR = "(SELECT DISTINCT ascii(c_mktsegment) AS g, CAST(c_nationkey AS BIGINT) AS gnum FROM customer)"
+GR = "(SELECT DISTINCT 'segment' AS kind, ascii(c_mktsegment) AS g, CAST(c_nationkey AS BIGINT) AS gnum FROM customer)"
 
 
-@query(f"SELECT gnum, g AS \"group\", CAST(row_number() OVER (PARTITION BY gnum ORDER BY g) AS INTEGER) AS pos FROM {GR}")
+@query(f"SELECT gnum, kind, g AS \"group\", CAST(row_number() OVER (PARTITION BY gnum ORDER BY kind, g) AS INTEGER) AS pos FROM {GR}")
 def group_transpose(spark, sf_dir):
     return connectivity.group_transpose(groups(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey AS edge, l_suppkey AS face FROM lineitem WHERE l_quantity > 40),
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS edge, l_suppkey AS face FROM lineitem),
 g AS (SELECT edge, count(*) AS n, list_sort(list(DISTINCT s_nationkey % 4)) AS gs FROM e JOIN supplier ON face = s_suppkey GROUP BY 1)
 SELECT edge, CAST(len(gs) AS INTEGER) AS n, dense_rank() OVER (ORDER BY gs) AS ridge FROM g WHERE n = 1 OR len(gs) > 1""")
 def ridge_edges(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     g = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gnum"), (F.col("s_nationkey") % 4).alias("group"))
     return connectivity.ridges(e, g).select("edge", F.size("groups").alias("n"), "ridge")
 
@@ -228,7 +228,7 @@ def extract_reid(spark, sf_dir):
     return connectivity.extract(c, c.where("src % 3 = 0").select(F.col("src").alias("gnum")))[0]
 
 
-@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 5 = 0)")
+@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def unconnected_anti(spark, sf_dir):
     v = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum"))
     return connectivity.unconnected(v, order_part(spark, sf_dir))
@@ -245,14 +245,14 @@ def renum_lexicographic(spark, sf_dir):
     return partition.renumber_faces(f).select("part", "face", "lnum")
 
 
-@query(f"WITH l AS {LI} SELECT part, gnum, min(part) OVER (PARTITION BY gnum) AS own_part, count(*) OVER (PARTITION BY gnum) AS copies FROM l")
+@query(f"WITH l AS {LI} SELECT part, gnum, min(rank) OVER (PARTITION BY gnum) AS own_rank, CAST(min(rank * 1000 + part) OVER (PARTITION BY gnum) % 1000 AS INTEGER) AS own_part, count(*) OVER (PARTITION BY gnum) AS copies FROM l")
 def halo_owner(spark, sf_dir):
-    return exchange.owners(frame(spark, sf_dir)).select("part", "gnum", "own_part", "copies")
+    return exchange.owners(frame(spark, sf_dir)).select("part", "gnum", "own_rank", "own_part", "copies")
 
 
-@query(f"WITH l AS {LI} SELECT a.gnum, a.part, b.part AS o_part FROM l a JOIN l b USING (gnum) WHERE a.part <> b.part")
+@query(f"WITH l AS {LI} SELECT a.gnum, a.rank, a.part, b.rank AS o_rank, b.part AS o_part FROM l a JOIN l b USING (gnum) WHERE a.part <> b.part")
 def comm_graph(spark, sf_dir):
-    return exchange.shared_graph(frame(spark, sf_dir)).select("gnum", "part", "o_part")
+    return exchange.shared_graph(frame(spark, sf_dir)).select("gnum", "rank", "part", "o_rank", "o_part")
 
 
 @query(f"""WITH c AS (SELECT DISTINCT CAST(src % 4 AS INTEGER) AS part, src AS gnum FROM {OP}), d AS (SELECT DISTINCT a.src, b.src AS dst FROM {OP} a JOIN {OP} b ON abs(a.dst) = abs(b.dst) WHERE a.src <> b.src)
@@ -273,6 +273,7 @@ def morton_key(spark, sf_dir):
 
 
 def cloud(spark, sf_dir):
+    """The first three components of the vectors as points."""
     e = read(spark, sf_dir, "embeddings")
     return e.select((F.col("vec_id") + 1).alias("gnum"), *[F.get("embedding", F.lit(k)).cast("double").alias(a) for k, a in enumerate("xyz")])
 
@@ -364,8 +365,7 @@ def tetra_volume(spark, sf_dir):
 def with_corners(cells, vertices):
     """(gnum, a, b, c, d): the corner points of tetrahedra."""
     at = cells.select("gnum", F.posexplode("vtx").alias("pos", "v")).join(vertices.withColumnRenamed("gnum", "v"), "v")
-    c = at.groupBy("gnum").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("x", "y", "z").alias("p")))).alias("c"))
-    return c.select("gnum", *[F.get("c", F.lit(k))["p"].alias(n) for k, n in enumerate("abcd")])
+    return at.groupBy("gnum").agg(*[F.first(F.when(F.col("pos") == k, F.struct("x", "y", "z")), ignorenulls=True).alias(n) for k, n in enumerate("abcd")])
 
 
 @query("SELECT i + j * 10 + k * 100 + 1 AS v1, i + j * 10 + (k + 1) * 100 + 1 AS v2, round((0.47::DOUBLE - k / 9.0::DOUBLE) * 9, 6) AS t FROM range(10) a(i), range(10) b(j), range(9) c(k) WHERE k / 9.0::DOUBLE < 0.47 AND (k + 1) / 9.0::DOUBLE > 0.47")
@@ -387,8 +387,7 @@ def cell_to_vtx_mean(spark, sf_dir):
 def locate_cube(spark, sf_dir):
     """Containing hexahedron of each point, by its six tetrahedra."""
     v = generators.cube_vertices(spark, 10, 2.0, (-1.0, -1.0, -1.0))
-    pts = cloud(spark, sf_dir).where("abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1")
-    return spatial.locate_in_tetras(pts, with_corners(generators.cube_tetras(spark, 10), v)).select("gnum", F.expr("(elt - 1) div 6 + 1").alias("cell"))
+    return spatial.locate_in_tetras(cloud(spark, sf_dir), with_corners(generators.cube_tetras(spark, 10), v)).select("gnum", F.expr("(elt - 1) div 6 + 1").alias("cell"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS faces, CAST(0 AS BIGINT) AS wrong FROM range(3 * 10 * 81)")
@@ -399,16 +398,15 @@ def nodal_to_faces(spark, sf_dir):
     return faces.agg(F.count("*").alias("faces")).crossJoin(bad.agg(F.count("*").alias("wrong")))
 
 
-@query(f"WITH c AS {CL} SELECT gnum, round(z * z, 6) AS dist2 FROM c WHERE x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.5 AND 0.5")
+@query(f"WITH c AS {CL} SELECT gnum, round(z * z + greatest(abs(x) - 1, 0) ** 2 + greatest(abs(y) - 1, 0) ** 2, 6) AS dist2 FROM c")
 def distance_to_plane(spark, sf_dir):
-    """Squared distance to a square of triangles, below which the points' foot lies."""
+    """Squared distance of all points to a square of triangles."""
     v, q = generators.rectangle(spark, 12, 12, 2.0, 2.0)
     v = v.select("gnum", F.struct((F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), "z").alias("p"))
     tri = q.select("gnum", F.posexplode(F.array(*[F.array(*[F.get("vtx", F.lit(i)) for i in t]) for t in ((0, 1, 2), (0, 2, 3))])).alias("k", "vtx"))
     at = tri.select((F.col("gnum") * 2 + F.col("k")).alias("gnum"), F.posexplode("vtx").alias("pos", "v")).join(v.withColumnRenamed("gnum", "v"), "v")
     t = at.groupBy("gnum").agg(*[F.max(F.when(F.col("pos") == k, F.col("p"))).alias(n) for k, n in enumerate("abc")])
-    pts = cloud(spark, sf_dir).where("x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.5 AND 0.5")
-    return spatial.distance_to_triangles(pts, t).select("gnum", F.round("dist2", 6).alias("dist2"))
+    return spatial.distance_to_triangles(cloud(spark, sf_dir), t).select("gnum", F.round("dist2", 6).alias("dist2"))
 
 
 @query()
