@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import ELEMENT_FACES
+from gridloom.functions.predicates import same_cycle
+from gridloom.functions.tables import numbered
 from gridloom.operators.ids import from_keys
 
 
@@ -19,27 +21,31 @@ def sign(column: str):
 def transpose(conn: DataFrame) -> DataFrame:
     """B to A; the sign goes with the reference."""
     out = conn.select(F.abs("dst").alias("src"), (F.col("src") * sign("dst")).alias("dst"))
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy(F.abs("dst"), "dst")))
+    return numbered(out.withColumn("_a", F.abs("dst")), ["_a", "dst"], "pos", ["src"]).drop("_a")
 
 
-def combine(ab: DataFrame, bc: DataFrame) -> DataFrame:
-    """A to C, distinct and without signs."""
+def combine_pairs(ab: DataFrame, bc: DataFrame) -> DataFrame:
+    """A to C, distinct and without signs or places."""
     b = ab.select(F.col("src").alias("a"), F.abs("dst").alias("b")).distinct()
     c = bc.select(F.col("src").alias("b"), F.abs("dst").alias("c")).distinct()
-    out = b.join(c, "b").select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+    return b.join(c, "b").select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
+
+
+def combine(ab: DataFrame, bc: DataFrame) -> DataFrame:
+    """A to C, distinct and without signs, in the order of C."""
+    return numbered(combine_pairs(ab, bc), ["dst"], "pos", ["src"])
 
 
 def dual(conn: DataFrame, keep_self: bool = False) -> DataFrame:
     """A to A over shared B."""
-    out = combine(conn, transpose(conn)).select("src", "dst")
+    out = combine_pairs(conn, conn.select(F.abs("dst").alias("src"), F.col("src").alias("dst")))
     return out if keep_self else out.where("src <> dst")
 
 
 def compress(conn: DataFrame) -> DataFrame:
     """Each src's distinct references, in the order of their first position."""
     first = conn.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
-    return first.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("pos", "dst")))
+    return numbered(first.withColumnRenamed("pos", "_first"), ["_first", "dst"], "pos", ["src"]).drop("_first")
 
 
 def pairs_to_rows(pairs: DataFrame) -> DataFrame:
@@ -79,6 +85,71 @@ def extract(conn: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, D
     return out.select(F.col("_s").alias("src"), "pos", (F.col("_d") * sign("dst")).alias("dst")), src, dst
 
 
+def extract_mesh(chosen: DataFrame, cell_face: DataFrame, face_vtx: DataFrame) -> dict[str, DataFrame]:
+    """The sub-mesh of the chosen cells (gnum), level by level: cell_face and face_vtx with all sides numbered anew, and
+    the maps cells, faces and vertices (gnum, new) of what is in it. Places and signs stay."""
+    faces, cells, face = extract(cell_face, chosen)
+    ring, again, vertices = extract(face_vtx, face)
+    of_faces = again.join(face.withColumnRenamed("new", "by_cells"), "gnum")  # one numbering of the faces for both levels
+    ring = ring.join(of_faces.select(F.col("new").alias("src"), "by_cells"), "src").select(F.col("by_cells").alias("src"), "pos", "dst")
+    return {"cell_face": faces, "face_vtx": ring, "cells": cells, "faces": face, "vertices": vertices}
+
+
+def groups_of(groups: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Groups (kind, group, gnum) of what an extraction kept, under its new numbers."""
+    return groups.join(numbers, "gnum").select("kind", "group", F.col("new").alias("gnum"))
+
+
+def repaired(vertices: DataFrame, face_vtx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices that some face cites, densely renumbered, and the faces over them."""
+    used = vertices.join(face_vtx.select(F.abs("dst").alias("gnum")).distinct(), "gnum", "left_semi")
+    named = from_keys(used, ["gnum"], "new")
+    ring = face_vtx.withColumn("_a", F.abs("dst")).join(named.select(F.col("gnum").alias("_a"), "new"), "_a")
+    return named.drop("gnum").withColumnRenamed("new", "gnum").select(*vertices.columns), ring.select("src", "pos", (F.col("new") * sign("dst")).alias("dst"))
+
+
+def typed_sections(cell_face: DataFrame, face_vtx: DataFrame) -> DataFrame:
+    """(gnum, elt_type, vtx) of cells given by faces: tetra, pyramid, prism and hexa by their faces' sizes, with vertices
+    in the order of ELEMENT_FACES (a base seen from inside, then the vertex across each of its edges); other cells are
+    polyhedra, with their sorted vertices.
+
+    face_vtx: (src, pos, dst), pos in order; cell_face: a positive dst walks its face so that the normal points out.
+    """
+    ring = face_vtx.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("ring"))
+    every = cell_face.select("src", F.abs("dst").alias("face"), (F.col("dst") > 0).alias("out")).join(ring.withColumnRenamed("src", "face"), "face")
+    every = every.select("src", "face", F.when(F.col("out"), F.reverse("ring")).otherwise(F.col("ring")).alias("ring"))  # seen from inside
+    cells = every.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("face", "ring"))).alias("faces"), F.array_sort(F.collect_list(F.size("ring"))).alias("sizes"))
+    n = lambda *sizes: F.col("sizes") == F.array(*[F.lit(s) for s in sizes])
+    kind = F.when(n(3, 3, 3, 3), "tetra").when(n(3, 3, 3, 3, 4), "pyramid").when(n(3, 3, 4, 4, 4), "prism").when(n(4, 4, 4, 4, 4, 4), "hexa").otherwise("poly")
+    rings = F.transform("faces", lambda f: f["ring"])
+    size = F.when(kind.isin("tetra", "prism"), 3).otherwise(4)
+    cells = cells.select("src", kind.alias("elt_type"), rings.alias("rings"), size.alias("size"))
+    base = F.get(F.filter("rings", lambda r: F.size(r) == F.col("size")), F.lit(0))
+    cells = cells.withColumn("base", base)
+    # the vertex across a base vertex: its neighbour in a side face that isn't in the base
+    def across(v):
+        sides = F.filter("rings", lambda r: F.array_contains(r, v) & (F.size(F.array_except(r, "base")) > 0))
+        near = lambda r: F.filter(F.array(at(r, v, 1), at(r, v, -1)), lambda w: ~F.array_contains("base", w))
+        return F.get(F.flatten(F.transform(sides, near)), F.lit(0))
+
+    top = F.transform("base", across)
+    apex = F.array_distinct(top)
+    vtx = F.when(F.col("elt_type") == "poly", F.array_sort(F.array_distinct(F.flatten("rings")))).when(F.col("elt_type").isin("tetra", "pyramid"), F.concat("base", apex)).otherwise(F.concat("base", top))
+    return cells.select(F.col("src").alias("gnum"), "elt_type", vtx.alias("vtx"))
+
+
+def at(ring, v, step: int):
+    """The vertex `step` places after v in a ring."""
+    return F.get(ring, F.pmod(F.array_position(ring, v).cast("int") - 1 + step, F.size(ring)))
+
+
+def children_of(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """(child, parent, way): entities (gnum, vtx) with the same vertices; way is 1 if both walk them alike, else -1."""
+    key = lambda d: d.withColumn("key", F.array_join(F.transform(F.array_sort("vtx"), lambda v: F.lpad(v.cast("string"), 19, "0")), ","))
+    met = key(children).select(F.col("gnum").alias("child"), F.col("vtx").alias("cv"), "key").join(key(parents).select(F.col("gnum").alias("parent"), F.col("vtx").alias("pv"), "key"), "key")
+    return met.select("child", "parent", same_cycle(F.col("cv"), F.col("pv")).alias("way"))
+
+
 def unconnected(vertices: DataFrame, face_vtx: DataFrame) -> DataFrame:
     """Vertices that no face cites."""
     return vertices.join(face_vtx.select(F.abs("dst").alias("gnum")), "gnum", "left_anti")

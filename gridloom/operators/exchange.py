@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.tables import numbered
+
 TRIPLET = ("rank", "part", "lnum")
 
 
 def to_block(df: DataFrame, values: Sequence[str], mode: str = "cleanup", order: Sequence[str] = TRIPLET) -> DataFrame:
     """Partition to block, by gnum.
 
-    nothing: all rows, by gnum and arrival. cleanup: the first row of each gnum. merge: arrays in arrival order.
-    count: rows of each gnum. Arrival is `order`, which takes the place of an unspecified one.
+    nothing: all rows, by gnum and arrival. cleanup: the first row of each gnum. merge: all rows with their place `pos`
+    (from 0) among those of their gnum, in arrival order; a gnum of many rows is spread over tasks. arrays: merge, as one
+    row of arrays a gnum, for ids of few rows. count: rows of each gnum. Arrival is `order`, which takes the place of an
+    unspecified one.
     """
     if mode == "nothing":
         return df.select("gnum", *order, *values).repartitionByRange("gnum").sortWithinPartitions("gnum", *order)
@@ -24,6 +28,9 @@ def to_block(df: DataFrame, values: Sequence[str], mode: str = "cleanup", order:
     if mode == "cleanup":
         return df.groupBy("gnum").agg(F.min(row).alias("r")).select("gnum", *[F.col("r")[f"v_{v}"].alias(v) for v in values])
     if mode == "merge":
+        rows = numbered(df.select("gnum", *order, *values), [*order, *[v for v in values if v not in order]], "pos", ["gnum"])
+        return rows.select("gnum", (F.col("pos") - 1).alias("pos"), *values)
+    if mode == "arrays":
         rows = df.groupBy("gnum").agg(F.array_sort(F.collect_list(row)).alias("r"))
         return rows.select("gnum", *[F.col("r")[f"v_{v}"].alias(v) for v in values])
     raise ValueError(mode)
@@ -35,8 +42,8 @@ def to_parts(df: DataFrame, block: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def reverse(df: DataFrame, values: Sequence[str], order: Sequence[str] = TRIPLET) -> DataFrame:
-    """Each contributor gets the merged values of its gnum."""
-    merged = to_block(df, values, "merge", order)
+    """Each contributor gets the merged values of its gnum, as arrays."""
+    merged = to_block(df, values, "arrays", order)
     return df.select(*order, "gnum").join(merged, "gnum")
 
 
@@ -61,6 +68,19 @@ def across(bridge: DataFrame, values: DataFrame) -> DataFrame:
     return bridge.join(values.withColumnRenamed("gnum", "gnum1"), "gnum1")
 
 
+def back(bridge: DataFrame, values: DataFrame) -> DataFrame:
+    """Part 2 to part 1 over (gnum1, gnum2): each gnum1 gets the values of the gnum2 that it names."""
+    return bridge.join(values.withColumnRenamed("gnum", "gnum2"), "gnum2")
+
+
+def across_triplets(bridge: DataFrame, values: DataFrame) -> DataFrame:
+    """Part 1 to part 2 where the bridge names part 2 by place: (gnum1, o_rank, o_part, o_lnum). Part 2's places get the
+    values of the gnum1 that name them, in the order of gnum1 (pos)."""
+    met = bridge.join(values.withColumnRenamed("gnum", "gnum1"), "gnum1")
+    place = ["o_rank", "o_part", "o_lnum"]
+    return numbered(met, ["gnum1"], "pos", place).select(*[F.col(c).alias(c[2:]) for c in place], "pos", "gnum1", *[c for c in values.columns if c != "gnum"])
+
+
 def referenced(bridge: DataFrame, part2: DataFrame) -> DataFrame:
     return part2.join(bridge.select(F.col("gnum2").alias("gnum")), "gnum", "left_semi")
 
@@ -71,8 +91,7 @@ def unreferenced(bridge: DataFrame, part2: DataFrame) -> DataFrame:
 
 def come_from(bridge: DataFrame) -> DataFrame:
     """(gnum2, pos, gnum1): for each referenced id the distinct ids that name it, sorted."""
-    w = Window.partitionBy("gnum2").orderBy("gnum1")
-    return bridge.select("gnum1", "gnum2").distinct().withColumn("pos", F.row_number().over(w))
+    return numbered(bridge.select("gnum1", "gnum2").distinct(), ["gnum1"], "pos", ["gnum2"])
 
 
 def neighbours(values: DataFrame, graph: DataFrame) -> DataFrame:
@@ -83,8 +102,7 @@ def neighbours(values: DataFrame, graph: DataFrame) -> DataFrame:
 
 def location(df: DataFrame) -> DataFrame:
     """(gnum, pos, rank, part, lnum): where each global id lives."""
-    w = Window.partitionBy("gnum").orderBy(*TRIPLET)
-    return df.select("gnum", *TRIPLET).withColumn("pos", F.row_number().over(w))
+    return numbered(df.select("gnum", *TRIPLET), list(TRIPLET), "pos", ["gnum"])
 
 
 def shared_graph(df: DataFrame) -> DataFrame:

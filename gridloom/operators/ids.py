@@ -43,6 +43,34 @@ def from_coordinates(df: DataFrame, axes: Sequence[str] = ("x", "y", "z"), merge
     return numbered(keyed, ["_key", *axes, *order], out).drop("_key")
 
 
+def from_shared(df: DataFrame, graph: DataFrame, out: str = "gnum") -> DataFrame:
+    """Dense ids of entities (rank, part, lnum) of which some are shared, as a symmetric graph of all copies says (rank,
+    part, lnum, o_rank, o_part, o_lnum). The lowest copy owns an entity; ids go by the owner's rank and part, there first
+    those that nobody shares and then the shared ones, each by lnum. All copies get their owner's id."""
+    me = ["rank", "part", "lnum"]
+    low = graph.groupBy(*me).agg(F.min(F.struct(*[F.col(f"o_{c}").alias(c) for c in me])).alias("_other"))
+    owned = df.join(low, me, "left").withColumn("_shared", F.col("_other").isNotNull().cast("int"))
+    owned = owned.withColumn("_own", F.least(F.struct(*me), F.coalesce("_other", F.struct(*me))))
+    keys = {"_r": F.col("_own.rank"), "_p": F.col("_own.part"), "_s": F.col("_shared"), "_l": F.col("_own.lnum")}
+    return from_keys(owned.select(*df.columns, *[c.alias(k) for k, c in keys.items()]), list(keys), out).drop(*keys)
+
+
+def invert(perm: DataFrame) -> DataFrame:
+    """(gnum, image) of a permutation of 1 .. n as the same of its inverse."""
+    return perm.select(F.col("image").alias("gnum"), F.col("gnum").alias("image"))
+
+
+def permute(df: DataFrame, perm: DataFrame) -> DataFrame:
+    """Rows of df under their new ids: the row of gnum goes to image."""
+    return df.join(perm, "gnum").drop("gnum").withColumnRenamed("image", "gnum").select(*df.columns)
+
+
+def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
+    """(bin, n): counts of equal intervals [low, high), closed at the end; bin 0 is below, bins + 1 above."""
+    b = F.when(F.col(column) == high, bins).otherwise(F.width_bucket(F.col(column), F.lit(float(low)), F.lit(float(high)), F.lit(bins)))
+    return df.groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def unique_in_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row a key, the first in order."""
     every = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import sfc
-from gridloom.functions.tables import numbered
-from gridloom.operators.connectivity import dual
+from gridloom.functions.tables import materialise, numbered
+from gridloom.operators.connectivity import dual, sign
+from gridloom.operators.exchange import shared_graph
 from gridloom.operators.ids import weighted_split
 
 RENUMBERINGS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -39,54 +40,110 @@ def curve_split(df: DataFrame, parts: int, curve: str = "morton", axes: Sequence
 
 
 def assemble(df: DataFrame, order: Sequence[str] = ("gnum",)) -> DataFrame:
-    """Local numbers from 1 within each part."""
-    return df.withColumn("lnum", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    """Local numbers from 1 within each part, however large."""
+    return numbered(df, list(order), "lnum", ["part"]).withColumn("lnum", F.col("lnum").cast("int"))
 
 
 def renumber_faces(df: DataFrame) -> DataFrame:
     """Faces (part, face, c1, c2) in the order of their larger and smaller cell."""
     hi, lo = F.greatest("c1", "c2"), F.least("c1", "c2")
-    return df.withColumn("lnum", F.row_number().over(Window.partitionBy("part").orderBy(hi, lo, "face")))
+    keyed = df.withColumn("_hi", hi).withColumn("_lo", lo)
+    return assemble(keyed, ["_hi", "_lo", "face"]).drop("_hi", "_lo")
 
 
 def renumber_random(df: DataFrame, seed: int = 0) -> DataFrame:
-    return df.withColumn("lnum", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "gnum"), "gnum")))
+    return assemble(df.withColumn("_hash", F.xxhash64(F.lit(seed), "gnum")), ["_hash", "gnum"]).drop("_hash")
 
 
-def renumber_cuthill(df: DataFrame, edges: DataFrame) -> DataFrame:
+def renumber_cuthill(df: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """Bandwidth-reducing order of each part's graph, breadth first from a vertex of least degree, reversed.
 
-    df: (part, gnum); edges: (part, src, dst) within parts. One group is one part, whose size the caller's split bounds.
+    df: (part, gnum); edges: (part, src, dst) within parts. All parts and all their connected pieces go on together, one
+    level of neighbours a round (a join and a range sort), so neither a part nor a piece must fit one task. Pieces follow
+    each other by their first vertices' degrees and ids; in a level, vertices go by the place of their first neighbour in
+    the level before, by degree and by id.
     """
-    import pandas as pd
-
-    def order(key, nodes, links):
-        near = {}
-        for a, b in zip(links["src"].tolist(), links["dst"].tolist(), strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        degree = lambda v: (len(near.get(v, ())), v)
-        seen, out = set(), []
-        for start in sorted(nodes["gnum"].tolist(), key=degree):
-            if start in seen:
-                continue
-            seen.add(start)
-            queue = [start]
-            for v in queue:
-                fresh = sorted((x for x in near.get(v, ()) if x not in seen), key=degree)
-                seen.update(fresh)
-                queue += fresh
-            out += queue
-        n = len(out)
-        return pd.DataFrame({"part": key[0], "gnum": out, "lnum": range(n, 0, -1)})
-
-    return df.select("part", "gnum").groupBy("part").cogroup(edges.select("part", "src", "dst").groupBy("part")).applyInPandas(order, "part int, gnum long, lnum int")
+    e = edges.where("src <> dst").select("part", "src", "dst")
+    near = materialise(e.unionByName(e.select("part", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    degree = near.groupBy("part", F.col("src").alias("gnum")).agg(F.count("*").alias("degree"))
+    nodes = df.select("part", "gnum").join(degree, ["part", "gnum"], "left").fillna(0, ["degree"])
+    nodes = materialise(nodes.join(pieces_of(nodes.select("part", "gnum"), near), ["part", "gnum"]))
+    first = nodes.groupBy("part", "piece").agg(F.min(F.struct("degree", "gnum")).alias("first"))
+    front = materialise(first.select("part", "piece", F.col("first.gnum").alias("gnum"), F.lit(1).cast("long").alias("place"), F.lit(0).alias("level")))
+    done = front
+    for level in range(1, most):
+        step = near.join(front.select("part", F.col("gnum").alias("src"), "place"), ["part", "src"]).groupBy("part", F.col("dst").alias("gnum")).agg(F.min("place").alias("before"))
+        step = step.join(done.select("part", "gnum"), ["part", "gnum"], "left_anti").join(nodes, ["part", "gnum"])
+        front = materialise(numbered(step, ["before", "degree", "gnum"], "place", ["part", "piece"]).select("part", "piece", "gnum", "place", F.lit(level).alias("level")))
+        if not front.limit(1).count():
+            break
+        done = done.unionByName(front)
+        if level % 20 == 0:
+            done = materialise(done)
+    starts = first.select("part", "piece", F.col("first.degree").alias("d0"), F.col("first.gnum").alias("g0"))
+    order = numbered(done.withColumnRenamed("place", "at").join(starts, ["part", "piece"]), ["d0", "g0", "level", "at"], "place", ["part"])
+    size = df.groupBy("part").agg(F.count("*").alias("n"))
+    return order.join(size, "part").select("part", "gnum", (F.col("n") - F.col("place") + 1).cast("int").alias("lnum"))
+
+
+def pieces_of(nodes: DataFrame, near: DataFrame, most: int = 60) -> DataFrame:
+    """(part, gnum, piece): the smallest gnum that a vertex of the part hangs together with, by rounds of least labels
+    among neighbours, each doubled by a look at the label's own label."""
+    now = materialise(nodes.select("part", "gnum", F.col("gnum").alias("piece")))
+    for _ in range(most):
+        seen = near.join(now.select("part", F.col("gnum").alias("dst"), "piece"), ["part", "dst"]).groupBy("part", F.col("src").alias("gnum")).agg(F.min("piece").alias("other"))
+        low = now.join(seen, ["part", "gnum"], "left").select("part", "gnum", F.col("piece").alias("old"), F.least("piece", F.coalesce("other", "piece")).alias("low"))
+        far = low.select("part", F.col("gnum").alias("low"), F.col("low").alias("far"))
+        step = materialise(low.join(far, ["part", "low"]).select("part", "gnum", "old", F.least("low", "far").alias("piece")))
+        now = step.select("part", "gnum", "piece")
+        if not step.where("old <> piece").limit(1).count():
+            return now
+    raise RuntimeError("pieces did not settle")
 
 
 register_renumbering("natural", assemble)
 register_renumbering("random", renumber_random)
 
 
+def localise(conn: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
+    """Global (src, pos, dst) as (part, src, pos, dst) in local numbers; src, dst: (part, gnum, lnum). Signs stay; rows go
+    to every part that has both sides."""
+    a = src.select("part", F.col("gnum").alias("src"), F.col("lnum").alias("_s"))
+    b = dst.select("part", F.col("gnum").alias("_a"), F.col("lnum").alias("_d"))
+    met = conn.withColumn("_a", F.abs("dst")).join(a, "src").join(b, ["part", "_a"])
+    return met.select("part", F.col("_s").alias("src"), "pos", (F.col("_d") * sign("dst")).cast("long").alias("dst"))
+
+
+def entities_of(split: DataFrame, conn: DataFrame) -> DataFrame:
+    """(part, gnum): the dst that the entities of each part cite."""
+    return conn.join(split.select("part", F.col("gnum").alias("src")), "src").select("part", F.abs("dst").alias("gnum")).distinct()
+
+
+def partition_mesh(split: DataFrame, cell_face: DataFrame, face_vtx: DataFrame, groups: DataFrame | None = None, renumber: str = "natural") -> dict[str, DataFrame]:
+    """A mesh by parts, end to end. split: (gnum, part) of the cells, by any split; groups: (kind, group, gnum) of faces.
+
+    cells, faces, vertices: (part, gnum, lnum), cells numbered by the registered method, the others by gnum. cell_face,
+    face_vtx: (part, src, pos, dst) in local numbers. face_cell: (part, face, c1, c2), the local cell that walks the face
+    outwards and the one that walks it inwards, 0 where there is none in the part. groups: (part, kind, group, lnum).
+    face_graph, vertex_graph: which copies of faces and vertices are one, (gnum, rank, part, lnum, o_rank, o_part, o_lnum)
+    with rank 0.
+    """
+    cells = materialise(RENUMBERINGS[renumber](split.select("part", "gnum")).select("part", "gnum", "lnum"))
+    faces = materialise(assemble(entities_of(cells, cell_face)))
+    vertices = materialise(assemble(entities_of(faces, face_vtx)))
+    by_cell = localise(cell_face, cells, faces)
+    side = lambda c: F.coalesce(F.max(F.when(c, F.col("src"))), F.lit(0)).cast("int")
+    out = {
+        "cells": cells, "faces": faces, "vertices": vertices, "cell_face": by_cell, "face_vtx": localise(face_vtx, faces, vertices),
+        "face_cell": by_cell.groupBy("part", F.abs("dst").alias("face")).agg(side(F.col("dst") > 0).alias("c1"), side(F.col("dst") < 0).alias("c2")),
+    }
+    for name, own in (("face", faces), ("vertex", vertices)):
+        out[f"{name}_graph"] = shared_graph(own.select(F.lit(0).alias("rank"), "part", "lnum", "gnum"))
+    if groups is not None:
+        out["groups"] = groups.join(faces, "gnum").select("part", "kind", "group", "lnum")
+    return out
+
+
 def ghost_layers(cells: DataFrame, conn: DataFrame, depth: int = 1) -> DataFrame:
     """(part, gnum, layer): cells within depth steps of each part over shared dst, layer 0 being the part's own."""
     near = dual(conn).select(F.col("src").alias("gnum"), F.col("dst").alias("next"))

@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
+from gridloom.functions.predicates import fan
 from gridloom.functions.tables import materialise
+from gridloom.operators.connectivity import descend
+from gridloom.operators.elements import tetras_of, with_points
 
 XYZ = ("x", "y", "z")
 
@@ -192,6 +195,28 @@ def locate_in_tetras(points: DataFrame, tetras: DataFrame, tolerance: float = 1e
     return inside.groupBy("gnum").agg(F.min(F.struct(F.col("b_gnum").alias("elt"), "weights")).alias("m")).select("gnum", "m.elt", "m.weights")
 
 
+def locate(points: DataFrame, elements: DataFrame, vertices: DataFrame, tolerance: float = 1e-10) -> DataFrame:
+    """(gnum, elt, located, dist2, foot) for each point, in a mesh of tetrahedra, pyramids, prisms and hexahedra: the
+    containing element, by its tetrahedra, with distance 0; for the others the element with the nearest face, the squared
+    distance and the nearest place. Ties go to the smaller id."""
+    corner = lambda d, names: d.select("gnum", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    parts = materialise(tetras_of(elements))
+    inside = locate_in_tetras(points, corner(with_points(parts, vertices), "abcd"), tolerance).select("gnum", F.expr("(elt - 1) div 6 + 1").alias("elt"))
+    inside = materialise(inside)
+    where = F.struct("x", "y", "z")
+    found = points.join(inside, "gnum").select("gnum", "elt", F.lit(True).alias("located"), F.lit(0.0).alias("dist2"), where.alias("foot"))
+    out = materialise(points.join(inside.select("gnum"), "gnum", "left_anti"))
+    if not out.limit(1).count():
+        return found
+    # faces of one element alone bound the mesh; the nearest place of a point outside lies on them
+    faces, walked = descend(elements)
+    rim = walked.groupBy(F.abs("dst").alias("face")).agg(F.count("*").alias("n"), F.min("src").alias("elt")).where("n = 1")
+    tri = materialise(rim.join(faces, "face").select("elt", F.posexplode(fan(F.col("vtx"))).alias("k", "vtx"), "face"))
+    tri = tri.select((F.col("face") * 4 + F.col("k")).alias("gnum"), "vtx", "elt")
+    near = distance_to_triangles(out, corner(with_points(tri, vertices), "abc")).join(tri.select(F.col("gnum").alias("tri"), "elt"), "tri")
+    return found.unionByName(near.select("gnum", "elt", F.lit(False).alias("located"), "dist2", F.col("closest").alias("foot")))
+
+
 def interpolate(located: DataFrame, values: DataFrame) -> DataFrame:
     """Each located point gets its element's value."""
     return located.join(values.withColumnRenamed("gnum", "elt"), "elt")

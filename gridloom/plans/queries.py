@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.functions import sfc
-from gridloom.operators import connectivity, exchange, ids, isosurface, partition, reduce, spatial
+from gridloom.functions.tables import numbered
+from gridloom.operators import connectivity, elements, exchange, ids, isosurface, partition, reduce, spatial
 from gridloom.sources import generators
 
 QUERIES: dict = {}
@@ -64,7 +65,7 @@ def ptb_cleanup(spark, sf_dir):
 
 @query(f"WITH l AS {LI} SELECT gnum, CAST(row_number() OVER (PARTITION BY gnum ORDER BY rank, part, lnum, l_partkey) - 1 AS INTEGER) AS pos, l_partkey FROM l")
 def ptb_merge(spark, sf_dir):
-    return exchange.to_block(frame(spark, sf_dir), ["l_partkey"], "merge").select("gnum", F.posexplode("l_partkey").alias("pos", "l_partkey"))
+    return exchange.to_block(frame(spark, sf_dir), ["l_partkey"], "merge").select("gnum", F.col("pos").cast("int").alias("pos"), "l_partkey")
 
 
 @query("SELECT l_orderkey AS gnum, count(*) AS n FROM lineitem GROUP BY 1")
@@ -409,7 +410,16 @@ def distance_to_plane(spark, sf_dir):
     return spatial.distance_to_triangles(cloud(spark, sf_dir), t).select("gnum", F.round("dist2", 6).alias("dist2"))
 
 
-@query()
+def _hilbert_sql(level: int) -> str:
+    """The fold of the curve's levels as nested selects."""
+    out = "SELECT o_orderkey, CAST(o_orderkey % 1024 AS BIGINT) AS x, CAST(o_custkey % 1024 AS BIGINT) AS y, CAST(0 AS BIGINT) AS d FROM orders"
+    for i in range(level - 1, -1, -1):
+        n = 1 << i
+        out = f"SELECT o_orderkey, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN {n} - 1 - fy ELSE fy END ELSE fx END AS x, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN {n} - 1 - fx ELSE fx END ELSE fy END AS y, d + xor(3 * rx, ry) * {n * n} AS d FROM (SELECT *, x - rx * {n} AS fx, y - ry * {n} AS fy FROM (SELECT *, CAST(x >= {n} AS BIGINT) AS rx, CAST(y >= {n} AS BIGINT) AS ry FROM ({out})))"
+    return f"SELECT o_orderkey, CAST(d AS BIGINT) AS key FROM ({out})"
+
+
+@query(_hilbert_sql(10))
 def hilbert_order(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     return o.select("o_orderkey", sfc.hilbert2(F.col("o_orderkey") % 1024, F.col("o_custkey") % 1024, 10).alias("key"))
@@ -421,3 +431,188 @@ def cuthill_order(spark, sf_dir):
     conn = generators.cube_faces(spark, 8).where("c2 > 0").select("c1", "c2")
     e = conn.join(n.select(F.col("gnum").alias("c1"), F.col("part").alias("p1")), "c1").join(n.select(F.col("gnum").alias("c2"), F.col("part").alias("p2")), "c2").where("p1 = p2")
     return partition.renumber_cuthill(n, e.select(F.col("p1").alias("part"), F.col("c1").alias("src"), F.col("c2").alias("dst")))
+
+
+def entities(spark, sf_dir):
+    """The distinct places of lineitem's frame."""
+    return frame(spark, sf_dir).select("rank", "part", "lnum", "gnum").distinct()
+
+
+EN = f"(SELECT DISTINCT rank, part, lnum, gnum FROM {LI})"
+
+
+@query(f"""WITH e AS {EN}, o AS (SELECT *, min(rank * 1000 + part) OVER (PARTITION BY gnum) AS own, CAST(count(*) OVER (PARTITION BY gnum) > 1 AS INTEGER) AS shared FROM e)
+SELECT rank, part, lnum, dense_rank() OVER (ORDER BY own, shared, lnum) AS id FROM o""")
+def gnum_shared(spark, sf_dir):
+    """Dense ids of entities whose copies only the communication graph tells."""
+    e = entities(spark, sf_dir)
+    return ids.from_shared(e.drop("gnum"), exchange.shared_graph(e).drop("gnum"), "id")
+
+
+RANKED = "(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS gnum, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS image FROM orders)"
+
+
+def price_order(spark, sf_dir):
+    """The permutation from the order of keys to the order of prices."""
+    o = numbered(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "gnum")
+    return numbered(o, ["o_totalprice", "o_orderkey"], "image")
+
+
+@query(f"SELECT image AS gnum, gnum AS image FROM {RANKED}")
+def perm_inverse(spark, sf_dir):
+    return ids.invert(price_order(spark, sf_dir).select("gnum", "image"))
+
+
+@query(f"SELECT image AS gnum, o_orderkey FROM {RANKED}")
+def perm_apply(spark, sf_dir):
+    p = price_order(spark, sf_dir)
+    return ids.permute(p.select("gnum", "o_orderkey"), p.select("gnum", "image"))
+
+
+@query("SELECT CAST(CASE WHEN o_totalprice < 50000 THEN 0 WHEN o_totalprice = 400000 THEN 14 WHEN o_totalprice > 400000 THEN 15 ELSE floor((o_totalprice - 50000) / 25000) + 1 END AS INTEGER) AS bin, count(*) AS n FROM orders GROUP BY 1")
+def histogram(spark, sf_dir):
+    return ids.histogram(read(spark, sf_dir, "orders"), "o_totalprice", 50_000, 400_000, 14)
+
+
+@query("SELECT l_partkey AS a, l_suppkey AS b, round(sum(l_quantity), 4) AS total FROM lineitem GROUP BY 1, 2")
+def unique_sum(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.round(F.sum("l_quantity"), 4).alias("total"))
+
+
+@query("SELECT o_orderkey AS gnum, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def extract_semi(spark, sf_dir):
+    chosen = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gnum"), "o_custkey").join(chosen, "o_custkey", "left_semi")
+
+
+@query(f"WITH e AS {EN} SELECT a.rank, a.part, a.gnum, b.part AS o_part, round(o_totalprice * b.part, 4) AS v FROM e a JOIN e b ON a.gnum = b.gnum AND a.part <> b.part JOIN orders ON o_orderkey = b.gnum")
+def neighbour_exchange(spark, sf_dir):
+    """Each copy gets the values of its neighbours along the communication graph."""
+    e = entities(spark, sf_dir)
+    price = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gnum"), "o_totalprice")
+    values = e.join(price, "gnum").select("rank", "part", "lnum", F.round(F.col("o_totalprice") * F.col("part"), 4).alias("v"))
+    return exchange.neighbours(values, exchange.shared_graph(e)).select("rank", "part", "gnum", "o_part", "v")
+
+
+@query("""WITH c AS (SELECT max(c_custkey) AS n FROM customer), u AS (SELECT c_custkey AS gnum, c_acctbal AS bal FROM customer UNION ALL SELECT s_suppkey + n, s_acctbal FROM supplier, c)
+SELECT gnum, round(bal, 4) AS bal FROM u""")
+def multi_block(spark, sf_dir):
+    c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    size = c.agg(F.max("c_custkey")).first()[0] or 0
+    both = exchange.multi_block([c.select(F.col("c_custkey").alias("gnum"), F.col("c_acctbal").alias("bal")), s.select(F.col("s_suppkey").alias("gnum"), F.col("s_acctbal").alias("bal"))], [size, 0])
+    return both.withColumn("bal", F.round("bal", 4))
+
+
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS gnum, o_custkey FROM orders), n AS (SELECT count(*) AS n FROM o),
+d AS (SELECT CAST(r AS INTEGER) AS rank, r * (n // 5) + least(r, n % 5) AS lo, (r + 1) * (n // 5) + least(r + 1, n % 5) AS hi FROM n, range(5) t(r))
+SELECT gnum, o_custkey, rank, gnum - 1 - lo AS pos FROM o JOIN d ON gnum - 1 >= lo AND gnum - 1 < hi""")
+def block_relayout(spark, sf_dir):
+    o = numbered(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], "gnum").select("gnum", "o_custkey")
+    return exchange.to_other_block(o, ids.uniform_distribution(spark, o.count(), 5))
+
+
+@query("SELECT DISTINCT l_partkey AS gnum1, CAST(l_suppkey % 3 AS INTEGER) AS rank, CAST(l_suppkey % 7 AS INTEGER) AS part, CAST(l_suppkey AS INTEGER) AS lnum, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS pos, round(p_retailprice, 4) AS price FROM lineitem JOIN part ON l_partkey = p_partkey")
+def ptp_triplet(spark, sf_dir):
+    """A bridge whose second side is named by place."""
+    b = bridge(spark, sf_dir).distinct()
+    at = [(F.col("gnum2") % 3).cast("int").alias("o_rank"), (F.col("gnum2") % 7).cast("int").alias("o_part"), F.col("gnum2").cast("int").alias("o_lnum")]
+    v = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum"), F.round("p_retailprice", 4).alias("price"))
+    return exchange.across_triplets(b.select("gnum1", *at), v)
+
+
+@query("SELECT l_partkey AS gnum1, l_suppkey AS gnum2, round(s_acctbal, 4) AS bal FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+def ptp_back(spark, sf_dir):
+    v = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gnum"), F.round("s_acctbal", 4).alias("bal"))
+    return exchange.back(bridge(spark, sf_dir), v).select("gnum1", "gnum2", "bal")
+
+
+#: Faces of the cube of 7 vertices an axis, as the generator numbers them.
+_FACES = " UNION ALL ".join(
+    f"SELECT {axis * 7 * 36} + 1 + i + j * {dims[0]} + k * {dims[0] * dims[1]} AS face, i, j, k, {axis} AS axis FROM range({dims[0]}) x(i), range({dims[1]}) y(j), range({dims[2]}) z(k)"
+    for axis, dims in enumerate(((7, 6, 6), (6, 7, 6), (6, 6, 7)))
+)
+_SIDES = f"""WITH f AS ({_FACES}), s AS (
+  SELECT face, i + j * 6 + k * 36 + 1 AS hi, i - CAST(axis = 0 AS INTEGER) + (j - CAST(axis = 1 AS INTEGER)) * 6 + (k - CAST(axis = 2 AS INTEGER)) * 36 + 1 AS lo, CASE axis WHEN 0 THEN i WHEN 1 THEN j ELSE k END AS place FROM f),
+cf AS (SELECT lo AS cell, face FROM s WHERE place > 0 UNION ALL SELECT hi, -face FROM s WHERE place < 6),
+p AS (SELECT cell, CAST(ntile(5) OVER (ORDER BY cell) - 1 AS INTEGER) AS part FROM (SELECT range + 1 AS cell FROM range(216)))"""
+
+
+def cube_parts(spark):
+    """The cube of 7 vertices an axis in five parts: split, signed cell faces (positive outwards on the cell that the normal
+    leaves) and the vertices of the faces."""
+    f = generators.cube_faces(spark, 7)
+    axis, at = F.col("axis"), F.col("group")
+    low = F.when(at % 2 == 1, F.lit(0)).otherwise(F.col("c1"))  # a face of group 1, 3 or 5 has its cell above it alone
+    high = F.when(at % 2 == 1, F.col("c1")).otherwise(F.col("c2"))
+    both = f.select("gnum", axis, low.alias("low"), high.alias("high"))
+    cell_face = both.where("low > 0").select(F.col("low").alias("src"), (2 * axis + 1).alias("pos"), F.col("gnum").alias("dst"))
+    cell_face = cell_face.unionByName(both.where("high > 0").select(F.col("high").alias("src"), (2 * axis).alias("pos"), (-F.col("gnum")).alias("dst")))
+    # the ring turns around the axis on axes 0 and 2 and against it on axis 1
+    ring = F.when(axis == 1, F.reverse("vtx")).otherwise(F.col("vtx"))
+    face_vtx = f.select(F.col("gnum").alias("src"), F.posexplode(ring).alias("pos", "dst"))
+    groups = f.where("group > 0").select(F.lit("side").alias("kind"), "group", "gnum")
+    return partition.implicit_split(spark.range(1, 217).select(F.col("id").alias("gnum")), 5), cell_face, face_vtx, groups
+
+
+@query(f"""{_SIDES}, l AS (SELECT part, 'cell' AS kind, cell AS gnum FROM p UNION ALL SELECT DISTINCT part, 'face', abs(face) FROM cf JOIN p USING (cell))
+SELECT part, kind, gnum, CAST(row_number() OVER (PARTITION BY part, kind ORDER BY gnum) AS INTEGER) AS lnum FROM l""")
+def mesh_partition(spark, sf_dir):
+    """Local numbers of the cells and faces of a partitioned mesh."""
+    split, cell_face, face_vtx, groups = cube_parts(spark)
+    out = partition.partition_mesh(split, cell_face, face_vtx, groups)
+    both = [out[n].select("part", F.lit(n[:4]).alias("kind"), "gnum", "lnum") for n in ("cells", "faces")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""{_SIDES}, c AS (SELECT part, cell, row_number() OVER (PARTITION BY part ORDER BY cell) AS l FROM p), u AS (SELECT DISTINCT part, abs(face) AS face FROM cf JOIN p USING (cell)),
+v AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY face) AS l FROM u)
+SELECT v.part, CAST(v.l AS BIGINT) AS face, CAST(max(CASE WHEN cf.face > 0 THEN c.l ELSE 0 END) AS INTEGER) AS c1, CAST(max(CASE WHEN cf.face < 0 THEN c.l ELSE 0 END) AS INTEGER) AS c2
+FROM v JOIN cf ON abs(cf.face) = v.face JOIN c ON c.cell = cf.cell AND c.part = v.part GROUP BY 1, 2""")
+def mesh_face_cells(spark, sf_dir):
+    """Which local cells each local face lies between."""
+    split, cell_face, face_vtx, _ = cube_parts(spark)
+    return partition.partition_mesh(split, cell_face, face_vtx)["face_cell"]
+
+
+@query("""WITH c AS (SELECT range + 1 AS gnum, range % 9 AS i, range // 9 % 9 AS j, range // 81 AS k FROM range(729)),
+e AS (SELECT gnum, CASE gnum % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END AS n, CASE gnum % 4 WHEN 0 THEN 'hexa' WHEN 1 THEN 'prism' WHEN 2 THEN 'pyramid' ELSE 'tetra' END AS t FROM c)
+SELECT (gnum - 1) * 6 + 1 + u AS gnum, t AS elt_type, round(1.0::DOUBLE / 729 / n, 9) AS volume, false AS flat FROM e, range(6) r(u) WHERE u < n""")
+def element_measures(spark, sf_dir):
+    m = elements.measures(generators.cube_mixed(spark, 10), generators.cube_vertices(spark, 10))
+    return m.select("gnum", "elt_type", F.round("volume", 9).alias("volume"), "flat")
+
+
+@query(f"""WITH c AS {CL} SELECT gnum, abs(x) <= 1 AND abs(y) <= 1 AND abs(z) <= 1 AS located,
+round(greatest(abs(x) - 1, 0) ** 2 + greatest(abs(y) - 1, 0) ** 2 + greatest(abs(z) - 1, 0) ** 2, 6) AS dist2 FROM c""")
+def locate_mixed(spark, sf_dir):
+    """All points in a mesh of hexahedra, prisms, pyramids and tetrahedra, or their distance to it."""
+    v = generators.cube_vertices(spark, 10, 2.0, (-1.0, -1.0, -1.0))
+    return spatial.locate(cloud(spark, sf_dir), generators.cube_mixed(spark, 10), v).select("gnum", "located", F.round("dist2", 6).alias("dist2"))
+
+
+@query("""WITH c AS (SELECT range + 1 AS gnum FROM range(125)),
+e AS (SELECT gnum, CASE gnum % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END AS n, CASE gnum % 4 WHEN 0 THEN 'hexa' WHEN 1 THEN 'prism' WHEN 2 THEN 'pyramid' ELSE 'tetra' END AS t FROM c)
+SELECT (gnum - 1) * 6 + 1 + u AS gnum, t AS elt_type, round(1.0::DOUBLE / 125 / n, 9) AS volume FROM e, range(6) r(u) WHERE u < n""")
+def nodal_from_faces(spark, sf_dir):
+    """Elements found again from their faces alone: type and volume."""
+    faces, signed = connectivity.descend(generators.cube_mixed(spark, 6))
+    back = connectivity.typed_sections(signed, faces.select(F.col("face").alias("src"), F.posexplode("vtx").alias("pos", "dst")))
+    return elements.measures(back, generators.cube_vertices(spark, 6)).select("gnum", "elt_type", F.round("volume", 9).alias("volume"))
+
+
+@query(f"""{_SIDES}, k AS (SELECT cell, abs(face) AS face FROM cf WHERE cell % 3 = 0)
+SELECT 'cell' AS kind, cell AS gnum, dense_rank() OVER (ORDER BY cell) AS new FROM (SELECT DISTINCT cell FROM k) UNION ALL SELECT 'face', face, dense_rank() OVER (ORDER BY face) FROM (SELECT DISTINCT face FROM k)""")
+def extract_mesh(spark, sf_dir):
+    """Cells of every third number with their faces and vertices, renumbered."""
+    _, cell_face, face_vtx, _ = cube_parts(spark)
+    out = connectivity.extract_mesh(spark.range(3, 217, 3).select(F.col("id").alias("gnum")), cell_face, face_vtx)
+    rows = [out[n].select(F.lit(n[:4]).alias("kind"), "gnum", "new") for n in ("cells", "faces")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""SELECT i + j * 10 + k * 100 + 1 AS v1, i + j * 10 + (k + 1) * 100 + 1 AS v2, round(CASE WHEN k = 4 THEN 0.0::DOUBLE ELSE 1.0 END, 6) AS t FROM range(10) a(i), range(10) b(j), range(9) c(k) WHERE k = 4""")
+def iso_on_vertices(spark, sf_dir):
+    """A level that passes through vertices: they count as below, so each is met once, from the edge above it."""
+    v = generators.cube_vertices(spark, 10).withColumn("value", F.expr("cast((gnum - 1) div 100 AS double) - 4"))
+    up = v.where("gnum <= 900").select(F.col("gnum").alias("v1"), (F.col("gnum") + 100).alias("v2"))
+    return isosurface.crossings(up, v).select("v1", "v2", F.round("t", 6).alias("t"))

@@ -1,4 +1,5 @@
-"""Mesh files as tables: ASCII STL, keyword meshes (.mesh), legacy VTK and EnSight Gold, read and written by Spark.
+"""Mesh files as tables: ASCII STL is read, keyword meshes (.mesh) and legacy VTK are read and written, EnSight Gold is
+written, all by Spark.
 
 Readers number the lines of the (possibly split) file in file order with a range sort, find the few keyword lines, and
 give every other line its section by an interval join with those; no file passes through one task or the driver.
@@ -80,7 +81,7 @@ def read_vtk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     vertices = at.groupBy("gnum").agg(*[F.max(F.when(F.col("a") == i, F.col("w"))).alias(a) for i, a in enumerate("xyz")])
     names = {r[0] for r in found}
     cells = rows.where(F.col("section").isin("CELLS", "POLYGONS"))
-    cells = numbered(cells, ["n"]).select("gnum", F.transform(F.slice(words(F.col("line")), 2, 1000), lambda x: x.cast("long") + 1).alias("vtx"))
+    cells = numbered(cells, ["n"]).select("gnum", F.transform(F.slice(words(F.col("line")), F.lit(2), F.size(words(F.col("line"))) - 1), lambda x: x.cast("long") + 1).alias("vtx"))
     if "CELL_TYPES" in names:
         kinds = F.create_map(*[x for k, v in VTK_TYPES.items() for x in (F.lit(k), F.lit(v))])
         types = token("CELL_TYPES").select(F.col("k").alias("gnum"), kinds[F.col("w").cast("int")].alias("elt_type"))

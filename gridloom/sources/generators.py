@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import HEXA_TETRAS
+
 
 def _ijk(df: DataFrame, n: tuple[int, int, int]) -> DataFrame:
     i, j, k = F.col("id") % n[0], F.expr(f"(id div {n[0]}) % {n[1]}"), F.expr(f"id div {n[0] * n[1]}")
@@ -34,13 +36,29 @@ def cube_cells(spark: SparkSession, n: int) -> DataFrame:
 
 def cube_tetras(spark: SparkSession, n: int) -> DataFrame:
     """Six tetrahedra a cell, numbered cell by cell."""
-    from gridloom.functions.geometry import HEXA_TETRAS
-
     parts = F.array(*[F.array(*[F.get("vtx", F.lit(i)) for i in t]) for t in HEXA_TETRAS])
     t = cube_cells(spark, n).select("gnum", F.posexplode(parts).alias("pos", "v"))
     return t.select(((F.col("gnum") - 1) * 6 + F.col("pos") + 1).alias("gnum"), F.lit("tetra").alias("elt_type"), F.col("v").alias("vtx"))
 
 
+#: How a hexahedron is cut into the elements of each type, all around the diagonal 0-6.
+CUTS = {
+    "hexa": ((0, 1, 2, 3, 4, 5, 6, 7),), "prism": ((0, 1, 2, 4, 5, 6), (0, 2, 3, 4, 6, 7)),
+    "pyramid": ((0, 1, 2, 3, 6), (0, 4, 5, 1, 6), (0, 3, 7, 4, 6)), "tetra": HEXA_TETRAS,
+}
+
+
+def cube_mixed(spark: SparkSession, n: int) -> DataFrame:
+    """Elements (gnum, elt_type, vtx) of all volume types over the vertices of the cube: cells 1, 2, 3, 4, .. stay
+    hexahedra or become prisms, pyramids and tetrahedra in turn; the elements of cell c are 6 (c - 1) + 1 and on."""
+    parts = None
+    for k, (kind, cut) in enumerate(CUTS.items()):
+        one = F.array(*[F.struct(F.lit(kind).alias("elt_type"), F.array(*[F.get("vtx", F.lit(i)) for i in e]).alias("vtx")) for e in cut])
+        parts = F.when(F.col("gnum") % 4 == k, one) if parts is None else parts.when(F.col("gnum") % 4 == k, one)
+    e = cube_cells(spark, n).select("gnum", F.posexplode(parts).alias("pos", "e"))
+    return e.select(((F.col("gnum") - 1) * 6 + F.col("pos") + 1).alias("gnum"), "e.elt_type", "e.vtx")
+
+
 def cube_faces(spark: SparkSession, n: int) -> DataFrame:
     """(axis, i, j, k, c1, c2, vtx, group): 3 n (n-1)**2 faces; c2 = 0 and a group 1 .. 6 on the boundary."""
     m, out = n - 1, None
