@@ -9,11 +9,24 @@ from gridloom.functions import geometry as G
 
 
 def orient2d(a: Column, b: Column, c: Column) -> Column:
-    """Positive if a, b, c turn left. Determinants of up to 15 digits are exact in decimals, so the sign is safe for
-    coordinates given to about seven digits; beyond that it has double's rounding."""
+    """Positive if a, b, c turn left, in double arithmetic; `orient2d_sure` says whether the sign is safe."""
     return (a["x"] - c["x"]) * (b["y"] - c["y"]) - (a["y"] - c["y"]) * (b["x"] - c["x"])
 
 
+def orient2d_sure(a: Column, b: Column, c: Column) -> Column:
+    """Whether rounding can't have changed the sign of orient2d: its size exceeds the bound of its rounding errors."""
+    left, right = (a["x"] - c["x"]) * (b["y"] - c["y"]), (a["y"] - c["y"]) * (b["x"] - c["x"])
+    return F.abs(left - right) > F.lit((3 + 16 * 2.0**-53) * 2.0**-53) * (F.abs(left) + F.abs(right))
+
+
+def in_sphere(a: Column, b: Column, c: Column, d: Column, e: Column) -> Column:
+    """Positive if e lies in the sphere of a, b, c, d, whose oriented volume is positive; in double arithmetic."""
+    p = [G.sub(x, e) for x in (a, b, c, d)]
+    q = [G.dot(x, x) for x in p]
+    det = lambda i, j, k: G.dot(p[i], G.cross(p[j], p[k]))
+    return q[0] * det(1, 2, 3) - q[1] * det(0, 2, 3) + q[2] * det(0, 1, 3) - q[3] * det(0, 1, 2)
+
+
 def orient3d(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Six times the volume of a, b, c, d, positive if d sees a, b, c clockwise."""
     return -6 * G.tetra_volume(a, b, c, d)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the folder that spark.checkpoint.dir names and read it back."""
+    """Write df to the folder that spark.checkpoint.dir names and read it back. The table goes when the session ends."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -20,6 +20,8 @@ def materialise(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,35 +1,46 @@
-"""Overlay of planar meshes of convex polygons: exact pieces and their areas."""
+"""Overlay of planar meshes of convex polygons: exact pieces and their areas, in folds over arrays of points."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import let
 from gridloom.operators.spatial import boxes_meet
 
 
-def clip(subject: list, window: list) -> list:
-    """The part of a convex polygon inside another one, both counter-clockwise lists of (x, y)."""
-    out = subject
-    for k, b in enumerate(window):
-        a = window[k - 1]
-        side = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in out]
-        kept = []
-        for i, p in enumerate(out):
-            q, s, t = out[i - 1], side[i - 1], side[i]
-            if (s < 0) != (t < 0):
-                u = s / (s - t)
-                kept.append((q[0] + u * (p[0] - q[0]), q[1] + u * (p[1] - q[1])))
-            if t >= 0:
-                kept.append(p)
-        out = kept
-        if not out:
-            break
-    return out
+def point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
 
 
-def area(ring: list) -> float:
-    return sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
+def before(ring: Column, i: Column) -> Column:
+    """The point before the i-th one of a ring."""
+    return F.get(ring, F.pmod(i - 1, F.size(ring)))
+
+
+def cut_by(ring: Column, a: Column, b: Column) -> Column:
+    """The part of a convex ring to the left of the line from a to b."""
+    side = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+    none = F.slice(ring, 1, 0)
+
+    def kept(e: Column) -> Column:
+        u = e["s"] / (e["s"] - e["t"])
+        crossing = point(e["q"]["x"] + u * (e["p"]["x"] - e["q"]["x"]), e["q"]["y"] + u * (e["p"]["y"] - e["q"]["y"]))
+        return F.concat(F.when((e["s"] < 0) != (e["t"] < 0), F.array(crossing)).otherwise(none), F.when(e["t"] >= 0, F.array(e["p"])).otherwise(none))
+
+    edge = lambda p, i: let(F.struct(p.alias("p"), before(ring, i).alias("q")), lambda e: let(F.struct(e["p"].alias("p"), e["q"].alias("q"), side(e["q"]).alias("s"), side(e["p"]).alias("t")), kept))
+    return F.flatten(F.transform(ring, edge))
+
+
+def clip(subject: Column, window: Column) -> Column:
+    """The part of a convex ring inside another one, both counter-clockwise arrays of points."""
+    edges = F.transform(window, lambda b, i: F.struct(before(window, i).alias("a"), b.alias("b")))
+    return F.aggregate(edges, subject, lambda out, e: cut_by(out, e["a"], e["b"]))
+
+
+def area(ring: Column) -> Column:
+    term = lambda b, i: let(before(ring, i), lambda a: a["x"] * b["y"] - a["y"] * b["x"])
+    return F.aggregate(F.transform(ring, term), F.lit(0.0), lambda s, x: s + x) / 2
 
 
 def overlay(left: DataFrame, right: DataFrame, least: float = 1e-15) -> DataFrame:
@@ -41,16 +52,5 @@ def overlay(left: DataFrame, right: DataFrame, least: float = 1e-15) -> DataFram
         return d.select("gnum", "ring", *ends)
 
     met = boxes_meet(boxed(left), boxed(right), ["x", "y"]).select("a_gnum", "b_gnum", "a_ring", "b_ring")
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = []
-            for a, b, p, q in zip(f["a_gnum"], f["b_gnum"], f["a_ring"], f["b_ring"], strict=True):
-                piece = clip([(v["x"], v["y"]) for v in p], [(v["x"], v["y"]) for v in q])
-                if (m := area(piece) if len(piece) > 2 else 0.0) > least:
-                    rows.append((a, b, m, [{"x": x, "y": y} for x, y in piece]))
-            yield pd.DataFrame(rows, columns=["a_gnum", "b_gnum", "measure", "piece"])
-
-    return met.mapInPandas(run, "a_gnum long, b_gnum long, measure double, piece array<struct<x: double, y: double>>")
+    cut = met.select("a_gnum", "b_gnum", clip(F.col("a_ring"), F.col("b_ring")).alias("piece"))
+    return cut.withColumn("measure", F.when(F.size("piece") > 2, area(F.col("piece"))).otherwise(0.0)).where(F.col("measure") > least).select("a_gnum", "b_gnum", "measure", "piece")

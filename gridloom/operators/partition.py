@@ -34,7 +34,7 @@ def curve_split(df: DataFrame, parts: int, curve: str = "morton", axes: Sequence
     """Chunks of a space-filling curve with nearly equal weight."""
     box = df.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)]).first()
     cells = [sfc.grid(F.col(a), box[f"min_{a}"], box[f"max_{a}"], level) for a in axes]
-    key = sfc.morton(cells, level) if curve == "morton" else sfc.hilbert2(cells[0], cells[1], level)
+    key = sfc.morton(cells, level) if curve == "morton" else sfc.hilbert(cells, level)
     w = F.col(weight) if weight else F.lit(1.0)
     return weighted_split(df.withColumn("_key", key).withColumn("_w", w), "_w", parts, ["_key", "gnum"], "part").drop("_key", "_w")
 

@@ -210,6 +210,14 @@ def test_hilbert_is_a_walk(spark):
     assert all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in zip(walk, walk[1:], strict=False))
 
 
+def test_hilbert_in_space(spark):
+    for n, level in ((8, 3), (2, 1)):
+        cells = spark.range(n**3).select((F.col("id") % n).alias("x"), F.expr(f"id div {n} % {n}").alias("y"), F.expr(f"id div {n * n}").alias("z"))
+        walk = cells.withColumn("k", sfc.hilbert([F.col("x"), F.col("y"), F.col("z")], level)).orderBy("k").collect()
+        assert [r.k for r in walk] == list(range(n**3))
+        assert all(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) == 1 for a, b in zip(walk, walk[1:], strict=False))
+
+
 def test_nearest_and_triangles(spark):
     cloud = generators.random_cloud(spark, 400, seed=4)
     v, t = generators.sphere(spark, 16, 9, 0.5)

@@ -17,6 +17,9 @@ def test_predicates(spark):
     p = lambda x, y: G.point(x, y, 0)
     assert one(spark, P.orient2d(p(0, 0), p(1, 0), p(0, 1))) > 0
     assert one(spark, P.in_circle(p(0, 0), p(1, 0), p(0, 1), p(0.6, 0.6))) > 0 > one(spark, P.in_circle(p(0, 0), p(1, 0), p(0, 1), p(2, 2)))
+    assert one(spark, P.orient2d_sure(p(0, 0), p(1, 0), p(0, 1))) and not one(spark, P.orient2d_sure(p(0, 0), p(0.1, 0.1), p(0.3, 0.3)))
+    q = [G.point(*x) for x in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1))]
+    assert one(spark, P.in_sphere(*q, G.point(0.4, 0.4, 0.4))) * one(spark, P.in_sphere(*q, G.point(2, 2, 2))) < 0 < one(spark, P.in_sphere(*q, G.point(0.4, 0.4, 0.4)))
     m = one(spark, P.line_meet(p(0, 0), p(1, 1), p(0, 1), p(1, 0)))
     assert (m.u, m.v) == (0.5, 0.5) and one(spark, P.line_meet(p(0, 0), p(1, 1), p(1, 0), p(2, 1))).u is None
     ring = F.array(p(0, 0), p(2, 0), p(2, 1), p(1, 0.5), p(0, 1))
