@@ -7,7 +7,8 @@ meet rows of that pair alone, so small boxes meet in small cells, and only what
 The vectors in use are few (`VECTORS` a side; the factor grows until they are), and a row goes once to each vector of
 the other side. A pair is found once: in the cell of the larger of the two lower corners.
 
-Calling a join runs small jobs: the medians and the vectors in use.
+Calling a join runs small jobs: the medians, the bounding boxes (rows outside the other side's are left out at once) and
+the vectors in use.
 """
 
 from __future__ import annotations
@@ -30,15 +31,20 @@ XYZ = ("x", "y", "z")
 VECTORS, CROWD = 64, 4096
 
 
-def units_of(sides: Sequence[tuple[DataFrame, dict]], axes: Sequence[str]) -> dict[str, float]:
-    """The larger median size on each axis; the mean where that is 0, and 1 where all are."""
-    out = dict.fromkeys(axes, 0.0)
-    for df, ends in sides:
-        size = {a: F.col(ends[a][1]) - F.col(ends[a][0]) for a in axes}
-        got = df.agg(*[f(size[a]).alias(f"{a}{k}") for a in axes for k, f in enumerate((lambda c: F.percentile_approx(c, 0.5), F.avg))]).first()
-        for a in axes:
-            out[a] = max(out[a], got[f"{a}0"] or got[f"{a}1"] or 0.0)
-    return {a: u if u > 0 else 1.0 for a, u in out.items()}
+def extent(df: DataFrame, ends: dict, axes: Sequence[str]) -> dict[str, tuple]:
+    """The median size (the mean where that is 0), the lowest and the highest end on each axis."""
+    size = {a: F.col(ends[a][1]) - F.col(ends[a][0]) for a in axes}
+    sums = [f.alias(f"{a}{k}") for a in axes for k, f in enumerate((F.percentile_approx(size[a], 0.5), F.avg(size[a]), F.min(ends[a][0]), F.max(ends[a][1])))]
+    got = df.agg(*sums).first()
+    return {a: (got[f"{a}0"] or got[f"{a}1"] or 0.0, got[f"{a}2"], got[f"{a}3"]) for a in axes}
+
+
+def within(df: DataFrame, ends: dict, other: dict[str, tuple]) -> DataFrame:
+    """The rows that the other side's bounding box meets."""
+    for a, (_, low, high) in other.items():
+        if low is not None:
+            df = df.where((F.col(ends[a][0]) <= high) & (F.col(ends[a][1]) >= low))
+    return df
 
 
 def levels(df: DataFrame, ends: dict, axes: Sequence[str], units: dict[str, float], factor: float) -> DataFrame:
@@ -51,7 +57,9 @@ def meet(left: DataFrame, right: DataFrame, lends: dict, rends: dict, axes: Sequ
     """Pairs of rows whose closed intervals overlap on every axis; lends and rends: axis to the columns of its two ends.
     The column names of the two sides must differ."""
     left, right = materialise(left), materialise(right)
-    units, factor = units_of([(left, lends), (right, rends)], axes), 4.0
+    size = extent(left, lends, axes), extent(right, rends, axes)
+    left, right, factor = within(left, lends, size[1]), within(right, rends, size[0]), 4.0
+    units = {a: max(size[0][a][0], size[1][a][0]) or 1.0 for a in axes}
     while True:
         a, b = levels(left, lends, axes, units, factor), levels(right, rends, axes, units, factor)
         used = [sorted(tuple(r[0]) for r in x.select("_level").distinct().limit(VECTORS + 1).collect()) for x in (a, b)]

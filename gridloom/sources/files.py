@@ -89,6 +89,54 @@ def read_vtk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, cells.select("gnum", F.when(F.size("vtx") == 3, "triangle").when(F.size("vtx") == 4, "quad").otherwise("polygon").alias("elt_type"), "vtx")
 
 
+def read_vtk_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, name, gnum, comp, value): the scalar and vector fields of points and cells of a legacy VTK file."""
+    lines = lines_of(spark, path)
+    heads = [(h["line"].split(" "), h["n"]) for h in lines.where(F.col("line").rlike("^[A-Z_]{5,}") & (F.col("n") > 2)).orderBy("n").collect()]  # a line a section
+    found, kind, name, comps = [], None, None, 1
+    for k, (head, n) in enumerate(heads):
+        last = heads[k + 1][1] if k + 1 < len(heads) else 1 << 62
+        if head[0] in ("POINT_DATA", "CELL_DATA"):
+            kind = head[0][:-5].lower()
+        elif head[0] == "SCALARS":
+            name, comps = head[1], int(head[3]) if len(head) > 3 else 1
+        elif head[0] == "LOOKUP_TABLE" and name:
+            found.append((kind, name, comps, n, last))
+        elif head[0] == "VECTORS":
+            found.append((kind, head[1], 3, n, last))
+    sections = F.broadcast(spark.createDataFrame(found, "kind string, name string, comps int, lo long, hi long"))
+    rows = lines.join(sections, (F.col("n") > F.col("lo")) & (F.col("n") < F.col("hi"))).select("kind", "name", "comps", "n", F.posexplode(words(F.col("line"))).alias("p", "w"))
+    at = numbered(rows, ["n", "p"], "k", ["kind", "name"])
+    return at.select("kind", "name", F.expr("(k - 1) div comps + 1").alias("gnum"), F.expr("cast((k - 1) % comps AS int)").alias("comp"), F.col("w").cast("double").alias("value"))
+
+
+def read_solution(spark: SparkSession, path: str) -> DataFrame:
+    """(gnum, values array<double>): the solution at the vertices of a keyword file."""
+    lines = lines_of(spark, path).where("line NOT LIKE '#%'")
+    start = lines.where("line LIKE 'SolAtVertices%'").first()["n"]
+    end = lines.where(F.col("line").rlike("^[A-Za-z]") & (F.col("n") > start)).agg(F.min("n")).first()[0] or 1 << 62
+    rows = numbered(lines.where((F.col("n") > start + 2) & (F.col("n") < end)), ["n"])
+    return rows.select("gnum", F.transform(words(F.col("line")), lambda x: x.cast("double")).alias("values"))
+
+
+def solution_lines(values: DataFrame, kinds: list[int]) -> DataFrame:
+    """Lines of a solution file for (gnum, values); kinds: 1 for each scalar, 2 for a vector, 3 for a metric."""
+    heads = {0: f"MeshVersionFormatted 2\nDimension 3\nSolAtVertices\n{values.count()}\n{len(kinds)} {' '.join(map(str, kinds))}", 2: "End"}
+    rows = values.select(F.lit(1).alias("section"), F.col("gnum").alias("row"), F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("line"))
+    return rows.union(_heads(values.sparkSession, heads))
+
+
+def ensight_variable_lines(name: str, field: DataFrame) -> DataFrame:
+    """Lines of an EnSight Gold file of one scalar per node: (gnum, value) in the order of gnum."""
+    rows = field.select(F.lit(1).alias("section"), F.col("gnum").alias("row"), F.format_string("%12.5e", "value").alias("line"))
+    return rows.union(_heads(field.sparkSession, {0: f"{name}\npart\n{1:>10}\ncoordinates"}))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (section, row, line) as ordered part files."""
+    lines.repartitionByRange("section", "row").sortWithinPartitions("section", "row").select("line").write.text(path)
+
+
 def _heads(spark: SparkSession, texts: Mapping[int, str]) -> DataFrame:
     return spark.createDataFrame([(s, 0, t) for s, t in texts.items()], "section int, row long, line string")
 
@@ -166,8 +214,7 @@ for _name, _f in (("vtk", vtk_lines), ("mesh", mesh_lines), ("ensight", ensight_
 
 def write(fmt: str, path: str, vertices: DataFrame, elements: DataFrame, **fields: DataFrame) -> None:
     """Write the lines of a registered format as ordered part files."""
-    lines = FORMATS[fmt](vertices, elements, **fields)
-    lines.repartitionByRange("section", "row").sortWithinPartitions("section", "row").select("line").write.text(path)
+    write_lines(FORMATS[fmt](vertices, elements, **fields), path)
 
 
 def write_block(df: DataFrame, path: str, by: str = "gnum") -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import HEXA_TETRAS
+from gridloom.functions.tables import materialise, numbered
+from gridloom.operators.ids import from_keys
 
 
 def _ijk(df: DataFrame, n: tuple[int, int, int]) -> DataFrame:
@@ -107,3 +109,64 @@ def random_cloud(spark: SparkSession, n: int, seed: int = 0, low: float = 0.0, h
 def random_boxes(spark: SparkSession, n: int, size: float, seed: int = 0) -> DataFrame:
     c = random_cloud(spark, n, seed)
     return c.select("gnum", *[F.col(a).alias(f"{a}min") for a in "xyz"], *[(F.col(a) + size).alias(f"{a}max") for a in "xyz"])
+
+
+def icosphere(spark: SparkSession, n: int, radius: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Vertices and triangles of an icosahedron whose faces are cut into n * n triangles, on the sphere. A vertex is known
+    by the corners it lies between and its weights there, so faces share their edges' vertices exactly."""
+    g = (1 + 5**0.5) / 2
+    corners = [(s * a, t * b, 0.0) for a, b in ((1.0, g),) for s in (1, -1) for t in (1, -1)]
+    corners = corners + [(0.0, x, y) for x, y, _ in corners] + [(y, 0.0, x) for x, y, _ in corners]
+    near = lambda p, q: abs(sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) - 4) < 1e-9
+    faces = [(i, j, k) for i in range(12) for j in range(i) for k in range(j) if near(corners[i], corners[j]) and near(corners[j], corners[k]) and near(corners[i], corners[k])]
+
+    def outward(f):
+        a, b, c = (corners[i] for i in f)
+        u, v = [[q - p for p, q in zip(a, x, strict=True)] for x in (b, c)]
+        normal = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+        return f if sum(x * y for x, y in zip(normal, a, strict=True)) > 0 else (f[0], f[2], f[1])
+
+    table = spark.createDataFrame([(k, *outward(f)) for k, f in enumerate(faces)], "f int, p int, q int, r int")  # 20 rows
+    i, j = F.expr(f"id div {n + 1}"), F.col("id") % (n + 1)
+    grid = spark.range((n + 1) ** 2).select(i.cast("int").alias("i"), j.cast("int").alias("j")).where(F.col("i") + F.col("j") <= n)
+    parts = F.array(*[F.struct(F.col(c).alias("c"), w.alias("w")) for c, w in (("p", F.lit(n) - F.col("i") - F.col("j")), ("q", F.col("i")), ("r", F.col("j")))])
+    held = F.array_sort(F.filter(parts, lambda x: x["w"] > 0))
+    key = F.array_join(F.transform(held, lambda x: F.concat_ws(":", x["c"].cast("string"), x["w"].cast("string"))), ",")
+    at = materialise(from_keys(grid.join(F.broadcast(table)).select("f", "i", "j", held.alias("held"), key.alias("key")), ["key"]).drop("key"))
+    axis = [F.array(*[F.lit(c[a]) for c in corners]) for a in range(3)]
+    along = lambda a: F.aggregate("held", F.lit(0.0), lambda t, x: t + F.get(axis[a], x["c"]) * x["w"])
+    place = [along(a) for a in range(3)]
+    v = at.groupBy("gnum").agg(F.first("held").alias("held")).select("gnum", *[c.alias(a) for c, a in zip(place, "xyz", strict=True)])
+    size = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) / radius
+    own = lambda di, dj: F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"))
+    up = F.when(F.col("i") + F.col("j") < n, F.array(own(0, 0), own(1, 0), own(0, 1)))
+    down = F.when(F.col("i") + F.col("j") < n - 1, F.array(own(1, 0), own(1, 1), own(0, 1)))
+    tri = at.select("f", "i", "j", F.explode(F.filter(F.array(up, down), lambda t: t.isNotNull())).alias("t"))
+    tri = tri.select("f", "i", "j", F.xxhash64("f", "t").alias("tri"), F.posexplode("t").alias("pos", "at")).select("tri", "pos", "f", "at.i", "at.j")
+    tri = tri.join(at.select("f", "i", "j", "gnum"), ["f", "i", "j"]).groupBy("tri").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gnum"))), lambda x: x["gnum"]).alias("vtx"))
+    return v.select("gnum", *[(F.col(a) / size).alias(a) for a in "xyz"]), tri.select(F.lit("triangle").alias("elt_type"), "vtx")
+
+
+def ball(spark: SparkSession, n: int, layers: int, radius: float = 1.0, inner: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Vertices and elements (gnum, elt_type, vtx) of a ball of icosphere shells: prisms between the shells and, unless the
+    ball is hollow from `inner` outwards, tetrahedra around the center."""
+    shell, tri = icosphere(spark, n)
+    shell, tri = materialise(shell), materialise(numbered(tri, ["vtx"], "t"))
+    size, faces = shell.count(), tri.count()
+    hollow = inner > 0
+    at = F.explode(F.sequence(F.lit(0 if hollow else 1), F.lit(layers))).alias("k")
+    r = F.lit(inner) + F.col("k") * ((radius - inner) / layers)
+    first = 0 if hollow else 1
+    v = shell.select("gnum", "x", "y", "z", at).select((F.col("gnum") + (F.col("k") - first) * size).alias("gnum"), *[(F.col(a) * r).alias(a) for a in "xyz"])
+    between = F.explode(F.sequence(F.lit(0), F.lit(layers - 1 - first))).alias("k")
+    up = lambda d: F.transform("vtx", lambda x: x + (F.col("k") + d) * size)
+    e = tri.select("t", "vtx", between) if layers > first else None
+    out = None
+    if e is not None:
+        out = e.select((F.col("t") + F.col("k") * faces).alias("gnum"), F.lit("prism").alias("elt_type"), F.concat(up(0), up(1)).alias("vtx"))
+    if not hollow:
+        center = v.agg(F.max("gnum")).first()[0] + 1
+        v = v.unionByName(spark.createDataFrame([(center, 0.0, 0.0, 0.0)], "gnum long, x double, y double, z double"))
+        core = tri.select((F.col("t") + (layers - 1) * faces).alias("gnum"), F.lit("tetra").alias("elt_type"), F.concat(F.reverse("vtx"), F.array(F.lit(center))).alias("vtx"))
+        out = core if out is None else out.unionByName(core)
+    return v, out

@@ -33,6 +33,42 @@ def test_round_trip(spark, fmt, read):
     assert bag(v2.select("gnum", "x", "y", "z")) == bag(v) and bag(e2.select(e.columns)) == bag(e)
 
 
+def test_fields_and_solutions(spark):
+    v, e = generators.cube_vertices(spark, 4), generators.cube_cells(spark, 4)
+    folder = tempfile.mkdtemp(prefix="spark-") + "/out"
+    files.write("vtk", folder, v, e, p=v.select("gnum", F.col("x").alias("value")), q=v.select("gnum", (F.col("y") * 2).alias("value")))
+    got = {(r.kind, r.name, r.gnum, r.comp): r.value for r in files.read_vtk_fields(spark, one_file(folder)).collect()}
+    assert got == {("point", n, r.gnum, 0): x for r in v.collect() for n, x in (("p", r.x), ("q", 2 * r.y))}
+    folder = tempfile.mkdtemp(prefix="spark-") + "/out"
+    values = v.select("gnum", F.array("x", "y", "z", F.col("x") * 3).alias("values"))
+    files.write_lines(files.solution_lines(values, [2, 1]), folder)
+    assert bag(files.read_solution(spark, one_file(folder))) == bag(values)
+    folder = tempfile.mkdtemp(prefix="spark-") + "/out"
+    files.write_lines(files.ensight_variable_lines("p", v.select("gnum", F.col("x").alias("value"))), folder)
+    lines = open(one_file(folder)).read().split("\n")
+    assert lines[:4] == ["p", "part", "         1", "coordinates"] and float(lines[5]) == pytest.approx(1 / 3, abs=1e-5)
+
+
+def test_long_cells(spark):
+    path = tempfile.mktemp(suffix=".vtk")
+    with open(path, "w") as f:
+        f.write("# vtk DataFile Version 2.0\nlong\nASCII\nDATASET POLYDATA\nPOINTS 1500 double\n" + "".join(f"{k} 0 0\n" for k in range(1500)) + "POLYGONS 1 1501\n1500 " + " ".join(map(str, range(1500))) + "\n")
+    assert [len(r.vtx) for r in files.read_vtk(spark, path)[1].collect()] == [1500]
+
+
+def test_spheres_and_balls(spark):
+    from gridloom.operators import elements
+
+    v, t = generators.icosphere(spark, 4, 2.0)
+    assert v.count() == 10 * 16 + 2 and t.count() == 20 * 16
+    assert all(abs(r.x**2 + r.y**2 + r.z**2 - 4) < 1e-9 for r in v.collect())
+    for inner, want in ((0.0, 1.0), (0.5, 1 - 0.5**3)):
+        v, e = generators.ball(spark, 6, 3, 1.0, inner)
+        assert e.select("gnum").distinct().count() == e.count() == 20 * 36 * 3
+        m = elements.measures(e, v).agg(F.sum("volume"), F.min("volume")).first()
+        assert m[1] > 0 and abs(m[0] / (want * 4.18879) - 1) < 0.05
+
+
 def test_stl(spark):
     path = tempfile.mktemp(suffix=".stl")
     tri = [[(0, 0, 0), (1, 0, 0), (0, 1, 0)], [(1, 0, 0), (1, 1, 0), (0, 1, 0)]]
