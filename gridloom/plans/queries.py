@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geometry as G
 from gridloom.functions import sfc
 from gridloom.functions.tables import numbered
-from gridloom.operators import connectivity, elements, exchange, ids, isosurface, partition, reduce, spatial
+from gridloom.operators import connectivity, elements, exchange, ids, intersection, isosurface, partition, reduce, spatial
 from gridloom.sources import generators
 
 QUERIES: dict = {}
@@ -616,3 +616,40 @@ def iso_on_vertices(spark, sf_dir):
     v = generators.cube_vertices(spark, 10).withColumn("value", F.expr("cast((gnum - 1) div 100 AS double) - 4"))
     up = v.where("gnum <= 900").select(F.col("gnum").alias("v1"), (F.col("gnum") + 100).alias("v2"))
     return isosurface.crossings(up, v).select("v1", "v2", F.round("t", 6).alias("t"))
+
+
+def _overlap(axis: str) -> str:
+    return f"(least((a{axis} + 1) / 3.0::DOUBLE, (b{axis} + 1) / 4.0::DOUBLE) - greatest(a{axis} / 3.0::DOUBLE, b{axis} / 4.0::DOUBLE))"
+
+
+@query(f"""WITH a AS (SELECT range + 1 AS a_gnum, range % 3 AS ai, range // 3 % 3 AS aj, range // 9 AS ak FROM range(27)), b AS (SELECT range + 1 AS b_gnum, range % 4 AS bi, range // 4 % 4 AS bj, range // 16 AS bk FROM range(64)),
+m AS (SELECT *, {_overlap("i")} AS x, {_overlap("j")} AS y, {_overlap("k")} AS z FROM a, b) SELECT a_gnum, b_gnum, round(x * y * z, 9) AS measure FROM m WHERE x > 1e-9 AND y > 1e-9 AND z > 1e-9""")
+def intersect_volumes(spark, sf_dir):
+    """Cells of two cubes, cut into tetrahedra, prisms and pyramids: their common volumes are those of boxes."""
+    cells = lambda n: (generators.cube_mixed(spark, n), generators.cube_vertices(spark, n))
+    found = intersection.intersect_volumes(cells(4), cells(5), 1e-12)
+    cell = lambda c: F.expr(f"({c} - 1) div 6 + 1").alias(c)
+    return found.groupBy(cell("a_gnum"), cell("b_gnum")).agg(F.round(F.sum("measure"), 9).alias("measure")).where("measure > 1e-9")
+
+
+@query("""WITH c AS (SELECT range + 1 AS gnum, range % 6 AS i, range // 6 % 6 AS j, range // 36 AS k, CAST(range * 3 // 216 AS INTEGER) AS part FROM range(216)),
+d AS (SELECT a.part, b.gnum, min(greatest(abs(a.i - b.i), abs(a.j - b.j), abs(a.k - b.k))) AS layer FROM c a, c b GROUP BY 1, 2)
+SELECT part, gnum, CAST(layer AS INTEGER) AS layer FROM d WHERE layer <= 2""")
+def ghost_layers_deep(spark, sf_dir):
+    """Two layers of ghost cells over shared vertices."""
+    c = generators.cube_cells(spark, 7)
+    split = partition.implicit_split(c.select("gnum"), 3)
+    conn = c.select(F.col("gnum").alias("src"), F.posexplode("vtx").alias("pos", "dst"))
+    return partition.ghost_layers(split, conn, 2)
+
+
+@query("SELECT CAST(k AS INTEGER) AS layer, 642 AS vertices, round(4 * pi() / 3 * ((k + 1) / 2.0::DOUBLE) ** 3, 1) AS volume FROM range(2) t(k)")
+def ball_shells(spark, sf_dir):
+    """A ball of icosphere shells: vertices a shell and the volume within it, to one digit."""
+    v, e = generators.ball(spark, 8, 2)
+    m = elements.measures(e, v).select("elt_type", "volume")
+    inner = m.groupBy(F.when(F.col("elt_type") == "tetra", 0).otherwise(1).alias("layer")).agg(F.sum("volume").alias("own"))
+    r = F.round(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) * 2).cast("int") - 1
+    shells = v.groupBy(r.alias("layer")).agg(F.count("*").cast("int").alias("vertices")).where("layer >= 0")
+    total = inner.select(F.explode(F.sequence("layer", F.lit(1))).alias("layer"), "own").groupBy("layer").agg(F.round(F.sum("own"), 1).alias("volume"))
+    return shells.join(total, "layer").select("layer", "vertices", "volume")
