@@ -1,6 +1,6 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes log-count ratios (operator 3).
 
-A text's features are the hashed n-grams of its lower-cased UTF-8 bytes, for n in `LENGTHS`, each counted once however
+A text's features are the hashed n-grams of its lower-cased characters, for n in `LENGTHS`, each counted once however
 often it occurs. Each feature is scaled by its naive Bayes log-count ratio
 r = log((p + a * P) / (P + a)) - log((q + a * Q) / (Q + a)), where p and q are its counts among the toxic and the other
 texts, whose shares are P and Q of one, and a is `SMOOTHING`: a rare feature has a ratio near 0. A logistic regression
@@ -30,19 +30,16 @@ from gridloom.llm.common import materialise
 BITS = 18
 LENGTHS = (4, 5, 6)
 SMOOTHING = 50.0
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-LOWER[[9, 10, 11, 12, 13]] = 32
-LOWER_TABLE = LOWER.tobytes()
 BLOCK = 1 << 16
 
 
-def features(text: bytes) -> np.ndarray:
-    """The distinct hashed n-grams of a text; long texts go through in overlapping blocks."""
-    raw = b" " + text.translate(LOWER_TABLE) + b" " if text else b""
+def features(text: str) -> np.ndarray:
+    """The hashed n-grams of a text's lower-cased characters; long texts go through in overlapping blocks."""
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4") if text else np.empty(0, "<u4")
     found = []
     for a in range(0, len(raw), BLOCK):
-        x = np.frombuffer(raw[a : a + BLOCK + max(LENGTHS) - 1], np.uint8).astype(np.uint32)
+        x = raw[a : a + BLOCK + max(LENGTHS) - 1].copy()
+        x[(x >= 9) & (x <= 13)] = 32
         h = np.zeros(len(x), np.uint32)
         for n in range(1, max(LENGTHS) + 1):
             if len(x) < n:
@@ -79,7 +76,7 @@ def sample_features(rows: DataFrame) -> DataFrame:
     def run(batches):
         slot = np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            out = [np.sort(once(features(t or b""), slot)).astype(np.int32) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            out = [np.sort(once(features(t or ""), slot)).astype(np.int32) for t in batch.column(0).to_pylist()]
             label = [float(y > 0) for y in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(out, pa.list_(pa.int32()))], names=["label", "f"])
 
@@ -189,8 +186,8 @@ def score(df: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
         w, slot = shared.value, np.zeros(1 << BITS, np.int32)
         for batch in batches:
             z = []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                h = features(t or b"")
+            for t in batch.column(1).to_pylist():
+                h = features(t or "")
                 h = h[w[h] != 0]
                 z.append(float(w[once(h, slot)].sum(dtype=np.float64)) + intercept)
             s = np.round(1 / (1 + np.exp(-np.clip(np.array(z), -500, 500))), 9)
