@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -56,17 +57,18 @@ CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "ta
 REFS, SHARE, FOCUS = 3, 0.8, 0.6
 #: The fewest pages of which a node can be template: k others with k / (k + 1) >= SHARE, and the page itself.
 LEAST = next(k for k in range(1, 100) if k / (k + 1) >= SHARE) + 1
-CELLS = 1 << 22
+CELLS, BROADCAST = 1 << 22, 32 << 20
 HOLDS = {"main": 1, "article": 2, "h1": 4 | 8, "h2": 8, "h3": 8}
 
 
 class Node:
-    __slots__ = ("tag", "label", "words", "kids", "text", "parent", "block", "inside", "crc", "mass", "chars", "holds", "bad", "hidden", "shape", "at")
+    __slots__ = ("tag", "label", "words", "kids", "text", "parent", "block", "inside", "crc", "mass", "chars", "holds", "bad", "hidden", "shape", "at", "elements")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.parent, self.kids, self.text, self.label, self.words = tag, parent, [], "", tag, ()
         self.crc = self.mass = self.chars = self.holds = self.shape = self.at = 0
         self.bad = self.hidden = False
+        self.elements: list[Node] = []
         self.block = self if parent is None or tag in BLOCKS else parent.block
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         if "=" not in attrs:
@@ -200,15 +202,16 @@ class Shapes:
         self.known: dict[tuple[int, int], int] = {}
 
     def name(self, root: Node) -> Node:
-        """Number the nodes in document order (`at`) and give each its shape."""
+        """Number the nodes in document order (`at`) and give each its elements and shape."""
         nodes, stack = [], [root]
         while stack:
             x = stack.pop()
             x.at = len(nodes)
             nodes.append(x)
-            stack.extend(reversed(elements(x)))
+            x.elements = elements(x)
+            stack.extend(reversed(x.elements))
         for x in reversed(nodes):
-            kids = tuple(k.shape for k in elements(x))
+            kids = tuple([k.shape for k in x.elements])
             key = (x.label, kids)
             if (shape := self.ids.get(key)) is None:
                 shape = self.ids[key] = len(self.label)
@@ -254,12 +257,12 @@ class Shapes:
         return [rows[i] for i in a]
 
 
-def equal_ends(a, b) -> tuple[int, int]:
+def equal_ends(a, b, same=eq) -> tuple[int, int]:
     """How many first and last items are equal. Matching them is never worse: nothing matches an item better than its like."""
     most, lead, tail = min(len(a), len(b)), 0, 0
-    while lead < most and a[lead] == b[lead]:
+    while lead < most and same(a[lead], b[lead]):
         lead += 1
-    while tail < most - lead and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+    while tail < most - lead and same(a[-1 - tail], b[-1 - tail]):
         tail += 1
     return lead, tail
 
@@ -318,12 +321,13 @@ def best_pairs(weights) -> list[tuple[int, int]]:
 
 def align(a: list[Node], b: list[Node], shapes: Shapes) -> list[tuple[Node, Node]]:
     """The matched pairs of two child lists: the most matched nodes and, among those, the most equal content."""
-    lead, tail = equal_ends([(x.shape, x.crc) for x in a], [(x.shape, x.crc) for x in b])
-    out = list(zip(a[:lead], b[:lead], strict=True))
-    last = list(zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)) if tail else []
-    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
-    if not a or not b:
+    same = lambda x, y: x.shape == y.shape and x.crc == y.crc
+    lead, tail = equal_ends(a, b, same)
+    out, n, m = list(zip(a[:lead], b[:lead], strict=True)), len(a) - tail, len(b) - tail
+    last = list(zip(a[n:], b[m:], strict=True))
+    if lead == n or lead == m:
         return out + last
+    a, b = a[lead:n], b[lead:m]
     if len(a) == len(b) == 1:
         return out + ([(a[0], b[0])] if a[0].label == b[0].label else []) + last
     for i in {x.shape for x in a}:
@@ -342,17 +346,29 @@ def align(a: list[Node], b: list[Node], shapes: Shapes) -> list[tuple[Node, Node
 def count(ref: Node, page: Node, shapes: Shapes, counts: np.ndarray) -> None:
     """Add one page to the counts of a reference's nodes: rows for having it, for equal content, and for thousandths of
     the page's mass."""
-    whole = page.mass or 1
+    whole, size = page.mass or 1, shapes.size
+    had, equal, mass = [], [], []
     stack = [(ref, page)]
     while stack:
         x, y = stack.pop()
-        if x.shape == y.shape and x.crc == y.crc:
-            counts[:2, x.at : x.at + shapes.size[x.shape]] += 1
-        else:
-            counts[0, x.at] += 1
-            counts[1, x.at] += x.crc == y.crc
-            stack += align(elements(x), elements(y), shapes)
-        counts[2, x.at] += 1000 * y.mass // whole
+        at = x.at
+        if y.mass:
+            mass.append((at, 1000 * y.mass // whole))
+        if x.crc == y.crc and x.shape == y.shape:
+            n = size[x.shape]
+            if n > 1:
+                counts[:2, at : at + n] += 1
+                continue
+            equal.append(at)
+        elif x.crc == y.crc:
+            equal.append(at)
+        had.append(at)
+        if x.elements and y.elements:
+            stack += align(x.elements, y.elements, shapes)
+    counts[0, had] += 1
+    counts[1, equal] += 1
+    if mass:
+        counts[2, [at for at, _ in mass]] += [n for _, n in mass]
 
 
 def is_template(equal: int, pages: int) -> bool:
@@ -361,12 +377,12 @@ def is_template(equal: int, pages: int) -> bool:
 
 def constants(ref: Node, counts: np.ndarray, pages: int) -> set[int]:
     """CRCs of label and content of the reference's nodes that are template."""
-    out, stack = set(), elements(ref)
+    out, stack = set(), list(ref.elements)
     while stack:
         x = stack.pop()
         if x.crc and is_template(counts[1, x.at], pages):
             out.add(crc32(x.label.encode(), x.crc))
-        stack += elements(x)
+        stack += x.elements
     return out
 
 
@@ -374,7 +390,7 @@ def content_slot(ref: Node, counts: np.ndarray, pages: int) -> tuple[int, list[s
     """The mass and the labels from the root down to the slot whose varying content makes up most of the pages' text."""
     path, at, mass = [], ref, 0
     while at.tag not in ("article", "main") and not any(k.tag == "h1" for k in at.kids):
-        varying = [k for k in elements(at) if k.tag in CONTAINERS and not is_template(counts[1, k.at], pages)]
+        varying = [k for k in at.elements if k.tag in CONTAINERS and not is_template(counts[1, k.at], pages)]
         best = max(varying, key=lambda k: counts[2, k.at], default=None)
         if best is None or counts[2, best.at] < 1000 * FOCUS * pages:
             break
@@ -454,7 +470,7 @@ def host_of(url):
 
 
 def references(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, refs array<string>) of hosts with at least LEAST distinct pages, and the distinct pages (host, html).
+    """(host, pages, refs array<string>) of hosts with at least LEAST distinct pages, and the distinct pages (host, html).
 
     Pages are told apart by 64-bit hashes of host and html. Only pages whose hash is repeated or chosen are shuffled.
     """
@@ -462,12 +478,32 @@ def references(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = materialise(own.groupBy("host", "key").agg(F.count("*").alias("n")))
     turn = F.pmod("key", F.lit(REFS))
     least = seen.groupBy("host").agg(F.count("*").alias("pages"), *[F.min(F.when(turn == j, F.col("key"))).alias(f"r{j}") for j in range(REFS)])
-    chosen = materialise(least.where(F.col("pages") >= LEAST).select("host", F.explode(F.filter(F.array(*[f"r{j}" for j in range(REFS)]), lambda k: k.isNotNull())).alias("key")))
-    found = marked(own, chosen, "key").where("__mark").join(chosen, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.first("html").alias("html"))
-    refs = found.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("key", "html"))).alias("refs"))
+    picked = F.explode(F.filter(F.array(*[f"r{j}" for j in range(REFS)]), lambda k: k.isNotNull())).alias("key")
+    chosen = materialise(least.where(F.col("pages") >= LEAST).select("host", "pages", picked))
+    found = marked(own, chosen, "key").where("__mark").join(chosen, ["host", "key"]).groupBy("host", "key").agg(F.first("html").alias("html"), F.first("pages").alias("pages"))
+    refs = found.groupBy("host").agg(F.first("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("key", "html"))).alias("refs"))
     told = marked(own, seen.where("n > 1").select("key"), "key")
     distinct = told.where("NOT __mark").select("host", "html").unionByName(told.where("__mark").dropDuplicates(["host", "key"]).select("host", "html"))
-    return materialise(refs.select("host", F.expr("transform(refs, r -> r.html)").alias("refs"))), distinct
+    return materialise(refs.select("host", "pages", F.expr("transform(refs, r -> r.html)").alias("refs"))), distinct
+
+
+def with_references(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """(host, html, refs). The hosts of the most pages, as many as have BROADCAST bytes of references, are broadcast, so
+    that their pages, however many, stay where they are; those of the other hosts are joined by host."""
+    rank = F.floor(F.log2(F.col("pages"))).cast("int")
+    sizes = refs.groupBy(rank.alias("rank")).agg(F.sum(F.expr("aggregate(refs, 0L, (a, r) -> a + octet_length(r))")).alias("size")).orderBy(F.desc("rank")).collect()  # 64 rows at most
+    total, least = 0, 64
+    for r in sizes:
+        total += r["size"]
+        if total > BROADCAST:
+            break
+        least = r["rank"]
+    many = F.broadcast(refs.where(rank >= least).select("host", "refs"))
+    met = pages.join(many, "host")
+    if total > BROADCAST:
+        few = refs.where(rank < least).select("host", "refs")
+        met = met.unionByName(pages.join(many.select("host"), "host", "left_anti").join(few, "host"))
+    return met
 
 
 class Known:
@@ -545,8 +581,8 @@ def templates(pages: DataFrame) -> DataFrame:
         if host is not None:
             yield batch_of([result()])
 
-    counted = distinct.join(refs, "host").mapInArrow(induce, "host string, ref int, pages bigint, counts array<bigint>")
-    met = counted.join(refs, "host").repartition("host").sortWithinPartitions("host")
+    counted = with_references(distinct, refs).mapInArrow(induce, "host string, ref int, pages bigint, counts array<bigint>")
+    met = counted.join(refs.select("host", "refs"), "host").repartition("host").sortWithinPartitions("host")
     return met.mapInArrow(combine, "host string, constant array<bigint>, slot array<string>").where("size(constant) + size(slot) > 0")
 
 
