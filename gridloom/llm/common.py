@@ -40,11 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, file_rows: int = 0) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
-    file_rows: most rows of a file, for wide rows, as readers take up to 4,096 of a file at once."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing. The
+    table goes when the session ends. file_rows: most rows of a file, for wide rows, as readers take up to 4,096 of a file at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", file_rows).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
