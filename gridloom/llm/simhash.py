@@ -78,7 +78,7 @@ def fingerprints(df: DataFrame, width: int = 4, seed: int = 42, distinct: bool =
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def trie_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray | None, max_bits: int, chunk: int = 1 << 18, comp: np.ndarray | None = None):
+def trie_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray | None, max_bits: int, chunk: int = 1 << 14, comp: np.ndarray | None = None):
     """Index pairs (i, j) with equal group and at most max_bits differing bits. group and fp are sorted together.
 
     A node is a run of rows that share a group and a bit prefix. side: if given, only pairs of different sides count
@@ -129,8 +129,8 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, side: np.ndarray | None, max_b
             alo, ahi, blo, bhi, errs = (x[small] for x in (alo, ahi, blo, bhi, errs))
             small = small[small]
         if small.any():
-            for i in range(0, int(small.sum()), 1 << 14):
-                for x, y in leaves(*(x[small][i : i + (1 << 14)] for x in (alo, ahi, blo, bhi)), fp, side, max_bits):
+            for i in range(0, int(small.sum()), 1 << 12):
+                for x, y in leaves(*(x[small][i : i + (1 << 12)] for x in (alo, ahi, blo, bhi)), fp, side, max_bits):
                     yield (x, y) if comp is None else (x[comp[x] != comp[y]], y[comp[x] != comp[y]])
         keep = ~small
         if not keep.any():
@@ -197,14 +197,15 @@ def block_masks(max_bits: int) -> list[int]:
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = 4096, emit: str = "forest") -> DataFrame:
-    """Links (a, b) between the distinct fingerprints in fps (fp long).
+    """Links (a, b) between the distinct fingerprints in fps (fp long); with a column turn, between those of one turn.
 
     emit "forest": a spanning forest of each bucket's links. "leaders": for each fingerprint its smallest and its
     nearest linked fingerprint in the bucket, for links that a later exact check may turn down.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(max_bits)])
-    rows = fps.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
-    rows = rows.select("fp", F.xxhash64("slot", "part").alias("bucket"))
+    turn = [F.col("turn")] if "turn" in fps.columns else []
+    rows = fps.select("fp", *turn, F.posexplode(masks).alias("slot", "mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
+    rows = rows.select("fp", F.xxhash64("slot", "part", *turn).alias("bucket"))
     hot = rows.groupBy("bucket").count().where(F.col("count") > bucket_rows)
     hot = materialise(hot.select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("cuts")))
     plain = rows.withColumn("side", F.lit(-1)).withColumn("key", F.col("bucket"))
@@ -262,12 +263,35 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = 4096
     return keyed.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def crossing_pairs(nodes: DataFrame, max_bits: int, bucket_rows: int = 4096) -> DataFrame:
-    """Each pair (a, b) of node ids whose fingerprints differ in at most max_bits bits and whose comp differs, once a turn.
+MAP_WORDS = 16
 
-    nodes: (node, turn, fp, comp); a node may have several rows, of which those of one turn meet. A pair is given by the
-    first two blocks in which it agrees, so its other buckets of the turn stay silent; pairs leave a task in batches of
-    bounded size.
+
+def shingle_map(hashes: np.ndarray) -> np.ndarray:
+    """The residues of a set of hashes as bits of MAP_WORDS 64-bit words."""
+    bits = np.zeros(64 * MAP_WORDS, bool)
+    bits[hashes % np.uint64(64 * MAP_WORDS)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def may_be_similar(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and j can have the Jaccard similarity: each bit of one map that the other lacks is a hash that the
+    other set lacks, so a set shares no more than its size less these. Never wrong about a pair that has it."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        p, q = maps[x].view(np.uint64), maps[y].view(np.uint64)
+        both = np.minimum(n[x] - np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64))
+        out[k : k + (1 << 16)] = both >= similarity * (n[x] + n[y] - both)
+    return out
+
+
+def crossing_pairs(nodes: DataFrame, max_bits: int, similarity: float, best: bool = False, bucket_rows: int = 4096) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints differ in at most max_bits bits, whose comp differs and whose shingle sets
+    can have the similarity by their maps. best: of each row in a bucket only the nearest such partner; else every pair,
+    once a turn, given by the first two blocks in which it agrees, so that its other buckets of the turn stay silent.
+
+    nodes: (node, turn, fp, comp, n, map array<long>); a node may have several rows, of which those of one turn meet.
+    Pairs leave a task in batches of bounded size.
     """
     masks = block_masks(max_bits)
     edges = [round(64 * k / (max_bits + 2)) for k in range(max_bits + 3)]
@@ -275,48 +299,65 @@ def crossing_pairs(nodes: DataFrame, max_bits: int, bucket_rows: int = 4096) ->
     slots = np.zeros((len(blocks), len(blocks)), np.int32)
     for k, (x, y) in enumerate(combinations(range(len(blocks)), 2)):
         slots[x, y] = k
-    rows = nodes.select("node", "turn", "fp", "comp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("slot", "mask"))
-    rows = rows.withColumn("bucket", F.xxhash64("turn", "slot", F.col("fp").bitwiseAND(F.col("mask")))).drop("mask", "turn")
-    # a bucket of one comp has nothing to give
-    held = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    held = materialise(held.where("least < most").select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts")))
-    cut = rows.join(held, "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("cuts")).cast("int"))
+    # light rows tell which buckets have several comps, as one has nothing to give; only what is left gets its maps
+    rows = nodes.select("node", "turn", "comp", "fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("slot", "mask"))
+    rows = rows.select("node", "turn", "comp", "slot", F.xxhash64("turn", "slot", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
+    held = rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    held = materialise(held.where("least < most").select("bucket", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("cuts")))
+    kept = rows.join(held, "bucket").select("node", "turn", "slot", "bucket", "cuts").join(nodes, ["node", "turn"])
+    cut = kept.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("cuts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     first, second = F.least("own", "other"), F.greatest("own", "other")
     key = F.xxhash64("bucket", first, second).alias("key")
-    keyed = cut.select(key, "fp", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "slot", "comp", "node")
+    keyed = cut.select(key, "fp", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "slot", "comp", "node", "n", "map")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
 
-    def batches_of(keys, fp, side, slot, comp, node):
+    def batches_of(keys, fp, side, slot, comp, node, n, maps):
         unsigned = fp.view(np.uint64)
         order = np.lexsort((comp, unsigned, keys))
-        keys, unsigned, side, slot, comp, node = (x[order] for x in (keys, unsigned, side, slot, comp, node))
+        keys, unsigned, side, slot, comp, node, n, maps = (x[order] for x in (keys, unsigned, side, slot, comp, node, n, maps))
+        near, dist = np.full(len(keys), -1), np.full(len(keys), 65)
         for i, j in trie_pairs(keys, unsigned, None if (side < 0).all() else side, max_bits, comp=comp):
-            for k in range(0, len(i), 1 << 18):
-                x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-                differ = unsigned[x] ^ unsigned[y]
-                agree = np.stack([differ & b == 0 for b in blocks])
-                one = agree.argmax(axis=0)
-                agree[one, np.arange(len(one))] = False
-                own = (slots[one, agree.argmax(axis=0)] == slot[x]) & (slot[x] == slot[y])
-                if own.any():
-                    a, b = node[x[own]], node[y[own]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            can = may_be_similar(n, maps, i, j, similarity)
+            i, j = i[can], j[can]
+            differ = unsigned[i] ^ unsigned[j]
+            if best:
+                d = np.bitwise_count(differ).astype(np.int64)
+                for x, y in ((i, j), (j, i)):
+                    by = np.lexsort((d, x))
+                    first_of = by[np.r_[True, x[by][1:] != x[by][:-1]]] if len(by) else by
+                    better = first_of[d[first_of] < dist[x[first_of]]]
+                    near[x[better]], dist[x[better]] = y[better], d[better]
+                continue
+            agree = np.stack([differ & b == 0 for b in blocks])
+            one = agree.argmax(axis=0)
+            agree[one, np.arange(len(one))] = False
+            own = (slots[one, agree.argmax(axis=0)] == slot[i]) & (slot[i] == slot[j])
+            if own.any():
+                yield node[i[own]], node[j[own]]
+        at = np.flatnonzero(near >= 0)
+        if len(at):
+            yield node[at], node[near[at]]
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(6)]
+            cols = [batch.column(k).to_numpy() for k in range(7)] + [batch.column(7).flatten().to_numpy().reshape(-1, MAP_WORDS)]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             keys = held[0]
             end = len(keys) - int((keys == keys[-1]).sum()) if len(keys) else 0
             if end >= 50_000:
-                yield from batches_of(*(x[:end] for x in held))
+                yield from map(pair_batch, batches_of(*(x[:end] for x in held)))
                 held = [x[end:] for x in held]
         if held is not None and len(held[0]):
-            yield from batches_of(*held)
+            yield from map(pair_batch, batches_of(*held))
+
+    return keyed.mapInArrow(run, "a bigint, b bigint").distinct()
+
 
-    return keyed.mapInArrow(run, "a bigint, b bigint")
+def pair_batch(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    a, b = pair
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
