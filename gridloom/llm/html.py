@@ -62,7 +62,7 @@ HOLDS = {"main": 1, "article": 2, "h1": 4 | 8, "h2": 8, "h3": 8}
 
 
 class Node:
-    __slots__ = ("tag", "label", "words", "kids", "text", "parent", "block", "inside", "crc", "mass", "chars", "holds", "bad", "hidden", "shape", "at", "elements")
+    __slots__ = ("tag", "label", "words", "kids", "text", "parent", "block", "inside", "crc", "mass", "chars", "holds", "bad", "hidden", "shape", "at", "elements", "crcs", "masses")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.parent, self.kids, self.text, self.label, self.words = tag, parent, [], "", tag, ()
@@ -202,7 +202,8 @@ class Shapes:
         self.known: dict[tuple[int, int], int] = {}
 
     def name(self, root: Node) -> Node:
-        """Number the nodes in document order (`at`) and give each its elements and shape."""
+        """Number the nodes in document order (`at`) and give each its elements and shape, and the root their contents and
+        thousandths of its mass in this order."""
         nodes, stack = [], [root]
         while stack:
             x = stack.pop()
@@ -219,6 +220,8 @@ class Shapes:
                 self.kids.append(kids)
                 self.size.append(1 + sum(self.size[k] for k in kids))
             x.shape = shape
+        root.crcs = np.array([x.crc for x in nodes], np.int64)
+        root.masses = 1000 * np.array([x.mass for x in nodes], np.int64) // (root.mass or 1)
         return root
 
     def matching(self, x: int, y: int) -> int:
@@ -330,8 +333,11 @@ def align(a: list[Node], b: list[Node], shapes: Shapes) -> list[tuple[Node, Node
     a, b = a[lead:n], b[lead:m]
     if len(a) == len(b) == 1:
         return out + ([(a[0], b[0])] if a[0].label == b[0].label else []) + last
-    for i in {x.shape for x in a}:
-        for j in {x.shape for x in b}:
+    ours, theirs = {x.shape for x in a}, {x.shape for x in b}
+    if len(ours | theirs) == 1 and {x.crc for x in a}.isdisjoint({x.crc for x in b}):
+        return out + list(zip(a, b, strict=False)) + last  # all matchings of this size weigh the same
+    for i in ours:
+        for j in theirs:
             if shapes.at_once(i, j) is None:
                 shapes.matching(i, j)
     sizes, more = shapes.weights([x.shape for x in a], [x.shape for x in b]), min(len(a), len(b)) + 1
@@ -346,29 +352,24 @@ def align(a: list[Node], b: list[Node], shapes: Shapes) -> list[tuple[Node, Node
 def count(ref: Node, page: Node, shapes: Shapes, counts: np.ndarray) -> None:
     """Add one page to the counts of a reference's nodes: rows for having it, for equal content, and for thousandths of
     the page's mass."""
-    whole, size = page.mass or 1, shapes.size
-    had, equal, mass = [], [], []
     stack = [(ref, page)]
+    had, met = [], []
     while stack:
         x, y = stack.pop()
-        at = x.at
-        if y.mass:
-            mass.append((at, 1000 * y.mass // whole))
-        if x.crc == y.crc and x.shape == y.shape:
-            n = size[x.shape]
+        if x.shape == y.shape:  # only all nodes in order match all
+            a, b, n = x.at, y.at, shapes.size[x.shape]
             if n > 1:
-                counts[:2, at : at + n] += 1
+                counts[0, a : a + n] += 1
+                counts[1, a : a + n] += ref.crcs[a : a + n] == page.crcs[b : b + n]
+                counts[2, a : a + n] += page.masses[b : b + n]
                 continue
-            equal.append(at)
-        elif x.crc == y.crc:
-            equal.append(at)
-        had.append(at)
+        had.append(x.at)
+        met.append(y.at)
         if x.elements and y.elements:
             stack += align(x.elements, y.elements, shapes)
     counts[0, had] += 1
-    counts[1, equal] += 1
-    if mass:
-        counts[2, [at for at, _ in mass]] += [n for _, n in mass]
+    counts[1, had] += ref.crcs[had] == page.crcs[met]
+    counts[2, had] += page.masses[met]
 
 
 def is_template(equal: int, pages: int) -> bool:
