@@ -4,8 +4,9 @@ Each document gets a 64-bit fingerprint: a bit is 1 if it is set in over half of
 Fingerprints that differ in at most `max_bits` bits are linked, without loss:
 
 * equal fingerprints collapse first, so copies never meet in the join, however many there are;
-* the 64 bits are cut into `max_bits + 2` blocks; two fingerprints within the budget agree on at least two whole blocks,
-  so each fingerprint goes once to every pair of blocks, keyed by their contents;
+* the 64 bits are cut into `max_bits + k` blocks; two fingerprints within the budget agree on at least k whole blocks, so
+  each fingerprint goes once to every choice of k blocks, keyed by their contents; k is the one that makes the fewest rows
+  (`fewest_rows`): 1 for few fingerprints, 2 or 3 for so many that the buckets of fewer bits would have to be cut often;
 * in a bucket, the sorted fingerprints are an implicit binary trie. Pairs of its nodes are traversed together, the bits
   in which they differ are added up, and a pair is dropped once its budget is exceeded. Many buckets are traversed at
   once, level by level, in chunks of bounded size;
@@ -22,6 +23,7 @@ component of only null doc_ids has a null id); other columns of the input are ig
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -188,21 +190,33 @@ def spanning(n: int, pairs) -> list[tuple[int, int]]:
     return out
 
 
-def block_masks(max_bits: int) -> list[int]:
-    """For each pair of the max_bits + 2 blocks, the mask of their bits."""
-    edges = [round(64 * k / (max_bits + 2)) for k in range(max_bits + 3)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    signed = [a | b for a, b in combinations(blocks, 2)]
+def block_masks(max_bits: int, agree: int = 2) -> list[int]:
+    """For each choice of `agree` of the max_bits + agree blocks, the mask of their bits: two fingerprints within the budget
+    agree on at least so many whole blocks."""
+    signed = [sum(c) for c in combinations(block_bits(max_bits, agree), agree)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in signed]
 
 
+def block_bits(max_bits: int, agree: int) -> list[int]:
+    n = max_bits + agree
+    edges = [round(64 * k / n) for k in range(n + 1)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def fewest_rows(n: int, max_bits: int, bucket_rows: int) -> int:
+    """How many blocks should agree, so that n fingerprints make the fewest rows: a row for each choice of blocks and for
+    each part that an average bucket is cut into."""
+    return min((1, 2, 3), key=lambda k: comb(max_bits + k, k) * -(-n // (bucket_rows << (64 * k // (max_bits + k)))))
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = 4096, emit: str = "forest") -> DataFrame:
     """Links (a, b) between the distinct fingerprints in fps (fp long); with a column turn, between those of one turn.
 
     emit "forest": a spanning forest of each bucket's links. "leaders": for each fingerprint its smallest and its
     nearest linked fingerprint in the bucket, for links that a later exact check may turn down.
     """
-    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(max_bits)])
+    agree = fewest_rows(fps.count(), max_bits, bucket_rows)
+    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(max_bits, agree)])
     turn = [F.col("turn")] if "turn" in fps.columns else []
     rows = fps.select("fp", *turn, F.posexplode(masks).alias("slot", "mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
     rows = rows.select("fp", F.xxhash64("slot", "part", *turn).alias("bucket"))
@@ -288,17 +302,17 @@ def may_be_similar(n: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray
 def crossing_pairs(nodes: DataFrame, max_bits: int, similarity: float, best: bool = False, bucket_rows: int = 4096) -> DataFrame:
     """Pairs (a, b) of nodes whose fingerprints differ in at most max_bits bits, whose comp differs and whose shingle sets
     can have the similarity by their maps. best: of each row in a bucket only the nearest such partner; else every pair,
-    once a turn, given by the first two blocks in which it agrees, so that its other buckets of the turn stay silent.
+    once a turn, given by the first blocks in which it agrees, so that its other buckets of the turn stay silent.
 
     nodes: (node, turn, fp, comp, n, map array<long>); a node may have several rows, of which those of one turn meet.
     Pairs leave a task in batches of bounded size.
     """
-    masks = block_masks(max_bits)
-    edges = [round(64 * k / (max_bits + 2)) for k in range(max_bits + 3)]
-    blocks = [np.uint64(((1 << b) - 1) ^ ((1 << a) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-    slots = np.zeros((len(blocks), len(blocks)), np.int32)
-    for k, (x, y) in enumerate(combinations(range(len(blocks)), 2)):
-        slots[x, y] = k
+    agree = fewest_rows(nodes.select("node").distinct().count(), max_bits, bucket_rows)
+    masks = block_masks(max_bits, agree)
+    blocks = [np.uint64(m) for m in block_bits(max_bits, agree)]
+    slots = np.full(1 << len(blocks), -1, np.int32)
+    for k, c in enumerate(combinations(range(len(blocks)), agree)):
+        slots[sum(1 << x for x in c)] = k
     # light rows tell which buckets have several comps, as one has nothing to give; only what is left gets its maps
     rows = nodes.select("node", "turn", "comp", "fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("slot", "mask"))
     rows = rows.select("node", "turn", "comp", "slot", F.xxhash64("turn", "slot", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
@@ -329,10 +343,9 @@ def crossing_pairs(nodes: DataFrame, max_bits: int, similarity: float, best: boo
                     better = first_of[d[first_of] < dist[x[first_of]]]
                     near[x[better]], dist[x[better]] = y[better], d[better]
                 continue
-            agree = np.stack([differ & b == 0 for b in blocks])
-            one = agree.argmax(axis=0)
-            agree[one, np.arange(len(one))] = False
-            own = (slots[one, agree.argmax(axis=0)] == slot[i]) & (slot[i] == slot[j])
+            equal = np.stack([differ & b == 0 for b in blocks])
+            first_ones = equal & (equal.cumsum(axis=0) <= agree)
+            own = (slots[(first_ones << np.arange(len(blocks))[:, None]).sum(axis=0)] == slot[i]) & (slot[i] == slot[j])
             if own.any():
                 yield node[i[own]], node[j[own]]
         at = np.flatnonzero(near >= 0)
@@ -391,7 +404,7 @@ def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, max_bits: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; see the module's text."""
     prints = materialise(fingerprints(df, width, seed, id_col=id_col, text_col=text_col))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("low")))
     linked = components(nodes.select(F.col("fp").alias("node")), fingerprint_links(nodes.select("fp"), max_bits))
     roots = materialise(linked)
     lows = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "low")
