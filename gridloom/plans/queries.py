@@ -109,10 +109,10 @@ def ptp_ref(spark, sf_dir):
     return exchange.referenced(b, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum")))
 
 
-@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def ptp_unref(spark, sf_dir):
-    b = bridge(spark, sf_dir).select(F.col("gnum2").alias("gnum1"), F.col("gnum1").alias("gnum2"))
-    return exchange.unreferenced(b, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum")))
+    b = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("gnum1"), F.col("l_orderkey").alias("gnum2"))
+    return exchange.unreferenced(b, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gnum")))
 
 
 @query("SELECT gnum2, gnum1, CAST(row_number() OVER (PARTITION BY gnum2 ORDER BY gnum1) AS INTEGER) AS pos FROM (SELECT DISTINCT l_suppkey AS gnum2, l_partkey AS gnum1 FROM lineitem)")
@@ -229,10 +229,10 @@ def extract_reid(spark, sf_dir):
     return connectivity.extract(c, c.where("src % 3 = 0").select(F.col("src").alias("gnum")))[0]
 
 
-@query("SELECT p_partkey AS gnum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT o_orderkey AS gnum FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def unconnected_anti(spark, sf_dir):
-    v = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gnum"))
-    return connectivity.unconnected(v, order_part(spark, sf_dir))
+    v = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gnum"))
+    return connectivity.unconnected(v, read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_orderkey")).alias("dst")))
 
 
 @query("SELECT o_orderkey AS gnum, CAST(ntile(6) OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS part FROM orders")
