@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, html, licenses, packing, pii, quality, secrets, sharding, simhash, toxicity
+from gridloom.llm import decontaminate, html, licenses, packing, pii, quality, search, secrets, sharding, simhash, toxicity
 from gridloom.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_decontaminate, op3_toxicity, op4_licenses, op5_packing, op6_pii, op7_secrets, op8_sharding, op9_simhash, op10_quality)}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op8_sharding": sharding.oracle_sql()}
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_decontaminate, op3_toxicity, op4_licenses, op5_packing, op6_pii, op7_secrets, op8_sharding, op9_simhash, op10_quality, op11_search)}
+
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op8_sharding": sharding.oracle_sql(), "op11_search": search.ORACLE_SQL}
