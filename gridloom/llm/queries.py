@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, html, licenses, packing, pii, quality, search, secrets, sharding, simhash, toxicity
+from gridloom.llm import centroids, decontaminate, html, language, licenses, packing, pii, quality, search, secrets, sharding, simhash, toxicity
 from gridloom.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_decontaminate, op3_toxicity, op4_licenses, op5_packing, op6_pii, op7_secrets, op8_sharding, op9_simhash, op10_quality, op11_search)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op8_sharding": sharding.oracle_sql(), "op11_search": search.ORACLE_SQL}
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_decontaminate, op3_toxicity, op4_licenses, op5_packing, op6_pii, op7_secrets, op8_sharding, op9_simhash, op10_quality, op11_search, op12_centroids, op13_language)}
+
+ORACLES = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op8_sharding": sharding.oracle_sql(), "op11_search": search.ORACLE_SQL, "op12_centroids": centroids.oracle_sql()}
