@@ -46,8 +46,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def exact_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances of rows of x and c, pair by pair: of 64 bits where they fit, else Python integers."""
-    if max(np.abs(x).max(initial=0), np.abs(c).max(initial=0)) <= SMALL:
+    """Squared distances of rows of x and c, pair by pair: of 64 bits where they fit, else Python integers, as the
+    components of c are."""
+    if max(np.abs(x).max(initial=0), abs(c).max(initial=0)) <= SMALL:
         d = x.astype(np.int64) - c.astype(np.int64)
         return (d * d).sum(axis=1)
     return np.array([sum((int(a) - int(b)) ** 2 for a, b in zip(p, q, strict=True)) for p, q in zip(x, c, strict=True)], object)
@@ -71,7 +72,7 @@ def intervals(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The number of the nearest row of c for each row of x, the smaller one at equal distance."""
-    low, high = intervals(x, c)
+    low, high = intervals(x, c.astype(np.float64))
     stay = low <= high.min(axis=1)[:, None]
     out = stay.argmax(axis=1)
     open_rows = np.flatnonzero(stay.sum(axis=1) > 1)
@@ -100,7 +101,8 @@ def sums_of(x: np.ndarray, limbs: int) -> list[int]:
 
 
 def cluster_sums(vectors: DataFrame, centroids: np.ndarray, limbs: int) -> tuple[dict, dict]:
-    """Counts of the clusters and sums of their vectors' components, by cluster and by cluster and component."""
+    """Counts of the clusters and sums of their vectors' components, by cluster and by cluster and component. Centroids are
+    Python integers, as means of large ones aren't doubles."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
@@ -178,14 +180,14 @@ def cluster(vectors: DataFrame, clusters: int = 8, rounds: int = 10, size: int =
     spark = vectors.sparkSession
     held = materialise(integers(vectors, size))
     named = held.withColumn("h", F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")).cast("binary"), 256))
-    start = np.array([r["v"] for r in named.orderBy(F.asc_nulls_last("h"), "v").limit(clusters).collect()], np.float64).reshape(-1, size)
+    start = np.array([[int(x) for x in r["v"]] for r in named.orderBy(F.asc_nulls_last("h"), "v").limit(clusters).collect()], object).reshape(-1, size)
     if not len(start):
         return spark.createDataFrame([], f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
     final = centroids_of(held, start, rounds)
     found = materialise(assigned(held, final))
     per = found.groupBy("cluster").agg(summed("distance").alias("cluster_inertia"))
     every = found.agg(summed("distance").alias("inertia")).first()["inertia"]
-    digests = [(j, hashlib.sha256(",".join(str(int(x)) for x in c).encode()).hexdigest()) for j, c in enumerate(final)]
+    digests = [(j, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for j, c in enumerate(final)]
     told = per.join(F.broadcast(spark.createDataFrame(digests, "cluster int, centroid_sha256 string")), "cluster")
     out = found.join(F.broadcast(told), "cluster")  # a row a cluster
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(every).cast("long").alias("inertia"), "centroid_sha256")
