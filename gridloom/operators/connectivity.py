@@ -71,8 +71,8 @@ def ridges(edge_face: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges with one grouped face, or with faces of two or more groups; and the id of the sorted set of groups."""
     g = edge_face.withColumn("gnum", F.abs("dst")).join(groups.select("gnum", "group"), "gnum")
     sets = g.groupBy("src").agg(F.array_sort(F.collect_set("group")).alias("groups"), F.count("*").alias("n"))
-    kept = sets.where("n = 1 OR size(groups) > 1").withColumn("key", F.array_join(F.transform("groups", lambda x: F.lpad(x.cast("string"), 10, "0")), ","))
-    return from_keys(kept, ["key"], "ridge").select(F.col("src").alias("edge"), "groups", "ridge")
+    kept = sets.where("n = 1 OR size(groups) > 1")
+    return from_keys(kept, ["groups"], "ridge").select(F.col("src").alias("edge"), "groups", "ridge")
 
 
 def extract(conn: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,7 +145,7 @@ def at(ring, v, step: int):
 
 def children_of(parents: DataFrame, children: DataFrame) -> DataFrame:
     """(child, parent, way): entities (gnum, vtx) with the same vertices; way is 1 if both walk them alike, else -1."""
-    key = lambda d: d.withColumn("key", F.array_join(F.transform(F.array_sort("vtx"), lambda v: F.lpad(v.cast("string"), 19, "0")), ","))
+    key = lambda d: d.withColumn("key", F.array_sort("vtx"))
     met = key(children).select(F.col("gnum").alias("child"), F.col("vtx").alias("cv"), "key").join(key(parents).select(F.col("gnum").alias("parent"), F.col("vtx").alias("pv"), "key"), "key")
     return met.select("child", "parent", same_cycle(F.col("cv"), F.col("pv")).alias("way"))
 
@@ -165,7 +165,7 @@ def descend(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     for t, x in tables.items():
         faces = F.when(F.col("elt_type") == t, x) if faces is None else faces.when(F.col("elt_type") == t, x)
     every = elements.select(F.col("gnum").alias("src"), F.posexplode(faces).alias("pos", "walk"))
-    every = every.withColumn("key", F.array_join(F.transform(F.array_sort("walk"), lambda v: F.lpad(v.cast("string"), 19, "0")), ","))
+    every = every.withColumn("key", F.array_sort("walk"))
     one = every.groupBy("key").agg(F.min(F.struct("src", "pos", "walk")).alias("first"))
     ids = from_keys(one, ["key"], "face")
     low = F.array_min("walk")

@@ -49,8 +49,8 @@ def on_level(vertices: DataFrame, levels: Sequence[float] = (0.0,), tolerance: f
 
 
 def cut_elements(elements: DataFrame, vertices: DataFrame, level: float = 0.0) -> DataFrame:
-    """(gnum, edges, parent) of tetrahedra, pyramids, prisms and hexahedra, cut tetrahedron by tetrahedron. Faces that two
-    elements share must be split alike, as those of the generated meshes are."""
+    """(gnum, edges, parent) of tetrahedra, pyramids, prisms and hexahedra, cut tetrahedron by tetrahedron;
+    `tetras_of` splits a face alike from both sides."""
     parts = tetras_of(elements)
     return triangles(parts, vertices, level).join(parts.select("gnum", "parent"), "gnum")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def renumber_random(df: DataFrame, seed: int = 0) -> DataFrame:
     return assemble(df.withColumn("_hash", F.xxhash64(F.lit(seed), "gnum")), ["_hash", "gnum"]).drop("_hash")
 
 
-def renumber_cuthill(df: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+def renumber_cuthill(df: DataFrame, edges: DataFrame) -> DataFrame:
     """Bandwidth-reducing order of each part's graph, breadth first from a vertex of least degree, reversed.
 
     df: (part, gnum); edges: (part, src, dst) within parts. All parts and all their connected pieces go on together, one
@@ -71,7 +72,7 @@ def renumber_cuthill(df: DataFrame, edges: DataFrame, most: int = 10_000) -> Dat
     first = nodes.groupBy("part", "piece").agg(F.min(F.struct("degree", "gnum")).alias("first"))
     front = materialise(first.select("part", "piece", F.col("first.gnum").alias("gnum"), F.lit(1).cast("long").alias("place"), F.lit(0).alias("level")))
     done = front
-    for level in range(1, most):
+    for level in count(1):  # ends when no vertex is left to reach
         step = near.join(front.select("part", F.col("gnum").alias("src"), "place"), ["part", "src"]).groupBy("part", F.col("dst").alias("gnum")).agg(F.min("place").alias("before"))
         step = step.join(done.select("part", "gnum"), ["part", "gnum"], "left_anti").join(nodes, ["part", "gnum"])
         front = materialise(numbered(step, ["before", "degree", "gnum"], "place", ["part", "piece"]).select("part", "piece", "gnum", "place", F.lit(level).alias("level")))

@@ -1,13 +1,14 @@
 """Spatial joins over boxes (gnum, xmin, xmax, ...) and clouds (gnum, x, ...), by grids of levels.
 
-Each axis has a unit, the median size there, and levels whose cells grow by a factor. A box has a level on each axis, the
-first whose cells are at least as large as it, so it covers at most two cells an axis there and on every higher level,
-however large it is. Two boxes meet on the higher of their levels, axis by axis: the rows of one pair of level vectors
+Each axis has a unit, the median size there, and levels above and below it whose cells grow by a factor. A box has a level
+on each axis, the first whose cells are at least as large as it, so it covers at most two cells an axis there and on every
+higher level, however large it is, and its own cells are no larger than it by more than the factor, however small it is.
+What has no size on an axis takes the lowest level in use there. Two boxes meet on the higher of their levels, axis by axis: the rows of one pair of level vectors
 meet rows of that pair alone, so small boxes meet in small cells, and only what is large on an axis meets in large ones.
 The vectors in use are few (`VECTORS` a side; the factor grows until they are), and a row goes once to each vector of
 the other side. A pair is found once: in the cell of the larger of the two lower corners.
 
-Calling a join runs small jobs: the medians, the bounding boxes (rows outside the other side's are left out at once) and
+Calling a join runs small jobs: the medians, the least sizes, the bounding boxes (rows outside the other side's are left out at once) and
 the vectors in use.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
+from gridloom.functions.halfspaces import extreme, meets_box
 from gridloom.functions.predicates import fan
 from gridloom.functions.tables import materialise
 from gridloom.operators.connectivity import descend
@@ -32,24 +34,31 @@ VECTORS, CROWD = 64, 4096
 
 
 def extent(df: DataFrame, ends: dict, axes: Sequence[str]) -> dict[str, tuple]:
-    """The median size (the mean where that is 0), the lowest and the highest end on each axis."""
+    """The median size (the mean where that is 0), the lowest and the highest end and the least size over 0 on each axis."""
     size = {a: F.col(ends[a][1]) - F.col(ends[a][0]) for a in axes}
-    sums = [f.alias(f"{a}{k}") for a in axes for k, f in enumerate((F.percentile_approx(size[a], 0.5), F.avg(size[a]), F.min(ends[a][0]), F.max(ends[a][1])))]
+    sums = [f.alias(f"{a}{k}") for a in axes for k, f in enumerate((F.percentile_approx(size[a], 0.5), F.avg(size[a]), F.min(ends[a][0]), F.max(ends[a][1]), F.min(F.when(size[a] > 0, size[a]))))]
     got = df.agg(*sums).first()
-    return {a: (got[f"{a}0"] or got[f"{a}1"] or 0.0, got[f"{a}2"], got[f"{a}3"]) for a in axes}
+    return {a: (got[f"{a}0"] or got[f"{a}1"] or 0.0, got[f"{a}2"], got[f"{a}3"], got[f"{a}4"]) for a in axes}
+
+
+def least_size(a: tuple, b: tuple) -> float:
+    """The size from which levels count: the least one over 0 of either side, but none so small that cells lose count."""
+    found = [x[3] for x in (a, b) if x[3]]
+    far = max((abs(v) for x in (a, b) for v in x[1:3] if v is not None), default=0.0)
+    return max(min(found, default=0.0), far * 2.0**-45, 1e-300)
 
 
 def within(df: DataFrame, ends: dict, other: dict[str, tuple]) -> DataFrame:
     """The rows that the other side's bounding box meets."""
-    for a, (_, low, high) in other.items():
+    for a, (_, low, high, _) in other.items():
         if low is not None:
             df = df.where((F.col(ends[a][0]) <= high) & (F.col(ends[a][1]) >= low))
     return df
 
 
-def levels(df: DataFrame, ends: dict, axes: Sequence[str], units: dict[str, float], factor: float) -> DataFrame:
+def levels(df: DataFrame, ends: dict, axes: Sequence[str], units: dict[str, float], least: dict[str, float], factor: float) -> DataFrame:
     """df with _level, an array with the level on each axis."""
-    of = [F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(ends[a][1]) - F.col(ends[a][0])) / units[a], F.lit(1e-30))) / math.log2(factor))) for a in axes]
+    of = [F.ceil(F.log2(F.greatest(F.col(ends[a][1]) - F.col(ends[a][0]), F.lit(least[a])) / units[a]) / math.log2(factor)) for a in axes]
     return df.withColumn("_level", F.array(*[c.cast("int") for c in of]))
 
 
@@ -60,8 +69,9 @@ def meet(left: DataFrame, right: DataFrame, lends: dict, rends: dict, axes: Sequ
     size = extent(left, lends, axes), extent(right, rends, axes)
     left, right, factor = within(left, lends, size[1]), within(right, rends, size[0]), 4.0
     units = {a: max(size[0][a][0], size[1][a][0]) or 1.0 for a in axes}
+    least = {a: least_size(size[0][a], size[1][a]) for a in axes}
     while True:
-        a, b = levels(left, lends, axes, units, factor), levels(right, rends, axes, units, factor)
+        a, b = levels(left, lends, axes, units, least, factor), levels(right, rends, axes, units, least, factor)
         used = [sorted(tuple(r[0]) for r in x.select("_level").distinct().limit(VECTORS + 1).collect()) for x in (a, b)]
         if max(map(len, used)) <= VECTORS:
             break
@@ -175,6 +185,24 @@ def lines_meet_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return met.where(hit).select(F.col("a_gnum").alias("gnum"), "b_gnum")
 
 
+def volumes_meet_boxes(volumes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """volumes: (gnum, planes), convex and given by half-spaces (see functions.halfspaces), bounded or not; boxes: (gnum,
+    xmin, ...). (gnum, b_gnum) of volumes that meet boxes, borders included. A volume's own box within the boxes' bounds
+    comes from six linear programmes and goes into the box join; one more decides each pair that it leaves."""
+    got = boxes.agg(*[f(f"{k}{n}").alias(f"{k}{n}") for k in XYZ for f, n in ((F.min, "min"), (F.max, "max"))]).first()
+    if got["xmin"] is None:
+        return volumes.select("gnum", F.col("gnum").alias("b_gnum")).where("false")
+    low, high = (F.array(*[F.lit(float(got[f"{k}{n}"])) for k in XYZ]) for n in ("min", "max"))
+    axis = lambda k, v: [v if i == k else 0.0 for i in range(3)]
+    ends = [extreme(F.col("planes"), low, high, axis(k, v)).alias(f"{XYZ[k]}{n}") for k in range(3) for v, n in ((1.0, "min"), (-1.0, "max"))]
+    held = materialise(volumes.select("gnum", "planes", *ends).where(F.col("xmin.ok")))
+    far = max(abs(got[c]) for c in got.asDict()) * 1e-9
+    held = held.select("gnum", "planes", *[(F.get(F.col(f"{a}{n}.x"), F.lit(k)) + (-far if n == "min" else far)).alias(f"{a}{n}") for k, a in enumerate(XYZ) for n in ("min", "max")])
+    met = boxes_meet(held, boxes)
+    b = [F.array(*[F.col(f"b_{k}{n}") for k in XYZ]) for n in ("min", "max")]
+    return met.where(meets_box(F.col("a_planes"), *b)).select(F.col("a_gnum").alias("gnum"), "b_gnum")
+
+
 def distance_to_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """triangles: (gnum, a, b, c points). (gnum, tri, dist2, closest) of the nearest triangle of each point.
 

@@ -25,10 +25,10 @@ def register_format(name: str, lines: Callable[..., DataFrame]) -> None:
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line): the trimmed, not empty lines of a file, numbered from 1."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("b")).withColumn("m", F.monotonically_increasing_id())
+    """(n, line): the trimmed, not empty lines of a file, or of a folder's files in name order, numbered from 1."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).withColumn("m", F.monotonically_increasing_id())
     kept = raw.withColumn("line", F.trim(F.regexp_replace("value", r"\s+", " "))).where("line <> ''")
-    return materialise(numbered(kept.select("b", "m", "line"), ["b", "m"], "n").select("n", "line"))
+    return materialise(numbered(kept.select("f", "b", "m", "line"), ["f", "b", "m"], "n").select("n", "line"))
 
 
 def words(line: Column) -> Column:
