@@ -58,6 +58,28 @@ def grown(e: Column, b: Column) -> Column:
     return F.aggregate(e, F.struct(b.alias("q"), empty().alias("h")), step, last)
 
 
+def compressed(e: Column) -> Column:
+    """The same value in as few numbers as hold it, so that later products stay short."""
+
+    def carried(x: Column) -> Column:
+        """Fold of x, from its first element on, into (kept numbers, rest): rounded sums move on, what they lose stays."""
+
+        def step(acc: Column, v: Column) -> Column:
+            return let(two_sum(acc["q"], v), lambda t: F.struct(t["high"].alias("q"), F.when(t["low"] != 0, F.concat(acc["h"], F.array(t["low"]))).otherwise(acc["h"]).alias("h")))
+
+        return F.aggregate(x, F.struct(F.lit(0.0).alias("q"), empty().alias("h")), step, lambda acc: F.when(acc["q"] != 0, F.concat(acc["h"], F.array(acc["q"]))).otherwise(acc["h"]))
+
+    def falling(x: Column) -> Column:
+        """Fold of x from its largest number down: what a sum loses goes on, the sum stays."""
+
+        def step(acc: Column, v: Column) -> Column:
+            return let(two_sum(acc["q"], v), lambda t: F.when(t["low"] != 0, F.struct(t["low"].alias("q"), F.concat(acc["h"], F.array(t["high"])).alias("h"))).otherwise(F.struct(t["high"].alias("q"), acc["h"].alias("h"))))
+
+        return F.aggregate(F.reverse(x), F.struct(F.lit(0.0).alias("q"), empty().alias("h")), step, lambda acc: F.when(acc["q"] != 0, F.concat(acc["h"], F.array(acc["q"]))).otherwise(acc["h"]))
+
+    return carried(F.reverse(falling(e)))
+
+
 def plus(e: Column, f: Column) -> Column:
     return F.aggregate(f, e, grown)
 
@@ -205,7 +227,7 @@ def in_sphere_sign(a: Column, b: Column, c: Column, d: Column, e: Column) -> Col
             for k, _, (p, q, r) in TRIPLES:
                 det = plus(minus(times(m[f"m{q}{r}"], t[f"z{p}"]), times(m[f"m{p}{r}"], t[f"z{q}"])), times(m[f"m{p}{q}"], t[f"z{r}"]))
                 lift = plus(plus(times(t[f"x{k}"], t[f"x{k}"]), times(t[f"y{k}"], t[f"y{k}"])), times(t[f"z{k}"], t[f"z{k}"]))
-                parts[f"p{k}"] = chained({"d": det, "l": lift}, lambda x: times(x["d"], x["l"]))
+                parts[f"p{k}"] = chained({"d": compressed(det), "l": compressed(lift)}, lambda x: times(x["d"], x["l"]))
             return chained(parts, lambda x: -expansion_sign(plus(minus(x["p0"], x["p1"]), minus(x["p2"], x["p3"]))))
 
         return chained(exact_offsets(points, e, "xyz"), with_minors)

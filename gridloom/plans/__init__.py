@@ -1 +1,5 @@
 """Registered queries."""
+
+from gridloom.plans import meshes, queries
+
+__all__ = ["meshes", "queries"]

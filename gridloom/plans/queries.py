@@ -8,29 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import geometry as G
 from gridloom.functions import sfc
 from gridloom.functions.tables import numbered
-from gridloom.operators import connectivity, elements, exchange, ids, intersection, isosurface, partition, reduce, spatial
+from gridloom.operators import connectivity, exchange, ids, partition, reduce, spatial
+from gridloom.plans.registry import ORACLES, QUERIES, query, read
 from gridloom.sources import generators
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLES", "QUERIES"]
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a partitioned frame: the line number is the part and its parity the rank, the order key the global id."""
@@ -330,60 +314,12 @@ def epsilon_pairs(spark, sf_dir):
     return spatial.close_pairs(cloud(spark, sf_dir), 0.08).select("gnum1", "gnum2", F.round("dist2", 9).alias("dist2"))
 
 
-@query("SELECT i + j * 10 + k * 100 + 1 AS gnum, round(i / 9.0::DOUBLE, 6) AS x, round(j / 9.0::DOUBLE, 6) AS y, round(k / 9.0::DOUBLE, 6) AS z FROM range(10) a(i), range(10) b(j), range(10) c(k)")
-def cube_vertices(spark, sf_dir):
-    return generators.cube_vertices(spark, 10).select("gnum", *[F.round(a, 6).alias(a) for a in "xyz"])
-
-
-@query("""SELECT i + j * 9 + k * 81 + 1 AS gnum, CAST(c AS INTEGER) AS pos, (i + di) + (j + dj) * 10 + (k + dk) * 100 + 1 AS v FROM range(9) a(i), range(9) b(j), range(9) d(k),
-(VALUES (0,0,0,0),(1,1,0,0),(2,1,1,0),(3,0,1,0),(4,0,0,1),(5,1,0,1),(6,1,1,1),(7,0,1,1)) t(c, di, dj, dk)""")
-def cube_cells(spark, sf_dir):
-    return generators.cube_cells(spark, 10).select("gnum", F.posexplode("vtx").alias("pos", "v"))
-
-
-@query("""WITH f AS (SELECT 0 AS axis, i AS a, j + k * 9 AS r, CASE WHEN i = 0 THEN 0 ELSE i - 1 END + j * 9 + k * 81 + 1 AS c1, CASE WHEN i IN (0, 9) THEN 0 ELSE i + j * 9 + k * 81 + 1 END AS c2 FROM range(10) x(i), range(9) y(j), range(9) z(k)
-UNION ALL SELECT 1, j, i + k * 9, i + CASE WHEN j = 0 THEN 0 ELSE j - 1 END * 9 + k * 81 + 1, CASE WHEN j IN (0, 9) THEN 0 ELSE i + j * 9 + k * 81 + 1 END FROM range(9) x(i), range(10) y(j), range(9) z(k)
-UNION ALL SELECT 2, k, i + j * 9, i + j * 9 + CASE WHEN k = 0 THEN 0 ELSE k - 1 END * 81 + 1, CASE WHEN k IN (0, 9) THEN 0 ELSE i + j * 9 + k * 81 + 1 END FROM range(9) x(i), range(9) y(j), range(10) z(k))
-SELECT CAST(axis AS INTEGER) AS axis, c1, c2, CAST(CASE WHEN a = 0 THEN 2 * axis + 1 WHEN a = 9 THEN 2 * axis + 2 ELSE 0 END AS INTEGER) AS "group" FROM f""")
-def cube_face_cell(spark, sf_dir):
-    return generators.cube_faces(spark, 10).select("axis", "c1", "c2", "group")
-
-
-@query("SELECT i + 1 AS gnum, round(CASE WHEN i % 3 = 0 THEN 0.5 * (i + 1) * 2 ELSE (i + 1) * 2 END::DOUBLE, 6) AS area FROM range(200) t(i)")
-def polygon_area(spark, sf_dir):
-    p = lambda x, y: G.point(x, y, 0)
-    w = (F.col("id") + 1).cast("double")
-    ring = F.when(F.col("id") % 3 == 0, F.array(p(0, 0), p(w, 0), p(0, 2))).otherwise(F.array(p(0, 0), p(w, 0), p(w, 2), p(0, 2)))
-    return spark.range(200).select((F.col("id") + 1).alias("gnum"), F.round(G.polygon_area(ring), 6).alias("area"))
-
-
-@query("SELECT CAST(gnum AS BIGINT) AS gnum, round(1.0::DOUBLE / (6 * 729), 9) AS volume FROM range(1, 6 * 729 + 1) t(gnum)")
-def tetra_volume(spark, sf_dir):
-    t = generators.cube_tetras(spark, 10)
-    return with_corners(t, generators.cube_vertices(spark, 10)).select("gnum", F.round(G.tetra_volume(*[F.col(c) for c in "abcd"]), 9).alias("volume"))
-
-
 def with_corners(cells, vertices):
     """(gnum, a, b, c, d): the corner points of tetrahedra."""
     at = cells.select("gnum", F.posexplode("vtx").alias("pos", "v")).join(vertices.withColumnRenamed("gnum", "v"), "v")
     return at.groupBy("gnum").agg(*[F.first(F.when(F.col("pos") == k, F.struct("x", "y", "z")), ignorenulls=True).alias(n) for k, n in enumerate("abcd")])
 
 
-@query("SELECT i + j * 10 + k * 100 + 1 AS v1, i + j * 10 + (k + 1) * 100 + 1 AS v2, round((0.47::DOUBLE - k / 9.0::DOUBLE) * 9, 6) AS t FROM range(10) a(i), range(10) b(j), range(9) c(k) WHERE k / 9.0::DOUBLE < 0.47 AND (k + 1) / 9.0::DOUBLE > 0.47")
-def iso_plane_edges(spark, sf_dir):
-    v = generators.cube_vertices(spark, 10).withColumn("value", isosurface.field("plane", 0, 0, 1, 0.47))
-    up = v.where("z < 0.9999").select(F.col("gnum").alias("v1"), (F.col("gnum") + 100).alias("v2"))
-    return isosurface.crossings(up, v).select("v1", "v2", F.round("t", 6).alias("t"))
-
-
-@query("""WITH c AS (SELECT i, j, k, i + j * 9 + k * 81 + 1 AS g FROM range(9) a(i), range(9) b(j), range(9) d(k))
-SELECT (i + di) + (j + dj) * 10 + (k + dk) * 100 + 1 AS gnum, round(avg(CAST(g AS DOUBLE)), 6) AS value FROM c, (VALUES (0),(1)) x(di), (VALUES (0),(1)) y(dj), (VALUES (0),(1)) z(dk) GROUP BY 1""")
-def cell_to_vtx_mean(spark, sf_dir):
-    c = generators.cube_cells(spark, 10)
-    cv = c.select(F.col("gnum").alias("src"), F.explode("vtx").alias("dst"))
-    return isosurface.cells_to_vertices(cv, c.select("gnum", F.col("gnum").cast("double").alias("value"))).withColumn("value", F.round("value", 6))
-
-
 @query(f"WITH c AS {CL} SELECT gnum, CAST(least(floor((x + 1) / 2 * 9), 8) + least(floor((y + 1) / 2 * 9), 8) * 9 + least(floor((z + 1) / 2 * 9), 8) * 81 + 1 AS BIGINT) AS cell FROM c WHERE abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1")
 def locate_cube(spark, sf_dir):
     """Containing hexahedron of each point, by its six tetrahedra."""
@@ -391,14 +327,6 @@ def locate_cube(spark, sf_dir):
     return spatial.locate_in_tetras(cloud(spark, sf_dir), with_corners(generators.cube_tetras(spark, 10), v)).select("gnum", F.expr("(elt - 1) div 6 + 1").alias("cell"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS faces, CAST(0 AS BIGINT) AS wrong FROM range(3 * 10 * 81)")
-def nodal_to_faces(spark, sf_dir):
-    """Distinct faces of the cube's cells; every inner face is walked once each way."""
-    faces, signed = connectivity.descend(generators.cube_cells(spark, 10))
-    bad = signed.groupBy(F.abs("dst").alias("face")).agg(F.count("*").alias("n"), F.sum(F.signum("dst")).alias("s")).where("n > 2 OR (n = 2 AND s <> 0)")
-    return faces.agg(F.count("*").alias("faces")).crossJoin(bad.agg(F.count("*").alias("wrong")))
-
-
 @query(f"WITH c AS {CL} SELECT gnum, round(z * z + greatest(abs(x) - 1, 0) ** 2 + greatest(abs(y) - 1, 0) ** 2, 6) AS dist2 FROM c")
 def distance_to_plane(spark, sf_dir):
     """Squared distance of all points to a square of triangles."""
@@ -425,14 +353,6 @@ def hilbert_order(spark, sf_dir):
     return o.select("o_orderkey", sfc.hilbert2(F.col("o_orderkey") % 1024, F.col("o_custkey") % 1024, 10).alias("key"))
 
 
-@query()
-def cuthill_order(spark, sf_dir):
-    n = partition.implicit_split(generators.cube_cells(spark, 8).select("gnum"), 4)
-    conn = generators.cube_faces(spark, 8).where("c2 > 0").select("c1", "c2")
-    e = conn.join(n.select(F.col("gnum").alias("c1"), F.col("part").alias("p1")), "c1").join(n.select(F.col("gnum").alias("c2"), F.col("part").alias("p2")), "c2").where("p1 = p2")
-    return partition.renumber_cuthill(n, e.select(F.col("p1").alias("part"), F.col("c1").alias("src"), F.col("c2").alias("dst")))
-
-
 def entities(spark, sf_dir):
     """The distinct places of lineitem's frame."""
     return frame(spark, sf_dir).select("rank", "part", "lnum", "gnum").distinct()
@@ -526,17 +446,6 @@ def ptp_back(spark, sf_dir):
     return exchange.back(bridge(spark, sf_dir), v).select("gnum1", "gnum2", "bal")
 
 
-#: Faces of the cube of 7 vertices an axis, as the generator numbers them.
-_FACES = " UNION ALL ".join(
-    f"SELECT {axis * 7 * 36} + 1 + i + j * {dims[0]} + k * {dims[0] * dims[1]} AS face, i, j, k, {axis} AS axis FROM range({dims[0]}) x(i), range({dims[1]}) y(j), range({dims[2]}) z(k)"
-    for axis, dims in enumerate(((7, 6, 6), (6, 7, 6), (6, 6, 7)))
-)
-_SIDES = f"""WITH f AS ({_FACES}), s AS (
-  SELECT face, i + j * 6 + k * 36 + 1 AS hi, i - CAST(axis = 0 AS INTEGER) + (j - CAST(axis = 1 AS INTEGER)) * 6 + (k - CAST(axis = 2 AS INTEGER)) * 36 + 1 AS lo, CASE axis WHEN 0 THEN i WHEN 1 THEN j ELSE k END AS place FROM f),
-cf AS (SELECT lo AS cell, face FROM s WHERE place > 0 UNION ALL SELECT hi, -face FROM s WHERE place < 6),
-p AS (SELECT cell, CAST(ntile(5) OVER (ORDER BY cell) - 1 AS INTEGER) AS part FROM (SELECT range + 1 AS cell FROM range(216)))"""
-
-
 def cube_parts(spark):
     """The cube of 7 vertices an axis in five parts: split, signed cell faces (positive outwards on the cell that the normal
     leaves) and the vertices of the faces."""
@@ -554,102 +463,9 @@ def cube_parts(spark):
     return partition.implicit_split(spark.range(1, 217).select(F.col("id").alias("gnum")), 5), cell_face, face_vtx, groups
 
 
-@query(f"""{_SIDES}, l AS (SELECT part, 'cell' AS kind, cell AS gnum FROM p UNION ALL SELECT DISTINCT part, 'face', abs(face) FROM cf JOIN p USING (cell))
-SELECT part, kind, gnum, CAST(row_number() OVER (PARTITION BY part, kind ORDER BY gnum) AS INTEGER) AS lnum FROM l""")
-def mesh_partition(spark, sf_dir):
-    """Local numbers of the cells and faces of a partitioned mesh."""
-    split, cell_face, face_vtx, groups = cube_parts(spark)
-    out = partition.partition_mesh(split, cell_face, face_vtx, groups)
-    both = [out[n].select("part", F.lit(n[:4]).alias("kind"), "gnum", "lnum") for n in ("cells", "faces")]
-    return both[0].unionByName(both[1])
-
-
-@query(f"""{_SIDES}, c AS (SELECT part, cell, row_number() OVER (PARTITION BY part ORDER BY cell) AS l FROM p), u AS (SELECT DISTINCT part, abs(face) AS face FROM cf JOIN p USING (cell)),
-v AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY face) AS l FROM u)
-SELECT v.part, CAST(v.l AS BIGINT) AS face, CAST(max(CASE WHEN cf.face > 0 THEN c.l ELSE 0 END) AS INTEGER) AS c1, CAST(max(CASE WHEN cf.face < 0 THEN c.l ELSE 0 END) AS INTEGER) AS c2
-FROM v JOIN cf ON abs(cf.face) = v.face JOIN c ON c.cell = cf.cell AND c.part = v.part GROUP BY 1, 2""")
-def mesh_face_cells(spark, sf_dir):
-    """Which local cells each local face lies between."""
-    split, cell_face, face_vtx, _ = cube_parts(spark)
-    return partition.partition_mesh(split, cell_face, face_vtx)["face_cell"]
-
-
-@query("""WITH c AS (SELECT range + 1 AS gnum, range % 9 AS i, range // 9 % 9 AS j, range // 81 AS k FROM range(729)),
-e AS (SELECT gnum, CASE gnum % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END AS n, CASE gnum % 4 WHEN 0 THEN 'hexa' WHEN 1 THEN 'prism' WHEN 2 THEN 'pyramid' ELSE 'tetra' END AS t FROM c)
-SELECT (gnum - 1) * 6 + 1 + u AS gnum, t AS elt_type, round(1.0::DOUBLE / 729 / n, 9) AS volume, false AS flat FROM e, range(6) r(u) WHERE u < n""")
-def element_measures(spark, sf_dir):
-    m = elements.measures(generators.cube_mixed(spark, 10), generators.cube_vertices(spark, 10))
-    return m.select("gnum", "elt_type", F.round("volume", 9).alias("volume"), "flat")
-
-
 @query(f"""WITH c AS {CL} SELECT gnum, abs(x) <= 1 AND abs(y) <= 1 AND abs(z) <= 1 AS located,
 round(greatest(abs(x) - 1, 0) ** 2 + greatest(abs(y) - 1, 0) ** 2 + greatest(abs(z) - 1, 0) ** 2, 6) AS dist2 FROM c""")
 def locate_mixed(spark, sf_dir):
     """All points in a mesh of hexahedra, prisms, pyramids and tetrahedra, or their distance to it."""
     v = generators.cube_vertices(spark, 10, 2.0, (-1.0, -1.0, -1.0))
     return spatial.locate(cloud(spark, sf_dir), generators.cube_mixed(spark, 10), v).select("gnum", "located", F.round("dist2", 6).alias("dist2"))
-
-
-@query("""WITH c AS (SELECT range + 1 AS gnum FROM range(125)),
-e AS (SELECT gnum, CASE gnum % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END AS n, CASE gnum % 4 WHEN 0 THEN 'hexa' WHEN 1 THEN 'prism' WHEN 2 THEN 'pyramid' ELSE 'tetra' END AS t FROM c)
-SELECT (gnum - 1) * 6 + 1 + u AS gnum, t AS elt_type, round(1.0::DOUBLE / 125 / n, 9) AS volume FROM e, range(6) r(u) WHERE u < n""")
-def nodal_from_faces(spark, sf_dir):
-    """Elements found again from their faces alone: type and volume."""
-    faces, signed = connectivity.descend(generators.cube_mixed(spark, 6))
-    back = connectivity.typed_sections(signed, faces.select(F.col("face").alias("src"), F.posexplode("vtx").alias("pos", "dst")))
-    return elements.measures(back, generators.cube_vertices(spark, 6)).select("gnum", "elt_type", F.round("volume", 9).alias("volume"))
-
-
-@query(f"""{_SIDES}, k AS (SELECT cell, abs(face) AS face FROM cf WHERE cell % 3 = 0)
-SELECT 'cell' AS kind, cell AS gnum, dense_rank() OVER (ORDER BY cell) AS new FROM (SELECT DISTINCT cell FROM k) UNION ALL SELECT 'face', face, dense_rank() OVER (ORDER BY face) FROM (SELECT DISTINCT face FROM k)""")
-def extract_mesh(spark, sf_dir):
-    """Cells of every third number with their faces and vertices, renumbered."""
-    _, cell_face, face_vtx, _ = cube_parts(spark)
-    out = connectivity.extract_mesh(spark.range(3, 217, 3).select(F.col("id").alias("gnum")), cell_face, face_vtx)
-    rows = [out[n].select(F.lit(n[:4]).alias("kind"), "gnum", "new") for n in ("cells", "faces")]
-    return rows[0].unionByName(rows[1])
-
-
-@query("""SELECT i + j * 10 + k * 100 + 1 AS v1, i + j * 10 + (k + 1) * 100 + 1 AS v2, round(CASE WHEN k = 4 THEN 0.0::DOUBLE ELSE 1.0 END, 6) AS t FROM range(10) a(i), range(10) b(j), range(9) c(k) WHERE k = 4""")
-def iso_on_vertices(spark, sf_dir):
-    """A level that passes through vertices: they count as below, so each is met once, from the edge above it."""
-    v = generators.cube_vertices(spark, 10).withColumn("value", F.expr("cast((gnum - 1) div 100 AS double) - 4"))
-    up = v.where("gnum <= 900").select(F.col("gnum").alias("v1"), (F.col("gnum") + 100).alias("v2"))
-    return isosurface.crossings(up, v).select("v1", "v2", F.round("t", 6).alias("t"))
-
-
-def _overlap(axis: str) -> str:
-    return f"(least((a{axis} + 1) / 3.0::DOUBLE, (b{axis} + 1) / 4.0::DOUBLE) - greatest(a{axis} / 3.0::DOUBLE, b{axis} / 4.0::DOUBLE))"
-
-
-@query(f"""WITH a AS (SELECT range + 1 AS a_gnum, range % 3 AS ai, range // 3 % 3 AS aj, range // 9 AS ak FROM range(27)), b AS (SELECT range + 1 AS b_gnum, range % 4 AS bi, range // 4 % 4 AS bj, range // 16 AS bk FROM range(64)),
-m AS (SELECT *, {_overlap("i")} AS x, {_overlap("j")} AS y, {_overlap("k")} AS z FROM a, b) SELECT a_gnum, b_gnum, round(x * y * z, 9) AS measure FROM m WHERE x > 1e-9 AND y > 1e-9 AND z > 1e-9""")
-def intersect_volumes(spark, sf_dir):
-    """Cells of two cubes, cut into tetrahedra, prisms and pyramids: their common volumes are those of boxes."""
-    cells = lambda n: (generators.cube_mixed(spark, n), generators.cube_vertices(spark, n))
-    found = intersection.intersect_volumes(cells(4), cells(5), 1e-12)
-    cell = lambda c: F.expr(f"({c} - 1) div 6 + 1").alias(c)
-    return found.groupBy(cell("a_gnum"), cell("b_gnum")).agg(F.round(F.sum("measure"), 9).alias("measure")).where("measure > 1e-9")
-
-
-@query("""WITH c AS (SELECT range + 1 AS gnum, range % 6 AS i, range // 6 % 6 AS j, range // 36 AS k, CAST(range * 3 // 216 AS INTEGER) AS part FROM range(216)),
-d AS (SELECT a.part, b.gnum, min(greatest(abs(a.i - b.i), abs(a.j - b.j), abs(a.k - b.k))) AS layer FROM c a, c b GROUP BY 1, 2)
-SELECT part, gnum, CAST(layer AS INTEGER) AS layer FROM d WHERE layer <= 2""")
-def ghost_layers_deep(spark, sf_dir):
-    """Two layers of ghost cells over shared vertices."""
-    c = generators.cube_cells(spark, 7)
-    split = partition.implicit_split(c.select("gnum"), 3)
-    conn = c.select(F.col("gnum").alias("src"), F.posexplode("vtx").alias("pos", "dst"))
-    return partition.ghost_layers(split, conn, 2)
-
-
-@query("SELECT CAST(k AS INTEGER) AS layer, 642 AS vertices, round(4 * pi() / 3 * ((k + 1) / 2.0::DOUBLE) ** 3, 1) AS volume FROM range(2) t(k)")
-def ball_shells(spark, sf_dir):
-    """A ball of icosphere shells: vertices a shell and the volume within it, to one digit."""
-    v, e = generators.ball(spark, 8, 2)
-    m = elements.measures(e, v).select("elt_type", "volume")
-    inner = m.groupBy(F.when(F.col("elt_type") == "tetra", 0).otherwise(1).alias("layer")).agg(F.sum("volume").alias("own"))
-    r = F.round(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) * 2).cast("int") - 1
-    shells = v.groupBy(r.alias("layer")).agg(F.count("*").cast("int").alias("vertices")).where("layer >= 0")
-    total = inner.select(F.explode(F.sequence("layer", F.lit(1))).alias("layer"), "own").groupBy("layer").agg(F.round(F.sum("own"), 1).alias("volume"))
-    return shells.join(total, "layer").select("layer", "vertices", "volume")
