@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 from operator import eq
 from zlib import crc32
 
@@ -49,7 +50,7 @@ SPACE = re.compile(r"\s+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-SKIP = {"head", "script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "nav", "footer", "aside", "form", "button", "select", "input", "textarea", "label", "dialog", "menu", "title"}
+SKIP = {"head", "script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "nav", "footer", "aside", "form", "button", "select", "input", "textarea", "dialog", "menu", "title"}
 #: Words of an id, class or role that say that an element is not the article.
 BAD_WORDS = {"ad", "ads", "adbox", "adsense", "adslot", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "share", "social", "related", "comment", "comments", "disqus", "replies", "respond", "search", "login", "complementary", "contentinfo", "widget", "toolbar", "pagination", "pager"}
 CLOSES = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -61,6 +62,24 @@ CELLS, BROADCAST = 1 << 22, 32 << 20
 HOLDS = {"main": 1, "article": 2, "h1": 4 | 8, "h2": 8, "h3": 8}
 
 
+#: Words beside a word of BAD_WORDS in a name that say no more of what the element holds.
+NEUTRAL = {"area", "articles", "bar", "block", "body", "bottom", "box", "button", "col", "column", "container", "content", "default", "fixed", "float", "footer", "form", "group", "head", "header", "holder", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "module", "outer", "overlay", "page", "pane", "panel", "policy", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "stories", "strip", "tile", "top", "unit", "wrap", "wrapper"}
+DIGITS = re.compile(r"\d+")
+
+
+@lru_cache(1 << 14)
+def names_of(values: str) -> frozenset[str]:
+    """The words of BAD_WORDS that name an element: those of tokens all of whose words are bad or NEUTRAL, so that
+    related-posts is named by `related`, and related-work by nothing."""
+    out: set[str] = set()
+    for token in values.lower().split():
+        words = re.findall(r"[a-z]+", token)
+        bad = BAD_WORDS.intersection(words)
+        if bad and all(w in bad or w in NEUTRAL or len(w) < 3 for w in words):
+            out |= bad
+    return frozenset(out)
+
+
 class Node:
     __slots__ = ("tag", "label", "words", "kids", "text", "parent", "block", "inside", "crc", "mass", "chars", "holds", "bad", "hidden", "shape", "at", "elements", "crcs", "masses")
 
@@ -76,8 +95,8 @@ class Node:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
         if not found:
             return
-        self.label = tag + "#" + re.sub(r"\d+", "0", found.get("id", "")) + "." + found.get("class", "")
-        self.words = set(re.findall(r"[a-z]+", " ".join(found.values()).lower()))
+        self.label = DIGITS.sub("0", tag + "#" + found.get("id", "") + "." + found.get("class", ""))
+        self.words = names_of(" ".join(found.values()))
 
 
 def parse(page: str) -> Node:
@@ -425,7 +444,8 @@ def outermost(top: Node, tag: str) -> list[Node]:
 def main_text(page: str, constant=frozenset(), slot=()) -> str:
     root = parse(page)
     top = at_slot(root, slot, constant)
-    roots = outermost(top, "article") or outermost(top, "main")[:1] or [top]
+    articles = [x for x in outermost(top, "article") if not x.hidden]
+    roots = [max(articles, key=lambda x: x.mass)] if articles else outermost(top, "main")[:1] or [top]  # teasers beside it go
     if all(x.hidden for x in roots):
         roots = [root]
     text = text_of(roots, constant)

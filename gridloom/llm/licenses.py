@@ -9,11 +9,13 @@ probability under (1 - 0.19) ** 48 < 5e-5; whole copies (0.25) with 1e-6. (Templ
 4 too, with a similarity of at least 1/8: under 2e-3.) A window's minima come from its two halves, and a class's from
 the class below, so each band costs one pass over the words.
 
-A retrieved template counts if the window and its neighbours' overlap hold at least `containment` of its distinct
-shingles, compared word by word. Licenses resemble each other: of matches that have half of the smaller one's shingles in the
-text in common, the one with the most matched shingles stays (then the greater containment, then the first id), so a notice of
-one license isn't reported as its sibling's or as its own opening's. The templates are a parameter, shipped whole, of a
-size that `MAX_TEMPLATE_WORDS` bounds.
+A retrieved template is looked for in its window and the class's length around it: a match is a stretch of at most
+`REACH` c shingles that holds at least `containment` of the template's distinct shingles, compared word by word, and
+ends where a shingle comes more often than the template has it, so copies one after another are matches of their own. A
+stretch with another version's digits where the template has its own is another license. Licenses resemble each other:
+of matches that have half of the smaller one's shingles in the text in common, the one with the most matched shingles
+stays (then the greater containment, then the first id), so a notice of one license isn't reported as its sibling's or as
+its own opening's. The templates are a parameter, shipped whole, of a size that `MAX_TEMPLATE_WORDS` bounds.
 
 Defined results: null and empty texts match nothing; texts under WIDTH words match nothing; repeated templates' ids
 count as one, under the first of them; templates under WIDTH words are refused; repeated rows get equal results; an empty
@@ -22,7 +24,8 @@ table gives an empty one; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import re
+from collections import Counter, defaultdict, deque
 from zlib import crc32
 
 import numpy as np
@@ -70,6 +73,17 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
+_later = ", or (at your option) any later version"
+_advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither"
+TEMPLATES |= {
+    "gpl-2.0-only-header": TEMPLATES["gpl-2.0-header"].replace("either version 2", "version 2").replace(_later, ""),
+    "gpl-3.0-only-header": TEMPLATES["gpl-3.0-header"].replace("either version 3", "version 3").replace(_later, ""),
+    "lgpl-2.0-header": TEMPLATES["lgpl-2.1-header"].replace("Lesser", "Library").replace("version 2.1", "version 2"),
+    "bsd-4-clause": TEMPLATES["bsd-3-clause"].replace("3. Neither", _advert),
+    "gfdl-1.3-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation",
+    **{k.removesuffix("-notice").replace("4.0", "3.0-notice"): v.replace("4.0 International", "3.0 Unported") for k, v in TEMPLATES.items() if v.endswith("4.0 International License.")},
+}
+REACH = 4
 _rng = np.random.default_rng(20)
 MULTIPLY = (_rng.integers(1, 1 << 32, BANDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 ADD = _rng.integers(0, 1 << 32, BANDS, dtype=np.uint64).astype(np.uint32)
@@ -94,9 +108,64 @@ def shingle_keys(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
     return h
 
 
+def version_of(name: str, words: list[bytes]) -> tuple[bytes, ...] | None:
+    """The phrase that tells a template's version: the word before the digits of its name, where its text has them, and
+    the digits there."""
+    version = re.search(r"-([0-9]+)\.[0-9]+", name)
+    for i in range(1, len(words) if version else 0):
+        if words[i] == version[1].encode() and not words[i - 1].isdigit():
+            return tuple(words[i - 1 : next((k for k in range(i, len(words)) if not words[k].isdigit()), len(words))])
+    return None
+
+
+def contradicts(words: list[bytes], phrase: tuple[bytes, ...]) -> bool:
+    """Whether words have other digits after the phrase's first word, and nowhere those of the phrase."""
+    found = set()
+    for i, w in enumerate(words):
+        if w == phrase[0]:
+            end = next((k for k in range(i + 1, len(words)) if not words[k].isdigit()), len(words))
+            found.add(tuple(words[i:end]))
+    return phrase not in found and any(len(x) > 1 for x in found)
+
+
+def copies(held: list[tuple[int, tuple]], own: Counter, need: float, reach: int) -> list[tuple[int, int, int, set[int]]]:
+    """(first place, last place, distinct shingles, places) of the matches among a template's shingles at their places."""
+    out: list[tuple[int, int, int, set[int]]] = []
+    waiting: deque[tuple[int, tuple]] = deque()
+    count: Counter = Counter()
+    start, taken, last = None, [], 0
+
+    def close() -> None:
+        nonlocal start
+        if start is not None:
+            out.append((start, last, len(count), set(taken)))
+            start = None
+            count.clear()
+
+    for k, g in held:
+        if start is not None and count[g] < own[g] and k - start <= reach:
+            count[g] += 1
+            taken.append(k)
+            last = k
+            continue
+        close()
+        waiting.append((k, g))
+        count[g] += 1
+        while k - waiting[0][0] > reach or count[waiting[0][1]] > own[waiting[0][1]]:
+            count[waiting.popleft()[1]] -= 1
+        count += Counter()
+        if len(count) >= need:
+            start, taken, last = waiting[0][0], [x for x, _ in waiting], k
+            waiting.clear()
+    close()
+    return out
+
+
 class Templates:
     def __init__(self, texts: dict[str, str]):
         self.sets: dict[str, set[tuple]] = {}
+        self.counts: dict[str, Counter] = {}
+        self.version: dict[str, tuple[bytes, ...] | None] = {}
         self.tables: dict[int, list[tuple[np.ndarray, list[list[str]]]]] = {}
         self.common: dict[int, np.ndarray] = {}
         by_class: dict[int, list[tuple[str, np.ndarray]]] = {}
@@ -104,7 +173,9 @@ class Templates:
             words = words_of(text.encode())
             if len(words) < WIDTH:
                 raise ValueError(f"template {name} has under {WIDTH} words")
-            self.sets[name] = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
+            self.counts[name] = Counter(tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1))
+            self.sets[name] = set(self.counts[name])
+            self.version[name] = version_of(name, words)
             c = max(4, 1 << (len(self.sets[name]) - 1).bit_length())
             h = shingle_keys(words, {})
             by_class.setdefault(c, []).append((name, (h[None, :] * MULTIPLY[:, None] + ADD[:, None]).min(axis=1)))
@@ -158,27 +229,33 @@ def scan(texts: list[bytes], t: Templates, containment: float, memo: dict[bytes,
     if not padded:
         return out
     starts = np.cumsum([0, *map(len, padded)])
-    met: dict[int, list[tuple[str, int, int]]] = {}
+    met: dict[int, list[tuple[str, int, int, int]]] = {}
     for at, c, name in retrieve(np.concatenate(padded), t):
         k = int(np.searchsorted(starts, at, "right")) - 1
         a, n = at - int(starts[k]), len(keys[which[k]])
         if a < n:
-            met.setdefault(which[k], []).append((name, a, min(n, a + 2 * c)))
+            met.setdefault(which[k], []).append((name, max(0, a - c), min(n, a + 3 * c), c))
     for i, windows in met.items():
-        found: dict[str, list[list]] = {}
-        for name, a, b in sorted(windows):
-            own = t.sets[name]
+        found = []
+        for name, a, b, c in joined_windows(windows):
+            own = t.counts[name]
             held = [(k, g) for k in range(a, b) if (g := tuple(words[i][k : k + WIDTH])) in own]
-            n = len({g for _, g in held})
-            if n >= containment * len(own):
-                spans = found.setdefault(name, [])
-                first, last = held[0][0], held[-1][0] + WIDTH
-                if spans and first < spans[-1][1]:
-                    spans[-1][1], spans[-1][2] = max(spans[-1][1], last), max(spans[-1][2], n)
-                    spans[-1][3].update(k for k, _ in held)
-                else:
-                    spans.append([first, last, n, {k for k, _ in held}])
-        out[i] = best_of([(name, a, b, n, n / len(t.sets[name]), at) for name, spans in found.items() for a, b, n, at in spans])
+            for first, last, n, at in copies(held, own, containment * len(own), REACH * c):
+                end = last + WIDTH
+                if t.version[name] is None or not contradicts(words[i][first : end + 2], t.version[name]):
+                    found.append((name, first, end, n, n / len(own), at))
+        out[i] = best_of(found)
+    return out
+
+
+def joined_windows(windows: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """The windows of each template, those that meet as one."""
+    out: list[tuple[str, int, int, int]] = []
+    for name, a, b, c in sorted(windows):
+        if out and out[-1][0] == name and a <= out[-1][2]:
+            out[-1] = (name, out[-1][1], max(b, out[-1][2]), c)
+        else:
+            out.append((name, a, b, c))
     return out
 
 

@@ -41,11 +41,6 @@ NAMES = "Adam Alain Alan Alexander Alice Ana Andrea Andreas Andrew Angela Anna A
 PLACES = "Amsterdam Barcelona Berlin Birmingham Bordeaux Boston Brussels Chicago Cologne Dallas Dublin Edinburgh Frankfurt Geneva Hamburg Lille Lisbon London Lyon Madrid Manchester Marseille Miami Milan Montreal Munich Nantes Paris Porto Rome Seattle Sevilla Stuttgart Sydney Toronto Toulouse Valencia Vienna Zurich".split()
 NOBODY = r"(?i)(no-?reply|example\.|localhost|webmaster|postmaster|@(media|import|param|return|override|deprecated|property|see|since|author)$|^@?(everyone|channel|here|all)$|555-?01[0-9]{2}$|123-45-6789|000-00-0000)"
 KNOWN = rf"\b({'|'.join(NAMES + PLACES)})\b"
-#: The gazetteer: common given names and places, and values that belong to nobody.
-NAMES = "Adam Alain Alan Alexander Alice Ana Andrea Andreas Andrew Angela Anna Anne Antonio Barbara Benjamin Bernard Brian Bruno Camille Carla Carlos Carmen Caroline Catherine Charles Charlotte Christian Christine Claire Clara Claudia Daniel David Diego Dominique Edward Elena Elizabeth Emily Emma Eric Eva Fatima Felix Francisco Frank Gabriel George Hannah Hans Helen Helga Henri Henry Ingrid Isabel Ivan Jacques James Jan Javier Jean Jennifer Jessica Joan John Jorge Joseph Juan Julia Julie Karen Karl Kevin Klaus Laura Laurent Linda Lisa Louis Lucas Lucia Luis Manuel Marc Maria Marie Mark Martin Mary Matthew Michael Michel Miguel Mohammed Monika Nathalie Nicolas Nina Olivia Pablo Patricia Patrick Paul Pedro Peter Philippe Pierre Rachel Rafael Ralf Rebecca Richard Robert Rosa Sabine Samuel Sandra Sara Sarah Sofia Sophie Stefan Stephen Susan Sylvie Teresa Thomas Tobias Ursula Valerie Victor Walter William Wolfgang Yves".split()
-PLACES = "Amsterdam Barcelona Berlin Birmingham Bordeaux Boston Brussels Chicago Cologne Dallas Dublin Edinburgh Frankfurt Geneva Hamburg Lille Lisbon London Lyon Madrid Manchester Marseille Miami Milan Montreal Munich Nantes Paris Porto Rome Seattle Sevilla Stuttgart Sydney Toronto Toulouse Valencia Vienna Zurich".split()
-NOBODY = r"(?i)(no-?reply|example\.|localhost|webmaster|postmaster|@(media|import|param|return|override|deprecated|property|see|since|author)$|^@?(everyone|channel|here|all)$|555-?01[0-9]{2}$|123-45-6789|000-00-0000)"
-KNOWN = rf"\b({'|'.join(NAMES + PLACES)})\b"
 #: Wider candidates: local phone numbers, social security numbers, account numbers, spelled-out addresses, handles, streets, names.
 WIDER = {
     "local": r"(?<![0-9+().-])(?<![0-9+(][\x20])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9])",
@@ -125,47 +120,6 @@ def pieces(clean: Column, kind: str) -> Column:
     return F.when(F.contains(clean, F.lit(GUARDS[kind])), cut).otherwise(F.lit(None)) if kind in GUARDS else cut
 
 
-def spans_of(k: int, kind: str) -> Column:
-    """array<struct> of the matches whose pieces are in p{k} and whose pieces' ends are in e{k}."""
-    p, e = F.col(f"p{k}"), F.col(f"e{k}")
-
-    def span(i):
-        raw = F.get(p, 2 * i + 1)
-        one = [F.get(e, 2 * i).alias("at"), F.lit(k).alias("k"), F.get(e, 2 * i + 1).alias("end")]
-        if kind in BASE:
-            return F.struct(*one, raw.alias("raw"))
-        gap = F.concat(F.coalesce(F.get(p, 2 * i - 1), F.lit("")), F.get(p, 2 * i))
-        return F.struct(*one, *votes_and_features(kind, raw, F.right(gap, F.lit(32)), F.substring(F.get(p, 2 * i + 2), 1, 1)))
-
-    found = F.transform(F.sequence(F.lit(0), (F.size(p) - 3) / 2), lambda i: span(i.cast("int")))
-    if kind in BASE:
-        kept = F.filter(found, lambda s: valid(kind, s["raw"])) if kind != "email" else found
-        return F.transform(kept, lambda s: F.struct(s["at"].alias("at"), s["k"].alias("k"), s["end"].alias("end")))
-    return found
-
-
-def votes_and_features(kind: str, raw: Column, before: Column, after: Column) -> list[Column]:
-    vote = lambda yes, no: F.when(no, 2).when(yes, 1).otherwise(0)
-    side = lambda c: F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^[(<\[\"'“:=]$"), 1).when(c.rlike(r"^[)>\].,;!?”]$"), 2).otherwise(3)
-    word = F.lower(F.regexp_extract(before, r"([\p{L}]+)[^\p{L}]*$", 1))
-    share = F.length(digits(raw)) / F.length(raw)
-    return [
-        vote(raw.rlike(FORMS[kind]), raw.rlike(MISFITS[kind])).alias("form"),
-        vote(raw.rlike(KNOWN) | before.rlike(KNOWN), raw.rlike(NOBODY)).alias("gazetteer"),
-        vote(before.rlike(CUES), before.rlike(AGAINST)).alias("context"),
-        F.least(F.floor(F.length(raw) / 6).cast("int"), F.lit(5)).alias("size"),
-        F.least(F.floor(share * 4).cast("int"), F.lit(3)).alias("digits"),
-        side(F.right(before, F.lit(1))).alias("left"), side(after).alias("right"),
-        F.when(word == "", 0).otherwise(1 + F.pmod(F.crc32(word.cast("binary")), F.lit(31))).cast("int").alias("word"),
-    ]
-
-
-def pieces(clean: Column, kind: str) -> Column:
-    """The text before, in and after each match in turn; null without a match. clean: a text without MARK."""
-    cut = F.split(F.regexp_replace(clean, F.lit((PATTERNS | WIDER)[kind]), F.lit(f"{MARK}$0{MARK}")), MARK)
-    return F.when(F.contains(clean, F.lit(GUARDS[kind])), cut).otherwise(F.lit(None)) if kind in GUARDS else cut
-
-
 def spans_of(k: int, kind: str) -> Column:
     """array<struct> of the matches whose pieces are in p{k} and whose pieces' ends are in e{k}."""
     p, e = F.col(f"p{k}"), F.col(f"e{k}")

@@ -1,8 +1,9 @@
 """Secret scans by sliding-window Shannon entropy (operator 7).
 
 Three base kinds (assign, access, hex) follow fixed patterns. The method adds kind `entropy`: every maximal run of token
-characters of at least `MIN_RUN` is a candidate; its character class (hex, alphanumeric, base64) sets the window's
-entropy threshold. The window's entropy comes from incremental counts: one count goes up and one down per step, and the
+characters of at least `MIN_RUN` is a candidate, and so is what follows its fixed prefix, if it has one (`ghp_`, `sk-live-`:
+up to two short words that end in a dash or underscore). A candidate's character class (hex, alphanumeric, base64) sets the
+window's entropy threshold. The window's entropy comes from incremental counts: one count goes up and one down per step, and the
 sum of c*log2(c) is corrected by the two changes. Runs that overlap a base span, and runs that the allow-list matches
 (public values, plain words and numbers, identifiers, runs that are mostly readable words) are suppressed. Positions are code points, ends exclusive.
 
@@ -35,6 +36,8 @@ ESCAPES = re.compile(r"3A2F2F|2F|2E|2D|3A|3D|3F|5F")
 SPOKEN = re.compile(r"(?=.{4})(?=.*[aeiouyAEIOUY])(?!.*[^aeiouyAEIOUY]{4})(?!.*[aeiouyAEIOUY]{4})")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 WINDOW = 20
+#: Fixed prefixes of keys.
+PREFIX = re.compile(rf"(?:[A-Za-z]{{2,8}}[_-]){{1,2}}(?=[A-Za-z0-9+/_=-]{{{WINDOW}}})")
 #: Entropy in bits a character that a window of 20 must reach, by class, and the digits and letters the run must have.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 #: Runs that look random but are public: hash-named paths, UUID-like groups, rulers, URLs' path words.
@@ -50,7 +53,7 @@ PLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
 def char_class(run: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
+    if re.fullmatch(r"[0-9a-fA-F]+", run):
         return "hex"
     return "alnum" if run.isalnum() else "base64"
 
@@ -83,6 +86,12 @@ def readable(run: str) -> bool:
 
 
 def is_random(run: str) -> bool:
+    """Whether the run, or what follows its prefix, looks random."""
+    head = PREFIX.match(run)
+    return looks_random(run) or head is not None and run not in PUBLIC and not ALLOW.fullmatch(run) and looks_random(run[head.end() :])
+
+
+def looks_random(run: str) -> bool:
     if run in PUBLIC or ALLOW.fullmatch(run) or readable(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
         return False
     return best_entropy(run) >= THRESHOLDS[char_class(run)]

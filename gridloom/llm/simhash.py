@@ -404,7 +404,7 @@ def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, max_bits: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; see the module's text."""
     prints = materialise(fingerprints(df, width, seed, id_col=id_col, text_col=text_col))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("low")))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
     linked = components(nodes.select(F.col("fp").alias("node")), fingerprint_links(nodes.select("fp"), max_bits))
     roots = materialise(linked)
     lows = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "low")
@@ -413,6 +413,13 @@ def near_duplicates(df: DataFrame, max_bits: int = 4, width: int = 4, seed: int
     by_root = by_root.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = lows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     named = salted.join(by_root, ["root", "salt"], "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(named, "fp").select(
+    # the fingerprints of a thousandth of the rows and more, a thousand of them at most, are spread in the same way
+    rows = nodes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(nodes.where(F.col("copies") > rows / 1000).select("fp", F.lit(True).alias("hot")))
+    salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    dealt = prints.join(hot, "fp", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0))
+    every = F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))
+    named = named.join(hot, "fp", "left").withColumn("salt", F.explode(every)).drop("hot")
+    return dealt.join(named, ["fp", "salt"]).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
