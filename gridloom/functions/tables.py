@@ -49,3 +49,20 @@ def numbered(df: DataFrame, by: list[str], out: str = "gnum", within: list[str]
             cond = cond & rows[g].eqNullSafe(before[f"_g_{g}"])
     joined = rows.join(before, cond).drop(before["_part"])
     return joined.withColumn(out, (F.col("_inside") + F.col("_before")).cast("long")).drop("_inside", "_before", "_part", *[f"_g_{g}" for g in group])
+
+
+HOT = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], most: int = HOT) -> DataFrame:
+    """The inner join on keys, where a key may hold a large share of either side: the right rows of a key with more than
+    `most` of them are dealt over as many chunks, and the left rows of that key go to each chunk, so no task has more than
+    about `most` right rows of one key. The hot keys are at most the right rows over `most`."""
+    many = right.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_chunks"))
+    many = materialise(many)
+    if not many.limit(1).count():
+        return left.join(right, keys)
+    own = [c for c in right.columns if c not in keys]
+    dealt = right.join(many, keys, "left").withColumn("_chunk", F.when(F.col("_chunks").isNotNull(), F.pmod(F.xxhash64(*own), F.col("_chunks"))).otherwise(0).cast("int")).drop("_chunks")
+    each = left.join(many, keys, "left").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1))).drop("_chunks")
+    return each.join(dealt, [*keys, "_chunk"]).drop("_chunk")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import ELEMENT_FACES
 from gridloom.functions.predicates import same_cycle
-from gridloom.functions.tables import numbered
+from gridloom.functions.tables import numbered, spread_join
 from gridloom.operators.ids import from_keys
 
 
@@ -25,10 +25,10 @@ def transpose(conn: DataFrame) -> DataFrame:
 
 
 def combine_pairs(ab: DataFrame, bc: DataFrame) -> DataFrame:
-    """A to C, distinct and without signs or places."""
+    """A to C, distinct and without signs or places; a shared B with many neighbours is spread over tasks."""
     b = ab.select(F.col("src").alias("a"), F.abs("dst").alias("b")).distinct()
     c = bc.select(F.col("src").alias("b"), F.abs("dst").alias("c")).distinct()
-    return b.join(c, "b").select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
+    return spread_join(b, c, ["b"]).select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
 
 
 def combine(ab: DataFrame, bc: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.tables import numbered
+from gridloom.functions.tables import numbered, spread_join
 
 TRIPLET = ("rank", "part", "lnum")
 
@@ -109,7 +109,7 @@ def shared_graph(df: DataFrame) -> DataFrame:
     """Communication graph: pairs of copies of one gnum on different parts."""
     a = df.select("gnum", *TRIPLET)
     b = df.select("gnum", *[F.col(c).alias(f"o_{c}") for c in TRIPLET])
-    return a.join(b, "gnum").where("rank <> o_rank OR part <> o_part")
+    return spread_join(a, b, ["gnum"]).where("rank <> o_rank OR part <> o_part")
 
 
 def owners(df: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import sfc
-from gridloom.functions.tables import materialise, numbered
-from gridloom.operators.connectivity import dual, sign
+from gridloom.functions.tables import materialise, numbered, spread_join
+from gridloom.operators.connectivity import sign
 from gridloom.operators.exchange import shared_graph
 from gridloom.operators.ids import weighted_split
 
@@ -146,13 +146,17 @@ def partition_mesh(split: DataFrame, cell_face: DataFrame, face_vtx: DataFrame,
 
 
 def ghost_layers(cells: DataFrame, conn: DataFrame, depth: int = 1) -> DataFrame:
-    """(part, gnum, layer): cells within depth steps of each part over shared dst, layer 0 being the part's own."""
-    near = dual(conn).select(F.col("src").alias("gnum"), F.col("dst").alias("next"))
-    out = cells.select("part", "gnum", F.lit(0).alias("layer"))
-    front = out
+    """(part, gnum, layer): cells within depth steps of each part over shared dst, layer 0 being the part's own. Each layer
+    goes from the frontier to the entities that it is the first to reach, and from those to their cells."""
+    links = materialise(conn.select(F.col("src").alias("gnum"), F.abs("dst").alias("ent")).distinct())
+    out = materialise(cells.select("part", "gnum", F.lit(0).alias("layer")))
+    front, seen = out, None
     for k in range(1, depth + 1):
-        step = front.join(near, "gnum").select("part", F.col("next").alias("gnum")).distinct()
-        front = step.join(out.select("part", "gnum"), ["part", "gnum"], "left_anti").withColumn("layer", F.lit(k))
+        reached = front.join(links, "gnum").select("part", "ent").distinct()
+        fresh = materialise(reached if seen is None else reached.join(seen, ["part", "ent"], "left_anti"))
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        step = spread_join(fresh, links, ["ent"]).select("part", "gnum").distinct()
+        front = materialise(step.join(out.select("part", "gnum"), ["part", "gnum"], "left_anti").withColumn("layer", F.lit(k)))
         out = out.unionByName(front)
     return out
 

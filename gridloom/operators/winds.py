@@ -11,35 +11,52 @@ nulls.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions import geometry as G
 from gridloom.functions.tables import materialise
 
 SLACK = 1e-10
 
 
+def hits(o: np.ndarray, d: np.ndarray, corners: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rays (count, 3) and triangles (count, 3 corners, 3): which meet, and how many lengths of d away."""
+    e, f, g = corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0], o - corners[:, 0]
+    dot = lambda x, y: np.einsum("ki,ki->k", x, y)
+    h, q = np.cross(d, f), np.cross(g, e)
+    det, size = dot(e, h), np.sqrt(dot(d, d) * dot(e, e) * dot(f, f))
+    fine = np.abs(det) > 1e-12 * size
+    safe = np.where(fine, det, 1)
+    # the place o + s d = t1 + a (t2 - t1) + b (t3 - t1)
+    a, b, s = dot(g, h) / safe, dot(d, q) / safe, dot(f, q) / safe
+    return fine & (a >= -slack) & (b >= -slack) & (a + b <= 1 + slack) & (s > slack), s
+
+
 def edge_winds(edges: DataFrame, triangles: DataFrame, vertices: DataFrame, slack: float = SLACK) -> DataFrame:
     """edges: (gnum, v1, v2); triangles: (cell, v1, v2, v3), as of polyhedra.face_triangles; vertices: (gnum, x, y, z).
     (gnum, way, cell, x, y, z): way is `up` or `down`, with the cell and the place where the ray leaves it."""
-    spot = lambda v, p: vertices.select(F.col("gnum").alias(v), F.struct(*[F.col(a).cast("double").alias(a) for a in "xyz"]).alias(p))
-    e = edges.select("gnum", "v1", "v2").join(spot("v1", "p1"), "v1").join(spot("v2", "p2"), "v2")
-    rays = e.select("gnum", F.explode(F.array(F.struct(F.lit("up").alias("way"), F.col("v1").alias("v"), F.col("p1").alias("o"), G.sub(F.col("p1"), F.col("p2")).alias("d")), F.struct(F.lit("down").alias("way"), F.col("v2").alias("v"), F.col("p2").alias("o"), G.sub(F.col("p2"), F.col("p1")).alias("d")))).alias("r")).select("gnum", "r.*")
-    rays = materialise(rays)
-    t = triangles.select("cell", "v1", "v2", "v3")
+    spot = lambda v, p: vertices.select(F.col("gnum").alias(v), F.array(*[F.col(a).cast("double") for a in "xyz"]).alias(p))
+    e = edges.select(F.col("gnum").cast("long"), "v1", "v2").join(spot("v1", "p1"), "v1").join(spot("v2", "p2"), "v2")
+    away = lambda p, q: F.transform(F.arrays_zip(F.col(p).alias("p"), F.col(q).alias("q")), lambda x: x["p"] - x["q"])
+    ray = lambda way, v, p, q: F.struct(F.lit(way).alias("way"), F.col(v).alias("v"), F.col(p).alias("o"), away(p, q).alias("d"))
+    rays = materialise(e.select("gnum", F.explode(F.array(ray("up", "v1", "p1", "p2"), ray("down", "v2", "p2", "p1"))).alias("r")).select("gnum", "r.*"))
+    t = triangles.select(F.col("cell").cast("long"), "v1", "v2", "v3")
     around = materialise(t.select("cell", F.explode(F.array("v1", "v2", "v3")).alias("v")).distinct())
     cut = t
     for k in "123":
         cut = cut.join(spot(f"v{k}", f"t{k}"), f"v{k}")
-    met = rays.join(around, "v").join(materialise(cut), "cell").where("v1 <> v AND v2 <> v AND v3 <> v")
-    # the place o + s d = t1 + a (t2 - t1) + b (t3 - t1)
-    met = met.select("gnum", "way", "cell", "o", "d", G.sub(F.col("t2"), F.col("t1")).alias("e"), G.sub(F.col("t3"), F.col("t1")).alias("f"), G.sub(F.col("o"), F.col("t1")).alias("g"))
-    met = met.select("*", G.cross(F.col("d"), F.col("f")).alias("h"), G.cross(F.col("g"), F.col("e")).alias("q"))
-    met = met.withColumn("det", G.dot(F.col("e"), F.col("h")))
-    size = F.sqrt(G.dot(F.col("d"), F.col("d")) * G.dot(F.col("e"), F.col("e")) * G.dot(F.col("f"), F.col("f")))
-    met = met.where(F.abs("det") > 1e-12 * size).select("gnum", "way", "cell", "o", "d", *[(G.dot(F.col(x), F.col(y)) / F.col("det")).alias(n) for n, x, y in (("a", "g", "h"), ("b", "d", "q"), ("s", "f", "q"))])
-    hit = met.where((F.col("a") >= -slack) & (F.col("b") >= -slack) & (F.col("a") + F.col("b") <= 1 + slack) & (F.col("s") > slack))
-    place = G.add(F.col("o"), G.scale(F.col("d"), F.col("s")))
-    first = hit.groupBy("gnum", "way").agg(F.min(F.struct("cell", "s", place.alias("p"))).alias("m"))
-    return rays.select("gnum", "way").join(first, ["gnum", "way"], "left").select("gnum", "way", "m.cell", *[F.col(f"m.p.{a}").alias(a) for a in "xyz"])
+    met = rays.join(around, "v").join(materialise(cut), "cell").where("v1 <> v AND v2 <> v AND v3 <> v").select("gnum", "way", "cell", F.concat("o", "d", "t1", "t2", "t3").alias("xyz"))
+
+    def run(batches):
+        for batch in batches:
+            xyz = batch.column(3).flatten().to_numpy().reshape(-1, 5, 3)
+            found, s = hits(xyz[:, 0], xyz[:, 1], xyz[:, 2:], slack)
+            at = np.flatnonzero(found)
+            place = xyz[at, 0] + s[at, None] * xyz[at, 1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(at)) for k in range(3)], pa.array(s[at]), *[pa.array(place[:, k]) for k in range(3)]], names=["gnum", "way", "cell", "s", "x", "y", "z"])
+
+    hit = met.mapInArrow(run, "gnum long, way string, cell long, s double, x double, y double, z double")
+    first = hit.groupBy("gnum", "way").agg(F.min(F.struct("cell", "s", "x", "y", "z")).alias("m"))
+    return rays.select("gnum", "way").join(first, ["gnum", "way"], "left").select("gnum", "way", "m.cell", "m.x", "m.y", "m.z")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import exact, halfspaces
 from gridloom.functions import geometry as G
 from gridloom.functions.tables import numbered
-from gridloom.operators import connectivity, contours, elements, intersection, isosurface, partition, periodic, spatial, triangulation
+from gridloom.operators import coarsening, connectivity, contours, curved, elements, intersection, isosurface, linear, partition, periodic, polyhedra, spatial, triangulation, winds
 from gridloom.plans.registry import query, read
 from gridloom.sources import generators
 
@@ -241,9 +241,8 @@ def ball_shells(spark, sf_dir):
     return shells.join(total, "layer").join(inside, "layer", "left").select("layer", "vertices", F.round(100 * F.col("own") / whole, 0).alias("share"), F.coalesce("inside", F.lit(0)).alias("inside"))
 
 
-# --- predicates on points of a fine lattice, so that SQL has their determinants as integers
-
-CELL = 1 << 20
+_A = [[f"{E(3 * r + c + 1)}" for c in range(3)] for r in range(3)]
+_B = [E(k) for k in (10, 11, 12)]
 
 
 def _determinant(rows: list[list[str]]) -> str:
@@ -252,6 +251,59 @@ def _determinant(rows: list[list[str]]) -> str:
     return "(" + " + ".join(f"{'-' if k % 2 else ''}{rows[0][k]} * {_determinant([r[:k] + r[k + 1 :] for r in rows[1:]])}" for k in range(len(rows))) + ")"
 
 
+def _cramer(k: int) -> str:
+    return f"round({_determinant([[*r[:k], _B[i], *r[k + 1 :]] for i, r in enumerate(_A)])} / {_determinant(_A)}, 5)"
+
+
+@query(f"SELECT vec_id + 1 AS gnum, {_cramer(0)} AS x, {_cramer(1)} AS y, {_cramer(2)} AS z, 3 AS rank FROM embeddings")
+def linear_systems(spark, sf_dir):
+    """A system of three equations a vector."""
+    e = read(spark, sf_dir, "embeddings")
+    systems = e.select((F.col("vec_id") + 1).alias("gnum"), F.array(*[component(k) for k in range(1, 10)]).alias("a"), F.array(*[component(k) for k in range(10, 13)]).alias("b"))
+    return linear.solve(systems, 3).select("gnum", *[F.round(F.get("x", F.lit(k)), 5).alias(a) for k, a in enumerate("xyz")], "rank")
+
+
+@query(f"SELECT vec_id + 1 AS gnum, round({' + '.join(f'{a} ** 2' for r in _A for a in r)}, 9) AS squares, round(abs({_determinant(_A)}), 9) AS product FROM embeddings")
+def singular_values(spark, sf_dir):
+    """Of a matrix a vector: the sum of the squares and the product of its singular values."""
+    e = read(spark, sf_dir, "embeddings")
+    s = linear.singular_values(e.select((F.col("vec_id") + 1).alias("gnum"), F.array(*[component(k) for k in range(1, 10)]).alias("a")), 3, 3)
+    g = lambda k: F.get("s", F.lit(k))
+    return s.select("gnum", F.round(g(0) * g(0) + g(1) * g(1) + g(2) * g(2), 9).alias("squares"), F.round(g(0) * g(1) * g(2), 9).alias("product"))
+
+
+@query(f"SELECT vec_id + 1 AS gnum, {', '.join(f'round({E(k)} + 0.4::DOUBLE * {E(k + 3)} + 0.2::DOUBLE * {E(k + 6)} + 0.2::DOUBLE * {E(k + 9)}, 8) AS {a}' for k, a in ((1, 'x'), (2, 'y'), (3, 'z')))}, CASE vec_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 6 WHEN 2 THEN 5 ELSE 4 END AS corners FROM embeddings")
+def mean_value_points(spark, sf_dir):
+    """A point in each element, found again as the weighted mean of the element's corners."""
+    e, v = solids(spark, sf_dir)
+    faces, signed = connectivity.descend(e)
+    at = read(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("gnum"), (F.col("vec_id") + 1).alias("cell"), *[(component(k) + 0.4 * component(k + 3) + 0.2 * component(k + 6) + 0.2 * component(k + 9)).alias(a) for k, a in ((1, "x"), (2, "y"), (3, "z"))])
+    w = polyhedra.mean_value_weights(at, polyhedra.face_triangles(signed, faces), v)
+    met = w.join(v.withColumnRenamed("gnum", "v"), "v")
+    return met.groupBy("gnum").agg(*[F.round(F.sum(F.col("weight") * F.col(a)), 8).alias(a) for a in "xyz"], F.count("*").cast("int").alias("corners"))
+
+
+def _slab(k: int, half: float) -> tuple[str, str]:
+    a, d, c = f"p{k}", f"(p{k + 3} - p{k})", f"p{k + 6}"
+    t = [f"({c} {s} {half}::DOUBLE - {a}) / {d}" for s in "-+"]
+    return f"least({t[0]}, {t[1]})", f"greatest({t[0]}, {t[1]})"
+
+
+@query(f"""WITH e AS (SELECT vec_id + 1 AS gnum, {', '.join(f'{E(k)} AS p{k}' for k in range(1, 10))} FROM embeddings),
+m AS (SELECT a.gnum AS a_gnum, b.gnum AS b_gnum, a.p1, a.p2, a.p3, a.p4, a.p5, a.p6, b.p7, b.p8, b.p9 FROM e a, e b),
+t AS (SELECT a_gnum, b_gnum, sqrt((p4 - p1) ** 2 + (p5 - p2) ** 2 + (p6 - p3) ** 2) * (least(1, {', '.join(_slab(k, 0.05)[1] for k in (1, 2, 3))}) - greatest(0, {', '.join(_slab(k, 0.05)[0] for k in (1, 2, 3))})) AS measure FROM m)
+SELECT a_gnum, b_gnum, round(measure, 9) AS measure FROM t WHERE measure > 1e-8""")
+def lines_volumes(spark, sf_dir):
+    """Segments between two points a vector, and how much of them lies in little cubes around a third one."""
+    lines = read(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("gnum"), *[component(k + 1 + s).alias(f"{e}{a}") for e, s in (("a", 0), ("b", 3)) for k, a in enumerate("xyz")])
+    return intersection.lines_in_volumes(lines, little_cubes(spark, sf_dir, 7, 0.05), 1e-8).select("a_gnum", "b_gnum", F.round("measure", 9).alias("measure"))
+
+
+# --- predicates on points of a fine lattice, so that SQL has their determinants as integers
+
+CELL = 1 << 20
+
+
 def _offset_sign(points: list[str], axes: str, lift: bool) -> str:
     d = lambda p, a: f"({p}.{a} - {points[-1]}.{a})"
     rows = [[*[d(p, a) for a in axes], *(["(" + " + ".join(f"{d(p, a)} * {d(p, a)}" for a in axes) + ")"] if lift else [])] for p in points[:-1]]
@@ -419,3 +471,35 @@ def ghost_periodic(spark, sf_dir):
     ends = spark.createDataFrame([(1, 0, 1, 0, n + 1)], "interface int, domain1 int, gnum1 long, domain2 int, gnum2 long")
     out = periodic.ghost_layers(cells, conn, ends, {1: periodic.translation(n)}, 2)
     return out.select("part", "gnum", "layer", F.round(F.get("transform", F.lit(3))).cast("long").alias("shift"))
+
+
+@query()
+def agglomerate(spark, sf_dir):
+    """Groups of at most eight orders along a closed row, whose edges weigh as much as the order before them costs."""
+    o = numbered(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    n = o.count()
+    graph = o.select(F.col("gnum").alias("src"), (F.col("gnum") % n + 1).alias("dst"), F.col("o_totalprice").alias("weight"))
+    return coarsening.COARSENINGS["heavy"](o.select("gnum"), graph, 8)
+
+
+_AXIS = lambda a: f"CAST(least(floor(({a} + 1) / 2 * (n - 1)), n - 2) AS BIGINT)"
+
+
+@query(f"""WITH m AS (SELECT CAST(floor(power(count(*) + 0.5, 0.3333333333333333::DOUBLE)) AS BIGINT) AS n FROM orders), c AS {CL}, i AS (SELECT *, {', '.join(f'{_AXIS(a)} AS i{a}' for a in 'xyz')} FROM c, m WHERE abs(x) < 1 AND abs(y) < 1 AND abs(z) < 1)
+SELECT gnum, ix + iy * (n - 1) + iz * (n - 1) * (n - 1) + 1 AS elt, {', '.join(f'round(({a} + 1) / 2 * (n - 1) - i{a}, 6) AS {u}' for a, u in zip('xyz', 'uvw', strict=True))} FROM i""")
+def locate_uvw(spark, sf_dir):
+    """The containing cell of a lattice as fine as the orders allow, and the reference coordinates there, of each point."""
+    n = lattice(spark, sf_dir)[0]
+    cells = generators.cube_cells(spark, n).select("gnum", F.lit("hexa").alias("elt_type"), "vtx")
+    found = curved.locate(cloud(spark, sf_dir), cells, generators.cube_vertices(spark, n, 2.0, (-1.0, -1.0, -1.0))).where("elt IS NOT NULL")
+    return found.select("gnum", "elt", *[F.round(F.get("uvw", F.lit(k)), 6).alias(u) for k, u in enumerate("uvw")])
+
+
+@query(f"""WITH {LATTICE}, e AS (SELECT gnum, i, greatest(j - 1, 0) AS j, greatest(k - 1, 0) AS k, n - 1 AS m FROM v WHERE i < n - 1 AND value > 150000)
+SELECT gnum, 'up' AS way, CASE WHEN i > 0 THEN i - 1 + j * m + k * m * m + 1 ELSE 0 END AS cell FROM e UNION ALL SELECT gnum, 'down', CASE WHEN i + 1 < m THEN i + 1 + j * m + k * m * m + 1 ELSE 0 END FROM e""")
+def edge_winds(spark, sf_dir):
+    """Cells before and behind the edges along the first axis that begin at the dearer orders, 0 where the mesh ends."""
+    n, v = lattice(spark, sf_dir)
+    faces, signed = connectivity.descend(generators.cube_cells(spark, n))
+    edges = v.where((F.col("value") > 150_000) & (F.col("gnum") % n != 0)).select("gnum", F.col("gnum").alias("v1"), (F.col("gnum") + 1).alias("v2"))
+    return winds.edge_winds(edges, polyhedra.face_triangles(signed, faces), v).select("gnum", "way", F.coalesce("cell", F.lit(0)).alias("cell"))
