@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geometry as G
 from gridloom.functions.halfspaces import extreme, meets_box
 from gridloom.functions.predicates import fan
-from gridloom.functions.tables import materialise
+from gridloom.functions.tables import materialise, spread_join
 from gridloom.operators.connectivity import descend
 from gridloom.operators.elements import tetras_of, with_points
 
@@ -130,13 +130,14 @@ def close_pairs(cloud: DataFrame, tolerance: float, length: str | None = None, a
     return met.join(met.select(F.col("b_gnum").alias("gnum"), F.col("gnum").alias("b_gnum")), ["gnum", "b_gnum"]).where("b_gnum < gnum").select(F.col("b_gnum").alias("gnum1"), F.col("gnum").alias("gnum2"), "dist2")
 
 
-def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[str] = XYZ, most: int = 64) -> DataFrame:
+def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[str] = XYZ, most: int = 64, rounds: int = 4) -> DataFrame:
     """(gnum, src, dist2, pos): the k nearest sources of each target, ties by source id.
 
     Targets look at their own and the adjacent cells of a grid. A target is done once its k-th distance is at most the
-    cell size, as nothing nearer can lie beyond; the others go on with cells twice as large. Sources beyond the first
-    round meet only the targets that are left. The first cells are those of a uniform cloud, made smaller until none
-    holds more than `CROWD` sources (or `most` halvings are done, for sources of one place).
+    cell size, as nothing nearer can lie beyond; the others go on with cells twice as large, for some rounds. What is left
+    then lies far from its sources and goes down a pyramid of cells (`far_nearest`). The first cells are those of a uniform
+    cloud, made smaller until none holds more than `CROWD` sources (or `most` halvings are done, for sources of one
+    place).
     """
     stats = sources.agg(F.count("*").alias("n"), *[f(a).alias(f"{f.__name__}{a}") for a in axes for f in (F.min, F.max)]).first()
     if stats["n"] < k:
@@ -150,17 +151,14 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[s
             break
         size /= 2
     src = materialise(sources.select(F.col("gnum").alias("src"), *[F.col(a).alias(f"s{a}") for a in axes]))
-    done = None
-    w = Window.partitionBy("gnum").orderBy("dist2", "src")
-    d2 = sum((F.pow(F.col(a) - F.col(f"s{a}"), 2) for a in axes[1:]), F.pow(F.col(axes[0]) - F.col(f"s{axes[0]}"), 2))
-    for step in range(most):
+    done, least = None, size
+    for step in range(rounds):
         t, s = left, src
         for a in axes:
             c = F.floor(F.col(a) / size).cast("long")
             t = t.withColumn(f"_c{a}", F.explode(F.sequence(c - 1, c + 1)))
             s = s.withColumn(f"_c{a}", F.floor(F.col(f"s{a}") / size).cast("long"))
-        best = t.join(s, [f"_c{a}" for a in axes]).withColumn("dist2", d2).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-        best = best.select("gnum", "src", "dist2", "pos")
+        best = first_k(t.join(s, [f"_c{a}" for a in axes]), k, axes)
         full = best.where((F.col("pos") == k) & (F.col("dist2") <= size * size)).select("gnum")
         got = materialise(best.join(full, "gnum", "left_semi"))
         done = got if done is None else done.unionByName(got)
@@ -168,7 +166,50 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[s
         if not left.limit(1).count():
             return done
         size *= 2
-    raise RuntimeError("nearest did not end")
+    depth = max(0, math.ceil(math.log2(max([*spans, least]) / least)))
+    return done.unionByName(far_nearest(left, src, k, axes, {a: stats[f"min{a}"] for a in axes}, least, depth))
+
+
+def first_k(met: DataFrame, k: int, axes: Sequence[str]) -> DataFrame:
+    """(gnum, src, dist2, pos) of the k nearest among the sources that each target met."""
+    d2 = sum((F.pow(F.col(a) - F.col(f"s{a}"), 2) for a in axes[1:]), F.pow(F.col(axes[0]) - F.col(f"s{axes[0]}"), 2))
+    pos = F.row_number().over(Window.partitionBy("gnum").orderBy("dist2", "src"))
+    return met.withColumn("dist2", d2).withColumn("pos", pos).where(F.col("pos") <= k).select("gnum", "src", "dist2", "pos")
+
+
+def far_nearest(targets: DataFrame, src: DataFrame, k: int, axes: Sequence[str], low: dict[str, float], least: float, depth: int) -> DataFrame:
+    """(gnum, src, dist2, pos) of targets anywhere, down a pyramid of cells over the sources (src, sx, ...).
+
+    A cell holds the number of its sources and their own box. Level by level, a target keeps the cells that can hold one of
+    its k nearest: those whose box begins no farther than the ends of the nearest boxes that hold k sources together. So a
+    target far from a cluster meets a few of the cluster's cells, and only those cells' sources in the end."""
+    cells = [f"_c{a}" for a in axes]
+    placed = materialise(src.withColumns({c: F.floor((F.col(f"s{a}") - low[a]) / least).cast("long") for c, a in zip(cells, axes, strict=True)}))
+    ends = [f(f"s{a}").alias(f"{a}{n}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    levels_of = [materialise(placed.groupBy(*cells).agg(F.count("*").alias("n"), *ends))]
+    up = [F.floor(F.col(c) / 2).cast("long").alias(c) for c in cells]
+    for _ in range(depth):
+        wider = [f(f"{a}{n}").alias(f"{a}{n}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        levels_of.append(materialise(levels_of[-1].groupBy(*up).agg(F.sum("n").alias("n"), *wider)))
+    boxes = [c for a in axes for c in (f"{a}lo", f"{a}hi")]
+    square = lambda parts: sum((F.pow(p, 2) for p in parts[1:]), F.pow(parts[0], 2))
+    begin = square([F.greatest(F.col(f"{a}lo") - F.col(a), F.col(a) - F.col(f"{a}hi"), F.lit(0.0)) for a in axes])
+    end = square([F.greatest(F.abs(F.col(f"{a}lo") - F.col(a)), F.abs(F.col(f"{a}hi") - F.col(a))) for a in axes])
+    each = Window.partitionBy("gnum")
+    front = None
+    for level in reversed(levels_of):
+        own = level.select(*cells, "n", *boxes)
+        if front is None:
+            top = [F.struct(*[F.lit(r[c]).alias(c) for c in own.columns]) for r in own.collect()]  # 2 to the number of axes cells at most
+            met = targets.select("gnum", *axes, F.explode(F.array(*top)).alias("_t")).select("gnum", *axes, "_t.*")
+        else:
+            above = own.withColumns({f"_u{c}": F.floor(F.col(c) / 2).cast("long") for c in cells})
+            met = front.withColumnsRenamed({c: f"_u{c}" for c in cells}).join(above, [f"_u{c}" for c in cells])
+        met = met.select("gnum", *axes, *cells, "n", begin.alias("_b"), end.alias("_e"))
+        held = F.sum("n").over(each.orderBy("_e", *cells).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        enough = F.min(F.when(F.col("_h") >= k, F.col("_e"))).over(each)
+        front = materialise(met.withColumn("_h", held).withColumn("_m", enough).where(F.col("_b") <= F.col("_m")).select("gnum", *axes, *cells))
+    return first_k(spread_join(front, placed, cells), k, axes)
 
 
 def reverse_nearest(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import exact, halfspaces
 from gridloom.functions import geometry as G
 from gridloom.functions.tables import numbered
-from gridloom.operators import coarsening, connectivity, contours, curved, elements, intersection, isosurface, linear, partition, periodic, polyhedra, spatial, triangulation, winds
+from gridloom.operators import coarsening, connectivity, contours, curved, elements, intersection, isosurface, linear, partition, periodic, polyhedra, refinement, spatial, triangulation, winds
 from gridloom.plans.registry import query, read
 from gridloom.sources import generators
 
@@ -299,6 +299,26 @@ def lines_volumes(spark, sf_dir):
     return intersection.lines_in_volumes(lines, little_cubes(spark, sf_dir, 7, 0.05), 1e-8).select("a_gnum", "b_gnum", F.round("measure", 9).alias("measure"))
 
 
+def _breaks(k: int, label: int) -> str:
+    return f"(SELECT row_number() OVER (ORDER BY v) AS k, lead(v) OVER (ORDER BY v) - v AS d FROM (SELECT DISTINCT {E(k)} AS v FROM embeddings WHERE label = {label}))"
+
+
+@query(f"SELECT x.k AS a, y.k AS b, round(x.d * y.d, 12) AS area FROM {_breaks(1, 0)} x, {_breaks(2, 1)} y WHERE x.d IS NOT NULL AND y.d IS NOT NULL")
+def overlay_strips(spark, sf_dir):
+    """Upright strips between the places of one label's vectors, over level strips between those of another's."""
+    e = read(spark, sf_dir, "embeddings")
+
+    def strips(k: int, label: int, far: float) -> tuple[DataFrame, DataFrame]:
+        at = numbered(e.where(F.col("label") == label).select(component(k).alias("v")).distinct(), ["v"], "k").select("k", "v")
+        ends = at.select("k", "v", F.posexplode(F.array(F.lit(-far), F.lit(far))).alias("side", "w"))
+        x, y = ("v", "w") if k == 1 else ("w", "v")
+        ring = F.array(*[2 * F.col("k") + n for n in ((-1, 1, 2, 0) if k == 1 else (-1, 0, 2, 1))])
+        last = at.agg(F.max("k")).first()[0] or 0
+        return at.where(F.col("k") < last).select(F.col("k").alias("gnum"), ring.alias("vtx")), ends.select((2 * F.col("k") - 1 + F.col("side")).alias("gnum"), F.col(x).alias("x"), F.col(y).alias("y"))
+
+    return refinement.overlay_meshes(strips(1, 0, 10.0), strips(2, 1, 11.0))["pieces"].select("a", "b", F.round("area", 12).alias("area"))
+
+
 # --- predicates on points of a fine lattice, so that SQL has their determinants as integers
 
 CELL = 1 << 20
