@@ -14,6 +14,7 @@ interface without a transform raises; parts without cells have no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,17 @@ def rotation(matrix: Sequence[Sequence[float]], center: Sequence[float] = (0.0,
     return tuple(v for r, c in zip(matrix, center, strict=True) for v in (*map(float, r), c - sum(a * b for a, b in zip(r, center, strict=True))))
 
 
+def turn(center: Sequence[float], direction: Sequence[float], angle: float) -> tuple[float, ...]:
+    """The rotation by an angle about the axis through center along direction (of any length but 0)."""
+    size = math.sqrt(sum(v * v for v in direction))
+    if not size:
+        raise ValueError("a rotation needs a direction")
+    u = [v / size for v in direction]
+    c, s = math.cos(angle), math.sin(angle)
+    across = ((0.0, -u[2], u[1]), (u[2], 0.0, -u[0]), (-u[1], u[0], 0.0))
+    return rotation([[c * (i == j) + s * across[i][j] + (1 - c) * u[i] * u[j] for j in range(3)] for i in range(3)], center)
+
+
 def inverse(t: Sequence[float]) -> tuple[float, ...]:
     """Of a rigid transform."""
     r = [[t[4 * j + i] for j in range(3)] for i in range(3)]  # transposed
