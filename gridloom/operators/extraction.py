@@ -42,7 +42,8 @@ def extract_parts(mesh: dict[str, DataFrame], chosen: DataFrame | None = None, p
         raise ValueError("a target deals the cells itself")
     if centers is not None and parts is None:
         raise ValueError("a curve needs the number of parts")
-    cell_face, face_vtx = globalise(mesh["cell_face"], mesh["cells"], mesh["faces"]), globalise(mesh["face_vtx"], mesh["faces"], mesh["vertices"])
+    cell_face = materialise(globalise(mesh["cell_face"], mesh["cells"], mesh["faces"]))
+    face_vtx = materialise(globalise(mesh["face_vtx"], mesh["faces"], mesh["vertices"]))
     if target is not None:
         wanted = materialise(target.select("part", "gnum").distinct().join(mesh["cells"].select("gnum"), "gnum", "left_semi"))
     else:

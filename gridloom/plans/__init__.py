@@ -1,5 +1,5 @@
 """Registered queries."""
 
-from gridloom.plans import meshes, queries
+from gridloom.plans import meshes, pieces, queries
 
-__all__ = ["meshes", "queries"]
+__all__ = ["meshes", "pieces", "queries"]
