@@ -5,24 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the folder that spark.checkpoint.dir names and read it back. The table goes when the session ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A path of no one's yet in the folder that spark.checkpoint.dir names."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept_while_used(spark: SparkSession, path: str) -> str:
+    """The path, whose folder (made where it isn't there) goes when the session ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the folder that spark.checkpoint.dir names and read it back. The table goes when the session ends."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(kept_while_used(spark, path))
 
 
 def numbered(df: DataFrame, by: list[str], out: str = "gnum", within: list[str] | None = None) -> DataFrame:

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
+from gridloom.functions import sfc
 from gridloom.functions.halfspaces import extreme, meets_box
 from gridloom.functions.predicates import fan
-from gridloom.functions.tables import materialise, spread_join
+from gridloom.functions.tables import materialise, numbered, spread_join
 from gridloom.operators.connectivity import descend
 from gridloom.operators.elements import tetras_of, with_points
 
@@ -307,9 +308,26 @@ def box_overlap(met: DataFrame, axes: Sequence[str] = XYZ) -> DataFrame:
     return met.withColumn("measure", out).where("measure > 1e-15").select("a_gnum", "b_gnum", "measure")
 
 
-def merge_points(cloud: DataFrame, tolerance: float, axes: Sequence[str] = XYZ, most: int = 40) -> DataFrame:
+def coincident_ids(cloud: DataFrame, tolerance: float, length: str | None = None, level: int = 20, out: str = "gnum") -> DataFrame:
+    """cloud (gnum, x, y, z) with a dense id in Morton order (column `out` if that isn't gnum, else `new`), one for points
+    that hang together over distances of at most tolerance (times each point's own length, if a column is named). A group
+    stands where its point of the smallest gnum is; groups in one cell of the curve go by that point's coordinates, then by
+    its gnum. Points without coordinates have no id."""
+    name = "new" if out == "gnum" else out
+    known = materialise(cloud.where(" AND ".join(f"{a} IS NOT NULL" for a in XYZ)))
+    root = materialise(merge_points(known, tolerance, length=length))
+    box = known.agg(*[f(a).alias(f"{f.__name__}_{a}") for a in XYZ for f in (F.min, F.max)]).first()
+    if box["min_x"] is None:
+        return cloud.withColumn(name, F.lit(None).cast("long"))
+    key = sfc.morton([sfc.grid(F.col(a), box[f"min_{a}"], box[f"max_{a}"], level) for a in XYZ], level)
+    heads = root.where("gnum = root").select("gnum").join(known.select("gnum", *XYZ), "gnum").withColumn("_key", key)
+    ids = numbered(heads, ["_key", *XYZ, "gnum"], name).select(F.col("gnum").alias("root"), name)
+    return cloud.join(root.join(ids, "root").select("gnum", name), "gnum", "left")
+
+
+def merge_points(cloud: DataFrame, tolerance: float, axes: Sequence[str] = XYZ, most: int = 40, length: str | None = None) -> DataFrame:
     """(gnum, root): points that hang together over close pairs, by their smallest id."""
-    pairs = materialise(close_pairs(cloud, tolerance, axes=axes).select("gnum1", "gnum2"))
+    pairs = materialise(close_pairs(cloud, tolerance, length, axes=axes).select("gnum1", "gnum2"))
     both = pairs.unionByName(pairs.select(F.col("gnum2").alias("gnum1"), F.col("gnum1").alias("gnum2")))
     now = materialise(cloud.select("gnum", F.col("gnum").alias("root")))
     for _ in range(most):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.tables import materialise, numbered
-from gridloom.operators import domains, extraction, partition, surfaces
-from gridloom.plans.meshes import LATTICE, OP, SPLIT, _face_cells, lattice, order_mesh
+from gridloom.functions.tables import kept_while_used, materialise, new_path, numbered
+from gridloom.operators import domains, extraction, partition, spatial, surfaces
+from gridloom.plans.meshes import CL, LATTICE, OP, SPLIT, _face_cells, cloud, lattice, order_mesh
 from gridloom.plans.registry import query, read
-from gridloom.sources import generators
+from gridloom.sources import cases, generators
 from gridloom.sources.polygonal import lifted, polygon_rectangle
 
 LOCAL = "row_number() OVER (PARTITION BY part ORDER BY {0})"
@@ -141,3 +141,28 @@ def prism_cells(spark, sf_dir):
     v = v.join(o.select("gnum", "o_totalprice"), "gnum", "left").select("gnum", "x", "y", (F.col("z") + F.coalesce(F.col("o_totalprice") / 1e6, F.lit(0.0))).alias("z"))
     mesh = lifted(faces, v, 2, 2.0)
     return surfaces.cell_shapes(mesh["cell_face"], mesh["face_vtx"], mesh["vertices"]).select("cell", F.round("volume", 8).alias("volume"), (F.col("open") < 1e-9).alias("closed"))
+
+
+# --- files
+
+@query("""WITH o AS (SELECT CAST(year(o_orderdate) - 1900 AS INTEGER) AS step, o_custkey + 1 AS g, sqrt(max(o_totalprice)) AS v FROM orders GROUP BY 1, 2), s AS (SELECT DISTINCT step FROM o)
+SELECT s.step, row_number() OVER (PARTITION BY s.step ORDER BY c_custkey) AS pos, CAST(format('{:.5e}', coalesce(v, 0.0::DOUBLE)) AS DOUBLE) AS value FROM s CROSS JOIN customer LEFT JOIN o ON o.step = s.step AND g = c_custkey + 1""")
+def case_steps(spark, sf_dir):
+    """The root of each customer's dearest order of each year, as a variable at nodes in time steps, written to files and read back."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).cast("long").alias("gnum"))
+    field = o.groupBy((F.year("o_orderdate") - 1900).alias("step"), (F.col("o_custkey") + 1).cast("long").alias("gnum")).agg(F.sqrt(F.max("o_totalprice")).alias("v"))
+    every = cases.filled(field.select("step", "gnum", F.array("v").alias("values")), c)
+    path = kept_while_used(spark, new_path(spark))
+    cases.write_steps("price", every, path)
+    return cases.read_steps(spark, path, "price").select("step", "pos", F.get("values", F.lit(0)).alias("value"))
+
+
+@query(f"""WITH c AS {CL}, g AS (SELECT gnum, gnum AS root, x, y, z FROM c UNION ALL SELECT gnum + 1000000000, gnum, x, y, z FROM c WHERE gnum % 3 = 0)
+SELECT root AS gnum, count(*) AS copies FROM g GROUP BY root""")
+def coincident_points(spark, sf_dir):
+    """Points of the vectors, every third of them once more beside its place, with one id for those together: the copies
+    of each id, under the number of the first."""
+    c = cloud(spark, sf_dir)
+    every = c.union(c.where("gnum % 3 = 0").select(F.col("gnum") + 1_000_000_000, F.col("x") + 1e-11, "y", F.col("z") - 1e-11))
+    out = spatial.coincident_ids(every, 1e-9)
+    return out.groupBy("new").agg(F.min("gnum").alias("gnum"), F.count("*").alias("copies")).select("gnum", "copies")

@@ -142,7 +142,8 @@ def _heads(spark: SparkSession, texts: Mapping[int, str]) -> DataFrame:
 
 
 def vtk_lines(vertices: DataFrame, elements: DataFrame, **fields: DataFrame) -> DataFrame:
-    """Lines of a legacy VTK unstructured grid; fields: name to (gnum, value) at vertices."""
+    """Lines of a legacy VTK unstructured grid; fields: name to (gnum, value) at vertices, or
+    to (cell, value) of elements."""
     spark = vertices.sparkSession
     n, e = vertices.count(), elements.agg(F.count("*"), F.sum(F.size("vtx") + 1)).first()
     codes = F.create_map(*[x for k, v in VTK_CODES.items() for x in (F.lit(k), F.lit(v))])
@@ -150,9 +151,12 @@ def vtk_lines(vertices: DataFrame, elements: DataFrame, **fields: DataFrame) ->
     out = [vertices.select(F.lit(1).alias("section"), F.col("gnum").alias("row"), F.concat_ws(" ", *[F.col(a).cast("string") for a in "xyz"]).alias("line"))]
     out.append(elements.select(F.lit(3), "gnum", F.concat_ws(" ", F.size("vtx").cast("string"), F.array_join(F.transform("vtx", lambda v: (v - 1).cast("string")), " "))))
     out.append(elements.select(F.lit(5), "gnum", codes[F.col("elt_type")].cast("string")))
-    for k, (name, f) in enumerate(fields.items()):
-        heads[6 + 2 * k] = ("" if k else f"POINT_DATA {n}\n") + f"SCALARS {name} double 1\nLOOKUP_TABLE default"
-        out.append(f.select(F.lit(7 + 2 * k), "gnum", F.col("value").cast("string")))
+    cells = {name: f for name, f in fields.items() if "cell" in f.columns}
+    points = {name: f for name, f in fields.items() if name not in cells}
+    for k, (name, f) in enumerate([*points.items(), *cells.items()]):
+        start = f"POINT_DATA {n}\n" if k == 0 and points else f"CELL_DATA {e[0]}\n" if k == len(points) else ""
+        heads[6 + 2 * k] = f"{start}SCALARS {name} double 1\nLOOKUP_TABLE default"
+        out.append(f.select(F.lit(7 + 2 * k), "cell" if name in cells else "gnum", F.col("value").cast("string")))
     lines = _heads(spark, heads)
     for x in out:
         lines = lines.union(x)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import domains, extraction, partition, periodic
+from gridloom.operators import domains, extraction, partition, periodic, spatial
 
 PAIR = "block1 int, gnum1 long, block2 int, gnum2 long"
 FACE = "interface int, domain1 int, gnum1 long, domain2 int, gnum2 long"
@@ -142,3 +142,19 @@ def test_extraction_of_nothing(spark):
         assert all(out[n].count() == 0 for n in (*extraction.LEVELS, "cell_face", "face_vtx", "groups"))
     with pytest.raises(ValueError):
         extraction.extract_parts(mesh)
+
+
+def test_ids_of_points_within_a_tolerance(spark):
+    rng = random.Random(6)
+    at = {k: tuple(rng.random() for _ in range(3)) for k in range(1, 41)}
+    for k in range(41, 61):  # beside another, some in chains
+        x = at[rng.randint(1, k - 1)]
+        at[k] = (x[0] + 0.9e-6, x[1], x[2])
+    rows = [(k, *p) for k, p in at.items()] + [(99, None, 0.0, 0.0)]
+    out = spatial.coincident_ids(spark.createDataFrame(rows, "gnum long, x double, y double, z double"), 1e-6)
+    got = {r["gnum"]: r["new"] for r in out.collect()}
+    root = sets(at, [(a, b) for a in at for b in at if a < b and math.dist(at[a], at[b]) <= 1e-6])
+    assert got.pop(99) is None and set(got.values()) == set(range(1, len(set(root.values())) + 1))
+    assert all((got[a] == got[b]) == (root[a] == root[b]) for a in at for b in at)
+    none = spark.createDataFrame([], "gnum long, x double, y double, z double")
+    assert spatial.coincident_ids(none, 1e-6).count() == 0
