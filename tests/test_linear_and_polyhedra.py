@@ -97,3 +97,27 @@ def test_mean_values_outside_and_not_convex(spark):
     w = polyhedra.mean_value_weights(spark.createDataFrame(pairs, "gnum long, cell long, x double, y double, z double"), spark.createDataFrame(out, "cell long, v1 long, v2 long, v3 long"), spark.createDataFrame(vs, "gnum long, x double, y double, z double"))
     for r in polyhedra.interpolated(w, spark.createDataFrame(vs, "gnum long, x double, y double, z double"), ["x", "y", "z"]).collect():
         assert np.allclose([r.x, r.y, r.z], pairs[r.gnum][2:], atol=1e-8)
+
+
+def test_mean_values_close_to_faces_and_edges():
+    """Linear precision to rounding at any distance from a face and an edge of a cube, and in a flat parallelepiped."""
+    cube = np.array([[x, y, z] for z in (0, 1) for y in (0, 1) for x in (0, 1)], float)
+    tri = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
+
+    def found(x, at):
+        kind, w = polyhedra.shares(np.repeat(x[None], len(tri), 0), np.array([at[list(t)] for t in tri]))
+        out = np.zeros(len(at))
+        for t, k, s in zip(tri, kind, w, strict=True):
+            if k == kind.min():
+                out[list(t)] += s
+        return out / out.sum()
+
+    for y in (0, 1e-15, 1e-12, 1e-10, 8.891604484832994e-07, 1e-4):
+        for z in (0, 1e-13, 1e-9, 1e-6, 0.1543275760784665):
+            x = np.array([0.0428274020799688, y, z])
+            w = found(x, cube)
+            assert np.abs(w @ cube - x).max() <= 2e-12 and w.min() > -1e-9
+    for thin in (1e-3, 1e-6):
+        at = cube @ np.array([[0.1, 0.02, 0], [0.03, 0.2, 0.01], [0.13, 0.22, 0.01 + thin]])
+        x = at[0] + 0.4 * (at[1] - at[0]) + 0.2 * (at[2] - at[0]) + 0.2 * (at[4] - at[0])
+        assert np.abs(found(x, at) @ at - x).max() < 1e-13
