@@ -34,7 +34,14 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(kept_while_used(spark, path))
+    return shuffled(spark.read.schema(df.schema).parquet(kept_while_used(spark, path)))
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, which joins don't send through the driver. Spark takes a table for as large as its packed files, a range for as
+    large as its ids, and an array for one element: what explodes to millions of rows would still count as small. Sides that
+    are small whatever the input are named by F.broadcast, which goes before."""
+    return df.hint("merge")
 
 
 def numbered(df: DataFrame, by: list[str], out: str = "gnum", within: list[str] | None = None) -> DataFrame:

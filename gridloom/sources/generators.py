@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import HEXA_TETRAS
-from gridloom.functions.tables import materialise, numbered
+from gridloom.functions.tables import materialise, numbered, shuffled
 from gridloom.operators.ids import from_keys
 
 
 def _ijk(df: DataFrame, n: tuple[int, int, int]) -> DataFrame:
     i, j, k = F.col("id") % n[0], F.expr(f"(id div {n[0]}) % {n[1]}"), F.expr(f"id div {n[0] * n[1]}")
-    return df.select((F.col("id") + 1).alias("gnum"), i.alias("i"), j.alias("j"), k.alias("k"))
+    return shuffled(df).select((F.col("id") + 1).alias("gnum"), i.alias("i"), j.alias("j"), k.alias("k"))
 
 
 def cube_vertices(spark: SparkSession, n: int, length: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -75,7 +75,7 @@ def cube_faces(spark: SparkSession, n: int) -> DataFrame:
         group = F.when(at == 0, 2 * axis + 1).when(at == m, 2 * axis + 2).otherwise(0)
         f = f.select((F.col("gnum") + axis * n * m * m).alias("gnum"), F.lit(axis).alias("axis"), c1.cast("long").alias("c1"), c2.cast("long").alias("c2"), F.array(*[_vertex(n, *c) for c in corner]).alias("vtx"), group.alias("group"))
         out = f if out is None else out.unionByName(f)
-    return out
+    return shuffled(out)
 
 
 def rectangle(spark: SparkSession, nx: int, ny: int, lx: float = 1.0, ly: float = 1.0) -> tuple[DataFrame, DataFrame]:
