@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.tables import materialise
+from gridloom.functions.tables import materialise, numbered
 from gridloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +14,23 @@ def plan_of(df) -> str:
 
 def test_exploded_tables_are_not_broadcast(spark):
     """Ranges and packed files look small to the planner, however much their arrays explode to."""
-    assert "Broadcast" not in plan_of(QUERIES["cube_cells"](spark, SF))
+    cells = plan_of(QUERIES["cube_cells"](spark, SF))
+    assert "BroadcastHashJoin [v#" not in cells and "SortMergeJoin [v#" in cells
     wide = materialise(spark.range(1000).select("id", F.array_repeat("id", 50).alias("v")))
     met = wide.select(F.explode("v").alias("id")).join(spark.range(10**7).withColumn("x", F.col("id") % 3), "id")
     assert "Broadcast" not in plan_of(met) and met.count() == 50_000
+
+
+def test_numbers_move_rows_once(spark):
+    """Without groups, numbered rows are not shuffled after the range sort; with them once, and groups may begin and end
+    anywhere, also with nulls."""
+    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k"), F.when(F.col("id") % 11 > 0, (F.col("id") % 11).cast("string")).alias("g"), F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("h"))
+    flat = numbered(df, ["k"])
+    assert "SortMergeJoin" not in plan_of(flat) and [r.gnum for r in flat.orderBy("k").collect()] == list(range(1, 5001))
+    held = {}
+    by_group = numbered(df, ["k"], "pos", ["g", "h"])
+    assert "SortMergeJoin" not in plan_of(by_group)
+    for r in by_group.collect():
+        held.setdefault((r.g, r.h), []).append((r.k, r.pos))
+    assert len(held) == 44 and all([p for _, p in sorted(x)] == list(range(1, len(x) + 1)) for x in held.values())
+    assert not numbered(df.where("false"), ["k"], "n", ["g"]).count() and not numbered(df.where("false"), ["k"]).count()
