@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import ELEMENT_FACES
 from gridloom.functions.predicates import same_cycle
-from gridloom.functions.tables import numbered, spread_join
+from gridloom.functions.tables import materialise, numbered, spread_join
 from gridloom.operators.ids import from_keys
 
 
@@ -24,16 +24,54 @@ def transpose(conn: DataFrame) -> DataFrame:
     return numbered(out.withColumn("_a", F.abs("dst")), ["_a", "dst"], "pos", ["src"]).drop("_a")
 
 
-def combine_pairs(ab: DataFrame, bc: DataFrame) -> DataFrame:
-    """A to C, distinct and without signs or places; a shared B with many neighbours is spread over tasks."""
-    b = ab.select(F.col("src").alias("a"), F.abs("dst").alias("b")).distinct()
-    c = bc.select(F.col("src").alias("b"), F.abs("dst").alias("c")).distinct()
-    return spread_join(b, c, ["b"]).select(F.col("a").alias("src"), F.col("c").alias("dst")).distinct()
+#: References that one list holds before it is cut by hash.
+LIST = 1 << 16
+
+
+def lists(pairs: DataFrame, key: str, of: str, out: str, most: int = LIST) -> DataFrame:
+    """(key, out): each key's references in arrays of distinct values, several for a key that holds more than about `most`."""
+    size = pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_m"))
+    size = materialise(size)
+    if not size.limit(1).count():
+        return pairs.groupBy(key).agg(F.collect_set(of).alias(out))
+    cut = pairs.join(F.broadcast(size), key, "left").withColumn("_m", F.pmod(F.xxhash64(of), F.coalesce("_m", F.lit(1))))  # few: rows over `most`
+    return cut.groupBy(key, "_m").agg(F.collect_set(of).alias(out)).drop("_m")
+
 
+def combined_lists(ab: DataFrame, bc: DataFrame, most: int = LIST) -> DataFrame:
+    """(src, dsts, whole): the distinct C of each A as arrays; an A with more than about `most` of them, repeats included,
+    has several arrays without a value in common, and whole is false.
 
-def combine(ab: DataFrame, bc: DataFrame) -> DataFrame:
-    """A to C, distinct and without signs, in the order of C."""
-    return numbered(combine_pairs(ab, bc), ["dst"], "pos", ["src"])
+    A shared B sends its C as one array to each of its A, and only there do they become rows, so what is shuffled is an
+    array of numbers instead of a row a pair."""
+    b = materialise(ab.select(F.col("src").alias("a"), F.abs("dst").alias("b")).distinct())
+    c = materialise(lists(bc.select(F.col("src").alias("b"), F.abs("dst").alias("c")), "b", "c", "cs", most))
+    size = c.groupBy("b").agg(F.sum(F.size("cs")).alias("_n"))
+    wide = b.join(size, "b").groupBy("a").agg(F.sum("_n").alias("_n")).where(F.col("_n") > most).select("a", F.ceil(F.col("_n") / most).cast("int").alias("_m"))
+    wide = materialise(wide)
+    met = spread_join(b, c, ["b"])
+    union = lambda d, keys: d.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("cs"))).alias("dsts"))
+    if not wide.limit(1).count():
+        return union(met, ["a"]).select(F.col("a").alias("src"), "dsts", F.lit(True).alias("whole"))
+    each = met.join(wide, "a", "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
+    cut = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda k: F.when(F.col("_m") == 1, F.col("cs")).otherwise(F.filter("cs", lambda x: F.pmod(F.xxhash64(x), F.col("_m")) == k)))
+    each = each.select("a", "_m", F.posexplode(cut).alias("_k", "cs")).where("size(cs) > 0")
+    return union(each, ["a", "_m", "_k"]).select(F.col("a").alias("src"), "dsts", (F.col("_m") == 1).alias("whole"))
+
+
+def combine_pairs(ab: DataFrame, bc: DataFrame) -> DataFrame:
+    """A to C, distinct and without signs or places; a shared B or an A with many neighbours is spread over tasks."""
+    return combined_lists(ab, bc).select("src", F.explode("dsts").alias("dst"))
+
+
+def combine(ab: DataFrame, bc: DataFrame, most: int = LIST) -> DataFrame:
+    """A to C, distinct and without signs, in the order of C; only an A of several arrays takes a range sort for that."""
+    found = combined_lists(ab, bc, most)
+    place = lambda d: d.select("src", F.posexplode(F.array_sort("dsts")).alias("pos", "dst")).select("src", "dst", (F.col("pos") + 1).cast("long").alias("pos"))
+    many = found.where(~F.col("whole"))
+    if not many.limit(1).count():
+        return place(found.where("whole"))
+    return place(found.where("whole")).unionByName(numbered(many.select("src", F.explode("dsts").alias("dst")), ["dst"], "pos", ["src"]))
 
 
 def dual(conn: DataFrame, keep_self: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridloom.functions.tables import materialise, numbered
+from gridloom.operators import connectivity
 from gridloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +35,22 @@ def test_numbers_move_rows_once(spark):
         held.setdefault((r.g, r.h), []).append((r.k, r.pos))
     assert len(held) == 44 and all([p for _, p in sorted(x)] == list(range(1, len(x) + 1)) for x in held.values())
     assert not numbered(df.where("false"), ["k"], "n", ["g"]).count() and not numbered(df.where("false"), ["k"]).count()
+
+
+def test_combined_as_arrays(spark):
+    """Pairs are shuffled as arrays, no row a pair; sources and shared entities above the length of one array too."""
+    ab = spark.range(600).select((F.col("id") % 40).alias("src"), F.lit(0).alias("pos"), (F.col("id") * 7 % 90 + 1).alias("dst"))
+    bc = spark.range(900).select((F.col("id") % 91 + 1).alias("src"), F.lit(0).alias("pos"), (-(F.col("id") * 13 % 200 + 1)).alias("dst"))
+    want = {}
+    right = [(r.src, abs(r.dst)) for r in bc.collect()]
+    for r in ab.collect():
+        want.setdefault(r.src, set()).update(c for b, c in right if b == r.dst)
+    rows = [(a, c, k + 1) for a, cs in want.items() for k, c in enumerate(sorted(cs))]
+    for most in (connectivity.LIST, 7):
+        assert sorted(tuple(r) for r in connectivity.combine(ab, bc, most).select("src", "dst", "pos").collect()) == sorted(rows)
+    assert sorted(tuple(r) for r in connectivity.combine_pairs(ab, bc).collect()) == sorted((a, c) for a, c, _ in rows)
+
+
+def test_sets_are_not_rows(spark):
+    found = connectivity.combined_lists(spark.range(100).select((F.col("id") % 5).alias("src"), F.col("id").alias("dst")), spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert found.count() == 5 and found.where("whole AND size(dsts) = 20").count() == 5
