@@ -1,9 +1,10 @@
 """What must not grow with the input: broadcasts, and shuffles of the same rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions.tables import materialise, numbered
-from gridloom.operators import connectivity
+from gridloom.operators import connectivity, intersection, spatial
 from gridloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,48 @@ def test_combined_as_arrays(spark):
 def test_sets_are_not_rows(spark):
     found = connectivity.combined_lists(spark.range(100).select((F.col("id") % 5).alias("src"), F.col("id").alias("dst")), spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     assert found.count() == 5 and found.where("whole AND size(dsts) = 20").count() == 5
+
+
+def test_blocks_have_each_pair_once(spark):
+    """Boxes of all sizes, many of them in one place, in blocks of a few rows: every pair once, with both sides' data."""
+    rng = np.random.default_rng(31)
+
+    def side(n):
+        low = np.where(rng.random((n, 1)) < 0.4, rng.uniform(0, 0.01, (n, 3)), rng.uniform(0, 4, (n, 3)))
+        high = low + 10.0 ** rng.uniform(-4, 0.5, (n, 3))
+        return [(g, [float(g)] * (g % 3 + 1), *np.stack([low[g], high[g]], 1).ravel().tolist()) for g in range(n)]
+
+    a, b = side(40), side(50)
+    schema = "gnum long, data array<double>, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double"
+    meets = lambda p, q: all(p[2 * k + 2] <= q[2 * k + 3] and q[2 * k + 2] <= p[2 * k + 3] for k in range(3))
+    want = sorted((p[0], q[0], p[0] * 1000.0 + q[0]) for p in a for q in b if meets(p, q) and (p[0] + q[0]) % 2)
+
+    def odd(x, y):
+        keep = np.flatnonzero((x[:, 0] + y[:, 0]) % 2)
+        return keep, {"m": x[keep, 0] * 1000 + y[keep, 0]}
+
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for block in (8, spatial.BLOCK):
+        assert sorted(tuple(r) for r in spatial.meet_in_blocks(left, right, odd, ["m"], block=block).collect()) == want
+    assert not spatial.meet_in_blocks(left, right.where("false"), odd, ["m"]).count()
+
+
+def test_cut_pairs_are_not_shuffled(spark):
+    """Elements meet lines and each other in blocks; what is shuffled are the elements, not the pairs."""
+    for name in ("lines_volumes", "intersect_volumes"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_common_of_tetras():
+    """A tetrahedron shares its whole with itself, nothing with one beyond a face, and as much with its window from either side."""
+    rng = np.random.default_rng(3)
+    t = rng.normal(size=(50, 4, 3))
+    flip = np.linalg.det(t[:, 1:] - t[:, :1]) < 0
+    t[flip] = t[flip][:, [0, 2, 1, 3]]
+    size = np.linalg.det(t[:, 1:] - t[:, :1]) / 6
+    assert np.allclose(intersection.common(t, t), size, atol=1e-12)
+    assert np.allclose(intersection.common(t[:25], t[25:]), intersection.common(t[25:], t[:25]), atol=1e-12)
+    away = t.copy()
+    away[:, :, 0] += 20
+    assert not intersection.common(t, away).any() and len(intersection.common(t[:0], t[:0])) == 0
