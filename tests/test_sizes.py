@@ -100,3 +100,13 @@ def test_common_of_tetras():
     away = t.copy()
     away[:, :, 0] += 20
     assert not intersection.common(t, away).any() and len(intersection.common(t[:0], t[:0])) == 0
+
+
+def test_close_pairs_are_not_shuffled(spark):
+    """Pairs near each other come from blocks alone: no join of the pairs with themselves, and both points' lengths count."""
+    for name in ("epsilon_pairs", "ball_points"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        assert "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0] and "Join" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    c = spark.createDataFrame([(k, k * 1.0, 0.0, 0.0, 1.0 + k % 2) for k in range(30)], "gnum long, x double, y double, z double, l double")
+    got = sorted(tuple(r) for r in spatial.close_pairs(c, 1.0, "l").collect())
+    assert got == sorted([(k, k + 1, 1.0) for k in range(29)] + [(k, k + 2, 4.0) for k in range(1, 28, 2)])
