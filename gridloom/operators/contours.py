@@ -3,8 +3,8 @@
 A vertex is up if its value exceeds the level. Along a face's ring, crossed edges alternate between those that go up and
 those that come down; the line on the face runs from each edge that goes up to the next one, which comes down, so it cuts
 off a run of vertices that are up. A cell walks each of its crossed edges in two faces, once each way, so the ends of its
-lines meet in pairs: the lines form closed loops, each one a polygon of the surface. Loops are found and put in order by
-pointer jumping over all cells at once, in as many rounds as the logarithm of the longest loop. The line of a shared face
+lines meet in pairs: the lines form closed loops, each one a polygon of the surface. Loops are found and put in order in
+buckets of whole cells, and by pointer jumping over all rows at once in cells too large for that. The line of a shared face
 is the same from both cells, walked the other way, so the surface is closed and oriented: its normals point from up to
 down where faces point out of their cells.
 
@@ -14,6 +14,10 @@ loops of a cell are several polygons; an empty mesh gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,31 +56,87 @@ def iso_lines(face_vtx: DataFrame, vertices: DataFrame, level: float = 0.0) -> t
     return points, order.where("rises").join(falls, ["face", "c"]).select("face", F.col("point").alias("start"), "stop")
 
 
-def ordered_loops(links: DataFrame, most: int = 60) -> DataFrame:
-    """links: (cell, start, stop), a permutation within each cell. (cell, loop, pos, point): the points of each loop in
-    order from its smallest one, which names it."""
-    now = materialise(links.select("cell", F.col("start").alias("p"), F.col("stop").alias("hop"), F.col("start").alias("low")))
+#: Links of a bucket of cells, and of a cell that goes into one.
+LINKS, MANY = 1 << 15, 1 << 18
+
+
+def ordered_loops(links: DataFrame, keys: Sequence[str] = ("cell",), most: int = 60) -> DataFrame:
+    """links: (cell, start, stop), a permutation within each cell, and any further columns; a cell may have several keys.
+    (cell, loop, pos, point, further columns): the points of each loop in order from its smallest one, which names it.
+
+    The links move once, to buckets of whole cells, where numpy jumps along all loops at once. Cells with more than `MANY`
+    links never meet in one task: their loops are found by jumps of the whole frame."""
+    further = [c for c in links.columns if c not in (*keys, "start", "stop")]
+    kinds = {f.name: f.dataType for f in links.schema.fields}
+    many = links.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = many.agg(F.sum("_n"), F.max("_n")).first()
+    buckets = F.pmod(F.xxhash64(*keys), F.lit(max(1, (total[0] or 0) // LINKS)).cast("long")).alias("_bucket")
+    whole, rest = links, None
+    if (total[1] or 0) > MANY:
+        many = materialise(many.where(F.col("_n") > MANY).select(*keys))
+        whole, rest = links.join(many, list(keys), "left_anti"), jumped(links.join(many, list(keys), "left_semi"), keys, most)
+    schema = ", ".join([*[f"{k} {kinds[k].simpleString()}" for k in keys], "loop long", "pos long", "point long", *[f"{c} {kinds[c].simpleString()}" for c in further]])
+
+    def run(t: pa.Table) -> pa.Table:
+        cell = np.zeros(t.num_rows, np.int64)
+        for k in keys:
+            own = np.unique(t.column(k).to_numpy(), return_inverse=True)[1]
+            cell = np.unique(cell * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+        ends = [t.column(c).to_numpy() for c in ("start", "stop")]
+        points = np.unique(np.concatenate(ends))
+        named, wanted = (cell * len(points) + np.searchsorted(points, e) for e in ends)
+        order = np.argsort(named, kind="stable")
+        while not (closed := np.isin(named[order], wanted[order]) & np.isin(wanted[order], named[order])).all():
+            order = order[closed]  # what leads nowhere is in no loop
+        named, wanted = named[order], wanted[order]
+        if len(np.unique(named)) < len(named):
+            raise RuntimeError("links branch")
+        hop = np.searchsorted(named, wanted)
+        low, loop, far = np.arange(len(hop)), None, hop  # points of a cell lie in their order
+        while loop is None or (low != loop).any():
+            loop = low
+            low, far = np.minimum(loop, loop[far]), far[far]
+        root = low == np.arange(len(hop))
+        far, d = np.where(root, low, hop), (~root).astype(np.int64)
+        while (far != low).any():
+            d, far = d + d[far], far[far]
+        n = np.bincount(low, minlength=len(hop))[low]
+        out = t.take(pa.array(order))
+        point = out.column("start").cast(pa.int64())
+        return pa.table([*[out.column(k) for k in keys], point.take(pa.array(low)), pa.array((n - d) % n), point, *[out.column(c) for c in further]], names=[*keys, "loop", "pos", "point", *further])
+
+    out = whole.withColumn("_bucket", buckets).groupBy("_bucket").applyInArrow(run, schema)
+    return out if rest is None else out.unionByName(rest)
+
+
+def jumped(links: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """As of ordered_loops, by pointer jumping of all rows at once, in as many rounds as the logarithm of the longest loop."""
+    cell = list(keys)
+    further = [c for c in links.columns if c not in (*cell, "start", "stop")]
+    links = materialise(links)
+    now = materialise(links.select(*cell, F.col("start").alias("p"), F.col("stop").alias("hop"), F.col("start").alias("low")))
     for _ in range(most):
-        far = now.select("cell", F.col("p").alias("hop"), F.col("hop").alias("next"), F.col("low").alias("other"))
-        step = materialise(now.join(far, ["cell", "hop"]).select("cell", "p", F.col("next").alias("hop"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("new")))
+        far = now.select(*cell, F.col("p").alias("hop"), F.col("hop").alias("next"), F.col("low").alias("other"))
+        step = materialise(now.join(far, [*cell, "hop"]).select(*cell, "p", F.col("next").alias("hop"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("new")))
         now = step.drop("new")
         if not step.where("new").limit(1).count():
             break
     else:
         raise RuntimeError("loops did not settle")
-    loops = now.select("cell", "p", "low")
-    at = links.select("cell", F.col("start").alias("p"), F.col("stop").alias("hop")).join(loops, ["cell", "p"])
+    loops = now.select(*cell, "p", "low")
+    at = links.select(*cell, F.col("start").alias("p"), F.col("stop").alias("hop")).join(loops, [*cell, "p"])
     root = F.col("p") == F.col("low")
-    left = materialise(at.select("cell", "p", "low", F.when(root, F.col("p")).otherwise(F.col("hop")).alias("hop"), F.when(root, 0).otherwise(1).cast("long").alias("d")))
+    left = materialise(at.select(*cell, "p", "low", F.when(root, F.col("p")).otherwise(F.col("hop")).alias("hop"), F.when(root, 0).otherwise(1).cast("long").alias("d")))
     for _ in range(most):
         if not left.where("hop <> low").limit(1).count():
             break
-        far = left.select("cell", F.col("p").alias("hop"), F.col("hop").alias("next"), F.col("d").alias("more"))
-        left = materialise(left.join(far, ["cell", "hop"]).select("cell", "p", "low", F.col("next").alias("hop"), (F.col("d") + F.col("more")).alias("d")))
+        far = left.select(*cell, F.col("p").alias("hop"), F.col("hop").alias("next"), F.col("d").alias("more"))
+        left = materialise(left.join(far, [*cell, "hop"]).select(*cell, "p", "low", F.col("next").alias("hop"), (F.col("d") + F.col("more")).alias("d")))
     else:
         raise RuntimeError("ranks did not settle")
-    n = left.groupBy("cell", "low").agg(F.count("*").alias("n"))
-    return left.join(n, ["cell", "low"]).select("cell", F.col("low").alias("loop"), F.pmod(F.col("n") - F.col("d"), F.col("n")).alias("pos"), F.col("p").alias("point"))
+    n = left.groupBy(*cell, "low").agg(F.count("*").alias("n"))
+    out = left.join(n, [*cell, "low"]).select(*cell, F.col("low").alias("loop"), F.pmod(F.col("n") - F.col("d"), F.col("n")).alias("pos"), F.col("p").alias("point"))
+    return out.join(links.select(*cell, F.col("start").alias("point"), *further), [*cell, "point"]).select(*out.columns, *further) if further else out
 
 
 def iso_surface(cell_face: DataFrame, face_vtx: DataFrame, vertices: DataFrame, level: float = 0.0) -> dict[str, DataFrame]:

@@ -1,10 +1,12 @@
 """Overlay of two meshes of polygons, convex or not: pieces tile both, and crossings have one id each."""
 
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
+import pytest
 
-from gridloom.operators import intersection, refinement, triangulation
+from gridloom.operators import contours, intersection, refinement, triangulation
 
 
 def signed(p):
@@ -52,3 +54,48 @@ def test_overlay_of_polygon_meshes(spark):
             assert abs(got.get((a, b), 0.0) - want) < 1e-10
             total += got.get((a, b), 0.0)
         assert abs(total - signed([a_pts[v] for v in ra])) < 1e-10
+
+
+def test_loops_move_once(spark):
+    """Long loops take no rounds of Spark jobs; a cell has several keys; open chains give nothing, branches an error; cells too
+    large for a bucket get the same loops."""
+    n = 500
+    links = [(0, c, 10 * k + c, 10 * ((k + 7) % n) + c, k + 0.5) for c in range(3) for k in range(n)] + [(1, 5, 1, 2, 0.0), (1, 5, 2, 3, 0.0)]
+    df = spark.createDataFrame(links, "a long, b long, start long, stop long, w double")
+    sc = spark.sparkContext
+    sc.setJobGroup("loops", "")
+    rows = contours.ordered_loops(df, ["a", "b"]).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("loops"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6
+    assert {(r.a, r.b, r.loop, r.pos, r.point, r.w) for r in rows} == {(0, c, c, k, 10 * (7 * k % n) + c, 7 * k % n + 0.5) for c in range(3) for k in range(n)}
+    plain = contours.jumped(df.where("a = 0"), ["a", "b"], 60)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, rows))
+    with pytest.raises(Exception, match="branch"):
+        contours.ordered_loops(spark.createDataFrame([(1, 1, 2), (1, 1, 3), (1, 2, 1), (1, 3, 1)], "cell long, start long, stop long")).collect()
+
+
+def test_crossings_of_one_crowded_cell(spark):
+    """Level and upright edges, all of which cross: dealt over blocks, with the rings on either side."""
+    n = 70
+    rows = [(i, float(i), -1.0, float(i), n + 1.0, 2 * i, 2 * i + 1) for i in range(1, n + 1)]
+    a = spark.createDataFrame(rows, "edge long, px double, py double, qx double, qy double, f_left long, f_right long")
+    b = a.selectExpr("edge", "py px", "px - 0.25 py", "qy qx", "qx - 0.25 qy", "f_left", "IF(edge > 1, f_right, NULL) f_right")
+    got = {(r.a_edge, r.b_edge): r for r in refinement.edge_crossings(a, b).collect()}
+    assert len(got) == n * n
+    for (i, j), r in got.items():
+        assert abs(r.x - i) < 1e-12 and abs(r.y - j + 0.25) < 1e-12
+        assert (r.a_before, r.a_after, r.b_before, r.b_after) == (2 * j + 1 if j > 1 else None, 2 * j, 2 * i, 2 * i + 1)
+
+
+def test_turns_are_exact():
+    rng = np.random.default_rng(4)
+    a, b = rng.random((2, 400, 2))
+    c = a + (b - a) * rng.random((400, 1)) + rng.integers(-1, 2, (400, 2)) * 2.0**-53
+    want = []
+    for p, q, r in zip(a.tolist(), b.tolist(), c.tolist(), strict=True):
+        (px, py), (qx, qy), (rx, ry) = ([Fraction(v) for v in x] for x in (p, q, r))
+        d = (px - rx) * (qy - ry) - (py - ry) * (qx - rx)
+        want.append((d > 0) - (d < 0))
+    assert refinement.turns(a, b, c).tolist() == want
+    assert refinement.turns(a, a, a).tolist() == [0] * 400
