@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, MutableMapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,31 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+class Frames(MutableMapping):
+    """Frames by name, each made when it is first asked for, from those before it: nobody pays for what nobody reads."""
+
+    def __init__(self, makers: dict[str, Callable[[Frames], DataFrame]]) -> None:
+        self.makers, self.made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name](self)
+        return self.made[name]
+
+    def __setitem__(self, name: str, frame: DataFrame) -> None:
+        self.makers[name], self.made[name] = lambda _: frame, frame
+
+    def __delitem__(self, name: str) -> None:
+        del self.makers[name]
+        self.made.pop(name, None)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 def numbered(df: DataFrame, by: list[str], out: str = "gnum", within: list[str] | None = None) -> DataFrame:
     """df with a dense number from 1 in the order of by, and within each group of `within` if given.
 

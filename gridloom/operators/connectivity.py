@@ -116,8 +116,8 @@ def ridges(edge_face: DataFrame, groups: DataFrame) -> DataFrame:
 def extract(conn: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of the chosen src (gnum), with both sides numbered anew: connectivity, src map and dst map (gnum, new)."""
     part = conn.join(chosen.select(F.col("gnum").alias("src")).distinct(), "src", "left_semi")
-    src = from_keys(part.select(F.col("src").alias("gnum")).distinct(), ["gnum"], "new")
-    dst = from_keys(part.select(F.abs("dst").alias("gnum")).distinct(), ["gnum"], "new")
+    src = numbered(part.select(F.col("src").alias("gnum")).distinct(), ["gnum"], "new")
+    dst = numbered(part.select(F.abs("dst").alias("gnum")).distinct(), ["gnum"], "new")
     out = part.join(src.select(F.col("gnum").alias("src"), F.col("new").alias("_s")), "src").withColumn("_a", F.abs("dst"))
     out = out.join(dst.select(F.col("gnum").alias("_a"), F.col("new").alias("_d")), "_a")
     return out.select(F.col("_s").alias("src"), "pos", (F.col("_d") * sign("dst")).alias("dst")), src, dst

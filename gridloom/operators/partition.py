@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import sfc
-from gridloom.functions.tables import materialise, numbered, spread_join
+from gridloom.functions.tables import Frames, materialise, numbered, spread_join
 from gridloom.operators.connectivity import sign
 from gridloom.operators.exchange import shared_graph
 from gridloom.operators.ids import weighted_split
@@ -120,29 +120,30 @@ def entities_of(split: DataFrame, conn: DataFrame) -> DataFrame:
     return conn.join(split.select("part", F.col("gnum").alias("src")), "src").select("part", F.abs("dst").alias("gnum")).distinct()
 
 
-def partition_mesh(split: DataFrame, cell_face: DataFrame, face_vtx: DataFrame, groups: DataFrame | None = None, renumber: str = "natural") -> dict[str, DataFrame]:
+def partition_mesh(split: DataFrame, cell_face: DataFrame, face_vtx: DataFrame, groups: DataFrame | None = None, renumber: str = "natural") -> Frames:
     """A mesh by parts, end to end. split: (gnum, part) of the cells, by any split; groups: (kind, group, gnum) of faces.
 
     cells, faces, vertices: (part, gnum, lnum), cells numbered by the registered method, the others by gnum. cell_face,
     face_vtx: (part, src, pos, dst) in local numbers. face_cell: (part, face, c1, c2), the local cell that walks the face
     outwards and the one that walks it inwards, 0 where there is none in the part. groups: (part, kind, group, lnum).
     face_graph, vertex_graph: which copies of faces and vertices are one, (gnum, rank, part, lnum, o_rank, o_part, o_lnum)
-    with rank 0.
+    with rank 0. cell_face_ids, face_vtx_ids: the connectivities given, (src, pos, dst) in global ids. Each frame is made when
+    it is first read.
     """
-    cells = materialise(RENUMBERINGS[renumber](split.select("part", "gnum")).select("part", "gnum", "lnum"))
-    faces = materialise(assemble(entities_of(cells, cell_face)))
-    vertices = materialise(assemble(entities_of(faces, face_vtx)))
-    by_cell = localise(cell_face, cells, faces)
     side = lambda c: F.coalesce(F.max(F.when(c, F.col("src"))), F.lit(0)).cast("int")
+    graph = lambda n: lambda f: shared_graph(f[n].select(F.lit(0).alias("rank"), "part", "lnum", "gnum"))
     out = {
-        "cells": cells, "faces": faces, "vertices": vertices, "cell_face": by_cell, "face_vtx": localise(face_vtx, faces, vertices),
-        "face_cell": by_cell.groupBy("part", F.abs("dst").alias("face")).agg(side(F.col("dst") > 0).alias("c1"), side(F.col("dst") < 0).alias("c2")),
+        "cells": lambda f: materialise(RENUMBERINGS[renumber](split.select("part", "gnum")).select("part", "gnum", "lnum")),
+        "faces": lambda f: materialise(assemble(entities_of(f["cells"], cell_face))),
+        "vertices": lambda f: materialise(assemble(entities_of(f["faces"], face_vtx))),
+        "cell_face": lambda f: localise(cell_face, f["cells"], f["faces"]),
+        "face_vtx": lambda f: localise(face_vtx, f["faces"], f["vertices"]),
+        "face_cell": lambda f: f["cell_face"].groupBy("part", F.abs("dst").alias("face")).agg(side(F.col("dst") > 0).alias("c1"), side(F.col("dst") < 0).alias("c2")),
+        "face_graph": graph("faces"), "vertex_graph": graph("vertices"), "cell_face_ids": lambda f: cell_face, "face_vtx_ids": lambda f: face_vtx,
     }
-    for name, own in (("face", faces), ("vertex", vertices)):
-        out[f"{name}_graph"] = shared_graph(own.select(F.lit(0).alias("rank"), "part", "lnum", "gnum"))
     if groups is not None:
-        out["groups"] = groups.join(faces, "gnum").select("part", "kind", "group", "lnum")
-    return out
+        out["groups"] = lambda f: groups.join(f["faces"], "gnum").select("part", "kind", "group", "lnum")
+    return Frames(out)
 
 
 def ghost_layers(cells: DataFrame, conn: DataFrame, depth: int = 1) -> DataFrame:

@@ -144,6 +144,25 @@ def test_extraction_of_nothing(spark):
         extraction.extract_parts(mesh)
 
 
+def test_extraction_makes_what_is_read(spark):
+    """Faces of cells never read the vertices; without the ids that partition_mesh gives along, local numbers tell the same."""
+    cf, _, mesh = strip(spark)
+    long = "src long, pos int, dst long"
+    bad = spark.createDataFrame([(1, 0, 1)], long).withColumn("dst", F.raise_error(F.concat(F.lit("read "), F.col("src").cast("string"))).cast("long"))
+    split = mesh["cells"].select("gnum", "part")
+    asked = spark.createDataFrame([(0, 3), (0, 4), (1, 4)], "part int, gnum long")
+    want = sorted(map(tuple, extraction.extract_parts(mesh, target=asked)["cell_face"].collect()))
+    out = extraction.extract_parts(partition.partition_mesh(split, spark.createDataFrame(cf, long), bad), target=asked)
+    assert sorted(map(tuple, out["cell_face"].collect())) == want and len(want) == 6
+    plain = {k: v for k, v in mesh.items() if not k.endswith("_ids")}
+    again = extraction.extract_parts(plain, target=asked)
+    assert sorted(map(tuple, again["cell_face"].collect())) == want
+    ids = {r.lnum + 100 * r.part: r.gnum for r in again["cells"].collect()}
+    faces = {r.lnum + 100 * r.part: r.gnum for r in again["faces"].collect()}
+    sign = lambda x: 1 if x > 0 else -1
+    assert {tuple(r) for r in again["cell_face_ids"].collect()} == {(ids[s + 100 * p], k, sign(d) * faces[abs(d) + 100 * p]) for p, s, k, d in want}
+
+
 def test_ids_of_points_within_a_tolerance(spark):
     rng = random.Random(6)
     at = {k: tuple(rng.random() for _ in range(3)) for k in range(1, 41)}
