@@ -18,42 +18,46 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.tables import materialise, numbered
-from gridloom.operators.ids import from_keys
 
 
-def ring_edges(face_vtx: DataFrame) -> DataFrame:
-    """(face, k, v, w): the edges along each face's ring, in order; face_vtx: (src, pos, dst)."""
-    at = materialise(numbered(face_vtx.select(F.col("src").alias("face"), "pos", F.abs("dst").alias("v")), ["pos"], "k", ["face"]).select("face", "k", "v"))
-    n = at.groupBy("face").agg(F.count("*").alias("n"))
-    after = at.join(n, "face").select("face", F.when(F.col("k") == 1, F.col("n")).otherwise(F.col("k") - 1).alias("k"), F.col("v").alias("w"))
-    return at.join(after, ["face", "k"])
+def crossed(face_vtx: DataFrame, vertices: DataFrame, level: float) -> DataFrame:
+    """(face, cut): the edges of each ring that the level crosses, in order, as an array<struct v1, v2, rises, t>, of the rings
+    that have any; v1 < v2, t is the weight of v2. face_vtx: (src, pos, dst)."""
+    at = face_vtx.select(F.col("src").alias("face"), "pos", F.abs("dst").alias("v")).join(vertices.select(F.col("gnum").alias("v"), F.col("value").alias("a")), "v", "left")
+    ring = at.groupBy("face").agg(F.array_sort(F.collect_list(F.struct("pos", "v", "a"))).alias("ring"))  # a face's own corners
+    # an edge of a vertex without a value crosses nothing
+    side = lambda p, q: (p["a"] > level) != (q["a"] > level)
+    pair = lambda p, i: F.struct(p.alias("p"), F.get("ring", (i + 1) % F.size("ring")).alias("q"))
+    edges = F.filter(F.transform("ring", pair), lambda e: F.coalesce(side(e["p"], e["q"]), F.lit(False)))
 
+    def named(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        t = (F.lit(level) - p["a"]) / (q["a"] - p["a"])
+        return F.struct(F.least(p["v"], q["v"]).alias("v1"), F.greatest(p["v"], q["v"]).alias("v2"), (q["a"] > level).alias("rises"), F.when(p["v"] < q["v"], t).otherwise(1 - t).alias("t"))
 
-def crossed(face_vtx: DataFrame, vertices: DataFrame, level: float) -> DataFrame:
-    """(face, k, v1, v2, rises, t): the edges of each ring that the level crosses; v1 < v2, t is the weight of v2."""
-    value = vertices.select("gnum", "value")
-    e = ring_edges(face_vtx).join(value.select(F.col("gnum").alias("v"), F.col("value").alias("a")), "v").join(value.select(F.col("gnum").alias("w"), F.col("value").alias("b")), "w")
-    e = e.where((F.col("a") > level) != (F.col("b") > level))
-    t = (F.lit(level) - F.col("a")) / (F.col("b") - F.col("a"))
-    return e.select("face", "k", F.least("v", "w").alias("v1"), F.greatest("v", "w").alias("v2"), (F.col("b") > level).alias("rises"), F.when(F.col("v") < F.col("w"), t).otherwise(1 - t).alias("t"))
+    return ring.select("face", F.transform(edges, named).alias("cut")).where(F.size("cut") > 0)
 
 
 def iso_lines(face_vtx: DataFrame, vertices: DataFrame, level: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Points (gnum, v1, v2, t, x, y, z), one a crossed edge, with its ends and the weight of the second; and lines (face,
     start, stop) on the faces, with what is up on their right, seen from where the face turns left."""
-    named = materialise(from_keys(crossed(face_vtx, vertices, level), ["v1", "v2"], "point"))
-    points = named.groupBy("point").agg(*[F.first(c).alias(c) for c in ("v1", "v2")], F.min("t").alias("t")).withColumnRenamed("point", "gnum")
+    cuts = materialise(crossed(face_vtx, vertices, level))
+    each = cuts.select(F.explode("cut").alias("c")).groupBy("c.v1", "c.v2").agg(F.min("c.t").alias("t"))
+    named = materialise(numbered(each, ["v1", "v2"]))
+    points = named
     for k in "12":
         points = points.join(vertices.select(F.col("gnum").alias(f"v{k}"), *[F.col(a).alias(f"{a}{k}") for a in "xyz"]), f"v{k}")
     points = points.select("gnum", "v1", "v2", "t", *[(F.col(f"{a}1") * (1 - F.col("t")) + F.col(f"{a}2") * F.col("t")).alias(a) for a in "xyz"])
-    order = materialise(numbered(named.select("face", "k", "rises", "point"), ["k"], "c", ["face"]))
-    many = order.groupBy("face").agg(F.count("*").alias("n"))
-    falls = order.where("NOT rises").join(many, "face").select("face", F.when(F.col("c") == 1, F.col("n")).otherwise(F.col("c") - 1).alias("c"), F.col("point").alias("stop"))
-    return points, order.where("rises").join(falls, ["face", "c"]).select("face", F.col("point").alias("start"), "stop")
+    ends = F.transform("cut", lambda c, i: F.struct(c.alias("c"), F.get("cut", (i + 1) % F.size("cut")).alias("d")))
+    lines = cuts.select("face", F.explode(F.filter(ends, lambda e: e["c"]["rises"] & ~e["d"]["rises"])).alias("e"))
+    lines = lines.select("face", *[F.col(f"e.{c}.v{k}").alias(f"{n}{k}") for c, n in (("c", "start"), ("d", "stop")) for k in "12"])
+    for n in ("start", "stop"):
+        lines = lines.join(named.select(F.col("v1").alias(f"{n}1"), F.col("v2").alias(f"{n}2"), F.col("gnum").alias(n)), [f"{n}1", f"{n}2"]).drop(f"{n}1", f"{n}2")
+    return points, lines.select("face", "start", "stop")
 
 
 #: Links of a bucket of cells, and of a cell that goes into one.
@@ -149,5 +153,7 @@ def iso_surface(cell_face: DataFrame, face_vtx: DataFrame, vertices: DataFrame,
     lines = materialise(lines)
     used = cell_face.select(F.col("src").alias("cell"), F.abs("dst").alias("face"), (F.col("dst") > 0).alias("out")).join(lines, "face")
     links = materialise(used.select("cell", F.when(F.col("out"), F.col("start")).otherwise(F.col("stop")).alias("start"), F.when(F.col("out"), F.col("stop")).otherwise(F.col("start")).alias("stop")))
-    named = materialise(from_keys(ordered_loops(links), ["cell", "loop"], "gnum"))
-    return {"points": points, "lines": lines, "polygons": named.select("gnum", "cell").distinct(), "polygon_points": named.select(F.col("gnum").alias("src"), "pos", F.col("point").alias("dst"))}
+    loops = materialise(ordered_loops(links))
+    polygons = materialise(numbered(loops.where("pos = 0").select("cell", "loop"), ["cell", "loop"]))
+    points_of = loops.join(polygons, ["cell", "loop"]).select(F.col("gnum").alias("src"), "pos", F.col("point").alias("dst"))
+    return {"points": points, "lines": lines, "polygons": polygons.select("gnum", "cell"), "polygon_points": points_of}

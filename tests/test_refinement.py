@@ -99,3 +99,31 @@ def test_turns_are_exact():
         want.append((d > 0) - (d < 0))
     assert refinement.turns(a, b, c).tolist() == want
     assert refinement.turns(a, a, a).tolist() == [0] * 400
+
+
+def test_surfaces_take_few_tables(spark, monkeypatch):
+    """The points of a level in a row of cubes, one square a cube; however many loops there are, few tables are written."""
+    n, made = 12, []
+    monkeypatch.setattr(contours, "materialise", lambda df, own=contours.materialise: made.append(df) or own(df))
+    at = lambda i, j, k: 4 * i + 2 * j + k + 1
+    faces, cells = {}, []
+
+    def face(cell, ring, out):
+        f = faces.setdefault(tuple(sorted(ring)), (len(faces) + 1, ring))
+        cells.append((cell, len(cells), f[0] if out else -f[0]))
+
+    for c in range(n):
+        face(c + 1, [at(c, 0, 0), at(c, 0, 1), at(c, 1, 1), at(c, 1, 0)], c == 0)
+        face(c + 1, [at(c + 1, 0, 0), at(c + 1, 1, 0), at(c + 1, 1, 1), at(c + 1, 0, 1)], True)
+        face(c + 1, [at(c, 0, 0), at(c + 1, 0, 0), at(c + 1, 0, 1), at(c, 0, 1)], True)
+        face(c + 1, [at(c, 1, 0), at(c, 1, 1), at(c + 1, 1, 1), at(c + 1, 1, 0)], True)
+        face(c + 1, [at(c, 0, 0), at(c, 1, 0), at(c + 1, 1, 0), at(c + 1, 0, 0)], True)
+        face(c + 1, [at(c, 0, 1), at(c + 1, 0, 1), at(c + 1, 1, 1), at(c, 1, 1)], True)
+    fv = [(k, i, v) for k, r in faces.values() for i, v in enumerate(r)]
+    vs = [(at(i, j, k), float(i), float(j), float(k), float(k)) for i in range(n + 1) for j in (0, 1) for k in (0, 1)]
+    long = "src long, pos int, dst long"
+    out = contours.iso_surface(spark.createDataFrame(cells, long), spark.createDataFrame(fv, long), spark.createDataFrame(vs, "gnum long, x double, y double, z double, value double"), 0.25)
+    assert sorted((r.src, r.pos) for r in out["polygon_points"].collect()) == [(c + 1, p) for c in range(n) for p in range(4)]
+    assert sorted(map(tuple, out["polygons"].collect())) == [(c + 1, c + 1) for c in range(n)]
+    assert {(r.z, r.t) for r in out["points"].collect()} == {(0.25, 0.25)} and out["points"].count() == 2 * n + 2
+    assert len(made) <= 6
