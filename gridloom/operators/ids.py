@@ -52,7 +52,8 @@ def from_shared(df: DataFrame, graph: DataFrame, out: str = "gnum") -> DataFrame
     owned = df.join(low, me, "left").withColumn("_shared", F.col("_other").isNotNull().cast("int"))
     owned = owned.withColumn("_own", F.least(F.struct(*me), F.coalesce("_other", F.struct(*me))))
     keys = {"_r": F.col("_own.rank"), "_p": F.col("_own.part"), "_s": F.col("_shared"), "_l": F.col("_own.lnum")}
-    return from_keys(owned.select(*df.columns, *[c.alias(k) for k, c in keys.items()]), list(keys), out).drop(*keys)
+    keyed = materialise(owned.select(*df.columns, *[c.alias(k) for k, c in keys.items()]))  # the graph is read once
+    return from_keys(keyed, list(keys), out).drop(*keys)
 
 
 def invert(perm: DataFrame) -> DataFrame:

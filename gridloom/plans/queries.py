@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import sfc
-from gridloom.functions.tables import numbered
+from gridloom.functions.tables import materialise, numbered
 from gridloom.operators import connectivity, exchange, ids, partition, reduce, spatial
 from gridloom.plans.registry import ORACLES, QUERIES, query, read
 from gridloom.sources import generators
@@ -365,7 +365,7 @@ EN = f"(SELECT DISTINCT rank, part, lnum, gnum FROM {LI})"
 SELECT rank, part, lnum, dense_rank() OVER (ORDER BY own, shared, lnum) AS id FROM o""")
 def gnum_shared(spark, sf_dir):
     """Dense ids of entities whose copies only the communication graph tells."""
-    e = entities(spark, sf_dir)
+    e = materialise(entities(spark, sf_dir))
     return ids.from_shared(e.drop("gnum"), exchange.shared_graph(e).drop("gnum"), "id")
 
 

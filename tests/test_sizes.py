@@ -110,3 +110,20 @@ def test_close_pairs_are_not_shuffled(spark):
     c = spark.createDataFrame([(k, k * 1.0, 0.0, 0.0, 1.0 + k % 2) for k in range(30)], "gnum long, x double, y double, z double, l double")
     got = sorted(tuple(r) for r in spatial.close_pairs(c, 1.0, "l").collect())
     assert got == sorted([(k, k + 1, 1.0) for k in range(29)] + [(k, k + 2, 4.0) for k in range(1, 28, 2)])
+
+
+def test_shared_ids_read_the_graph_once(spark):
+    from gridloom.operators import ids
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    kind = "rank int, part int, lnum int, o_rank int, o_part int, o_lnum int"
+    graph = spark.createDataFrame([(0, 0, 1, 0, 1, 5), (0, 1, 5, 0, 0, 1)], kind).mapInPandas(counted, kind)
+    df = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 1, 5), (0, 1, 6)], "rank int, part int, lnum int")
+    assert sorted(map(tuple, ids.from_shared(df, graph, "id").collect())) == [(0, 0, 1, 2), (0, 0, 2, 1), (0, 1, 5, 2), (0, 1, 6, 3)]
+    assert seen.value == 2
