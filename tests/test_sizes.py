@@ -127,3 +127,21 @@ def test_shared_ids_read_the_graph_once(spark):
     df = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 1, 5), (0, 1, 6)], "rank int, part int, lnum int")
     assert sorted(map(tuple, ids.from_shared(df, graph, "id").collect())) == [(0, 0, 1, 2), (0, 0, 2, 1), (0, 1, 5, 2), (0, 1, 6, 3)]
     assert seen.value == 2
+
+
+def test_boxes_meet_once_and_not_beyond_the_last_low(spark):
+    """Two levels meet one way only in a join of boxes with themselves, each in its own order; boxes far larger than all that
+    begins within them need no levels of their own."""
+    rng = np.random.default_rng(5)
+    low = rng.uniform(0, 10, (200, 2))
+    size = 4.0 ** rng.integers(-4, 8, (200, 2)) * rng.uniform(0.3, 1, (200, 2))
+    rows = [(int(g), *(float(v) for k in range(2) for v in (low[n, k], low[n, k] + size[n, k]))) for n, g in enumerate(rng.permutation(200))]
+    b = spark.createDataFrame(rows, "gnum long, xmin double, xmax double, ymin double, ymax double")
+    got = spatial.boxes_meet_within(b, ["x", "y"]).collect()
+    meets = lambda p, q: p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4]
+    assert sorted(tuple(r) for r in got) == sorted((*p, *q) for p in rows for q in rows if p[0] < q[0] and meets(p, q))
+    ends = {k: (f"{k}min", f"{k}max") for k in "xy"}
+    a, both = (spatial.placed(b, b, ends, ends, ["x", "y"], same)[0] for same in (True, False))
+    assert a.count() < 0.7 * both.count()
+    wide = b.select("gnum", "xmin", F.when(F.col("gnum") % 2 == 0, 1e6 * (F.col("gnum") + 1)).otherwise(F.col("xmin") + 1).alias("xmax"), "ymin", (F.col("ymin") + 1).alias("ymax"))
+    assert spatial.placed(wide, wide, ends, ends, ["x", "y"])[0].select("_pair").distinct().count() <= 16
