@@ -145,3 +145,14 @@ def test_boxes_meet_once_and_not_beyond_the_last_low(spark):
     assert a.count() < 0.7 * both.count()
     wide = b.select("gnum", "xmin", F.when(F.col("gnum") % 2 == 0, 1e6 * (F.col("gnum") + 1)).otherwise(F.col("xmin") + 1).alias("xmax"), "ymin", (F.col("ymin") + 1).alias("ymax"))
     assert spatial.placed(wide, wide, ends, ends, ["x", "y"])[0].select("_pair").distinct().count() <= 16
+
+
+def test_measures_round_as_in_the_sql(spark):
+    import duckdb
+
+    from gridloom.plans import queries
+
+    values = [0.0, 0.00005, 0.00015, 1.00025, 2.5, 33.33335, 199.99995, 1234.56785]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(queries.rounded("v", 4)).collect()]
+    assert got == [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 4)").fetchall()[0][0] for v in values]
+    assert "round(" not in plan_of(QUERIES["intersect_boxes"](spark, SF))
