@@ -32,43 +32,54 @@ def consecutive(cells: DataFrame, graph: DataFrame, largest: int) -> DataFrame:
     return numbered(cells.select("gnum").distinct(), ["gnum"], "_k").select("gnum", (F.floor((F.col("_k") - 1) / largest) + 1).cast("long").alias("coarse"))
 
 
-def pairs_of(nodes: DataFrame, edges: DataFrame, largest: int) -> DataFrame:
-    """(a, b), a < b: a matching of nodes (gnum, size) over edges (src, dst, weight), both ways, that no edge within the
-    bound could still extend."""
-    small = nodes.select(F.col("gnum").alias("src"), F.col("size").alias("s1")), nodes.select(F.col("gnum").alias("dst"), F.col("size").alias("s2"))
-    open_edges = materialise(edges.join(small[0], "src").join(small[1], "dst").where(F.col("s1") + F.col("s2") <= largest).select("src", "dst", "weight"))
-    found = None
+def pairs_of(edges: DataFrame) -> DataFrame | None:
+    """(a, b, sa, sb): a matching over edges (a, b, weight, sa, sb), a < b, each once, sa and sb the sizes of their ends, that
+    no edge could still extend; None without edges. A round shuffles each end of an edge once, the wishes by their pairs, and
+    the edges by either end; the edges left are a part of those before."""
+    left, found = edges, None
     while True:
-        order = F.struct("weight", F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")).alias("tie"), F.col("dst").alias("to"))
-        wish = open_edges.groupBy("src").agg(F.max(order).alias("m")).select("src", F.col("m.to").alias("to"))
-        back = wish.select(F.col("to").alias("src"), F.col("src").alias("to"))
-        met = materialise(wish.join(back, ["src", "to"]).where("src < to").select(F.col("src").alias("a"), F.col("to").alias("b")))
+        end = lambda p, q: F.struct(F.col(p).alias("src"), F.struct("weight", F.xxhash64("a", "b").alias("tie"), F.col(q).alias("to"), F.col(f"s{p}").alias("own"), F.col(f"s{q}").alias("other")).alias("m"))
+        wish = left.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).groupBy(F.col("e.src").alias("src")).agg(F.max("e.m").alias("m"))
+        first = F.col("src") < F.col("m.to")
+        side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+        each = wish.select(F.least("src", "m.to").alias("a"), F.greatest("src", "m.to").alias("b"), side("m.own", "m.other").alias("sa"), side("m.other", "m.own").alias("sb"))
+        met = materialise(each.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n")).where("n = 2").drop("n"))
         if not met.limit(1).count():
-            return met if found is None else found
+            return found
         found = met if found is None else found.unionByName(met)
-        taken = met.select(F.col("a").alias("gnum")).unionByName(met.select(F.col("b").alias("gnum")))
-        for side in ("src", "dst"):
-            open_edges = open_edges.join(taken.withColumnRenamed("gnum", side), side, "left_anti")
-        open_edges = materialise(open_edges.select("src", "dst", "weight"))
+        taken = met.select(F.explode(F.array("a", "b")).alias("gnum"))
+        for c in ("a", "b"):
+            left = left.join(taken.withColumnRenamed("gnum", c), c, "left_anti")
+        left = materialise(left.select(*edges.columns))
 
 
 def heavy_edges(cells: DataFrame, graph: DataFrame, largest: int) -> DataFrame:
-    """Groups of at most `largest` cells by heavy-edge matching, level by level."""
+    """Groups of at most `largest` cells by heavy-edge matching, level by level. An edge is a row, which carries the sizes of
+    its two groups; one that would make too large a group goes for good, as groups only grow."""
     known = materialise(cells.select("gnum").distinct())
-    both = graph.select("src", "dst", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")).where("src <> dst")
-    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    edges = materialise(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    nodes, now = known.withColumn("size", F.lit(1).cast("long")), known.withColumn("group", F.col("gnum"))
+    once = graph.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+    for c in ("a", "b"):
+        once = once.join(known.withColumnRenamed("gnum", c), c, "left_semi")
+    one = [F.lit(1).cast("long").alias(c) for c in ("sa", "sb")]
+    edges = materialise(once.groupBy("a", "b").agg(F.sum("weight").alias("weight")).select("a", "b", "weight", *one).where(F.lit(largest >= 2)))
+    now = known.withColumn("group", F.col("gnum"))
     while True:
-        pairs = pairs_of(nodes, edges, largest)
-        if not pairs.limit(1).count():
+        pairs = pairs_of(edges)
+        if pairs is None:
             return from_keys(now, ["group"], "coarse").select("gnum", "coarse")
-        parent = pairs.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        follow = lambda df, c: df.join(parent.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        now = materialise(follow(now, "group"))
-        nodes = materialise(follow(nodes, "gnum").groupBy("gnum").agg(F.sum("size").alias("size")))
-        moved = follow(follow(edges, "src"), "dst").where("src <> dst")
-        edges = materialise(moved.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+        parent = pairs.select(F.col("b").alias("group"), F.col("a").alias("_new"))
+        now = materialise(now.join(parent, "group", "left").select("gnum", F.coalesce("_new", "group").alias("group")))
+        # what either end of a pair becomes, and what its group grows by
+        into = pairs.select(F.explode(F.array(*[F.struct(F.col(p).alias("old"), F.col("a").alias("new"), F.col(f"s{q}").alias("more")) for p, q in ("ab", "ba")])).alias("i")).select("i.*")
+        moved = edges
+        for c in ("a", "b"):
+            met = moved.join(into.withColumnRenamed("old", c), c, "left")
+            moved = met.withColumns({c: F.coalesce("new", c), f"s{c}": F.col(f"s{c}") + F.coalesce("more", F.lit(0))}).drop("new", "more")
+        moved = moved.where((F.col("a") != F.col("b")) & (F.col("sa") + F.col("sb") <= largest))
+        ahead = F.col("a") < F.col("b")
+        sized = [F.when(ahead, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("sa", "sb"), ("sb", "sa"))]
+        moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", *sized)
+        edges = materialise(moved.groupBy("a", "b").agg(F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in ("sa", "sb")]))
 
 
 register_coarsening("consecutive", consecutive)

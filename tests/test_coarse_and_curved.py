@@ -133,3 +133,41 @@ def test_curved_elements(spark):
         assert np.allclose([np.dot(got[k].weights, f(s.nodes)) for k in range(len(uvw))], f(uvw), atol=1e-6)
     with pytest.raises(ValueError):
         shapes.register_ordering("bad", "tetra", 2, [(0, 0, 0)])
+
+
+def test_groups_carry_their_sizes(spark):
+    """A matching from edges that are one row each and carry the sizes of their ends; groups as a plain loop makes them."""
+    rng = np.random.default_rng(12)
+    weights = {(int(a), int(b)): float(w) for w, (a, b) in zip(rng.uniform(1, 2, 160), rng.integers(0, 50, (160, 2)), strict=True) if a < b}
+
+    def matched(edges):
+        pairs, free = [], {k for e in edges for k in e}
+        for a, b in sorted(edges, key=edges.get, reverse=True):  # as weights differ, rounds of mutual wishes give the greedy matching
+            if a in free and b in free:
+                pairs.append((a, b))
+                free -= {a, b}
+        return sorted(pairs)
+
+    rows = spark.createDataFrame([(a, b, w, a + 1, b + 1) for (a, b), w in weights.items()], "a long, b long, weight double, sa long, sb long")
+    assert sorted(tuple(r) for r in coarsening.pairs_of(rows).collect()) == [(a, b, a + 1, b + 1) for a, b in matched(weights)]
+    assert coarsening.pairs_of(rows.where("false")) is None
+    group, size, edges = {k: k for k in range(52)}, dict.fromkeys(range(52), 1), dict(weights)
+    while pairs := matched({e: w for e, w in edges.items() if size[e[0]] + size[e[1]] <= 5}):
+        into = {b: a for a, b in pairs}
+        for a, b in pairs:
+            size[a] += size.pop(b)
+        group, moved = {k: into.get(g, g) for k, g in group.items()}, {}
+        for (a, b), w in edges.items():
+            a, b = sorted((into.get(a, a), into.get(b, b)))
+            if a != b:
+                moved[a, b] = moved.get((a, b), 0) + w
+        edges = moved
+    cells = spark.range(52).withColumnRenamed("id", "gnum")
+    graph = spark.createDataFrame([(b, a, w) if a % 2 else (a, b, w) for (a, b), w in weights.items()] + [(3, 3, 900.0), (3, 99, 900.0)], "src long, dst long, weight double")
+    got = {}
+    for r in coarsening.heavy_edges(cells, graph, 5).collect():
+        got.setdefault(r.coarse, set()).add(r.gnum)
+    want = {}
+    for k, g in group.items():
+        want.setdefault(g, set()).add(k)
+    assert max(map(len, got.values())) <= 5 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
