@@ -45,6 +45,13 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def absent(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df with keys that `seen` hasn't. As an anti join Spark may move it ahead of the grouping that made df, and
+    would sort what the grouping gets instead of what it gives."""
+    held = seen.select(*keys, F.lit(True).alias("_seen"))
+    return df.join(held, keys, "left").where(F.col("_seen").isNull()).select(*df.columns)
+
+
 class Frames(MutableMapping):
     """Frames by name, each made when it is first asked for, from those before it: nobody pays for what nobody reads."""
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import sfc
-from gridloom.functions.tables import Frames, materialise, numbered, spread_join
-from gridloom.operators.connectivity import sign
+from gridloom.functions.tables import Frames, absent, materialise, numbered, spread_join
+from gridloom.operators.connectivity import lists, sign
 from gridloom.operators.exchange import shared_graph
 from gridloom.operators.ids import weighted_split
 
@@ -154,10 +154,12 @@ def ghost_layers(cells: DataFrame, conn: DataFrame, depth: int = 1) -> DataFrame
     front, seen = out, None
     for k in range(1, depth + 1):
         reached = front.join(links, "gnum").select("part", "ent").distinct()
-        fresh = materialise(reached if seen is None else reached.join(seen, ["part", "ent"], "left_anti"))
+        fresh = materialise(reached if seen is None else absent(reached, seen, ["part", "ent"]))
         seen = fresh if seen is None else seen.unionByName(fresh)
-        step = spread_join(fresh, links, ["ent"]).select("part", "gnum").distinct()
-        front = materialise(step.join(out.select("part", "gnum"), ["part", "gnum"], "left_anti").withColumn("layer", F.lit(k)))
+        # a cell gets the parts of each of its entities as an array, and only there do they become rows
+        parts = materialise(lists(fresh, "ent", "part", "parts"))
+        step = spread_join(links, parts, ["ent"]).select("gnum", "parts").repartition("gnum").select(F.explode("parts").alias("part"), "gnum").distinct()
+        front = materialise(absent(step, out, ["part", "gnum"]).withColumn("layer", F.lit(k)))
         out = out.unionByName(front)
     return out
 

@@ -156,3 +156,38 @@ def test_measures_round_as_in_the_sql(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(queries.rounded("v", 4)).collect()]
     assert got == [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 4)").fetchall()[0][0] for v in values]
     assert "round(" not in plan_of(QUERIES["intersect_boxes"](spark, SF))
+
+
+def test_what_is_new_is_grouped_first(spark):
+    """What is looked up among the seen is what a grouping gives, not what it gets: the join comes after it."""
+    from gridloom.functions.tables import absent
+
+    many = spark.range(3000).select((F.col("id") % 50).alias("g"), (F.col("id") % 7).alias("h"))
+    seen = materialise(spark.range(40).select(F.col("id").alias("g"), (F.col("id") % 7).alias("h")))
+    new = absent(many.distinct(), seen, ["g", "h"])
+    plan = plan_of(new)
+    assert "LeftAnti" not in plan and plan.index("Join") < plan.index("HashAggregate")
+    assert sorted(map(tuple, new.collect())) == sorted((g, h) for g in range(50) for h in range(7) if g >= 40 or h != g % 7)
+    assert new.columns == ["g", "h"]
+
+
+def test_ghosts_of_shared_entities(spark):
+    """Parts travel as arrays: an entity of many parts and cells, numbers below 0 and layers beyond the first."""
+    from gridloom.operators import partition
+
+    rng = np.random.default_rng(9)
+    cells = [(int(p), g) for g, p in enumerate(rng.integers(-3, 9, 80))]
+    links = [(g, 0, int(e) if k % 2 else -int(e)) for k, (g, e) in enumerate(zip(rng.integers(0, 80, 150), rng.integers(1, 90, 150), strict=True))]
+    got = sorted(map(tuple, partition.ghost_layers(spark.createDataFrame(cells, "part int, gnum long"), spark.createDataFrame([(int(a), b, c) for a, b, c in links], "src long, pos int, dst long"), 3).collect()))
+    of = {}
+    for g, _, e in links:
+        of.setdefault(abs(e), set()).add(int(g))
+    want = []
+    for part in {p for p, _ in cells}:
+        held = {g for p, g in cells if p == part}
+        want += [(part, g, 0) for g in held]
+        for layer in (1, 2, 3):
+            new = set().union(*[s for s in of.values() if s & held]) - held
+            want += [(part, g, layer) for g in new]
+            held |= new
+    assert got == sorted(want)
