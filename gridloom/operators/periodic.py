@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.tables import materialise
+from gridloom.functions.tables import absent, materialise
 
 DIGITS = 7
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0)
@@ -89,30 +89,53 @@ def ghost_layers(cells: DataFrame, conn: DataFrame, interfaces: DataFrame, trans
     """cells: (part, domain, gnum); conn: (domain, src, dst), cells and the entities over which they are neighbours;
     interfaces: (interface, domain1, gnum1, domain2, gnum2) of such entities. (part, domain, gnum, transform, layer): what
     lies within depth steps of each part, layer 0 being its own cells, unmoved; transform: the 12 numbers of the move."""
-    at = ["part", "domain", "gnum", "key"]
-    one = F.array(*[F.lit(v) for v in IDENTITY])
+    at, where = ["part", "domain", "gnum", "move"], ["part", "domain", "ent", "move"]
     links = materialise(conn.select("domain", F.col("src").alias("gnum"), F.abs("dst").alias("ent")).distinct())
     jumps = materialise(hops(interfaces, transforms))
+    steps = materialise(jumps.select("step").distinct().withColumn("sid", F.monotonically_increasing_id()))
+    jumps = materialise(jumps.join(F.broadcast(steps), "step").drop("step"))  # two steps an interface
+    one = F.array(*[F.lit(v) for v in IDENTITY])
+    moves = materialise(conn.sparkSession.range(1).select(named_by(one).alias("move"), one.alias("transform")))
     own = cells.select("part", "domain", "gnum").distinct()
-    out = materialise(own.withColumn("transform", one).withColumn("key", key_of(one)).withColumn("layer", F.lit(0)))
+    out = materialise(own.withColumn("move", named_by(one)).withColumn("layer", F.lit(0)))
     front, seen = out, None
     for layer in range(1, depth + 1):
-        first = lambda df, keys: df.groupBy(*keys).agg(F.first("transform").alias("transform"))
-        where = ["part", "domain", "ent", "key"]
-        fresh = first(front.join(links, ["domain", "gnum"]), where)
-        fresh = materialise(fresh if seen is None else fresh.join(seen.select(*where), where, "left_anti"))
+        fresh = front.join(links, ["domain", "gnum"]).select(*where).distinct()
+        fresh = materialise(fresh if seen is None else absent(fresh, seen, where))
         seen = fresh if seen is None else seen.unionByName(fresh)
         around = fresh
         for _ in range(most):
-            far = fresh.join(jumps, ["domain", "ent"]).select("part", F.col("to_domain").alias("domain"), F.col("to_ent").alias("ent"), composed(F.col("transform"), F.col("step")).alias("transform"))
-            far = first(far.withColumn("key", key_of(F.col("transform"))), where)
-            fresh = materialise(far.join(seen.select(*where), where, "left_anti"))
+            far = fresh.join(jumps, ["domain", "ent"]).select("part", F.col("to_domain").alias("domain"), F.col("to_ent").alias("ent"), "move", "sid")
+            far = materialise(far.distinct())
+            if not far.limit(1).count():
+                break
+            moves, after = moved_on(moves, steps, far.select("move", "sid").distinct())
+            far = far.join(F.broadcast(after), ["move", "sid"]).select("part", "domain", "ent", F.col("to").alias("move")).distinct()
+            fresh = materialise(absent(far, seen, where))
             if not fresh.limit(1).count():
                 break
             seen, around = seen.unionByName(fresh), around.unionByName(fresh)
         else:
             raise RuntimeError("the images of an entity did not end")
-        reached = first(around.join(links, ["domain", "ent"]), at)
-        front = materialise(reached.join(out.select(*at), at, "left_anti").withColumn("layer", F.lit(layer)).select(*out.columns))
+        reached = around.join(links, ["domain", "ent"]).select(*at).distinct()
+        front = materialise(absent(reached, out, at).withColumn("layer", F.lit(layer)).select(*out.columns))
         out = out.unionByName(front)
-    return out.drop("key")
+    return out.join(F.broadcast(moves), "move").select("part", "domain", "gnum", "transform", "layer")
+
+
+def named_by(transform: Column) -> Column:
+    """A number for what `DIGITS` places of a transform tell: rows carry it instead of the transform. `moved_on` raises
+    should two transforms ever share one."""
+    return F.xxhash64(key_of(transform))
+
+
+def moved_on(moves: DataFrame, steps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """moves: (move, transform); pairs: (move, sid) of moves and steps (sid, step) to apply before. The moves with those that
+    come of it, and (move, sid, to). The distinct moves are compositions of the interfaces' transforms: few, and broadcast."""
+    met = pairs.join(F.broadcast(moves), "move").join(F.broadcast(steps), "sid").withColumn("transform", composed(F.col("transform"), F.col("step")))
+    met = materialise(met.select("move", "sid", named_by(F.col("transform")).alias("to"), "transform"))
+    every = moves.unionByName(met.select(F.col("to").alias("move"), "transform")).withColumn("key", key_of(F.col("transform")))
+    if every.groupBy("move").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").limit(1).count():
+        raise RuntimeError("two transforms have one number")
+    new = met.groupBy(F.col("to").alias("move")).agg(F.first("transform").alias("transform"))
+    return materialise(moves.unionByName(absent(new, moves, ["move"]).select("move", "transform"))), met.drop("transform")

@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import periodic
 
@@ -80,3 +81,16 @@ def test_inverse_and_empty(spark):
     assert apply(periodic.inverse(t), apply(t, [5.0, 6.0, 7.0])) == [5.0, 6.0, 7.0] and apply(t, [1.0, 2.0, 9.0]) == [1.0, 2.0, 9.0]
     assert run(spark, [], [(0, 1, 1)], [], {}, 2) == []
     assert [r.layer for r in run(spark, [(0, 0, 1)], [(0, 1, 1)], [(1, 5, 9, 6, 9)], {1: t}, 2)] == [0]
+
+
+def test_moves_are_numbered_once(spark):
+    """What rows carry is a number: the same for equal compositions, whose transform is kept once."""
+    lit = lambda t: F.array(*[F.lit(float(v)) for v in t])
+    row = lambda name, key, t: spark.range(1).select(key.alias(name), lit(t).alias("step" if name == "sid" else "transform"))
+    start = [row("move", periodic.named_by(lit(t)), t) for t in (periodic.IDENTITY, periodic.translation(2.0))]
+    steps = row("sid", F.lit(7).cast("long"), periodic.translation(1.0)).unionByName(row("sid", F.lit(8).cast("long"), periodic.translation(2.0)))
+    moves = start[0].unionByName(start[1])
+    found, after = periodic.moved_on(moves, steps, moves.select("move").crossJoin(steps.select("sid")))
+    shift = {r.move: round(r.transform[3], 6) for r in found.collect()}
+    assert sorted(shift.values()) == [0, 1, 2, 3, 4]
+    assert sorted((shift[r.move], r.sid, shift[r.to]) for r in after.collect()) == [(0, 7, 1), (0, 8, 2), (2, 7, 3), (2, 8, 4)]
