@@ -301,7 +301,7 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[s
             c = F.floor(F.col(a) / size).cast("long")
             t = t.withColumn(f"_c{a}", F.explode(F.sequence(c - 1, c + 1)))
             s = s.withColumn(f"_c{a}", F.floor(F.col(f"s{a}") / size).cast("long"))
-        best = first_k(t.join(s, [f"_c{a}" for a in axes]), k, axes)
+        best = first_k(t.join(s, [f"_c{a}" for a in axes]), k, axes, size * size)
         full = best.where((F.col("pos") == k) & (F.col("dist2") <= size * size)).select("gnum")
         got = materialise(best.join(full, "gnum", "left_semi"))
         done = got if done is None else done.unionByName(got)
@@ -313,11 +313,13 @@ def nearest(targets: DataFrame, sources: DataFrame, k: int = 1, axes: Sequence[s
     return done.unionByName(far_nearest(left, src, k, axes, {a: stats[f"min{a}"] for a in axes}, least, depth))
 
 
-def first_k(met: DataFrame, k: int, axes: Sequence[str]) -> DataFrame:
-    """(gnum, src, dist2, pos) of the k nearest among the sources that each target met."""
+def first_k(met: DataFrame, k: int, axes: Sequence[str], most: float | None = None) -> DataFrame:
+    """(gnum, src, dist2, pos) of the k nearest among the sources that each target met; of those no farther than the root of
+    `most`, if given: what is beyond isn't sorted."""
     d2 = sum((F.pow(F.col(a) - F.col(f"s{a}"), 2) for a in axes[1:]), F.pow(F.col(axes[0]) - F.col(f"s{axes[0]}"), 2))
     pos = F.row_number().over(Window.partitionBy("gnum").orderBy("dist2", "src"))
-    return met.withColumn("dist2", d2).withColumn("pos", pos).where(F.col("pos") <= k).select("gnum", "src", "dist2", "pos")
+    near = met.withColumn("dist2", d2)
+    return (near if most is None else near.where(F.col("dist2") <= most)).withColumn("pos", pos).where(F.col("pos") <= k).select("gnum", "src", "dist2", "pos")
 
 
 def far_nearest(targets: DataFrame, src: DataFrame, k: int, axes: Sequence[str], low: dict[str, float], least: float, depth: int) -> DataFrame:

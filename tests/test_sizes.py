@@ -191,3 +191,13 @@ def test_ghosts_of_shared_entities(spark):
             want += [(part, g, layer) for g in new]
             held |= new
     assert got == sorted(want)
+
+
+def test_far_candidates_are_not_sorted(spark):
+    """A round of the neighbour search keeps what lies within a cell's size: no more could settle a target in it."""
+    rng = np.random.default_rng(6)
+    c = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(rng.normal(size=(300, 3)))], "gnum long, x double, y double, z double")
+    met = c.crossJoin(c.select(F.col("gnum").alias("src"), *[F.col(a).alias(f"s{a}") for a in "xyz"]))
+    whole = sorted(tuple(r) for r in spatial.first_k(met, 3, "xyz").collect())
+    assert sorted(tuple(r) for r in spatial.first_k(met, 3, "xyz", 0.25).collect()) == [r for r in whole if r[2] <= 0.25]
+    assert sorted(tuple(r) for r in spatial.nearest(c, c, 3).collect()) == whole
