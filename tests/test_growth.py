@@ -28,3 +28,24 @@ def test_lifted_cells_without_their_mesh(spark):
     assert all(math.isclose(a, b, abs_tol=1e-12) for c in want for a, b in zip(want[c], got[c], strict=True))
     plan = plan_of(QUERIES["prism_cells"](spark, SF))
     assert plan.count("MapInArrow") == 1 and plan.count("Generate posexplode") == 1
+
+
+def test_winds_of_elements_without_their_faces(spark, monkeypatch):
+    """Elements of all types give what the triangles of their mesh give, and no faces are numbered for the query."""
+    from gridloom.functions.tables import materialise
+    from gridloom.operators import connectivity, polyhedra, winds
+    from gridloom.sources import generators
+
+    cells = materialise(generators.cube_mixed(spark, 4))
+    v = generators.cube_vertices(spark, 4).select("gnum", "x", (F.col("y") + 0.1 * F.sin(7 * F.col("x"))).alias("y"), (F.col("z") - 0.2 * F.col("x") * F.col("y")).alias("z"))
+    edges = spark.createDataFrame([(k + 1, int(a), int(b)) for k, (a, b) in enumerate(np.random.default_rng(2).integers(1, 65, (60, 2)))], "gnum long, v1 long, v2 long")
+    faces, signed = connectivity.descend(cells)
+    rows = lambda d: {(r.gnum, r.way): (r.cell, r.x, r.y, r.z) for r in d.collect()}
+    want, got = rows(winds.edge_winds(edges, polyhedra.face_triangles(signed, faces), v)), rows(winds.element_winds(edges, cells, v))
+    assert want == got and len(got) == 120 and len({c[0] for c in got.values()}) > 20
+
+    def none(*_):
+        raise AssertionError("faces are numbered")
+
+    monkeypatch.setattr(connectivity, "descend", none)
+    assert QUERIES["edge_winds"](spark, SF).count() > 0
