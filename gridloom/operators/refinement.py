@@ -16,7 +16,7 @@ from gridloom.functions.tables import materialise, numbered
 from gridloom.operators.contours import ordered_loops
 from gridloom.operators.elements import with_points
 from gridloom.operators.ids import from_keys
-from gridloom.operators.spatial import meet_in_blocks, points_in_boxes
+from gridloom.operators.spatial import meet_in_blocks, points_in_boxes, rows_of
 
 
 def ring_sides(mesh: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -175,3 +175,111 @@ def overlay_meshes(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, Da
     pieces = numbered(areas, ["a", "b", "loop"])
     named = rings.join(pieces.select("gnum", "a", "b", "loop"), ["a", "b", "loop"])
     return {"points": points, "pieces": pieces.select("gnum", "a", "b", "area"), "piece_points": named.select(F.col("gnum").alias("src"), "pos", F.col("point").alias("dst"))}
+
+
+#: Rings of one side in a block of shared_areas; most pairs of two meshes' rings in one place share something.
+FEW = 1024
+
+
+def shared_areas(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(a, b, area): the pieces of overlay_meshes, without its numbering. What two convex rings share is one piece, which is cut
+    out where the rings meet, in blocks, so that only rings are shuffled; whether they share any is told by exact signs. Pieces
+    of rings that aren't convex come from the overlay."""
+    sides, odd = zip(*[shaped(*mesh) for mesh in (left, right)], strict=True)
+    found = meet_in_blocks(*sides, shared, ["area"], (with_ends, with_ends), ["x", "y"], FEW)
+    found = found.select(F.col("a_gnum").alias("a"), F.col("b_gnum").alias("b"), "area")
+    if not odd[0].unionByName(odd[1]).limit(1).count():
+        return found
+    every = overlay_meshes(left, right)["pieces"].select("a", "b", "area")
+    for own, d in zip("ab", odd, strict=True):
+        every = every.join(d.select(F.col("gnum").alias(own), F.lit(True).alias(f"_{own}")), own, "left")
+    return found.unionByName(every.where("_a OR _b").select("a", "b", "area"))
+
+
+def shaped(rings: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The convex rings with their boxes and, as data, the number of corners and the corners, two numbers each; and (gnum) of
+    the others."""
+    at = with_points(rings.select("gnum", "vtx"), vertices.withColumn("z", F.lit(0.0))).where("size(p) > 2")
+    flat = F.concat(F.array(F.size("p").cast("double")), F.flatten(F.transform("p", lambda q: F.array(q["x"].cast("double"), q["y"].cast("double")))))
+    ends = [f(F.col("p").getField(k)).cast("double").alias(f"{k}{n}") for k in "xy" for f, n in ((F.array_min, "min"), (F.array_max, "max"))]
+    names = [f"{k}{n}" for k in "xy" for n in ("min", "max")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data, row = with_ends(rows_of(batch.column(1))), np.arange(batch.num_rows)
+                n, p = data[:, :1], data[:, 1:].reshape(len(data), -1, 2)
+                after, before = next_of(n, p.shape[1])
+                turn = np.stack([turns(p[row, before[:, k]], p[:, k], p[row, after[:, k]]) for k in range(p.shape[1])], axis=1)
+                # corners of simple polygons that all turn left go around once
+                yield batch.append_column("convex", pa.array(((turn >= 0) | (np.arange(p.shape[1]) >= n)).all(axis=1)))
+
+    kinds = f"gnum long, data array<double>, {', '.join(f'{c} double' for c in names)}"
+    told = materialise(at.select(F.col("gnum").cast("long"), flat.alias("data"), *ends).mapInArrow(run, f"{kinds}, convex boolean"))
+    return told.where("convex").drop("convex"), told.where("NOT convex").select("gnum")
+
+
+def with_ends(data: np.ndarray) -> np.ndarray:
+    """Rings as of `shaped`, filled up with zeros, as rows whose last corners are as the first one beyond their number."""
+    p = data[:, 1:].reshape(len(data), -1, 2)
+    full = np.where((np.arange(p.shape[1])[None, :] < data[:, :1])[:, :, None], p, p[:, :1])
+    return np.concatenate([data[:, :1], full.reshape(len(data), -1)], axis=1)
+
+
+def next_of(n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places after and before each of `width` places of rings of n (count, 1) corners."""
+    k, n = np.arange(width)[None, :], n.astype(int)
+    return np.where(k + 1 < n, k + 1, 0), np.where(k > 0, k - 1, n - 1)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of pairs of convex rings as of with_ends: those that share more than a border, and the area that they share."""
+    n, m = a[:, :1], b[:, :1]
+    a, b = a[:, 1:].reshape(len(a), -1, 2), b[:, 1:].reshape(len(b), -1, 2)
+    keep = np.flatnonzero(~(apart(a, n, b) | apart(b, m, a)))
+    p, size = a[keep], n[keep, 0].astype(int)
+    for k in range(b.shape[1]):
+        q, on = b[keep], k < m[keep, 0]
+        at, to = q[:, k], q[np.arange(len(q)), next_of(m[keep], b.shape[1])[0][:, k]]
+        p, size = cut_left(p, size, at, np.where(on[:, None], to, at))
+    after = next_of(size[:, None], p.shape[1])[0]
+    d = p - p[:, :1]
+    e = np.take_along_axis(d, after[:, :, None], 1)
+    cross = np.where(np.arange(p.shape[1])[None, :] < size[:, None], d[:, :, 0] * e[:, :, 1] - d[:, :, 1] * e[:, :, 0], 0.0)
+    return keep, {"area": cross.sum(axis=1) / 2}
+
+
+def apart(a: np.ndarray, n: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where some side of convex rings a, of n corners, has none of the corners of b on its left, by exact signs."""
+    out, row = np.zeros(len(a), bool), np.arange(len(a))
+    after = next_of(n, a.shape[1])[0]
+    for k in range(a.shape[1]):
+        right = k < n[:, 0]
+        for j in range(b.shape[1]):
+            right = right & ~out
+            left = np.flatnonzero(right)
+            right[left] = turns(a[left, k], a[row, after[:, k]][left], b[left, j]) <= 0
+        out |= right
+    return out
+
+
+def cut_left(p: np.ndarray, size: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What of convex rings p, of `size` corners, lies to the left of the lines from `at` to `to`, and how many corners that has;
+    all of it where `at` is `to`."""
+    if not len(p):
+        return p, size
+    width, e = p.shape[1], to - at
+    before = next_of(size[:, None], width)[1]
+    s = e[:, :1] * (p[:, :, 1] - at[:, 1:]) - e[:, 1:] * (p[:, :, 0] - at[:, :1])
+    q, t = np.take_along_axis(p, before[:, :, None], 1), np.take_along_axis(s, before, 1)
+    held = np.arange(width)[None, :] < size[:, None]
+    over = held & ((t < 0) != (s < 0))
+    u = t / np.where(over, t - s, 1.0)
+    new = q + u[:, :, None] * (p - q)
+    # a level or upright line has its own height or place
+    new = np.where(((e == 0) & (e != 0).any(axis=1, keepdims=True))[:, None, :], at[:, None, :], new)
+    both = np.stack([new, p], axis=2).reshape(len(p), -1, 2)
+    kept = np.stack([over, held & (s >= 0)], axis=2).reshape(len(p), -1)
+    size = kept.sum(axis=1)
+    order = np.argsort(~kept, axis=1, kind="stable")[:, : max(1, int(size.max()))]
+    return np.take_along_axis(both, order[:, :, None], 1), size

@@ -49,3 +49,34 @@ def test_winds_of_elements_without_their_faces(spark, monkeypatch):
 
     monkeypatch.setattr(connectivity, "descend", none)
     assert QUERIES["edge_winds"](spark, SF).count() > 0
+
+
+def test_shared_areas_are_those_of_the_overlay(spark):
+    """Convex rings of several sizes share in blocks what the overlay links up; rings that aren't convex go through the overlay;
+    what only meets in its box shares nothing. The query shuffles rings, not pieces."""
+    from gridloom.operators import refinement
+
+    rng = np.random.default_rng(4)
+
+    def grid(n, turn, wave):
+        at = {}
+        for j in range(n + 1):
+            for i in range(n + 1):
+                x, y = i / n - 0.5 + wave * rng.uniform(-0.1, 0.1) / n, j / n - 0.5 + wave * rng.uniform(-0.1, 0.1) / n
+                at[1 + i + j * (n + 1)] = (x * math.cos(turn) - y * math.sin(turn), x * math.sin(turn) + y * math.cos(turn))
+        low = [1 + i + j * (n + 1) for j in range(n) for i in range(n)]
+        rings = [[v, v + 1, v + n + 2, v + n + 1] for v in low]
+        rings[0] = rings[0][:3]  # a triangle
+        return at, [(k + 1, r) for k, r in enumerate(rings)]
+
+    frames = lambda at, rings: (spark.createDataFrame(rings, "gnum long, vtx array<long>"), spark.createDataFrame([(k, *p) for k, p in at.items()], "gnum long, x double, y double"))
+    rows = lambda d: sorted((r.a, r.b, r.area) for r in d.collect())
+    left, right = grid(5, 0.0, 1.0), grid(4, 0.4, 1.0)
+    dented = (left[0], [(g, r) for g, r in left[1] if r[0] not in (15, 16, 21)] + [(77, [15, 16, 17, 23, 22, 28, 27, 21])])  # three rings as one
+    for a in (left, dented):
+        mesh = frames(*a), frames(*right)
+        want, got = rows(refinement.overlay_meshes(*mesh)["pieces"]), rows(refinement.shared_areas(*mesh))
+        assert [x[:2] for x in want] == [x[:2] for x in got] and len(got) > 50
+        assert all(math.isclose(x[2], y[2], abs_tol=1e-12) for x, y in zip(want, got, strict=True))
+    plan = plan_of(QUERIES["overlay_strips"](spark, SF))
+    assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0]
