@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from gridloom.functions.geometry import ELEMENT_FACES
 from gridloom.functions.predicates import same_cycle
@@ -28,35 +32,157 @@ def transpose(conn: DataFrame) -> DataFrame:
 LIST = 1 << 16
 
 
+#: Buckets in which rows are counted before keys are.
+BUCKETS = 1 << 16
+
+
+def crowded(pairs: DataFrame, key: str, most: int) -> DataFrame | None:
+    """(key, _n) of the keys with more than `most` rows, None if there are none. Rows are counted in buckets of keys first, and
+    the rows by their keys only in buckets that hold so many."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b")
+    full = materialise(pairs.groupBy(bucket).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_b"))
+    if not full.limit(1).count():
+        return None
+    near = pairs.select(key, bucket).join(F.broadcast(full), "_b")  # BUCKETS rows at most
+    found = materialise(near.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most))
+    return found if found.limit(1).count() else None
+
+
 def lists(pairs: DataFrame, key: str, of: str, out: str, most: int = LIST) -> DataFrame:
     """(key, out): each key's references in arrays of distinct values, several for a key that holds more than about `most`."""
-    size = pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_m"))
-    size = materialise(size)
-    if not size.limit(1).count():
-        return pairs.groupBy(key).agg(F.collect_set(of).alias(out))
+    hot = crowded(pairs, key, most)
+    if hot is None:
+        # dealt as plain rows: sets begun before the shuffle would be longer than they
+        return pairs.select(key, of).repartition(key).groupBy(key).agg(F.collect_set(of).alias(out))
+    size = hot.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_m"))
     cut = pairs.join(F.broadcast(size), key, "left").withColumn("_m", F.pmod(F.xxhash64(of), F.coalesce("_m", F.lit(1))))  # few: rows over `most`
     return cut.groupBy(key, "_m").agg(F.collect_set(of).alias(out)).drop("_m")
 
 
+def packed_lists(found: DataFrame) -> DataFrame:
+    """(b, n, cs) of (b, cs), cs an array of numbers of at least 0: how many there are, and their bytes as of `packed`."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(1).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(lists), packed(lists)], names=["b", "n", "cs"])
+
+    return found.mapInArrow(run, f"b {found.schema['b'].dataType.simpleString()}, n int, cs binary")
+
+
+def sorted_within(own: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of at least 0 in their order within each list, and whose each is; own is in order."""
+    if len(v) and v.max() < 1 << 40 and own[-1] < 1 << 22:  # one number for both sorts several times faster
+        both = np.sort(own << 40 | v)
+        return both >> 40, both & (1 << 40) - 1
+    order = np.lexsort((v, own))
+    return own[order], v[order]
+
+
+def packed(lists: pa.ListArray) -> pa.Array:
+    """Each list of numbers as bytes: the numbers in their order, the first one and then the steps from one to the next, seven
+    bits a byte, the eighth where more follow."""
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    own, v = np.repeat(np.arange(len(size)), size), pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    v = sorted_within(own, v)[1]
+    begin = np.cumsum(size) - size
+    step = np.diff(v, prepend=0)
+    step[begin[size > 0]] = v[begin[size > 0]]
+    width = 1 + sum((step >> 7 * k > 0).astype(np.int64) for k in range(1, 9))
+    end = np.concatenate([[0], np.cumsum(width)])
+    out = np.zeros(end[-1], np.uint8)
+    for k in range(int(width.max(initial=0))):
+        on = np.flatnonzero(width > k)
+        out[end[on] + k] = (step[on] >> 7 * k & 127) | np.where(width[on] > k + 1, 128, 0)
+    offsets = end[np.concatenate([begin, [len(v)]])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def unpacked(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each of some bytes as of `packed` hold, and the numbers."""
+    data = data.cast(pa.large_binary())
+    at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    last = raw < 128
+    upto = np.concatenate([[0], np.cumsum(last)])[at]
+    first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(raw) else np.zeros(0, np.int64)
+    long = np.diff(first, append=len(raw))
+    step = (raw[first] & 127).astype(np.int64)
+    for k in range(1, int(long.max(initial=0))):
+        on = np.flatnonzero(long > k)
+        step[on] |= (raw[first[on] + k] & 127).astype(np.int64) << 7 * k
+    size = np.diff(upto)
+    sums = np.concatenate([[0], np.cumsum(step)])
+    return size, sums[1:] - np.repeat(sums[upto[:-1]], size)
+
+
+#: Bytes of lists that are put together at a time.
+AT_ONCE = 1 << 20
+
+
+def unions(found: DataFrame) -> DataFrame:
+    """(a, dsts) of (a, cs), cs an array of bytes as of `packed`: the distinct numbers in their order."""
+
+    def union(cs: pa.ListArray) -> pa.Array:
+        count = pc.list_value_length(cs).to_numpy(zero_copy_only=False).astype(np.int64)
+        size, v = unpacked(pc.list_flatten(cs))
+        own = np.repeat(np.repeat(np.arange(len(count)), count), size)
+        own, v = sorted_within(own, v)
+        new = np.ones(len(v), bool)
+        new[1:] = (own[1:] != own[:-1]) | (v[1:] != v[:-1])
+        own, v = own[new], v[new]
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(count) + 1)).astype(np.int32)), pa.array(v))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cs = batch.column(1)
+                data = pc.list_flatten(cs).cast(pa.large_binary())
+                at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+                upto = at[np.cumsum(pc.list_value_length(cs).to_numpy(zero_copy_only=False))] - at[0]
+                cuts = np.flatnonzero(np.diff(upto // AT_ONCE)) + 1  # a row is never cut
+                for begin, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), union(cs.slice(begin, stop - begin))], names=["a", "dsts"])
+
+    return found.mapInArrow(run, f"a {found.schema['a'].dataType.simpleString()}, dsts array<long>")
+
+
 def combined_lists(ab: DataFrame, bc: DataFrame, most: int = LIST) -> DataFrame:
-    """(src, dsts, whole): the distinct C of each A as arrays; an A with more than about `most` of them, repeats included,
-    has several arrays without a value in common, and whole is false.
-
-    A shared B sends its C as one array to each of its A, and only there do they become rows, so what is shuffled is an
-    array of numbers instead of a row a pair."""
-    b = materialise(ab.select(F.col("src").alias("a"), F.abs("dst").alias("b")).distinct())
-    c = materialise(lists(bc.select(F.col("src").alias("b"), F.abs("dst").alias("c")), "b", "c", "cs", most))
-    size = c.groupBy("b").agg(F.sum(F.size("cs")).alias("_n"))
-    wide = b.join(size, "b").groupBy("a").agg(F.sum("_n").alias("_n")).where(F.col("_n") > most).select("a", F.ceil(F.col("_n") / most).cast("int").alias("_m"))
-    wide = materialise(wide)
-    met = spread_join(b, c, ["b"])
-    union = lambda d, keys: d.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("cs"))).alias("dsts"))
-    if not wide.limit(1).count():
-        return union(met, ["a"]).select(F.col("a").alias("src"), "dsts", F.lit(True).alias("whole"))
-    each = met.join(wide, "a", "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
-    cut = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda k: F.when(F.col("_m") == 1, F.col("cs")).otherwise(F.filter("cs", lambda x: F.pmod(F.xxhash64(x), F.col("_m")) == k)))
-    each = each.select("a", "_m", F.posexplode(cut).alias("_k", "cs")).where("size(cs) > 0")
-    return union(each, ["a", "_m", "_k"]).select(F.col("a").alias("src"), "dsts", (F.col("_m") == 1).alias("whole"))
+    """(src, dsts, whole): the distinct C of each A as arrays, in order; an A with more than about `most` of them, repeats
+    included, has several arrays without a value in common, in no order, and whole is false.
+
+    A shared B sends its C to each of its A, packed into bytes, and only there do they become rows. Pairs are dealt once by B;
+    whether an A has too many is counted only for those that may, by how many B they have and the most C of any B."""
+    kind = bc.schema["dst"].dataType
+    b = ab.select(F.col("src").alias("a"), F.abs("dst").alias("b")).repartition("b").distinct()
+    c = materialise(packed_lists(lists(bc.select(F.col("src").alias("b"), F.abs("dst").cast("long").alias("c")), "b", "c", "cs", most)))
+    size = c.groupBy("b").agg(F.sum("n").alias("_n"))
+    top = size.agg(F.max("_n")).first()[0] or 0
+    met = spread_join(b, c.select("b", "cs"), ["b"])
+    some = materialise(ab.groupBy(F.col("src").alias("a")).agg(F.count("*").alias("_n")).where(F.col("_n") * top > most).select("a"))
+    wide = None
+    if some.limit(1).count():
+        wide = b.join(some, "a", "left_semi").join(size, "b").groupBy("a").agg(F.sum("_n").alias("_n")).where(F.col("_n") > most)
+        wide = materialise(wide.select("a", F.ceil(F.col("_n") / most).cast("int").alias("_m")))
+    held = met if wide is None else met.join(wide, "a", "left_anti")
+    every = unions(held.select("a", "cs").repartition("a").groupBy("a").agg(F.collect_list("cs").alias("cs")))
+    every = every.select(F.col("a").alias("src"), F.col("dsts").cast(ArrayType(kind)).alias("dsts"), F.lit(True).alias("whole"))
+    if wide is None or not wide.limit(1).count():
+        return every
+
+    def opened(batches):
+        for batch in batches:
+            n, v = unpacked(batch.column(2))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["a", "_m", "cs"])
+
+    many = met.join(wide, "a").select("a", "_m", "cs").mapInArrow(opened, f"a {ab.schema['src'].dataType.simpleString()}, _m int, cs array<long>")
+    cut = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda k: F.filter("cs", lambda x: F.pmod(F.xxhash64(x), F.col("_m")) == k))
+    each = many.select("a", "_m", F.posexplode(cut).alias("_k", "cs")).where("size(cs) > 0")
+    rest = each.groupBy("a", "_m", "_k").agg(F.array_distinct(F.flatten(F.collect_list("cs"))).alias("dsts"))
+    return every.unionByName(rest.select(F.col("a").alias("src"), F.col("dsts").cast(ArrayType(kind)).alias("dsts"), F.lit(False).alias("whole")))
 
 
 def combine_pairs(ab: DataFrame, bc: DataFrame) -> DataFrame:
@@ -67,7 +193,7 @@ def combine_pairs(ab: DataFrame, bc: DataFrame) -> DataFrame:
 def combine(ab: DataFrame, bc: DataFrame, most: int = LIST) -> DataFrame:
     """A to C, distinct and without signs, in the order of C; only an A of several arrays takes a range sort for that."""
     found = combined_lists(ab, bc, most)
-    place = lambda d: d.select("src", F.posexplode(F.array_sort("dsts")).alias("pos", "dst")).select("src", "dst", (F.col("pos") + 1).cast("long").alias("pos"))
+    place = lambda d: d.select("src", F.posexplode("dsts").alias("pos", "dst")).select("src", "dst", (F.col("pos") + 1).cast("long").alias("pos"))
     many = found.where(~F.col("whole"))
     if not many.limit(1).count():
         return place(found.where("whole"))

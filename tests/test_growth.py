@@ -80,3 +80,27 @@ def test_shared_areas_are_those_of_the_overlay(spark):
         assert all(math.isclose(x[2], y[2], abs_tol=1e-12) for x, y in zip(want, got, strict=True))
     plan = plan_of(QUERIES["overlay_strips"](spark, SF))
     assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_lists_travel_packed(spark):
+    """Numbers come back from their bytes whatever their size, lists cut within their arrays too; a hot key is found through its
+    bucket; what an A gets is shuffled as bytes, and rows are dealt before sets are begun."""
+    import pyarrow as pa
+
+    from gridloom.operators import connectivity
+
+    rng = np.random.default_rng(8)
+    rows = [sorted({int(x) for x in rng.integers(0, 2 ** int(rng.integers(1, 63)), int(rng.integers(0, 9)))}) for _ in range(300)] + [[], [0], [2**63 - 1], [0, 2**63 - 1], [127, 128, 255, 16511, 16512]]
+    data = connectivity.packed(pa.array([list(rng.permutation(r)) if r else [] for r in rows], pa.list_(pa.int64())))
+    for x, want in ((data, rows), (data.slice(7, 100), rows[7:107]), (data.slice(3, 0), [])):
+        size, v = connectivity.unpacked(x)
+        assert size.tolist() == [len(r) for r in want] and v.tolist() == [n for r in want for n in r]
+    pairs = spark.range(400).select(F.when(F.col("id") % 2 == 0, 1000).otherwise(F.col("id")).alias("k"), "id")
+    assert [tuple(r) for r in connectivity.crowded(pairs, "k", 50).collect()] == [(1000, 200)] and connectivity.crowded(pairs, "k", 200) is None
+    far = lambda c: (F.col(c) + 1) * (2**55 + 3)
+    ab = spark.range(90).select((F.col("id") % 7).alias("src"), (F.col("id") % 30 + 1).alias("dst"))
+    bc = spark.range(200).select((F.col("id") % 40 + 1).alias("src"), far("id").alias("dst")).where("src < 35")
+    want = sorted({(a.src, b.dst) for a in ab.collect() for b in bc.collect() if a.dst == b.src})
+    assert sorted(map(tuple, connectivity.combine_pairs(ab, bc).collect())) == want
+    plan = plan_of(connectivity.combine_pairs(ab, bc))
+    assert "MapInArrow" in plan and "partial_collect" not in plan.split("MapInArrow")[0]
